@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillmark.plans import profiles  # noqa: F401 - importing a module registers its queries
+from rillmark.plans.base import QUERIES, SQL, Query
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """How well popularity ranks each user's test items."""
+    return QUERIES["item_popularity"](spark, folder)
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
