@@ -65,7 +65,8 @@ def score_content_knn_blocked(rows: DataFrame, histories: DataFrame, vectors: Da
     unit = vectors.select("item_id", l2_normalise(F.col("vec")).alias("vec"))
     recent = F.slice("history", -F.least(F.size("history"), F.lit(last)), last)
     hist = histories.where(F.size("history") > 0).select("user_id", F.posexplode(recent).alias("pos", "item_id")).join(unit, "item_id", "left")
-    cand = rows.select("user_id", "item_id").join(unit, "item_id", "left")
+    cand = rows.select("user_id", "item_id").join(unit.withColumnRenamed("vec", "cv"), "item_id", "left")
+    hist, cand = hist.select(F.col("user_id").alias("u"), F.col("vec").alias("hv")), cand.select("user_id", "item_id", "cv")
 
     def matrix(vecs: pd.Series) -> np.ndarray:
         dim = next((len(v) for v in vecs if v is not None), 1)
@@ -76,11 +77,11 @@ def score_content_knn_blocked(rows: DataFrame, histories: DataFrame, vectors: Da
             return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
         if not len(h):
             return pd.DataFrame({"user_id": c["user_id"], "item_id": c["item_id"], "score": NO_HISTORY})
-        a, b = matrix(c["vec"]), matrix(h["vec"])
+        a, b = matrix(c["cv"]), matrix(h["hv"])
         sims = a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(a), len(b)))
         return pd.DataFrame({"user_id": c["user_id"], "item_id": c["item_id"], "score": sims.max(1)})
 
-    return cand.groupBy("user_id").cogroup(hist.groupBy("user_id")).applyInPandas(one, "user_id long, item_id long, score double")
+    return cand.groupBy("user_id").cogroup(hist.groupBy("u")).applyInPandas(one, "user_id long, item_id long, score double")
 
 
 def score_pooled_cosine(rows: DataFrame, user_vectors: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillmark.plans import encodings, profiles  # noqa: F401 - importing a module registers its queries
+from rillmark.plans import encodings, learning, profiles, streams  # noqa: F401 - importing a module registers its queries
 from rillmark.plans.base import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """How well popularity ranks each user's test items."""
-    return QUERIES["item_popularity"](spark, folder)
+    """How well each popularity scorer ranks every user's test items."""
+    return QUERIES["per_user_ranking"](spark, folder)
 
 
 def queries() -> dict[str, Query]:
