@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillmark.llm.text import ALNUM, ascii_lower, whole, words
+from rillmark.llm.text import ALNUM, ALNUM_ANY_CASE, ascii_lower, whole, words
 from rillmark.scratch import materialize
 
 WINDOW = 10
@@ -118,7 +118,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     both = hits.join(listed, [hits["doc_id"].eqNullSafe(listed["doc_id"]), hits["text_key"] == listed["text_key"]]).select(
         hits["doc_id"].alias("k"), hits["text_key"].alias("tk"), "n_hit", "ids"
     )
-    counted = _doc_words(docs).select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
+    n_words = F.size(words(docs["text"], ALNUM_ANY_CASE)).cast("long")
+    counted = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(whole(docs["text"])).alias("text_key"), n_words.alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return counted.join(both, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("tk")), "left").select(
         *key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),

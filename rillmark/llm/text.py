@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of benchmark matching: ASCII letters and digits, and everything beyond ASCII.
-ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of benchmark matching, once lower-cased: ASCII letters and digits, and everything beyond ASCII. The same class
+#: stated by what it holds is twice as fast as by what it leaves out.
+ALNUM = r"[0-9a-z\x80-\x{10FFFF}]++"
+#: The same words before they are lower-cased.
+ALNUM_ANY_CASE = r"[0-9A-Za-z\x80-\x{10FFFF}]++"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
