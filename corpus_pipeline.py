@@ -36,13 +36,15 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``size, source_size, target, copies, taken``."""
-    mixed = mixing.mix(docs).groupBy("doc_id", "text_key", "source").agg(
-        *[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.sum("copies").alias("copies"), F.sum("taken").alias("taken")
-    )
-    taken = mixed.where("copies > 0").withColumnsRenamed({"doc_id": "k", "source": "s"})
-    same = docs["doc_id"].eqNullSafe(taken["k"]) & docs["source"].eqNullSafe(taken["s"]) & (F.xxhash64(whole(docs["text"])) == taken["text_key"])
-    return docs.dropDuplicates(["doc_id", "source", "text"]).join(taken, same).drop("k", "s", "text_key")
+    """The documents that the mix takes, once each, with ``size, source_size, target, copies, taken``; these take the place
+    of columns of the same names. Repeated rows become one with the sum of their copies."""
+    added = ("size", "source_size", "target", "copies", "taken")
+    key = [F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("text_key").alias("__text_key")]
+    kinds = [F.first(c) if c in ("size", "source_size", "target") else F.sum(c) for c in added]
+    mixed = mixing.mix(docs).groupBy(*key).agg(*[k.alias(f"__{c}") for k, c in zip(kinds, added, strict=True)]).where("__copies > 0")
+    one = docs.dropDuplicates(["doc_id", "source", "text"])
+    same = one["doc_id"].eqNullSafe(mixed["__doc_id"]) & one["source"].eqNullSafe(mixed["__source"]) & (F.xxhash64(whole(one["text"])) == mixed["__text_key"])
+    return one.join(mixed, same).select(*[one[c] for c in docs.columns if c not in added], *[mixed[f"__{c}"].alias(c) for c in added])
 
 
 STAGES = [
