@@ -10,6 +10,10 @@ forest of its links comes out, fewer rows than the run has. Runs longer than ``B
 blocks is a piece of work of its own, so no task holds a hot key. Components are then found by alternating stars, each
 round written to the shared folder.
 
+Deduplication also wants texts whose sets of five-word shingles are 80 % alike, whose fingerprints over shingles often differ
+in more bits. ``similar_links`` finds them through further fingerprints, over the sets of words: of two such texts at least
+one of four comes within ``RADIUS`` bits nearly always. Each candidate's similarity is then computed exactly.
+
 Defined cases: a null or empty text has fingerprint zero, which links like any other; equal texts, repeated rows and null
 ids are all kept, each row getting its component's smallest non-null id; an empty table gives an empty result; texts are
 read whole; other columns are carried in ``row``.
@@ -32,19 +36,11 @@ SHINGLE = 4
 RADIUS = 4
 BLOCK = 2048
 SEED = 42
+#: Near copies: words in a shingle, least similarity of the shingle sets, seeds of the fingerprints over words.
+COPY_SHINGLE, SIMILARITY, WORD_SEEDS = 5, 0.8, (1, 2, 3, 4)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    words = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words])
-    if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        starts = [0, *ends[:-shingle].tolist()]
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+def _majority(hashes: list[int]) -> int:
     h = np.array(hashes, dtype="<u8")
     votes = np.zeros(64, dtype=np.int64)
     for part in np.array_split(h, len(h) // 65536 + 1):
@@ -52,27 +48,55 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def shingle_hashes(text: str, shingle: int, seed: int = SEED) -> list[int]:
+    """Hashes of all runs of ``shingle`` words, repeats included; of the whole sequence if it has fewer; none of no words."""
+    words = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space only
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return [digest(joined, seed)] if words else []
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-shingle].tolist()]
+    return [digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    return _majority(hashes) if hashes else 0
+
+
+def word_fingerprints(text: str) -> list[int]:
+    """One fingerprint a seed over the set of words."""
+    words = set(text.encode().lower().split())
+    return [_majority([xxhash.xxh64_intdigest(w, s) for w in words]) if words else 0 for s in WORD_SEEDS]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """``row`` (the document's columns without its text) and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", over_words: bool = False) -> DataFrame:
+    """``row`` (the document's columns without its text), ``text_key`` and ``fp``, the fingerprint as a signed long; and
+    ``word_fps`` if asked for."""
 
     @F.pandas_udf("long")
     def fp(t: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(x, shingle)) for x in t], dtype="int64")
 
+    @F.pandas_udf("array<long>")
+    def word_fps(t: pd.Series) -> pd.Series:
+        return pd.Series([[_signed(f) for f in word_fingerprints(x)] for x in t])
+
+    t = whole(docs[text])
     row = F.struct(*[docs[c] for c in docs.columns if c != text])
-    return docs.select(row.alias("row"), fp(whole(docs[text])).alias("fp"))
+    return docs.select(row.alias("row"), F.xxhash64(t).alias("text_key"), fp(t).alias("fp"), *([word_fps(t).alias("word_fps")] if over_words else []))
 
 
-def _ball_keys(fp: Column) -> Column:
-    """Keys under which a fingerprint meets others: the segment's number above the 33 points of its ball."""
-    low = 0xFFFFFFFF
-    segments = (fp.bitwiseAND(F.lit(low)), F.shiftrightunsigned(fp, 32))
+def _ball_keys(fp: Column, table: Column) -> Column:
+    """Keys under which a fingerprint meets others: its table and the segment's number above the 33 points of its ball."""
+    segments = (fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))
     flips = (0, *(1 << b for b in range(32)))
-    return F.array(*[s.bitwiseXOR(F.lit(m).cast("long")) + F.lit(n << 32) for n, s in enumerate(segments) for m in flips])
+    above = F.shiftleft(table.cast("long"), 33)
+    return F.array(*[above + s.bitwiseXOR(F.lit(m).cast("long")) + F.lit(n << 32) for n, s in enumerate(segments) for m in flips])
 
 
 def _forest(x: np.ndarray, y: np.ndarray | None = None, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -96,13 +120,13 @@ def _link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held_key, held = None, np.array([], dtype=np.uint64)
     long_run = False
 
-    def links(values: np.ndarray) -> list[tuple]:
-        return [(a, b, None) for a, b in _forest(np.unique(values))]
+    def links(values: np.ndarray, key: int) -> list[tuple]:
+        return [(a, b, key) for a, b in _forest(np.unique(values))]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["a", "b", "key"])
         a = np.array([_signed(r[0]) for r in rows], dtype=np.int64)
-        return out.assign(a=a, b=pd.array([None if r[1] is None else _signed(r[1]) for r in rows], dtype="Int64"), key=out["key"].astype("Int64"))
+        return out.assign(a=a, b=pd.array([None if r[1] is None else _signed(r[1]) for r in rows], dtype="Int64"), key=out["key"].astype("int64"))
 
     for batch in batches:
         keys, fps = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
@@ -116,42 +140,73 @@ def _link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held = np.concatenate([held, run])
             elif k in (first, last):
                 if len(held) > 1 and not long_run:
-                    out += links(held)
+                    out += links(held, held_key)
                 held_key, held, long_run = key, run, False
             else:
-                out += links(run)
+                out += links(run, key)
             if k in (first, last) and (long_run or len(held) > BLOCK):
                 out += [(int(v), None, held_key) for v in held]
                 held, long_run = held[:0], True
         yield frame(out)
     if len(held) > 1 and not long_run:
-        yield frame(links(held))
+        yield frame(links(held, held_key))
 
 
 def _link_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each row: two blocks of fingerprints under a common key, or one block alone."""
     for batch in batches:
         rows = []
-        for x, y in zip(batch["x"], batch["y"], strict=True):
+        for key, x, y in zip(batch["key"], batch["x"], batch["y"], strict=True):
             x = np.array(x, dtype=np.int64).view(np.uint64)
-            rows += _forest(x, None if y is None else np.array(y, dtype=np.int64).view(np.uint64))
-        yield pd.DataFrame({"a": np.array([_signed(a) for a, _ in rows], dtype=np.int64), "b": np.array([_signed(b) for _, b in rows], dtype=np.int64)})
+            rows += [(_signed(a), _signed(b), key) for a, b in _forest(x, None if y is None else np.array(y, dtype=np.int64).view(np.uint64))]
+        yield pd.DataFrame(rows, columns=["a", "b", "key"]).astype("int64")
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """``a, b``: verified links between distinct fingerprints that connect whatever is connected."""
-    distinct = fps.select("fp").distinct()
-    keyed = distinct.select("fp", F.explode(_ball_keys(F.col("fp"))).alias("key"))
+    """``table, a, b``: for ``table, fp``, verified links between distinct fingerprints of a table that connect whatever is
+    connected."""
+    distinct = fps.select("table", "fp").distinct()
+    keyed = distinct.select("fp", F.explode(_ball_keys(F.col("fp"), F.col("table"))).alias("key"))
     met = materialize(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_link_runs, "a long, b long, key long"), "links")
-    short = met.where("key is null").select("a", "b")
-    hot = met.where("key is not null").select("key", F.col("a").alias("fp")).distinct()
+    short = met.where("b is not null")
+    hot = met.where("b is null").select("key", F.col("a").alias("fp")).distinct()
     n_blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("n"))
     blocks = hot.join(n_blocks, "key").select("key", "n", "fp", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("block"))
     blocks = blocks.groupBy("key", "n", "block").agg(F.collect_list("fp").alias("fps"))
     left = blocks.select("key", F.col("fps").alias("x"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j"))
     right = blocks.select("key", F.col("fps").alias("y"), F.col("block").alias("j"))
-    work = left.join(right, ["key", "j"]).select("x", F.when(F.col("i") != F.col("j"), F.col("y")).alias("y"))
-    return short.unionByName(work.mapInPandas(_link_blocks, "a long, b long")).distinct()
+    work = left.join(right, ["key", "j"]).select("key", "x", F.when(F.col("i") != F.col("j"), F.col("y")).alias("y"))
+    found = short.unionByName(work.mapInPandas(_link_blocks, "a long, b long, key long"))
+    return found.select(F.shiftrightunsigned("key", 33).cast("int").alias("table"), "a", "b").distinct()
+
+
+def similar_links(marked: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """``a, b``: fingerprints of texts whose shingle sets are ``SIMILARITY`` alike. ``marked`` has ``text_key, fp, word_fps``.
+
+    Texts that share a fingerprint over words are compared with one of them, and that one with those of the linked
+    fingerprints: no pairs inside a group."""
+
+    @F.pandas_udf("array<long>")
+    def shingle_set(t: pd.Series) -> pd.Series:
+        return pd.Series([[_signed(h) for h in set(shingle_hashes(x, COPY_SHINGLE))] for x in t])
+
+    placed = marked.select("text_key", F.posexplode("word_fps").alias("table", "wfp")).distinct()
+    first = materialize(placed.groupBy("table", "wfp").agg(F.min("text_key").alias("one")), "word-fingerprints")
+    star = placed.join(first, ["table", "wfp"]).select(F.col("one").alias("x"), F.col("text_key").alias("y"))
+    near = links(first.select("table", F.col("wfp").alias("fp")))
+    one = lambda name, out: first.select("table", F.col("wfp").alias(name), F.col("one").alias(out))
+    across = near.join(one("a", "x"), ["table", "a"]).join(one("b", "y"), ["table", "b"]).select("x", "y")
+    pairs = materialize(star.unionByName(across).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x != y").distinct(), "candidates")
+    wanted = pairs.select(F.col("x").alias("k")).union(pairs.select("y")).distinct()
+    key = F.xxhash64(whole(docs[text]))
+    texts = docs.select(key.alias("k"), whole(docs[text]).alias("t")).join(wanted, "k", "left_semi")
+    sets = texts.groupBy("k").agg(F.first("t").alias("t")).select("k", shingle_set("t").alias("s"))
+    fp_of = marked.select(F.col("text_key").alias("k"), "fp").distinct()
+    sets = materialize(sets.join(fp_of, "k"), "shingle-sets")
+    side = lambda k, n: sets.select(F.col("k").alias(k), F.col("s").alias(f"s{n}"), F.col("fp").alias(n))
+    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").where("a != b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where((shared > 0) & (shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared))).select("a", "b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -174,23 +229,28 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``row, fingerprint`` (16 hex digits) and ``component_id``, the smallest id of all documents reachable by links."""
-    marked = materialize(fingerprints(docs, shingle, text), "fingerprints")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", copies: bool = False) -> DataFrame:
+    """``row, fingerprint`` (16 hex digits) and ``component_id``, the smallest id of all documents reachable by links. With
+    ``copies``, similar texts link too."""
+    marked = materialize(fingerprints(docs, shingle, text, copies), "fingerprints")
     per_fp = marked.groupBy("fp").agg(F.min(f"row.{key}").alias("least"))
-    found = components(links(marked))
+    pairs = links(marked.select(F.lit(0).alias("table"), "fp")).select("a", "b")
+    if copies:
+        pairs = pairs.unionByName(similar_links(marked, docs, text))
+    found = components(pairs)
     rooted = per_fp.join(found, per_fp["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     hex_fp = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(of_fp, marked["fp"] == of_fp["f"]).select("row", hex_fp.alias("fingerprint"), "component_id")
+    return marked.join(of_fp, marked["fp"] == of_fp["f"]).select("row", "text_key", hex_fp.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each component, the one with the smallest id (equal ids: the smallest text hash, one row of it)."""
-    tagged = docs.select("*", F.xxhash64(whole(docs[text])).alias("__text_key"))
-    found = near_duplicates(tagged, shingle, text, key)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col(f"row.{key}").isNull().alias("n"), F.col(f"row.{key}").alias("k"), F.col("row.__text_key").alias("t"))).alias("best"))
+    """One document of each component of near copies: the one with the smallest id (equal ids: the smallest text hash, one
+    row of it)."""
+    found = near_duplicates(docs.select(key, text), shingle, text, key, copies=True)
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col(f"row.{key}").isNull().alias("n"), F.col(f"row.{key}").alias("k"), F.col("text_key").alias("t"))).alias("best"))
     keep = best.select("best.k", "best.t").distinct()
+    tagged = docs.withColumn("__text_key", F.xxhash64(whole(docs[text])))
     kept = tagged.join(keep, tagged[key].eqNullSafe(keep["k"]) & (tagged["__text_key"] == keep["t"]), "left_semi")
     return kept.dropDuplicates([key, "__text_key"]).select(*docs.columns)

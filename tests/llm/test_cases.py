@@ -225,7 +225,7 @@ def test_simhash_links_in_dense_groups(spark, block, monkeypatch):
         prints.add(x)
     of = dict(enumerate(sorted(prints)))
     fps = spark.createDataFrame([(simhash._signed(x),) for x in of.values()], "fp long")
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(fps)).collect()}
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(fps.select(F.lit(3).alias("table"), "fp")).select("a", "b")).collect()}
     expected = brute.components(of)
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
     assert groups({i: found.get(simhash._signed(x), simhash._signed(x)) for i, x in of.items()}) == groups(expected)
