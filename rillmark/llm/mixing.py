@@ -49,9 +49,9 @@ def targets(sized: DataFrame) -> DataFrame:
     ordered = F.col("source").asc_nulls_last()
     parted = per_source.repartitionByRange(ordered).select("*", F.spark_partition_id().alias("part"))
     local = materialize(parted.select("*", F.row_number().over(Window.partitionBy("part").orderBy(ordered)).alias("rn")), "sources")
-    before = local.groupBy("part").agg(F.count(F.lit(1)).alias("n")).alias("a").join(
-        local.groupBy("part").agg(F.count(F.lit(1)).alias("n")).alias("b"), F.col("b.part") < F.col("a.part"), "left"
-    ).groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = local.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     weighted = local.join(F.broadcast(before), "part").select(
         "source", "source_size", ((F.col("rn") + F.col("offset") - 1) % 3 + 1).cast("long").alias("weight")
     )
