@@ -35,6 +35,13 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def recall_full_matrix(users: DataFrame, items: DataFrame, targets: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Recall and NDCG of one target a user over the whole catalogue: only each user's best ``max(ks)`` are kept."""
+    from rillmark.operators.metrics import recall_from_topk
+
+    return recall_from_topk(exact_topk(users, items, max(ks)), targets, ks, max(ks))
+
+
 def ivf_topk(users: DataFrame, items: DataFrame, k: int, cells: int = 16, nprobe: int = 4, seed: int = 42) -> DataFrame:
     """Approximate: items are clustered, and each user looks into the ``nprobe`` cells with the nearest centres."""
     from pyspark.ml.clustering import KMeans

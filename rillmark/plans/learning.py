@@ -417,6 +417,12 @@ def recall_from_topk(s, d):
     return rounded(metrics.recall_from_topk(lists, _targets(s, d), (10, 50, 100, 500), 100))
 
 
+@query("recall_full_matrix", f"""WITH {IX}, {_TOP}, {_TARGETS}, h AS (SELECT rank FROM tg LEFT JOIN (SELECT user_id, item_id AS target, rank FROM tk) USING (user_id, target)) SELECT count(*) AS n_targets,
+  round(avg(coalesce(rank <= 20, false)::INT), 6) AS recall_20, round(avg(CASE WHEN rank <= 20 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_20 FROM h""")
+def recall_full_matrix(s, d):
+    return rounded(retrieval.recall_full_matrix(_users(s, d), _items(s, d), _targets(s, d), (20,)))
+
+
 @query("full_catalogue_recall", f"""WITH {IX}, {_TOP}, {_TARGETS}, h AS (SELECT rank FROM tg LEFT JOIN (SELECT user_id, item_id AS target, rank FROM tk WHERE rank <= 50) USING (user_id, target)),
   r AS (SELECT (row_number() OVER (ORDER BY md5(concat_ws('|', vec_id, '42')), vec_id)) AS rank, vec_id FROM embeddings), g AS (SELECT rank FROM tg LEFT JOIN r ON vec_id = target AND rank <= 50)
   SELECT 'pooled' AS space, count(*) AS n_targets, round(avg(coalesce(rank <= 10, false)::INT), 6) AS recall_10, round(avg(coalesce(rank <= 50, false)::INT), 6) AS recall_50 FROM h
