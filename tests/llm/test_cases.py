@@ -316,7 +316,7 @@ def test_rounding_keeps_expectations(spark):
     df = frame(spark, rows).persist()
     rate = None
     total = dict.fromkeys(range(40), 0)
-    runs = 12
+    runs = 5
     for seed in range(runs):
         for r in mixing.mix(df, seed=seed).where("source = 'a'").collect():
             total[r["doc_id"]] += r["copies"]
