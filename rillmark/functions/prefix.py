@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.scratch import materialize
+
 BUCKETS = 256
 
 
@@ -21,8 +23,10 @@ def _bucketed(df: DataFrame, order: str, buckets: int) -> DataFrame:
 
 
 def prefix_sum(df: DataFrame, order: str, values: dict[str, Column], ties: list[Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Adds, for each name, the sum of its value over this and all rows before it in ascending ``order`` (a number)."""
-    rows = _bucketed(df.withColumns({f"__v_{n}": v for n, v in values.items()}), order, buckets)
+    """Adds, for each name, the sum of its value over this and all rows before it in ascending ``order`` (a number).
+
+    The rows are written once: three passes read them, and what they come from may be costly."""
+    rows = _bucketed(materialize(df.withColumns({f"__v_{n}": v for n, v in values.items()}), "prefix"), order, buckets)
     totals = rows.groupBy("__b").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     offsets = totals.select(F.col("__b"), *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in values])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.expr import seeded_md5
+from rillmark.scratch import materialize
 
 KS = (1, 3, 5, 10)
 
@@ -114,8 +115,8 @@ def random_reference(catalogue: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 
 
 def evaluate_table(scored: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """All metrics of every model of a long score table, one row a model."""
-    by = ["model"]
+    """All metrics of every model of a long score table, one row a model. The table is written once and read by each metric."""
+    by, scored = ["model"], materialize(scored, "scores")
     out = per_user_ranking(scored, ks, by=by)
     for other in (auc(scored, by), logloss(scored, by), pr_auc(scored, by), gauc(scored, by).drop("n_users"), candidate_set_size(scored, by).select("model", "rows_per_user")):
         out = out.join(other, "model")
