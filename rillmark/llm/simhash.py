@@ -11,8 +11,8 @@ blocks is a piece of work of its own, so no task holds a hot key. Components are
 round written to the shared folder.
 
 Deduplication also wants texts whose sets of five-word shingles are 80 % alike, whose fingerprints over shingles often differ
-in more bits. ``similar_links`` finds them through further fingerprints, over the sets of words: of two such texts at least
-one of four comes within ``RADIUS`` bits nearly always. Each candidate's similarity is then computed exactly.
+in more bits. ``similar_links`` finds all of them by a prefix-filtered join: shingles have one order, frequent ones last, and two
+sets that alike share one of their first fifth (and one) of shingles. Each candidate's similarity is then computed exactly.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; equal texts, repeated rows and null
 ids are all kept, each row getting its component's smallest non-null id; an empty table gives an empty result; texts are
@@ -22,11 +22,12 @@ read whole; other columns are carried in ``row``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.llm.text import whole
@@ -36,8 +37,10 @@ SHINGLE = 4
 RADIUS = 4
 BLOCK = 2048
 SEED = 42
-#: Near copies: words in a shingle, least similarity of the shingle sets, seeds of the fingerprints over words.
-COPY_SHINGLE, SIMILARITY, WORD_SEEDS = 5, 0.8, (1, 2, 3, 4)
+#: Near copies: words in a shingle, least similarity of the shingle sets.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: The order of shingles, which no result depends on: one text in ``SAMPLED`` is counted, for the ``FREQUENT`` most frequent shingles.
+SAMPLED, FREQUENT = 8, 100_000
 
 
 def _majority(hashes: list[int]) -> int:
@@ -64,31 +67,20 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return _majority(hashes) if hashes else 0
 
 
-def word_fingerprints(text: str) -> list[int]:
-    """One fingerprint a seed over the set of words."""
-    words = set(text.encode().lower().split())
-    return [_majority([xxhash.xxh64_intdigest(w, s) for w in words]) if words else 0 for s in WORD_SEEDS]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", over_words: bool = False) -> DataFrame:
-    """``row`` (the document's columns without its text), ``text_key`` and ``fp``, the fingerprint as a signed long; and
-    ``word_fps`` if asked for."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
+    """``row`` (the document's columns without its text), ``text_key`` and ``fp``, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(t: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(x, shingle)) for x in t], dtype="int64")
 
-    @F.pandas_udf("array<long>")
-    def word_fps(t: pd.Series) -> pd.Series:
-        return pd.Series([[_signed(f) for f in word_fingerprints(x)] for x in t])
-
     t = whole(docs[text])
     row = F.struct(*[docs[c] for c in docs.columns if c != text])
-    return docs.select(row.alias("row"), F.xxhash64(t).alias("text_key"), fp(t).alias("fp"), *([word_fps(t).alias("word_fps")] if over_words else []))
+    return docs.select(row.alias("row"), F.xxhash64(t).alias("text_key"), fp(t).alias("fp"))
 
 
 def _ball_keys(fp: Column, table: Column) -> Column:
@@ -180,33 +172,73 @@ def links(fps: DataFrame) -> DataFrame:
     return found.select(F.shiftrightunsigned("key", 33).cast("int").alias("table"), "a", "b").distinct()
 
 
-def similar_links(marked: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """``a, b``: fingerprints of texts whose shingle sets are ``SIMILARITY`` alike. ``marked`` has ``text_key, fp, word_fps``.
+def _by_rarity(text: str, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The text's set of shingles, those in ``frequent`` (sorted) last and by their counts."""
+    found = np.unique(np.array(shingle_hashes(text, COPY_SHINGLE), dtype=np.uint64))
+    if not len(frequent) or not len(found):
+        return found
+    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+    return found[np.lexsort((found, np.where(frequent[at] == found, counts[at], 0)))]
 
-    Texts that share a fingerprint over words are compared with one of them, and that one with those of the linked
-    fingerprints: no pairs inside a group."""
 
+def _shingle_set(text: str) -> Column:
     @F.pandas_udf("array<long>")
     def shingle_set(t: pd.Series) -> pd.Series:
         return pd.Series([[_signed(h) for h in set(shingle_hashes(x, COPY_SHINGLE))] for x in t])
 
-    placed = marked.select("text_key", F.posexplode("word_fps").alias("table", "wfp")).distinct()
-    first = materialize(placed.groupBy("table", "wfp").agg(F.min("text_key").alias("one")), "word-fingerprints")
-    star = placed.join(first, ["table", "wfp"]).select(F.col("one").alias("x"), F.col("text_key").alias("y"))
-    near = links(first.select("table", F.col("wfp").alias("fp")))
-    one = lambda name, out: first.select("table", F.col("wfp").alias(name), F.col("one").alias(out))
-    across = near.join(one("a", "x"), ["table", "a"]).join(one("b", "y"), ["table", "b"]).select("x", "y")
-    pairs = materialize(star.unionByName(across).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x != y").distinct(), "candidates")
-    wanted = pairs.select(F.col("x").alias("k")).union(pairs.select("y")).distinct()
-    key = F.xxhash64(whole(docs[text]))
-    texts = docs.select(key.alias("k"), whole(docs[text]).alias("t")).join(wanted, "k", "left_semi")
-    sets = texts.groupBy("k").agg(F.first("t").alias("t")).select("k", shingle_set("t").alias("s"))
-    fp_of = marked.select(F.col("text_key").alias("k"), "fp").distinct()
-    sets = materialize(sets.join(fp_of, "k"), "shingle-sets")
+    return shingle_set(text)
+
+
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of the texts ``k, t``, sorted, and their counts."""
+    sample = texts.where(F.pmod("k", F.lit(SAMPLED)) == 0).dropDuplicates(["k"]).select(F.explode(_shingle_set("t")).alias("h"))
+    rows = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    hashes, counts = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], counts[order]
+
+
+def _met(texts: DataFrame) -> DataFrame:
+    """``key, k, n, i, c``: each of the ``c`` texts that have shingle ``key`` in their prefix, as number ``i`` of ``n``. Two
+    texts as alike as ``SIMILARITY`` share so many shingles that the first of these lies in both prefixes."""
+    held = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
+
+    @F.pandas_udf("struct<n:int,p:array<long>>")
+    def prefix(t: pd.Series) -> pd.DataFrame:
+        sets = [_by_rarity(x, *held.value) for x in t]
+        cut = [len(s) - ceil(SIMILARITY * len(s) - 1e-6) + 1 for s in sets]
+        return pd.DataFrame({"n": np.array([len(s) for s in sets], dtype=np.int32), "p": [s[:c].view(np.int64) for s, c in zip(sets, cut, strict=True)]})
+
+    one = texts.select("k", prefix("t").alias("x")).groupBy("k").agg(F.first("x").alias("x"))
+    rows = one.select("k", F.col("x.n").alias("n"), F.posexplode("x.p").alias("i", "key"))
+    return rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").select("key", "k", "n", "i", "c")
+
+
+def _pairs(left: DataFrame, right: DataFrame, *where: Column) -> DataFrame:
+    """``x, y``: texts under a common key that have room for enough common shingles from there on."""
+    a, b = left.alias("a"), right.alias("b")
+    total, room = F.col("a.n") + F.col("b.n"), F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    fits = (room * (1 + SIMILARITY) >= total * SIMILARITY - 1e-6) & (F.col("a.k") != F.col("b.k"))
+    met = a.join(b, [F.col("a.key") == F.col("b.key"), fits, *where])
+    return met.select(F.least("a.k", "b.k").alias("x"), F.greatest("a.k", "b.k").alias("y")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: the different fingerprints of the pairs ``x, y`` whose shingle sets are ``SIMILARITY`` alike."""
     side = lambda k, n: sets.select(F.col("k").alias(k), F.col("s").alias(f"s{n}"), F.col("fp").alias(n))
     both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").where("a != b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where((shared > 0) & (shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared))).select("a", "b").distinct()
+    return both.where((shared > 0) & (shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared) - 1e-6)).select("a", "b").distinct()
+
+
+def similar_links(marked: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """``a, b``: fingerprints of texts whose shingle sets are ``SIMILARITY`` alike. ``marked`` has ``text_key, fp``."""
+    texts = docs.select(F.xxhash64(whole(docs[text])).alias("k"), whole(docs[text]).alias("t"))
+    met = materialize(_met(texts), "met")
+    wanted = texts.join(met.select("k").distinct(), "k", "left_semi")
+    fp_of = marked.select(F.col("text_key").alias("k"), "fp").distinct()
+    sets = materialize(wanted.groupBy("k").agg(F.first("t").alias("t")).select("k", _shingle_set("t").alias("s")).join(fp_of, "k"), "shingle-sets")
+    return _alike(_pairs(met, met, F.col("a.k") < F.col("b.k")), sets)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -232,7 +264,7 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", copies: bool = False) -> DataFrame:
     """``row, fingerprint`` (16 hex digits) and ``component_id``, the smallest id of all documents reachable by links. With
     ``copies``, similar texts link too."""
-    marked = materialize(fingerprints(docs, shingle, text, copies), "fingerprints")
+    marked = materialize(fingerprints(docs, shingle, text), "fingerprints")
     per_fp = marked.groupBy("fp").agg(F.min(f"row.{key}").alias("least"))
     pairs = links(marked.select(F.lit(0).alias("table"), "fp")).select("a", "b")
     if copies:

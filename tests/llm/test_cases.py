@@ -333,3 +333,42 @@ def test_pipeline_stages(spark, docs, empty, items, tmp_path):
             assert out.columns == docs.columns if name != "mixing" else set(docs.columns) <= set(out.columns), name
             assert len(set(out.columns)) == len(out.columns)
             out.write.parquet(str(tmp_path / f"{name}-{df is docs}"))
+
+
+def edited(words, how, n):
+    """The words with ``n`` more at the end, with a passage of ``n`` others, or with ``n`` others here and there."""
+    if how == "appended":
+        return words + prose(n).split()
+    out, at = list(words), R.randrange(len(words) - n)
+    for i in range(at, at + n) if how == "replaced" else R.sample(range(len(words)), n):
+        out[i] = R.choice(VOCABULARY)
+    return out
+
+
+def copy_groups(texts):
+    """Of each text the least text of its group, by op7's fingerprints and the similarity of all pairs."""
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    prints, root = [brute.fingerprint(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def check_copies(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, copies=True).collect()}
+    assert [got[i] for i in range(len(texts))] == copy_groups(texts)
+    return len(set(got.values()))
+
+
+def test_similar_texts_by_edited_passages(spark):
+    texts = []
+    for how, share in (("appended", 0.2), ("appended", 0.1), ("replaced", 0.08), ("replaced", 0.1), ("substituted", 0.02)):
+        for n in (50, 100, 200, 400):
+            for _ in range(4):
+                words = prose(n).split()
+                texts += [" ".join(words), " ".join(edited(words, how, max(1, int(n * share))))]
+    assert check_copies(spark, texts) < 0.65 * len(texts)
