@@ -41,6 +41,8 @@ SEED = 42
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: The order of shingles, which no result depends on: one text in ``SAMPLED`` is counted, for the ``FREQUENT`` most frequent shingles.
 SAMPLED, FREQUENT = 8, 100_000
+#: Texts under a shingle of more than ``CROWD`` texts are first compared with one of them, ``ROUNDS`` times; then what no link joins.
+CROWD, ROUNDS = 64, 3
 
 
 def _majority(hashes: list[int]) -> int:
@@ -231,14 +233,33 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where((shared > 0) & (shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared) - 1e-6)).select("a", "b").distinct()
 
 
-def similar_links(marked: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """``a, b``: fingerprints of texts whose shingle sets are ``SIMILARITY`` alike. ``marked`` has ``text_key, fp``."""
+def similar_links(marked: DataFrame, docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
+    """``a, b``: links of fingerprints of texts whose shingle sets are ``SIMILARITY`` alike; with the links ``known`` they
+    connect whatever such texts connect. ``marked`` has ``text_key, fp``.
+
+    Only verified links join groups. Texts of one group aren't compared again, so a large group of copies is joined by
+    comparing each with a few; texts under a common shingle that stay in different groups are all compared."""
     texts = docs.select(F.xxhash64(whole(docs[text])).alias("k"), whole(docs[text]).alias("t"))
     met = materialize(_met(texts), "met")
     wanted = texts.join(met.select("k").distinct(), "k", "left_semi")
     fp_of = marked.select(F.col("text_key").alias("k"), "fp").distinct()
     sets = materialize(wanted.groupBy("k").agg(F.first("t").alias("t")).select("k", _shingle_set("t").alias("s")).join(fp_of, "k"), "shingle-sets")
-    return _alike(_pairs(met, met, F.col("a.k") < F.col("b.k")), sets)
+    few, crowded = met.where(F.col("c") <= CROWD), met.where(F.col("c") > CROWD)
+    found = materialize(_alike(_pairs(few, few, F.col("a.k") < F.col("b.k")), sets), "alike")
+    for turn in range(ROUNDS + 1) if not crowded.isEmpty() else ():
+        root = components(known.unionByName(found))
+        group = sets.select("k", "fp").join(root, F.col("fp") == F.col("node"), "left").select("k", F.coalesce("root", "fp").alias("g"))
+        placed = materialize(crowded.join(group, "k"), "crowded")
+        sizes = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.count(F.lit(1)).alias("groups"))
+        apart = materialize(placed.join(sizes.where("groups > 1"), "key"), "apart")
+        if apart.isEmpty():
+            break
+        if turn < ROUNDS:
+            one = apart.groupBy("key").agg(F.min_by(F.struct("k", "n", "i", "g"), F.xxhash64("k", F.lit(turn))).alias("one")).select("key", "one.*")
+        else:
+            one = apart.where("g != main")
+        found = found.unionByName(materialize(_alike(_pairs(one, apart, F.col("a.g") != F.col("b.g")), sets), "alike"))
+    return found
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -268,7 +289,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text",
     per_fp = marked.groupBy("fp").agg(F.min(f"row.{key}").alias("least"))
     pairs = links(marked.select(F.lit(0).alias("table"), "fp")).select("a", "b")
     if copies:
-        pairs = pairs.unionByName(similar_links(marked, docs, text))
+        pairs = materialize(pairs, "known")
+        pairs = pairs.unionByName(similar_links(marked, docs, pairs, text))
     found = components(pairs)
     rooted = per_fp.join(found, per_fp["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

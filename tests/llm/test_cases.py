@@ -372,3 +372,17 @@ def test_similar_texts_by_edited_passages(spark):
                 words = prose(n).split()
                 texts += [" ".join(words), " ".join(edited(words, how, max(1, int(n * share))))]
     assert check_copies(spark, texts) < 0.65 * len(texts)
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_similar_texts_among_texts_of_the_same_words(spark, crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd, raising=False)
+    bag, texts = prose(150).split(), []
+    for _ in range(6):
+        R.shuffle(bag)
+        texts += [" ".join(bag), " ".join([*bag, *bag[:8]])]
+    chain = prose(200).split()
+    for i in range(12):
+        texts.append(" ".join(chain))
+        chain = edited(chain, "replaced", 12)
+    assert check_copies(spark, texts) == 7
