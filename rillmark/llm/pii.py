@@ -3,8 +3,8 @@
 The field's nodes are a document's tokens with a digit or an ``@``; all other tokens are certain to be none. Neighbouring
 tokens share a chain potential. Tokens with the same core (their letters and digits), the same name before an ``@``, or the
 same last seven digits share a skip potential with the next such token, however far apart, so a number written once in full
-and later in part gets one label throughout. Loopy belief propagation passes messages along both kinds of edges, for all
-documents of a batch at once. Base spans hold their tokens' labels; other tokens that end up as personal data become
+and later in part gets one label throughout; where a base span holds one of them, each gets the evidence of its label directly.
+Loopy belief propagation passes messages along all edges, for all documents of a batch at once, until they settle. Base spans hold their tokens' labels; other tokens that end up as personal data become
 additional spans of the kinds ``email_like`` and so on.
 
 Potentials are fitted piecewise: each is the smoothed log ratio of counts over a sample of about ``SAMPLE`` documents, with
@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,9 @@ KINDS = (*BASE_KINDS, *(f"{k}_like" for k in BASE_KINDS))
 LABELS = ("none", *BASE_KINDS)
 #: About so many documents are counted to fit the potentials.
 SAMPLE = 20_000
-SWEEPS, DAMPING, SURE, HELD = 12, 0.3, 0.9, 8.0
+DAMPING, SURE, HELD = 0.3, 0.9, 8.0
+#: Messages of a document are passed on until none changes by more than ``SETTLED``, or as often as it has tokens (``SWEEPS`` if it has fewer).
+SWEEPS, SETTLED = 12, 1e-3
 FIELDS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -89,13 +91,15 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Graph:
-    """Nodes of one document: where they stand, their features, the label a base span gives them, and edges."""
+    """Nodes of one document: where they stand, their features, the label a base span gives them, and edges. ``held``: nodes
+    whose key a base span holds elsewhere, beyond the reach of one edge, and its label."""
 
     spans: list[tuple[int, int]]
     features: list[tuple[str, ...]]
     given: list[int]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    held: list[tuple[int, int]] = field(default_factory=list)
 
 
 def _features(token: str, before: str) -> tuple[str, ...]:
@@ -119,7 +123,8 @@ def _keys(token: str) -> set[str]:
 
 
 def build_graph(text: str, base: list[Span]) -> Graph:
-    g, before, last, seen = Graph([], [], [], [], []), "", -2, {}
+    g, before, last = Graph([], [], [], [], []), "", -2
+    seen: dict[str, list[int]] = {}
     at = 0  # base spans sorted by start
     for i, m in enumerate(_TOKEN.finditer(text)):
         token = m[0]
@@ -135,10 +140,20 @@ def build_graph(text: str, base: list[Span]) -> Graph:
                 g.chain.append((node - 1, node))
             for key in _keys(token):
                 if key in seen:
-                    g.skip.append((seen[key], node))
-                seen[key] = node
+                    g.skip.append((seen[key][-1], node))
+                seen.setdefault(key, []).append(node)
             last = i
         before = token
+    linked = {(a, b) for edge in g.skip for a, b in (edge, edge[::-1])}
+    held = set()
+    for nodes in seen.values():
+        near = next((v for v in nodes if g.given[v]), None)
+        for v in nodes if near is not None else ():
+            if g.given[v]:
+                near = v
+            elif (near, v) not in linked:
+                held.add((v, g.given[near]))
+    g.held = sorted(held)
     return g
 
 
@@ -157,15 +172,18 @@ class Crf:
         if not n:
             return [np.zeros((0, k)) for _ in graphs]
         local = np.tile(self.prior, (n, 1))
-        sources, sinks, tables = [], [], []
-        for g, o in zip(graphs, offset, strict=False):
+        sources, sinks, tables, owners = [], [], [], []
+        for number, (g, o) in enumerate(zip(graphs, offset, strict=False)):
             for i, (f, y) in enumerate(zip(g.features, g.given, strict=True)):
                 for x in f:
                     local[o + i] += self.unary.get(x, 0.0)
                 if y:
                     local[o + i, y] += HELD
+            for i, y in g.held:
+                local[o + i] += self.skip[y]
             for t, edges in ((0, g.chain), (1, g.skip)):
                 for a, b in edges:
+                    owners += [number, number]
                     sources += [o + a, o + b]
                     sinks += [o + b, o + a]
                     tables += [2 * t, 2 * t + 1]
@@ -174,15 +192,24 @@ class Crf:
             src, dst = np.array(sources), np.array(sinks)
             potential = np.stack([self.chain, self.chain.T, self.skip, self.skip.T])[np.array(tables)]
             message = np.zeros((len(src), k))
-            back = np.arange(len(src)) ^ 1  # the two directions of an edge are neighbours
-            for _ in range(SWEEPS):
-                total = local.copy()
-                np.add.at(total, dst, message)
-                cavity = total[src] - message[back]
-                joint = cavity[:, :, None] + potential
+            owner, most = np.array(owners), np.maximum(SWEEPS, sizes)
+            moving = np.arange(len(src))  # edges of documents whose messages still change; both directions are neighbours
+            total = local.copy()
+            for sweep in range(int(most.max())):
+                s, d, own = src[moving], dst[moving], message[moving]
+                nodes = np.unique(d)
+                total[nodes] = local[nodes]
+                np.add.at(total, d, own)
+                cavity = total[s] - own[np.arange(len(moving)) ^ 1]
+                joint = cavity[:, :, None] + potential[moving]
                 top = joint.max(1)
-                new = top + np.log(np.exp(joint - top[:, None, :]).sum(1))
-                message = DAMPING * message + (1 - DAMPING) * logs(new)
+                new = DAMPING * own + (1 - DAMPING) * logs(top + np.log(np.exp(joint - top[:, None, :]).sum(1)))
+                message[moving] = new
+                change = np.zeros(len(graphs))
+                np.maximum.at(change, owner[moving], np.abs(new - own).max(1))
+                moving = moving[((change > SETTLED) & (sweep + 1 < most))[owner[moving]]]
+                if not len(moving):
+                    break
             np.add.at(local, dst, message)
         p = np.exp(logs(local))
         return [p[offset[i] : offset[i + 1]] for i in range(len(graphs))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +387,16 @@ def test_similar_texts_among_texts_of_the_same_words(spark, crowd, monkeypatch):
         texts.append(" ".join(chain))
         chain = edited(chain, "replaced", 12)
     assert check_copies(spark, texts) == 7
+
+
+@pytest.mark.parametrize("repeats", [1, 13, 50])
+def test_pii_labels_reach_every_repeat(repeats):
+    k = len(pii.LABELS)
+    prior = np.log(np.array([0.8] + [0.2 / (k - 1)] * (k - 1)))
+    model = pii.Crf({}, prior, np.zeros((k, k)), 8.0 * np.eye(k) - 4.0)
+    full, part = "call +1 (974) 555-3436 today.", " again ref5553436 " + prose(3)
+    for text in (full + part * repeats, part * repeats + full):
+        base, spans = pii.find_spans([text], model)[0]
+        assert [text[a:b] for _, a, b in spans if (_, a, b) not in base] == ["ref5553436"] * repeats
+        assert pii.mask_text(text, spans).count("5553436") == 0
+    assert pii.find_spans([part * repeats], model)[0] == ([], [])
