@@ -43,6 +43,8 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 SAMPLED, FREQUENT = 8, 100_000
 #: Texts under a shingle of more than ``CROWD`` texts are first compared with one of them, ``ROUNDS`` times; then what no link joins.
 CROWD, ROUNDS = 64, 3
+#: Up to so many keys of candidate texts are broadcast, so that the other texts aren't shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def _majority(hashes: list[int]) -> int:
@@ -225,10 +227,15 @@ def _pairs(left: DataFrame, right: DataFrame, *where: Column) -> DataFrame:
     return met.select(F.least("a.k", "b.k").alias("x"), F.greatest("a.k", "b.k").alias("y")).distinct()
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: the different fingerprints of the pairs ``x, y`` whose shingle sets are ``SIMILARITY`` alike."""
-    side = lambda k, n: sets.select(F.col("k").alias(k), F.col("s").alias(f"s{n}"), F.col("fp").alias(n))
-    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").where("a != b")
+def _alike(pairs: DataFrame, texts: DataFrame, fp_of: DataFrame) -> DataFrame:
+    """``a, b``: the different fingerprints of the pairs ``x, y`` of ``texts`` whose shingle sets are ``SIMILARITY`` alike."""
+    fp = lambda k, n: fp_of.select(F.col("k").alias(k), F.col("fp").alias(n))
+    pairs = materialize(pairs.join(fp("x", "a"), "x").join(fp("y", "b"), "y").where("a != b"), "candidates")
+    wanted = materialize(pairs.select(F.col("x").alias("k")).union(pairs.select("y")).distinct(), "wanted")
+    found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "k", "left_semi")
+    sets = materialize(found.groupBy("k").agg(F.first("t").alias("t")).select("k", _shingle_set("t").alias("s")), "shingle-sets")
+    side = lambda k, s: sets.select(F.col("k").alias(k), F.col("s").alias(s))
+    both = pairs.join(side("x", "sa"), "x").join(side("y", "sb"), "y")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where((shared > 0) & (shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared) - 1e-6)).select("a", "b").distinct()
 
@@ -241,14 +248,12 @@ def similar_links(marked: DataFrame, docs: DataFrame, known: DataFrame, text: st
     comparing each with a few; texts under a common shingle that stay in different groups are all compared."""
     texts = docs.select(F.xxhash64(whole(docs[text])).alias("k"), whole(docs[text]).alias("t"))
     met = materialize(_met(texts), "met")
-    wanted = texts.join(met.select("k").distinct(), "k", "left_semi")
     fp_of = marked.select(F.col("text_key").alias("k"), "fp").distinct()
-    sets = materialize(wanted.groupBy("k").agg(F.first("t").alias("t")).select("k", _shingle_set("t").alias("s")).join(fp_of, "k"), "shingle-sets")
     few, crowded = met.where(F.col("c") <= CROWD), met.where(F.col("c") > CROWD)
-    found = materialize(_alike(_pairs(few, few, F.col("a.k") < F.col("b.k")), sets), "alike")
+    found = materialize(_alike(_pairs(few, few, F.col("a.k") < F.col("b.k")), texts, fp_of), "alike")
     for turn in range(ROUNDS + 1) if not crowded.isEmpty() else ():
         root = components(known.unionByName(found))
-        group = sets.select("k", "fp").join(root, F.col("fp") == F.col("node"), "left").select("k", F.coalesce("root", "fp").alias("g"))
+        group = fp_of.join(root, F.col("fp") == F.col("node"), "left").select("k", F.coalesce("root", "fp").alias("g"))
         placed = materialize(crowded.join(group, "k"), "crowded")
         sizes = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.count(F.lit(1)).alias("groups"))
         apart = materialize(placed.join(sizes.where("groups > 1"), "key"), "apart")
@@ -258,7 +263,7 @@ def similar_links(marked: DataFrame, docs: DataFrame, known: DataFrame, text: st
             one = apart.groupBy("key").agg(F.min_by(F.struct("k", "n", "i", "g"), F.xxhash64("k", F.lit(turn))).alias("one")).select("key", "one.*")
         else:
             one = apart.where("g != main")
-        found = found.unionByName(materialize(_alike(_pairs(one, apart, F.col("a.g") != F.col("b.g")), sets), "alike"))
+        found = found.unionByName(materialize(_alike(_pairs(one, apart, F.col("a.g") != F.col("b.g")), texts, fp_of), "alike"))
     return found
 
 
