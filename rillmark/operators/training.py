@@ -55,7 +55,8 @@ def random_split(log: DataFrame, share: float, keys: list[Column], seed: int = 4
 
 def stratified_negatives(positives: DataFrame, counts: DataFrame, seen: DataFrame, strata: int = 5, per_stratum: int = 1, slots: int = 20, seed: int = 42) -> DataFrame:
     """``user_id, item_id, stratum, negative``: for each positive and popularity stratum, the first of ``slots`` hash-drawn
-    items of the stratum that the user hasn't seen. Draws are index look-ups, so no user meets every item."""
+    items of the stratum that the user hasn't seen. Draws are index look-ups, so no user meets every item. Where all draws are
+    seen, it is the next unseen item after the first draw, from the stratum's start after its end."""
     numbered = dense_rank_index(counts.withColumn("__o", -F.col("n")), "__o", [F.col("item_id")], "pos")
     size = numbered.agg(F.count(F.lit(1)).alias("total"))
     placed = numbered.crossJoin(F.broadcast(size)).select("item_id", "pos", "total")
@@ -68,7 +69,18 @@ def stratified_negatives(positives: DataFrame, counts: DataFrame, seen: DataFram
     fresh = named.join(seen.select("user_id", F.col("item_id").alias("negative")).distinct(), ["user_id", "negative"], "left_anti")
     best = fresh.groupBy("user_id", "item_id", "stratum", "negative").agg(F.min("slot").alias("slot"))
     ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("user_id", "item_id", "stratum").orderBy("slot")))
-    return ranked.where(F.col("r") <= per_stratum).select("user_id", "item_id", "stratum", "negative")
+    chosen = ranked.where(F.col("r") <= per_stratum).select("user_id", "item_id", "stratum", "negative")
+    # runs of seen positions: all draws of what is left lie in such runs
+    left = drawn.where("slot = 0").distinct().join(chosen, ["user_id", "item_id", "stratum"], "left_anti").withColumns({"low": low.cast("bigint"), "high": high.cast("bigint")})
+    held = seen.select("user_id", "item_id").distinct().join(placed.select("item_id", "pos"), "item_id")
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("user_id").orderBy("pos"))
+    ends = held.select("user_id", "pos", run.alias("run")).withColumn("next", F.max("pos").over(Window.partitionBy("user_id", "run")) + 1)
+    after = left.join(ends.select("user_id", "pos", "next"), ["user_id", "pos"]).drop("pos")
+    start = ends.select("user_id", F.col("pos").alias("low"), F.col("next").alias("free"))
+    at = F.when(F.col("next") < F.col("high"), F.col("next")).otherwise(F.coalesce("free", "low"))
+    found = after.join(start, ["user_id", "low"], "left").withColumn("pos", at).where("pos < high")
+    rest = found.join(placed.select("pos", F.col("item_id").alias("negative")), "pos").select("user_id", "item_id", "stratum", "negative")
+    return chosen.unionByName(rest)
 
 
 def split_overlap(frames: dict[str, DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import expr
 from rillmark.functions.prefix import dense_rank_index, prefix_sum
-from rillmark.operators import events, joins, metrics, profile, retrieval, scorers, sequences, vectors, vocab
+from rillmark.operators import events, joins, metrics, profile, retrieval, scorers, sequences, training, vectors, vocab
 from rillmark.sources import io
 
 T0 = datetime(2024, 1, 1)
@@ -216,3 +216,12 @@ def test_no_history_scores_minus_infinity(spark):
     h = spark.createDataFrame([], "user_id long, history array<long>")
     assert scorers.score_content_knn(rows, h, v).first()["score"] == float("-inf")
     assert scorers.score_content_knn_blocked(rows, h, v).first()["score"] == float("-inf")
+
+
+def test_every_stratum_with_an_unseen_item_gives_a_negative(spark):
+    counts = spark.range(500).select(F.col("id").alias("item_id"), (1000 - F.col("id")).alias("n"))
+    unseen = {7, 199, 200, 350}
+    seen = spark.createDataFrame([(1, i) for i in range(500) if i not in unseen], "user_id long, item_id long")
+    got = training.stratified_negatives(seen.limit(40), counts, seen).collect()
+    assert len(got) == len({(r["item_id"], r["stratum"]) for r in got}) == 40 * 4
+    assert all(r["negative"] in unseen and r["negative"] // 100 == r["stratum"] for r in got)
