@@ -23,8 +23,39 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/rillmark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: later steps neither recompute it nor depend on lost executors."""
-    path = new_folder(df.sparkSession, name)
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back: later steps neither recompute it nor depend on lost executors."""
+    return _write(df, new_folder(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables of one computation, deleted at its end: ``with Scratch(spark, name) as s: a = s.keep(df, "a")``. What is to
+    outlive the block is written with ``materialize`` inside it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, new_folder(spark, name), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}-{name}"
+        kept = _write(df, path)
+        self.paths[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a kept table before the end of the block; nothing may read it afterwards."""
+        self._delete(self.paths[id(df)][1])
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
