@@ -3,13 +3,16 @@
 A turn is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. The rendered text is read back by a deterministic parser; where
 what it recovers differs from the source, the conflicting parts are escaped by one backslash inside ``<|`` and the turn is
 rendered again, until both are identical. The parser takes one backslash out of every ``<\\|``, ``<\\\\|`` and so on, so
-escaping can be undone whatever the text holds. Assistant texts are under the loss mask.
+escaping can be undone whatever the text holds. A role is one line: the parser reads ``\\n`` in it as a line end and ``\\\\`` as one
+backslash. Assistant texts are under the loss mask.
 
 Turns are rendered one by one wherever they are. Only digests need a conversation in order: rows are sorted by conversation
 and turn and read as a stream with a constant state, so a conversation of any length fits in memory.
 
-Defined cases: a null text or role is empty; a null conversation id is a conversation of its own; turns with equal or null
-numbers are ordered by role, then text, nulls first; an empty table gives an empty result; other columns are passed over.
+Defined cases: a null text or role is empty; a null conversation id is a conversation of its own; turns without a number come
+first, and turns with equal numbers are ordered by role, then by text as it was before escaping; repeated rows are turns of
+their own; texts of any length are written whole; an empty table gives an empty result; other columns, whatever their names,
+are passed over.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 _PLAIN = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
+_ROLE_ESCAPES = re.compile(r"\\([n\\])")
 
 
 def escape(text: str) -> str:
@@ -35,6 +39,14 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return _ROLE_ESCAPES.sub(lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
+
+
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """Turns of a formatted text: role, text, and where the text as written starts and ends. Raises ValueError if the
     text isn't a sequence of whole turns."""
@@ -46,15 +58,14 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
         begin = at + len(START)
         if START in formatted[begin:end]:
             raise ValueError(f"a turn starts inside the turn at {at}")
-        turns.append((unescape(formatted[begin:line]), unescape(formatted[line + 1 : end]), line + 1, end))
+        turns.append((unescape_role(formatted[begin:line]), unescape(formatted[line + 1 : end]), line + 1, end))
         at = end + len(END) + 1
     return turns
 
 
 def render(role: str, text: str) -> str:
-    """One turn as text that parses back to it. Line ends can't be part of a role: they become spaces."""
-    role = role.replace("\n", " ")
-    written = (role, text)
+    """One turn as text that parses back to it."""
+    written = [role, text]
     for _ in range(3):
         out = f"{START}{written[0]}\n{written[1]}{END}\n"
         try:
@@ -63,21 +74,20 @@ def render(role: str, text: str) -> str:
             back = []
         if len(back) == 1 and back[0][:2] == (role, text):
             return out
-        written = tuple(w if _agrees(w, s) else escape(s) for w, s in zip(written, (role, text), strict=True))
+        if "\n" in written[0] or START in written[0] or END in written[0] or unescape_role(written[0]) != role:
+            written[0] = escape_role(written[0])
+        if START in written[1] or END in written[1] or unescape(written[1]) != text:
+            written[1] = escape(written[1])
     raise ValueError("a turn can't be rendered")
 
 
-def _agrees(written: str, source: str) -> bool:
-    return START not in written and END not in written and unescape(written) == source
-
-
 def _render_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yield b.assign(formatted=[render(r, t) for r, t in zip(b["role"], b["text"], strict=True)]).drop(columns="text")
 
 
 def render_turns(conversations: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, formatted, tie``: each turn as rendered; a conversation's text is these in order."""
+    """``conv_id, turn, role, formatted``: each turn as rendered; a conversation's text is these in order."""
     c = conversations
     plain = c.select(
         c["conv_id"].cast("long").alias("conv_id"),
@@ -129,9 +139,16 @@ def _digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame([state.row(now)])
 
 
+def _source_text(formatted: Column) -> Column:
+    """The turn's text as it was before escaping, by which turns of one number and role are ordered."""
+    begin = F.instr(formatted, "\n") + 1
+    written = F.substring(formatted, begin, F.char_length(formatted) - (begin - 1) - (len(END) + 1))
+    return F.regexp_replace(written, r"<\\(\\*)\|", "<$1|")
+
+
 def digests(rendered: DataFrame) -> DataFrame:
     """What reads back from the rendered turns, one row a conversation."""
-    ordered = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    ordered = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", _source_text(F.col("formatted")))
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return ordered.select("conv_id", "formatted").mapInPandas(_digest_batches, schema)
 
@@ -139,16 +156,16 @@ def digests(rendered: DataFrame) -> DataFrame:
 def conversation_texts(rendered: DataFrame) -> DataFrame:
     """``conv_id, text, loss_spans``: whole conversations for training, and where the loss mask lies in them. For
     conversations of a size that fits in a row; use ``render_turns`` itself for longer ones."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "formatted")))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", _source_text(F.col("formatted")).alias("source"), "formatted")))
     built = rendered.groupBy("conv_id").agg(turns.alias("t"))
     lengths = F.transform("t", lambda x: F.char_length(x["formatted"]))
     start = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n)
-    head, tail = F.lit(len(START) + 1), F.lit(len(END) + 1)
+    tail = F.lit(len(END) + 1)
     spans = F.transform(
         "t",
         lambda x, i: F.when(
             x["role"] == "assistant",
-            F.struct((start(i) + head + F.char_length(x["role"])).alias("start"), (start(i + 1) - tail).alias("end")),
+            F.struct((start(i) + F.instr(x["formatted"], "\n")).alias("start"), (start(i + 1) - tail).alias("end")),
         ),
     )
     return built.select("conv_id", F.array_join(F.transform("t", lambda x: x["formatted"]), "").alias("text"), F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"))
