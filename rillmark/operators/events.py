@@ -3,8 +3,13 @@ work on streaming frames too."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REQUIRED = ("user_id", "item_id", "event_type")
 # Names of fields whose values are masked.
@@ -50,23 +55,28 @@ def default_event_id() -> Column:
     return F.coalesce(F.col("event_id").cast("string"), made)
 
 
+def _first_in_ttl(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key and time: whether each is the first, or the first ``ttl`` after the last accepted one, of its key."""
+    key, last = None, 0
+    for b in batches:
+        ok = []
+        for k, t in zip(b["__key"].tolist(), b["__t"].tolist(), strict=True):
+            fresh = k != key or t - last >= ttl
+            if fresh:
+                key, last = k, t
+            ok.append(fresh)
+        yield b.drop(columns=["__key", "__t"]).assign(accepted=ok)
+
+
 def dedup(events: DataFrame, ttl_seconds: int, key: str = "event_id") -> DataFrame:
     """Adds ``accepted``: the first event of an id, and again the first one ``ttl_seconds`` or more after the last accepted.
+    Rows of one id are sorted and read as a stream with a constant state, so an id of any number of rows fits in memory.
     Events without an id are all accepted; they stay out of the grouping, so they can't become one hot group."""
-    ttl = ttl_seconds * 1_000_000
     named, unnamed = events.where(F.col(key).isNotNull()), events.where(F.col(key).isNull())
-    times = named.groupBy(key).agg(F.array_sort(F.collect_set(F.unix_micros("ts"))).alias("t"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ok"))
-    folded = F.aggregate(
-        "t", start,
-        lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= ttl), F.struct(t.alias("last"), F.concat(a["ok"], F.array(t)).alias("ok"))).otherwise(a),
-    )
-    ok = times.select(F.col(key).alias("__k"), F.explode(folded["ok"]).alias("__t"))
-    order = Window.partitionBy(key, "ts").orderBy("arrival")
-    ranked = named.withColumn("__first", F.row_number().over(order) == 1)
-    judged = ranked.join(ok, (F.col(key) == F.col("__k")) & (F.unix_micros("ts") == F.col("__t")), "left")
-    judged = judged.withColumn("accepted", F.col("__k").isNotNull() & F.col("__first")).drop("__k", "__t", "__first")
-    return judged.unionByName(unnamed.withColumn("accepted", F.lit(True)))
+    keyed = named.select("*", F.col(key).cast("string").alias("__key"), F.unix_micros("ts").alias("__t"))
+    ordered = keyed.repartition("__key").sortWithinPartitions("__key", "__t", "arrival")
+    schema = T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())])
+    return ordered.mapInPandas(partial(_first_in_ttl, ttl=ttl_seconds * 1_000_000), schema).unionByName(unnamed.withColumn("accepted", F.lit(True)))
 
 
 def ingest_counts(judged: DataFrame) -> DataFrame:
@@ -95,21 +105,34 @@ def late_events(events: DataFrame, delay_seconds: int, arrival: str, by: str) ->
     return marked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") < 0).alias("n_out_of_order"), F.count_if(F.col("d") < -delay_seconds * 1_000_000).alias("n_late"))
 
 
+def _bucket(batches: Iterator[pd.DataFrame], burst: float, per_second: float) -> Iterator[pd.DataFrame]:
+    """Rows sorted by user and time: each user's requests against the bucket; one row a user comes out."""
+    columns = ["user_id", "n_requests", "n_admitted", "longest_wait"]
+    user, at, tokens, n, ok, wait = None, None, 0.0, 0, 0, 0.0
+    for b in batches:
+        ended = []
+        for u, t in zip(b["user_id"].tolist(), b["__t"].tolist(), strict=True):
+            if n == 0 or u != user:
+                if n:
+                    ended.append((user, n, ok, wait))
+                user, at, tokens, n, ok, wait = u, t, burst, 0, 0, 0.0
+            tokens, at, n = min(burst, tokens + max(0, t - at) / 1e6 * per_second), t, n + 1
+            if tokens >= 1:
+                tokens, ok = tokens - 1, ok + 1
+            else:
+                wait = max(wait, (1 - tokens) / per_second)
+        yield pd.DataFrame(ended, columns=columns)
+    if n:
+        yield pd.DataFrame([(user, n, ok, wait)], columns=columns)
+
+
 def token_bucket(requests: DataFrame, burst: float, per_second: float) -> DataFrame:
     """``user_id, n_requests, n_admitted, longest_wait``: each user's requests, in order, against a bucket of ``burst`` tokens
-    that fills by ``per_second``. The fold keeps a constant state."""
-    listed = requests.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id"))).alias("r"))
-    start = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(float(burst)).alias("tokens"), F.lit(0).cast("bigint").alias("ok"), F.lit(0.0).alias("wait"))
-
-    def step(a: Column, x: Column) -> Column:
-        elapsed = F.greatest(F.lit(0), F.coalesce(x["t"] - a["t"], F.lit(0))) / 1e6
-        now = F.least(F.lit(float(burst)), a["tokens"] + elapsed * per_second)
-        admitted = now >= 1
-        wait = F.when(admitted, a["wait"]).otherwise(F.greatest(a["wait"], (1 - now) / per_second))
-        return F.struct(x["t"].alias("t"), F.when(admitted, now - 1).otherwise(now).alias("tokens"), F.when(admitted, a["ok"] + 1).otherwise(a["ok"]).cast("bigint").alias("ok"), wait.alias("wait"))
-
-    folded = listed.select("user_id", F.size("r").cast("bigint").alias("n_requests"), F.aggregate("r", start, step).alias("s"))
-    return folded.select("user_id", "n_requests", F.col("s.ok").alias("n_admitted"), F.col("s.wait").alias("longest_wait"))
+    that fills by ``per_second``. A user's rows are sorted and read as a stream with a constant state: whatever share of all
+    requests they hold, no task keeps them."""
+    ordered = requests.select("user_id", F.unix_micros("ts").alias("__t"), "event_id").repartition("user_id").sortWithinPartitions("user_id", "__t", "event_id")
+    work = partial(_bucket, burst=float(burst), per_second=float(per_second))
+    return ordered.select("user_id", "__t").mapInPandas(work, "user_id long, n_requests long, n_admitted long, longest_wait double")
 
 
 def publish_order(log: DataFrame, key: str, sequence: str, position: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from rillmark.operators import events as E
@@ -17,14 +18,17 @@ def put(spark, folder, rows, name):
     spark.createDataFrame([(u, i, e, T0 + timedelta(seconds=t)) for u, i, e, t in rows], SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def run(spark, source, build, out, checkpoint):
-    stream = build(spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(source))
-    mode = "update" if "session" in stream.columns else "append"
+def run(spark, source, build, out, checkpoint, mode="append", schema=SCHEMA, states=None):
+    stream = build(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source))
+    mode = "update" if "session" in stream.columns else mode
 
     def each(batch, _):
         batch.write.mode("append").parquet(out)
 
-    stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if states is not None:
+        states.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
     return spark.read.parquet(out)
 
 
@@ -52,6 +56,54 @@ def test_sessions_keep_state_over_batches(spark, tmp_path):
     assert last == {7: [102, 101, 100], 8: [6]}
 
 
+@pytest.mark.parametrize("build", [ingest.dedup_stream, ingest.session_stream])
+def test_old_keys_leave_the_state_after_a_restart(spark, tmp_path, build):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    states: list = []
+    put(spark, src, [(u, u, f"e{u}", u) for u in range(50)], "1")
+    run(spark, src, build, out, check, states=states)
+    put(spark, src, [(99, 1, "late", 20_000)], "2")
+    run(spark, src, build, out, check, states=states)
+    put(spark, src, [(99, 2, "later", 20_001)], "3")
+    run(spark, src, build, out, check, states=states)
+    assert states[0] >= 50 and states[-1] < 10
+
+
+def test_sessions_end_at_a_pause_and_keep_the_newest(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    put(spark, src, [(1, i, f"a{i}", i) for i in range(65)] + [(2, 5, "x", 0), (2, 6, "y", 4000), (2, 7, "z", 4001)], "1")
+    got = {r["user_id"]: r["session"] for r in run(spark, src, ingest.session_stream, out, check).collect()}
+    assert got == {1: list(range(64, 14, -1)), 2: [7, 6]}
+
+
+def test_windows_of_a_stream_equal_the_batch_twin(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "event_type string, value double, ts timestamp, user_id long"
+    make = lambda rows: spark.createDataFrame([("v", float(n), T0 + timedelta(minutes=m), n % 3) for n, m in enumerate(rows)], schema)
+    make(range(0, 600, 7)).coalesce(1).write.parquet(f"{src}/1")
+    run(spark, src, lambda s: ingest.window_stream(s, "1 hour"), out, check, schema=schema)
+    make([900, 5]).coalesce(1).write.parquet(f"{src}/2")  # the second is behind the watermark: its window has been given out
+    got = run(spark, src, lambda s: ingest.window_stream(s, "1 hour"), out, check, schema=schema)
+    twin = E.windows(spark.read.schema(schema).parquet(f"{src}/1"), "1 hour")
+    key = lambda r: (r["start"], r["event_type"], r["n"], r["total"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, twin.collect()))
+    out2, check2 = str(tmp_path / "out2"), str(tmp_path / "check2")
+    sessions = run(spark, src, lambda s: ingest.session_window_stream(s, "2 hours"), out2, check2, schema=schema)
+    assert sum(r["n"] for r in sessions.collect()) >= len(range(0, 600, 7))
+
+
+def test_late_events_of_a_stream_equal_the_batch_twin(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "source string, ts timestamp, arrival long"
+    rows = [("ab"[n % 2], T0 + timedelta(seconds=(n * 7919) % 5000), n) for n in range(400)]
+    for i in range(2):
+        spark.createDataFrame(rows[i * 200 : i * 200 + 200], schema).coalesce(1).write.parquet(f"{src}/{i}")
+        got = run(spark, src, lambda s: ingest.late_stream(s, 600), out, check, "update", schema)
+    last = {r["source"]: (r["n"], r["o"], r["l"]) for r in got.groupBy("source").agg(F.max("n").alias("n"), F.max("n_out_of_order").alias("o"), F.max("n_late").alias("l")).collect()}
+    twin = E.late_events(spark.createDataFrame(rows, schema), 600, "arrival", "source")
+    assert last == {r["source"]: (r["n"], r["n_out_of_order"], r["n_late"]) for r in twin.collect()}
+
+
 def test_poison_goes_to_dead_letters(spark, tmp_path):
     lines = ['{"user_id":777,"item_id":555,"event_type":"click","event_id":"e-1"}', '{"user_id":777,"item_id":9,"event_type":"click"}']
     rows = [(x.encode(),) for x in lines] + [(b"\xff\xfe not json",)]
