@@ -1,19 +1,26 @@
 """Personal data: exact base patterns, and a skip-chain conditional random field that adds what they miss.
 
-The field's nodes are a document's tokens with a digit or an ``@``; all other tokens are certain to be none. Neighbouring
-tokens share a chain potential. Tokens with the same core (their letters and digits), the same name before an ``@``, or the
-same last seven digits share a skip potential with the next such token, however far apart, so a number written once in full
-and later in part gets one label throughout; where a base span holds one of them, each gets the evidence of its label directly.
-Loopy belief propagation passes messages along all edges, for all documents of a batch at once, until they settle. Base spans hold their tokens' labels; other tokens that end up as personal data become
-additional spans of the kinds ``email_like`` and so on.
-
-Potentials are fitted piecewise: each is the smoothed log ratio of counts over a sample of about ``SAMPLE`` documents, with
-the base spans as labels. Defined cases: a null text is empty; repeated rows get equal spans; an empty table, or one without
-any base span, gives a model that adds nothing; texts of any length are read whole, in time proportional to their length.
+The field's nodes are a document's tokens with a digit, an ``@`` or a written-out one; all other tokens are certain to be none.
+Neighbouring tokens share a chain potential. Tokens with the same core (their letters and digits), the same name before an
+``@``, or the same last seven digits share a skip potential with the next such token, however far apart, so a number written
+once in full and later in part gets one label throughout; where a base span holds one of them, each gets the evidence of its
+label directly. Loopy belief propagation passes messages along all edges, for all documents of a batch at once, until they
+settle. Base spans hold their tokens' labels; other tokens that end up as personal data become additional spans of the kinds
+``email_like`` and so on, if they have the least form of their kind.
+
+The field is fitted on what the patterns can't read. In a sample of at most ``SAMPLE`` texts, half of the base spans are
+rewritten in other forms (local numbers, other marks between digits, ``[at]``), and some are repeated later in part; the labels
+are known, since they come from before the rewriting, and the patterns give none of them. Local weights are those of a
+regularised softmax over the counted features, chain and skip potentials log ratios of counted pairs.
+
+Defined cases: a null text is empty; repeated rows get equal spans; spans of one start are ordered by kind; an empty table, or
+one without any base span, gives a model that adds nothing; texts of any length are read whole, in time proportional to their
+length; other columns, whatever their names, are passed along in ``row`` or kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +37,11 @@ from rillmark.llm.text import whole
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, *(f"{k}_like" for k in BASE_KINDS))
 LABELS = ("none", *BASE_KINDS)
-#: About so many documents are counted to fit the potentials.
+#: At most so many different texts are counted to fit the potentials.
 SAMPLE = 20_000
 DAMPING, SURE, HELD = 0.3, 0.9, 8.0
+#: Strength of the softmax's penalty, in counts, and its steps.
+PENALTY, STEPS = 0.5, 300
 #: Messages of a document are passed on until none changes by more than ``SETTLED``, or as often as it has tokens (``SWEEPS`` if it has fewer).
 SWEEPS, SETTLED = 12, 1e-3
 FIELDS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -43,7 +52,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NODE = re.compile(r"[0-9@]")
+_AT = re.compile(r"[\[(]at[\])]", re.IGNORECASE)
+_NODE = re.compile(r"[0-9@]|[\[(][Aa][Tt][\])]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _CORE = re.compile(r"[^\W_]+")
 _TRIM = re.compile(r"^[^\w+(@]+|[^\w)]+$")
@@ -103,12 +113,16 @@ class Graph:
 
 
 def _features(token: str, before: str) -> tuple[str, ...]:
-    digits = len(_DIGIT.findall(token))
+    runs = re.findall("[0-9]+", token)
+    digits = sum(map(len, runs))
     bucket = next((str(b) for b in (0, 1, 3, 6, 8, 11, 19) if digits <= b), "many")
     cue = _CUE.get(before.strip(".,:;()[]").lower(), "none")
     letters = "letters" if any(c.isalpha() for c in token) else "no letters"
-    marks = "".join(c for c in "@+(-." if c in token)
-    return (f"digits {bucket}", f"marks {marks}", letters, f"cue {cue}", f"luhn {12 <= digits <= 19 and _luhn(''.join(_DIGIT.findall(token)))}")
+    marks = "".join(c for c in "@+(-./_:," if c in token[:-1]) + ("at" if _AT.search(token) else "")
+    lengths = "-".join(str(min(len(r), 9)) for r in runs[:4]) + ("+" if len(runs) > 4 else "")
+    octets = len(runs) == 4 and all(len(r) <= 3 and int(r) <= 255 for r in runs)
+    luhn = 12 <= digits <= 19 and _luhn("".join(runs))
+    return (f"digits {bucket}", f"marks {marks}", letters, f"cue {cue}", f"runs {lengths}, {letters}", f"luhn {luhn}, digits {bucket}", f"octets {octets}")
 
 
 def _keys(token: str) -> set[str]:
@@ -125,14 +139,15 @@ def _keys(token: str) -> set[str]:
 def build_graph(text: str, base: list[Span]) -> Graph:
     g, before, last = Graph([], [], [], [], []), "", -2
     seen: dict[str, list[int]] = {}
-    at = 0  # base spans sorted by start
+    at, active = 0, []  # base spans sorted by start, and those that reach into the present token
     for i, m in enumerate(_TOKEN.finditer(text)):
         token = m[0]
         if _NODE.search(token):
             node = len(g.spans)
-            while at < len(base) and base[at][2] <= m.start() and all(b[2] <= m.start() for b in base[at : at + 4]):
+            while at < len(base) and base[at][1] < m.end():
+                active.append(base[at])
                 at += 1
-            over = [b for b in base[at : at + 8] if b[1] < m.end() and b[2] > m.start()]
+            active = over = [b for b in active if b[2] > m.start()]
             g.spans.append((m.start(), m.end()))
             g.features.append(_features(token, before))
             g.given.append(LABELS.index(over[0][0]) if over else 0)
@@ -215,51 +230,118 @@ class Crf:
         return [p[offset[i] : offset[i + 1]] for i in range(len(graphs))]
 
 
+def _other_form(kind: str, written: str, pick: int) -> str:
+    """The same data in a form that the base patterns don't read."""
+    runs = re.findall("[0-9]+", written)
+    if kind == "email":
+        return written.replace("@", ("[at]", "(at)", "[AT]")[pick % 3])
+    if kind == "ip":
+        return ("-", ",", "_")[pick % 3].join(runs)
+    if kind == "card":
+        digits = "".join(runs)
+        return (".", "/", "_")[pick % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    local = "".join(runs[1:]) if len(runs) > 1 else runs[0]
+    return (f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}")[pick % 3]
+
+
+def rewritten(text: str, base: list[Span]) -> tuple[str, list[Span]]:
+    """The text with half of its base spans in other forms and some of them repeated in part at its end, and the spans that
+    the base patterns no longer find, with their kinds. Choices are hashes of the text and the place."""
+    out, truth, at, more = [], [], 0, []
+    seed = hashlib.md5(text.encode()).digest()
+    for n, (kind, a, z) in enumerate(base):
+        if a < at:
+            continue
+        draw = seed[n % 16] + 7 * (n // 16)
+        new = _other_form(kind, text[a:z], draw // 4) if draw % 2 else text[a:z]
+        out.append(text[at:a])
+        if draw % 2:
+            start = sum(map(len, out))
+            truth.append((kind, start, start + len(new)))
+        elif draw % 4 == 0 and kind in ("card", "phone"):
+            more.append((kind, "".join(re.findall("[0-9]", new))[-7:]))
+        out.append(new)
+        at = z
+    out.append(text[at:])
+    for kind, part in more:
+        out.append(" ")
+        start = sum(map(len, out))
+        truth.append((kind, start, start + len(part)))
+        out.append(part)
+    whole_text = "".join(out)
+    found = base_spans(whole_text)
+    return whole_text, [s for s in truth if not any(b[1] < s[2] and b[2] > s[1] for b in found)]
+
+
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         counts: Counter = Counter()
         for text in b["text"]:
-            g = build_graph(text, base_spans(text)) if _NODE.search(text) else None
-            if g:
-                for f, y in zip(g.features, g.given, strict=True):
-                    counts[("label", "", y, 0)] += 1
-                    for x in f:
-                        counts[("feature", x, y, 0)] += 1
-                for kind, edges in (("chain", g.chain), ("skip", g.skip)):
-                    for a, c in edges:
-                        counts[(kind, "", g.given[a], g.given[c])] += 1
+            if not _NODE.search(text):
+                continue
+            new, truth = rewritten(text, base_spans(text))
+            g = build_graph(new, base_spans(new))
+            label = list(g.given)
+            for i, (a, z) in enumerate(g.spans):
+                label[i] = label[i] or next((LABELS.index(k) for k, s, e in truth if s < z and e > a), 0)
+            for f, y in zip(g.features, label, strict=True):
+                counts[("node", "|".join(f), y, 0)] += 1
+            for kind, edges in (("chain", g.chain), ("skip", g.skip)):
+                for a, c in edges:
+                    counts[(kind, "", label[a], label[c])] += 1
         yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "name", "y", "z", "n"])
 
 
+def _softmax(rows: list[tuple[tuple[str, ...], int, int]]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Weights of features and labels that fit the counted ``features, label, n`` best, with a quadratic penalty."""
+    names = sorted({f for fs, _, _ in rows for f in fs})
+    at = {f: i for i, f in enumerate(names)}
+    index = np.array([[*(at[f] for f in fs), len(names)] for fs, _, _ in rows])
+    y, n = np.eye(len(LABELS))[[r[1] for r in rows]], np.array([r[2] for r in rows], dtype=float)[:, None]
+    w, m, v = np.zeros((len(names) + 1, len(LABELS))), 0.0, 0.0
+    for step in range(1, STEPS + 1):
+        z = w[index].sum(1)
+        p = np.exp(z - z.max(1, keepdims=True))
+        off = np.repeat(n * (p / p.sum(1, keepdims=True) - y), index.shape[1], axis=0)
+        grad = np.stack([np.bincount(index.ravel(), off[:, c], len(w)) for c in range(len(LABELS))], 1)
+        grad = (grad + PENALTY * w) / n.sum()
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    return {f: w[i] for f, i in at.items()}, w[-1]
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42, text: str = "text") -> Crf:
-    """Counts what the base spans label in a sample drawn by the text's hash. The counts are a few hundred at most: of
-    features, whose values are listed above, and of pairs of labels."""
-    n = docs.count()
-    part = min(1.0, sample / max(n, 1))
-    t = whole(docs[text])
-    chosen = docs.select(t.alias("text")).where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    """Fits on at most ``sample`` different texts, those with the least hashes. The counts are bounded as the features are, by
+    the kinds of tokens that so many texts hold; they are collected already summed."""
+    hashed = docs.select(F.xxhash64(whole(docs[text]), F.lit(seed)).alias("k"))
+    share = min(1.0, 2 * sample / max(docs.count(), 1))  # a coarse cut before the exact one keeps the final sort small
+    ks = hashed.where(F.pmod("k", F.lit(1 << 30)) < int(share * (1 << 30))).distinct().orderBy(F.pmod("k", F.lit(1 << 30)), "k").limit(sample)
+    texts = docs.select(F.xxhash64(whole(docs[text]), F.lit(seed)).alias("k"), whole(docs[text]).alias("text"))
+    chosen = texts.join(F.broadcast(ks), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text")).select("text")
     counted = chosen.mapInPandas(_count_batches, "what string, name string, y int, z int, n long")
     rows = counted.groupBy("what", "name", "y", "z").agg(F.sum("n").alias("n")).collect()
     k = len(LABELS)
-    labels, unary = np.ones(k), {}
     tables = {"chain": np.full((k, k), 0.5), "skip": np.full((k, k), 0.5)}
+    nodes = []
     for r in rows:
-        if r["what"] == "label":
-            labels[r["y"]] += r["n"]
-        elif r["what"] == "feature":
-            unary.setdefault(r["name"], np.full(k, 0.5))[r["y"]] += r["n"]
+        if r["what"] == "node":
+            nodes.append((tuple(r["name"].split("|")), r["y"], r["n"]))
         else:
             tables[r["what"]][r["y"], r["z"]] += r["n"]
+    if not any(y for _, y, _ in nodes):
+        return Crf({}, np.array([0.0] + [-20.0] * (k - 1)), np.zeros((k, k)), np.zeros((k, k)))
 
     def ratio(c: np.ndarray) -> np.ndarray:
         return np.log(c * c.sum() / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True)))
 
-    return Crf(
-        {f: np.log(c / labels) for f, c in unary.items()},
-        np.log(labels / labels.sum()),
-        ratio(tables["chain"]),
-        ratio(tables["skip"] + tables["skip"].T),
-    )
+    unary, prior = _softmax(sorted(nodes))
+    return Crf(unary, prior, ratio(tables["chain"]), ratio(tables["skip"] + tables["skip"].T))
+
+
+def _has_form(kind: str, text: str) -> bool:
+    """Whether a found span has at least what any of its kind has."""
+    digits, runs = len(_DIGIT.findall(text)), len(re.findall("[0-9]+", text))
+    return {"email": "@" in text or bool(_AT.search(text)), "ip": runs >= 4, "card": digits >= 7, "phone": 7 <= digits <= 15}[kind]
 
 
 def added_spans(text: str, g: Graph, belief: np.ndarray, base: list[Span]) -> list[Span]:
@@ -279,7 +361,7 @@ def added_spans(text: str, g: Graph, belief: np.ndarray, base: list[Span]) -> li
         a += lead.end() if lead and lead.start() == 0 and lead.end() < z - a else 0
         tail = re.search(r"[^\w)]+$", text[a:z])
         z -= len(tail[0]) if tail else 0
-        if a < z and not any(b[1] < z and b[2] > a for b in base):
+        if a < z and _has_form(LABELS[y], text[a:z]) and not any(b[1] < z and b[2] > a for b in base):
             out.append((f"{LABELS[y]}_like", a, z))
     return out
 
