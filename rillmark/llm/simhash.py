@@ -10,9 +10,8 @@ forest of its links comes out, fewer rows than the run has. Runs longer than ``B
 blocks is a piece of work of its own, so no task holds a hot key. Components are then found by alternating stars, each
 round written to the shared folder.
 
-Deduplication also wants texts whose sets of five-word shingles are 80 % alike, whose fingerprints over shingles often differ
-in more bits. ``similar_links`` finds all of them by a prefix-filtered join: shingles have one order, frequent ones last, and two
-sets that alike share one of their first fifth (and one) of shingles. Each candidate's similarity is then computed exactly.
+Deduplication also links texts whose sets of five-word shingles are 80 % alike, whose fingerprints often differ in more bits:
+``similar`` finds all of them, verified exactly.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; equal texts, repeated rows and null
 ids are all kept, each row getting its component's smallest non-null id; an empty table gives an empty result; texts are
@@ -22,28 +21,23 @@ read whole; other columns are carried in ``row``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.llm.graph import components, join_lookup
+from rillmark.llm.similar import one_a_text, prefixed, similar_links, split_words
 from rillmark.llm.text import whole
-from rillmark.scratch import materialize
+from rillmark.scratch import Scratch, materialize
 
 SHINGLE = 4
 RADIUS = 4
 BLOCK = 2048
 SEED = 42
-#: Near copies: words in a shingle, least similarity of the shingle sets.
-COPY_SHINGLE, SIMILARITY = 5, 0.8
-#: The order of shingles, which no result depends on: one text in ``SAMPLED`` is counted, for the ``FREQUENT`` most frequent shingles.
-SAMPLED, FREQUENT = 8, 100_000
-#: Texts under a shingle of more than ``CROWD`` texts are first compared with one of them, ``ROUNDS`` times; then what no link joins.
-CROWD, ROUNDS = 64, 3
-#: Up to so many keys of candidate texts are broadcast, so that the other texts aren't shuffled.
+#: Up to so many documents to keep (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -55,9 +49,8 @@ def _majority(hashes: list[int]) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def shingle_hashes(text: str, shingle: int, seed: int = SEED) -> list[int]:
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> list[int]:
     """Hashes of all runs of ``shingle`` words, repeats included; of the whole sequence if it has fewer; none of no words."""
-    words = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space only
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
         return [digest(joined, seed)] if words else []
@@ -66,9 +59,10 @@ def shingle_hashes(text: str, shingle: int, seed: int = SEED) -> list[int]:
     return [digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, shingle)
-    return _majority(hashes) if hashes else 0
+def of_words(words: list[bytes], shingle: int = SHINGLE) -> int:
+    """The fingerprint as a signed number."""
+    hashes = shingle_hashes(words, shingle)
+    return _signed(_majority(hashes)) if hashes else 0
 
 
 def _signed(x: int) -> int:
@@ -76,15 +70,18 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """``row`` (the document's columns without its text), ``text_key`` and ``fp``, the fingerprint as a signed long."""
+    """``row`` (the document's columns without its text), ``k`` (the text's hash) and ``fp``, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(t: pd.Series) -> pd.Series:
-        return pd.Series([_signed(fingerprint(x, shingle)) for x in t], dtype="int64")
+        return pd.Series([of_words(split_words(x), shingle) for x in t], dtype="int64")
 
     t = whole(docs[text])
-    row = F.struct(*[docs[c] for c in docs.columns if c != text])
-    return docs.select(row.alias("row"), F.xxhash64(t).alias("text_key"), fp(t).alias("fp"))
+    return docs.select(_row(docs, text).alias("row"), F.xxhash64(t).alias("k"), fp(t).alias("fp"))
+
+
+def _row(docs: DataFrame, text: str) -> Column:
+    return F.struct(*[docs[c] for c in docs.columns if c != text])
 
 
 def _ball_keys(fp: Column, table: Column) -> Column:
@@ -158,12 +155,12 @@ def _link_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "b", "key"]).astype("int64")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, space: Scratch) -> DataFrame:
     """``table, a, b``: for ``table, fp``, verified links between distinct fingerprints of a table that connect whatever is
     connected."""
     distinct = fps.select("table", "fp").distinct()
     keyed = distinct.select("fp", F.explode(_ball_keys(F.col("fp"), F.col("table"))).alias("key"))
-    met = materialize(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_link_runs, "a long, b long, key long"), "links")
+    met = space.keep(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_link_runs, "a long, b long, key long"), "links")
     short = met.where("b is not null")
     hot = met.where("b is null").select("key", F.col("a").alias("fp")).distinct()
     n_blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("n"))
@@ -176,140 +173,38 @@ def links(fps: DataFrame) -> DataFrame:
     return found.select(F.shiftrightunsigned("key", 33).cast("int").alias("table"), "a", "b").distinct()
 
 
-def _by_rarity(text: str, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The text's set of shingles, those in ``frequent`` (sorted) last and by their counts."""
-    found = np.unique(np.array(shingle_hashes(text, COPY_SHINGLE), dtype=np.uint64))
-    if not len(frequent) or not len(found):
-        return found
-    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-    return found[np.lexsort((found, np.where(frequent[at] == found, counts[at], 0)))]
-
-
-def _shingle_set(text: str) -> Column:
-    @F.pandas_udf("array<long>")
-    def shingle_set(t: pd.Series) -> pd.Series:
-        return pd.Series([[_signed(h) for h in set(shingle_hashes(x, COPY_SHINGLE))] for x in t])
-
-    return shingle_set(text)
-
-
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of the texts ``k, t``, sorted, and their counts."""
-    sample = texts.where(F.pmod("k", F.lit(SAMPLED)) == 0).dropDuplicates(["k"]).select(F.explode(_shingle_set("t")).alias("h"))
-    rows = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    hashes, counts = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
-    order = np.argsort(hashes.view(np.uint64))
-    return hashes.view(np.uint64)[order], counts[order]
-
-
-def _met(texts: DataFrame) -> DataFrame:
-    """``key, k, n, i, c``: each of the ``c`` texts that have shingle ``key`` in their prefix, as number ``i`` of ``n``. Two
-    texts as alike as ``SIMILARITY`` share so many shingles that the first of these lies in both prefixes."""
-    held = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
-
-    @F.pandas_udf("struct<n:int,p:array<long>>")
-    def prefix(t: pd.Series) -> pd.DataFrame:
-        sets = [_by_rarity(x, *held.value) for x in t]
-        cut = [len(s) - ceil(SIMILARITY * len(s) - 1e-6) + 1 for s in sets]
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], dtype=np.int32), "p": [s[:c].view(np.int64) for s, c in zip(sets, cut, strict=True)]})
-
-    one = texts.select("k", prefix("t").alias("x")).groupBy("k").agg(F.first("x").alias("x"))
-    rows = one.select("k", F.col("x.n").alias("n"), F.posexplode("x.p").alias("i", "key"))
-    return rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").select("key", "k", "n", "i", "c")
-
-
-def _pairs(left: DataFrame, right: DataFrame, *where: Column) -> DataFrame:
-    """``x, y``: texts under a common key that have room for enough common shingles from there on."""
-    a, b = left.alias("a"), right.alias("b")
-    total, room = F.col("a.n") + F.col("b.n"), F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    fits = (room * (1 + SIMILARITY) >= total * SIMILARITY - 1e-6) & (F.col("a.k") != F.col("b.k"))
-    met = a.join(b, [F.col("a.key") == F.col("b.key"), fits, *where])
-    return met.select(F.least("a.k", "b.k").alias("x"), F.greatest("a.k", "b.k").alias("y")).distinct()
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, fp_of: DataFrame) -> DataFrame:
-    """``a, b``: the different fingerprints of the pairs ``x, y`` of ``texts`` whose shingle sets are ``SIMILARITY`` alike."""
-    fp = lambda k, n: fp_of.select(F.col("k").alias(k), F.col("fp").alias(n))
-    pairs = materialize(pairs.join(fp("x", "a"), "x").join(fp("y", "b"), "y").where("a != b"), "candidates")
-    wanted = materialize(pairs.select(F.col("x").alias("k")).union(pairs.select("y")).distinct(), "wanted")
-    found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "k", "left_semi")
-    sets = materialize(found.groupBy("k").agg(F.first("t").alias("t")).select("k", _shingle_set("t").alias("s")), "shingle-sets")
-    side = lambda k, s: sets.select(F.col("k").alias(k), F.col("s").alias(s))
-    both = pairs.join(side("x", "sa"), "x").join(side("y", "sb"), "y")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where((shared > 0) & (shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared) - 1e-6)).select("a", "b").distinct()
-
-
-def similar_links(marked: DataFrame, docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
-    """``a, b``: links of fingerprints of texts whose shingle sets are ``SIMILARITY`` alike; with the links ``known`` they
-    connect whatever such texts connect. ``marked`` has ``text_key, fp``.
-
-    Only verified links join groups. Texts of one group aren't compared again, so a large group of copies is joined by
-    comparing each with a few; texts under a common shingle that stay in different groups are all compared."""
-    texts = docs.select(F.xxhash64(whole(docs[text])).alias("k"), whole(docs[text]).alias("t"))
-    met = materialize(_met(texts), "met")
-    fp_of = marked.select(F.col("text_key").alias("k"), "fp").distinct()
-    few, crowded = met.where(F.col("c") <= CROWD), met.where(F.col("c") > CROWD)
-    found = materialize(_alike(_pairs(few, few, F.col("a.k") < F.col("b.k")), texts, fp_of), "alike")
-    for turn in range(ROUNDS + 1) if not crowded.isEmpty() else ():
-        root = components(known.unionByName(found))
-        group = fp_of.join(root, F.col("fp") == F.col("node"), "left").select("k", F.coalesce("root", "fp").alias("g"))
-        placed = materialize(crowded.join(group, "k"), "crowded")
-        sizes = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.count(F.lit(1)).alias("groups"))
-        apart = materialize(placed.join(sizes.where("groups > 1"), "key"), "apart")
-        if apart.isEmpty():
-            break
-        if turn < ROUNDS:
-            one = apart.groupBy("key").agg(F.min_by(F.struct("k", "n", "i", "g"), F.xxhash64("k", F.lit(turn))).alias("one")).select("key", "one.*")
-        else:
-            one = apart.where("g != main")
-        found = found.unionByName(materialize(_alike(_pairs(one, apart, F.col("a.g") != F.col("b.g")), texts, fp_of), "alike"))
-    return found
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """``node, root``: every node of the links ``a, b`` and the smallest node that it reaches, by alternating stars."""
-    edges = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    while True:
-        # large stars: each node's larger neighbours go to the smallest node around it
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
-        # small stars: each node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = materialize(moved.select("e.u", "e.v").where("u != v").distinct(), "small")
-        gone = edges.join(small, ["u", "v"], "left_anti").isEmpty() and small.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = small
-        if gone:
-            break
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", copies: bool = False) -> DataFrame:
-    """``row, fingerprint`` (16 hex digits) and ``component_id``, the smallest id of all documents reachable by links. With
-    ``copies``, similar texts link too."""
-    marked = materialize(fingerprints(docs, shingle, text), "fingerprints")
-    per_fp = marked.groupBy("fp").agg(F.min(f"row.{key}").alias("least"))
-    pairs = links(marked.select(F.lit(0).alias("table"), "fp")).select("a", "b")
-    if copies:
-        pairs = materialize(pairs, "known")
-        pairs = pairs.unionByName(similar_links(marked, docs, pairs, text))
-    found = components(pairs)
-    rooted = per_fp.join(found, per_fp["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    hex_fp = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(of_fp, marked["fp"] == of_fp["f"]).select("row", "text_key", hex_fp.alias("fingerprint"), "component_id")
+    """``row, text_key, fingerprint`` (16 hex digits) and ``component_id``, the smallest id of all documents reachable by links.
+    With ``copies``, similar texts link too."""
+    with Scratch(docs.sparkSession, "near-duplicates") as space:
+        if copies:
+            marked = space.keep(prefixed(docs, text, _row(docs, text), lambda words: of_words(words, shingle)), "texts")
+        else:
+            marked = space.keep(fingerprints(docs, shingle, text), "fingerprints")
+        per_fp = marked.groupBy("fp").agg(F.min(f"row.{key}").alias("least"))
+        pairs = links(marked.select(F.lit(0).alias("table"), "fp"), space).select("a", "b")
+        if copies:
+            pairs = pairs.unionByName(space.keep(similar_links(one_a_text(marked), docs, space, text, key), "similar"))
+        found = components(pairs, space).withColumnRenamed("node", "fp")
+        rooted = space.keep(per_fp.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        of_fp = space.keep(join_lookup(rooted, least, "root").select("fp", "component_id"), "components")
+        hex_fp = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+        out = join_lookup(marked.select("row", "k", "fp"), of_fp, "fp").select("row", F.col("k").alias("text_key"), hex_fp.alias("fingerprint"), "component_id")
+        return materialize(out, "near-duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each component of near copies: the one with the smallest id (equal ids: the smallest text hash, one
     row of it)."""
     found = near_duplicates(docs.select(key, text), shingle, text, key, copies=True)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col(f"row.{key}").isNull().alias("n"), F.col(f"row.{key}").alias("k"), F.col("text_key").alias("t"))).alias("best"))
-    keep = best.select("best.k", "best.t").distinct()
-    tagged = docs.withColumn("__text_key", F.xxhash64(whole(docs[text])))
-    kept = tagged.join(keep, tagged[key].eqNullSafe(keep["k"]) & (tagged["__text_key"] == keep["t"]), "left_semi")
-    return kept.dropDuplicates([key, "__text_key"]).select(*docs.columns)
+    id_ = F.col(f"row.{key}")
+    best = found.groupBy("component_id").agg(F.min(F.struct(id_.isNull().alias("no_id"), id_.alias("id"), F.col("text_key").alias("hash"))).alias("best"))
+    rows = found.groupBy(id_.alias("id"), F.col("text_key").alias("hash")).agg(F.count(F.lit(1)).alias("rows"))
+    kept = best.select("best.*")
+    kept = materialize(rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["hash"] == kept["hash"]), "left_semi"), "kept")
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("key"), F.xxhash64(whole(docs[text])).alias("text_key"))
+    chosen = packed.join(kept, packed["key"].eqNullSafe(F.col("id")) & (packed["text_key"] == F.col("hash")))
+    several = chosen.where("rows > 1").groupBy("key", "text_key").agg(F.first("doc").alias("doc"))
+    return chosen.where("rows = 1").select("doc.*").unionByName(several.select("doc.*"))
