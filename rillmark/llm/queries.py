@@ -20,6 +20,7 @@ from rillmark.llm import (
     token_counts,
     url_filters,
 )
+from rillmark.scratch import materialize
 
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
@@ -30,7 +31,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.apply_policy(quality_rules.ledger(_read(spark, sf_dir, "documents", "doc_id", "text")), quality_rules.STRICT)
+    led = materialize(quality_rules.ledger(_read(spark, sf_dir, "documents", "doc_id", "text")), "quality-ledger")
+    judged = quality_rules.apply_policy(led, quality_rules.STRICT)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
@@ -43,9 +45,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages", "page_id", "url")
-    model = url_filters.fit(url_filters.seed_labels(pages))
-    return url_filters.judge(pages, model).select("row.page_id", "host", "path", "rule", "verdict")
+    model = url_filters.fit(url_filters.content_labels(_read(spark, sf_dir, "pages", "url", "html")))
+    return url_filters.judge(_read(spark, sf_dir, "pages", "page_id", "url"), model).select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

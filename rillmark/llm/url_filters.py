@@ -2,33 +2,46 @@
 
 A rule is ``host/path``: it fits its host and all subdomains where the URL's path starts with the rule's, and the longest
 fitting rule decides. Undecided URLs are judged by boosted trees over length, depth, digit ratio, entropy, parameter counts
-and suffix statistics, trained on labelled URLs (at most ``SAMPLE`` distinct ones, chosen by hash).
+and statistics of the host's suffix and of its letter triples, trained on labelled URLs (at most ``SAMPLE`` distinct ones,
+chosen by hash). A statistic of a training URL is taken from other hosts' labels only, so that the trees can't learn hosts
+by heart; statistics are kept in ``BUCKETS`` hashed places, so scoring needs no join. A URL is blocked from the score on that
+has blocked the unwanted with a precision of ``PRECISION`` on hosts which the trees haven't seen: where no score does, as where
+labels have nothing to do with URLs, none is blocked.
+
+Labels are given, or come from the pages themselves: ``content_labels`` marks the URLs whose page fails the quality rules.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule fits, and the trees judge its empty
-features; with no labels, or labels of one class only, every undecided URL is allowed; repeated rows are judged alike; an
-empty table gives an empty result. Columns other than the URL and the key are passed over.
+features; with no labels, or labels of one class only, every undecided URL is allowed; a URL labelled both ways counts by its
+majority, a tie as wanted; repeated rows are judged alike; URLs of any length are read whole; an empty table gives an empty
+result. Columns other than the URL, the page and the key, whatever their names, are passed along in ``row``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.text import UPPER, let
+from rillmark.llm import quality_rules
+from rillmark.llm.text import UPPER, let, whole
 from rillmark.scratch import materialize
 
 #: Most labelled URLs that the trees are fitted on.
 SAMPLE = 20_000
-#: Host words of known unwanted sites: they label URLs where no labels are given.
-SEED_TERMS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "track", "viagra", "warez")
+#: Hashed places of the suffixes' and letter triples' statistics, folds of hosts, and labels that a statistic starts from.
+BUCKETS, FOLDS, PRIOR = 1024, 5, 20
+#: Least precision of blocking on unseen hosts, and least number of URLs on which it is measured.
+PRECISION, LEAST = 0.9, 20
 
 FEATURES = (
     "url_length", "host_length", "path_length", "host_labels", "path_depth", "digit_ratio", "host_hyphens", "path_hyphens",
-    "host_entropy", "url_entropy", "parameters", "has_fragment", "is_https", "suffix_share", "suffix_rate",
+    "host_entropy", "url_entropy", "parameters", "has_fragment", "is_https", "suffix_share", "suffix_rate", "triple_rate",
 )
 
 
@@ -113,51 +126,126 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def seed_labels(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Labelled URLs by the seed terms: 1 where a part of the host's name is one of them."""
-    host, _ = split_url(F.col(url))
-    return pages.where(F.col(url).isNotNull()).select(F.col(url).alias("url"), F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, SEED_TERMS))).cast("int").alias("label"))
+def _draw(url: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
+def sample_urls(urls: DataFrame, most: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """At most ``most`` distinct URLs of the column ``url``, those with the least hashes."""
+    share = 2 * most / max(urls.count(), 1)  # a coarse cut before the exact one keeps the final sort small
+    return urls.where("url is not null").where(_draw(F.col("url"), seed) < share).select("url").distinct().orderBy(_draw(F.col("url"), seed), "url").limit(most)
+
+
+def visible_text(html: Column) -> Column:
+    """What a page shows, roughly: no scripts, styles, comments or tags."""
+    bare = F.regexp_replace(whole(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
+    return F.regexp_replace(bare, r"<[^>]*>", " ")
+
+
+def content_labels(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", html: str = "html", most: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """``url, label`` of a sample of the URLs that no rule decides: 1 where the page's text fails the quality rules."""
+    host, path = split_url(F.col(url))
+    plain = pages.select(F.col(url).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(html).alias("html")).where(longest_rule(F.col("host"), F.col("path"), rules).isNull())
+    chosen = sample_urls(plain.select("url"), most, seed)
+    read = plain.join(F.broadcast(chosen), "url", "left_semi").select("url", visible_text(F.col("html")).alias("text"))
+    led = materialize(quality_rules.ledger(materialize(read, "page-texts"), "text", "url"), "page-ledger")
+    return led.select(F.col("doc_id").alias("url"), quality_rules.rejected(quality_rules.STRICT).cast("int").alias("label"))
+
+
+def _bucket(s: Column) -> Column:
+    return F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int")
+
+
+def _triples(host: Column) -> Column:
+    """Places of the letter triples of the host's name, without its suffix."""
+    name = F.regexp_replace(host, r"\.[^.]*$", "")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(name) - 2, F.lit(1))), lambda i: _bucket(F.substring(name, i, F.lit(3))))
+
+
+def _table(values: list[float]) -> Column:
+    """A list as one constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
 class UrlModel:
-    def __init__(self, model, suffixes: DataFrame | None, rate: float):
-        self.model, self.suffixes, self.rate = model, suffixes, rate
+    """Boosted trees, the statistics that they look up (``tables[name][fold]``, the last one over all labels), and the score
+    from which on a URL is blocked."""
+
+    def __init__(self, trees, tables: dict[str, list[list[float]]], cut: float = math.inf):
+        self.trees, self.tables, self.cut = trees, tables, cut
+
+    def features(self, urls: DataFrame, fold: Column | None = None) -> DataFrame:
+        def look(name: str, place: Column) -> Column:
+            if fold is None:
+                return F.get(_table(self.tables[name][-1]), place)
+            return F.get(F.get(F.array(*[_table(t) for t in self.tables[name][:-1]]), fold), place)
 
-    def features(self, urls: DataFrame) -> DataFrame:
-        known = self.suffixes  # of at most SAMPLE rows, as the sample is
-        with_suffix = urls.join(F.broadcast(known), "suffix", "left")
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-            with_suffix.withColumns({"suffix_share": F.coalesce("suffix_share", F.lit(0.0)), "suffix_rate": F.coalesce("suffix_rate", F.lit(self.rate))})
-        )
+        mean = F.aggregate(F.transform(_triples(F.col("host")), lambda p: look("triple_rate", p)), F.lit(0.0), lambda a, x: a + x) / F.size(_triples(F.col("host")))
+        suffix = _bucket(F.col("suffix"))
+        added = urls.withColumns({"suffix_share": look("suffix_share", suffix), "suffix_rate": look("suffix_rate", suffix), "triple_rate": mean})
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(added)
 
     def judge(self, urls: DataFrame) -> DataFrame:
-        """``urls`` with ``score``: 1 to block, 0 to allow."""
-        if self.model is None:
+        """``urls`` with ``score``, the likelihood that the URL is unwanted."""
+        if self.trees is None:
             return urls.withColumn("score", F.lit(0.0))
-        return self.model.transform(self.features(urls)).withColumnRenamed("prediction", "score")
+        return self.trees.transform(self.features(urls)).withColumn("score", F.get(vector_to_array("probability"), 1))
+
+
+def _tables(sample: DataFrame) -> dict[str, list[list[float]]]:
+    """Smoothed label rates by place, each fold's without its own hosts, then those of all hosts."""
+    suffix = sample.select("fold", F.lit("suffix").alias("kind"), _bucket(F.col("suffix")).alias("place"), "label")
+    triple = sample.select("fold", F.lit("triple").alias("kind"), F.explode(F.array_distinct(_triples(F.col("host")))).alias("place"), "label")
+    counted = suffix.unionByName(triple).groupBy("kind", "fold", "place").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
+    found = {kind: np.zeros((2, FOLDS, BUCKETS)) for kind in ("suffix", "triple")}
+    for r in counted.collect():  # at most 2 x FOLDS x BUCKETS rows
+        found[r["kind"]][:, r["fold"], r["place"]] = r["n"], r["bad"]
+    out: dict[str, list[list[float]]] = {"suffix_share": [], "suffix_rate": [], "triple_rate": []}
+    for left_out in [*range(FOLDS), None]:
+        kept = [f for f in range(FOLDS) if f != left_out]
+        (n, bad), (tn, tbad) = (found[k][:, kept].sum(1) for k in ("suffix", "triple"))
+        rate = bad.sum() / max(n.sum(), 1)
+        out["suffix_share"].append((n / max(n.sum(), 1)).tolist())
+        out["suffix_rate"].append(((bad + PRIOR * rate) / (n + PRIOR)).tolist())
+        out["triple_rate"].append(((tbad + PRIOR * rate) / (tn + PRIOR)).tolist())
+    return out
 
 
 def fit(labelled: DataFrame, seed: int = 42) -> UrlModel:
-    """``labelled``: ``url, label`` (0 or 1; others are left out). A URL labelled both ways counts by its majority."""
-    votes = labelled.where("label in (0, 1) and url is not null").groupBy("url").agg(F.avg("label").alias("share"))
-    chosen = votes.select("url", (F.col("share") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(SAMPLE)
-    sample = materialize(lexical(chosen).select("row.url", "row.label", *[c for c in lexical(chosen).columns if c != "row"]), "labelled_urls")
-    n, blocked = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
-    if not n or blocked in (0, n):
-        return UrlModel(None, None, 0.0)
-    rate = blocked / n
-    suffixes = sample.groupBy("suffix").agg((F.count(F.lit(1)) / n).alias("suffix_share"), ((F.sum("label") + 20 * rate) / (F.count(F.lit(1)) + 20)).alias("suffix_rate"))
-    known = UrlModel(None, suffixes, rate)
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.3, seed=seed)
-    known.model = trees.fit(known.features(sample).select("features", F.col("label").cast("double").alias("label")))
-    return known
+    """``labelled``: ``url, label`` (0 or 1; others are left out)."""
+    usable = labelled.where("label in (0, 1) and url is not null").select(F.col("url").cast("string").alias("url"), "label")
+    chosen = usable.join(F.broadcast(sample_urls(usable, SAMPLE, seed)), "url", "left_semi").groupBy("url").agg((F.avg("label") > 0.5).cast("int").alias("label"))
+    fold = F.pmod(F.xxhash64("host", F.lit(seed)), F.lit(FOLDS)).cast("int")
+    sample = materialize(lexical(chosen).select("row.label", fold.alias("fold"), *[c for c in lexical(chosen).columns if c != "row"]), "labelled-urls")
+    n, bad = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n or bad in (0, n):
+        return UrlModel(None, {})
+    model = UrlModel(None, _tables(sample))
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.3, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed)
+    rows = materialize(model.features(sample, F.col("fold")).select("features", F.col("label").cast("double").alias("label"), "fold"), "url-features")
+    model.trees = trees.fit(rows.where("fold > 0"))
+    held = model.trees.transform(rows.where("fold = 0")).select(F.get(vector_to_array("probability"), 1).alias("score"), "label").collect()  # of SAMPLE rows
+    model.cut = _cut([(r["score"], r["label"]) for r in held])
+    return model
+
+
+def _cut(scored: list[tuple[float, float]]) -> float:
+    """The least score from which on ``PRECISION`` of the labels are 1."""
+    cut, bad = math.inf, 0.0
+    ordered = sorted(scored, reverse=True)
+    for n, (score, label) in enumerate(ordered, 1):
+        bad += label
+        last = n == len(ordered) or ordered[n][0] < score
+        if last and n >= LEAST and bad >= PRECISION * n:
+            cut = score
+    return cut
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: tuple[UrlRule, ...] = RULES, url: str = "url") -> DataFrame:
-    """``row`` (the page), ``host, path, rule, verdict`` and the trees' ``score``."""
+    """``row`` (the page without its text), ``host, path, rule, verdict`` and the trees' ``score``."""
     scored = model.judge(lexical(pages, url))
     best = longest_rule(F.col("host"), F.col("path"), rules)
     return scored.select("row", "host", "path", "score", best.alias("best")).select(
         "row", "host", "path", F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score",
+        F.coalesce("best.verdict", F.when(F.col("score") >= model.cut, "block").otherwise("allow")).alias("verdict"), "score",
     )
