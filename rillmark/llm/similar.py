@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.graph import components
+from rillmark.llm.graph import components, join_lookup
 from rillmark.llm.text import whole
 from rillmark.scratch import Scratch
 
@@ -325,7 +325,7 @@ def candidates(texts: DataFrame, space: Scratch) -> DataFrame:
     few = both.where(_close_sets(F.col("a"), F.col("b"))).select("x", "y")
     crowd = met.where("y is null").select("key", F.col("x").alias("k"))
     sizes = crowd.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    many = _worked(_paired(crowd.join(sizes, "key").join(info, "k"), "k"), _near_blocks, "key", "x long, y long")
+    many = _worked(_paired(join_lookup(crowd, sizes, "key").join(info, "k"), "k"), _near_blocks, "key", "x long, y long")
     return few.unionByName(many).distinct()
 
 
