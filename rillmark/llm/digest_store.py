@@ -2,8 +2,9 @@
 
 ``resolve`` looks every document's content up by its SHA-256, computes only what no earlier run has stored for the same
 version, appends that, and joins the stored results back to all documents. Equal texts are computed once: they are
-reduced to one before the shuffle, so a large group of copies costs one row a map task. The store is a folder of Parquet
-files that driver and executors share; runs append, and a pair appended twice by concurrent runs is read once.
+reduced to one before the shuffle, so a large group of copies costs one row a map task, and on the way back digests of many
+documents are joined by a broadcast of theirs alone. The store is a folder of Parquet files that driver and executors share; runs
+append, and a pair appended twice by concurrent runs is read once.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.llm.graph import join_lookup
 from rillmark.llm.text import whole
-from rillmark.scratch import new_folder
+from rillmark.scratch import materialize, new_folder
 
 
 def open_store(spark: SparkSession, name: str) -> str:
-    """A new, empty store in the shared scratch folder; pass a lasting path instead to keep results between runs."""
-    return new_folder(spark, name)
+    """The store in the folder that ``rillmark.store.dir`` names, where runs find what earlier ones have kept; without that setting a
+    new, empty one in the shared scratch folder."""
+    lasting = spark.conf.get("rillmark.store.dir", None)
+    return f"{lasting.rstrip('/')}/{name}" if lasting else new_folder(spark, name)
 
 
 def stored(spark: SparkSession, path: str, fields: str, version: str) -> DataFrame | None:
@@ -51,4 +55,5 @@ def resolve(docs: DataFrame, store: str, version: str, compute, fields: str, tex
         F.octet_length(whole(docs[text])).cast("long").alias("n_bytes"),
         digest(docs[text]).alias("digest"),
     )
-    return rows.join(known.select("digest", F.struct(*names).alias("found")), "digest", "left")
+    rows = materialize(rows, "digests")
+    return join_lookup(rows, known.select("digest", F.struct(*names).alias("found")), "digest")
