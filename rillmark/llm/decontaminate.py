@@ -6,7 +6,9 @@ rarest one is its prefix. Documents' shingles are joined with the prefixes, boun
 alignments without room for a window, and the words of the item-sized window are then compared one by one.
 
 Defined cases: null texts have no words; items without words or without an id never match; repeated items count once a
-distinct id; repeated documents each get their own, equal row; empty tables give zero counts or no rows.
+distinct id; repeated documents each get their own, equal row; texts of any length are matched whole, in pieces no longer than an
+item; of equally rare shingles the one with the least hash is the prefix; empty tables give zero counts or no rows; other columns,
+whatever their names, are passed over or kept.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from rillmark.scratch import materialize
 
 WINDOW = 10
 SHINGLE = 3
-#: Prefix tables up to this many rows (each some hundred words at most, see MAX_ITEM_WORDS) are broadcast; larger ones are shuffled.
+#: Tables of items and prefixes of up to so many rows, with so many words in all, are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 BROADCAST_WORDS = 4_000_000
 

@@ -7,9 +7,10 @@ residuals meet in larger groups, up to one residual a source: a reduction tree w
 size. The number of copies of a source stays within one of its expectation, and since neighbours are of like size, so do
 its words, nearly.
 
-Defined cases: a null text has size 0 and nothing is taken of it; a null source is a source of its own, last in order;
-repeated rows are drawn one by one; an empty table gives an empty result. Draws are hashes of a row's key, text and seed,
-so reruns agree. Other columns are carried along if asked for, under their own names.
+Defined cases: a null text has size 0 and nothing is taken of it; texts of any length count whole; a null source is a source of its
+own, last in order; repeated rows are drawn one by one; rows of equal size and hash meet in the order of their draws; an empty table
+gives an empty result. Draws are hashes of a row's key, text and seed, so reruns agree. Other columns are carried along if asked
+for, under their own names, but for those that the mix itself computes, which take their place.
 """
 
 from __future__ import annotations
@@ -110,6 +111,7 @@ def _node(group: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), seed: int = 42, text: str = "text") -> DataFrame:
     """``doc_id``, the carried columns, ``source, size, text_key, source_size, target, copies, taken``."""
+    carry = tuple(c for c in carry if c not in ("doc_id", "source", "size", "text_key", "source_size", "target", "copies", "taken"))
     sized = materialize(sizes(docs, carry, text), "sizes")
     rate = F.col("target") / F.col("source_size")
     key = [F.col("row.doc_id").cast("string"), F.col("source"), F.col("text_key"), F.col("dup")]

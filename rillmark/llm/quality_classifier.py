@@ -5,10 +5,11 @@ diagonal of the pooled one, so that statistics which hardly vary in a class can'
 logistic of the difference of the classes' log densities and priors; the Cholesky factors are computed once and travel with
 the model.
 
-Labels are taken from at most ``SAMPLE`` rows, chosen by hash. Defined cases: a null text is empty, all of whose statistics
-are 0, and is scored like any other; repeated rows are scored alike; labels other than 0 and 1 are left out; with no labels
-the score is 0.5, with one class it is 0 or 1; a null id is never held out; an empty table gives an empty result. Only the
-text enters a score; other columns are passed along in ``row``.
+Labels are taken from at most ``SAMPLE`` rows, those with the least hashes, ties by id and label; several documents of one id give
+one row to learn from, the least statistics. Defined cases: a null text is empty, all of whose statistics are 0, and is scored like
+any other; texts of any length are read whole; repeated rows are scored alike; labels other than 0 and 1 are left out; with no
+labels the score is 0.5, with one class it is 0 or 1; a null id is never held out; an empty table gives an empty result. Only the
+text enters a score; other columns, whatever their names, are passed along in ``row``.
 """
 
 from __future__ import annotations
@@ -82,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shrinkage: flo
     """Fits on ``labels`` (``doc_id, quality``) outside fold 0."""
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     chosen = usable.select(F.col("doc_id").alias("k"), F.col("quality").alias("y")).orderBy(F.xxhash64("k", F.lit(seed)), "k", "y").limit(sample)
-    known = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["k"]).select("y", _statistics(whole(docs["text"])).alias("x"))
+    known = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["k"]).select(chosen["k"].alias("id"), chosen["y"].alias("y"), _statistics(whole(docs["text"])).alias("x"))
+    known = known.groupBy("id", "y").agg(F.min("x").alias("x"))  # rows of one id count once, so the sample is no larger than its bound
     d = len(STATISTICS)
     x = [F.get("x", i) for i in range(d)]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]

@@ -4,8 +4,8 @@
 versioned masks over those bits, so a verdict under another policy, or an ablation that leaves one rule out, reads the
 ledger and never the text again.
 
-Defined cases: a null text has no words and fails ``few_words``; an empty table gives an empty ledger; repeated rows are
-judged one by one; null ids stay. Other columns, whatever their names, are passed over.
+Defined cases: a null text has no words and fails ``few_words``; texts of any length are measured whole; an empty table gives an
+empty ledger; repeated rows are judged one by one; null ids stay. Other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
