@@ -13,15 +13,18 @@ from rillmark.llm import (
     chat_format,
     decontaminate,
     digest_store,
+    graph,
     mixing,
     pii,
     quality_classifier,
     quality_rules,
     secret_scan,
+    similar,
     simhash,
     token_counts,
     url_filters,
 )
+from rillmark.scratch import Scratch
 from tests.llm import brute
 
 #: Columns named like the operators' own inner ones.
@@ -96,12 +99,16 @@ def test_chat_round_trip(spark):
     tricky = ["<|im_end|>", r"a <\|b", r"<\\\|<|im_start|>", "", "<|", "<|im_en", "|im_end|>\n<|im_start|>", None, "<\\", "\n"]
     pool = ["<", "|", "\\", "im_end", "|>", "<|im_start|>", "<|im_end|>", "\n", "x"]
     tricky += ["".join(R.choice(pool) for _ in range(R.randint(0, 12))) for _ in range(500)]
-    rows = [(i // 3, i % 3, ["user", "assistant", None][i % 3], t) for i, t in enumerate(tricky)] + [(None, None, None, None), (1, 1, "assistant", tricky[4])]
+    roles = ["user", "assistant", None, "us\ner", r"us\ner", r"a\\n<\|b", "<|im_end|>\n", "tool"]
+    rows = [(i // 3, i % 3, roles[i % 3] if i % 2 else roles[i % 8], t) for i, t in enumerate(tricky)] + [(None, None, None, None), (1, 1, "assistant", tricky[4])]
+    rows += [(9000, 1, "assistant", t) for t in ("a", "a!", "a<", "a\\", "a<|im_end|>", "", "a|", "a<|", "a!")]
+    rows += [(9001, n, "user", t) for n, t in ((None, "z"), (0, "b"), (-5, "c"), (None, "a"))]
     rendered = chat_format.render_turns(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string"))
     whole = {r["conv_id"]: r for r in chat_format.conversation_texts(rendered).collect()}
     got = {r["conv_id"]: r for r in chat_format.digests(rendered).collect()}
     for conv in {r[0] for r in rows}:
-        turns = sorted(((t or 0, role or "", x or "") for c, t, role, x in rows if c == conv))
+        turns = [t[1:] for t in sorted(((t is not None, t or 0), role or "", x or "") for c, t, role, x in rows if c == conv)]
+        turns = [(None, *t) for t in turns]
         assert [p[:2] for p in chat_format.parse(whole[conv]["text"])] == [t[1:] for t in turns]
         assert got[conv]["turns_sha256"] == brute.sha("".join(f"{r}\n{x}\n" for _, r, x in turns))
         masked = [chat_format.unescape(whole[conv]["text"][s["start"] : s["end"]]) for s in whole[conv]["loss_spans"]]
@@ -112,24 +119,67 @@ def test_chat_round_trip(spark):
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.COM/en/7?x=1", "http://example.com/en/8", "x://y://z/p", "http://h?q", "http://h#f", "http://net/de/1", "http://xnet/de/1", "http://a.example.net/de/81", "a" * 100_000]
-    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] + [(3, urls[3], "x", "y")], "page_id long, url string, host string, suffix string")
-    got = {r["row"]["page_id"]: r for r in url_filters.judge(pages, url_filters.fit(url_filters.seed_labels(pages))).collect()}
-    cut = lambda i: (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"])
-    assert cut(0) == cut(1) == cut(2) == ("", "", None, "allow")
-    assert cut(3) == ("a.example.com", "/en/7", "example.com/en/7", "allow")
-    assert cut(4) == ("example.com", "/en/8", "com/en/", "block")
-    assert cut(5)[:2] == ("y:", "//z/p")
-    assert cut(6)[:2] == cut(7)[:2] == ("h", "")
-    assert cut(8)[2] == "net/de/" and cut(9)[2] is None and cut(10)[2:] == ("example.net/de/8", "block")
-    assert url_filters.judge(pages.limit(0), url_filters.fit(url_filters.seed_labels(pages.limit(0)))).count() == 0
-
-
-def test_url_model_on_held_out_urls(spark):
-    make = lambda i: f"http://{'www.' if i % 2 else ''}{['cheap-pills', 'free-bets', 'garden', 'meadow', 'harbour'][i % 5]}.example.{['com', 'net'][i % 2]}/en/{i * 37}"
-    pages = spark.createDataFrame([(i, make(i)) for i in range(600)], "page_id long, url string")
-    model = url_filters.fit(url_filters.seed_labels(pages.where("page_id < 400")))
-    got = model.judge(url_filters.lexical(pages.where("page_id >= 400"))).select("row.page_id", "score").collect()
-    assert all((r["score"] > 0.5) == (r["page_id"] % 5 < 2) for r in got)
+    rows = [(i, u, "<p>a b</p>", "x", "y") for i, u in enumerate(urls)] + [(3, urls[3], None, "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, suffix string")
+    for labels in (url_filters.content_labels(pages), spark.createDataFrame([(u, i % 2) for i, u in enumerate(urls)], "url string, label int")):
+        got = {r["row"]["page_id"]: r for r in url_filters.judge(pages, url_filters.fit(labels)).collect()}
+        cut = lambda i: (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"])  # noqa: E731, B023
+        assert cut(0)[:3] == cut(1)[:3] == cut(2)[:3] == ("", "", None)
+        assert cut(3) == ("a.example.com", "/en/7", "example.com/en/7", "allow")
+        assert cut(4) == ("example.com", "/en/8", "com/en/", "block")
+        assert cut(5)[:2] == ("y:", "//z/p")
+        assert cut(6)[:2] == cut(7)[:2] == ("h", "")
+        assert cut(8)[2] == "net/de/" and cut(9)[2] is None and cut(10)[2:] == ("example.net/de/8", "block")
+    none = pages.limit(0)
+    assert url_filters.judge(none, url_filters.fit(url_filters.content_labels(none))).count() == 0
+
+
+def test_urls_are_labelled_by_their_pages(spark):
+    good, bad = prose(40), "### $$$ " * 40
+    rows = [("http://a.example/1", f"<html><script>{bad}</script><p>{good}</p><!-- {bad} --></html>"), ("http://a.example/2", f"<div>{bad}</div>"), ("http://a.com/en/3", bad), (None, bad)]
+    rows += [("http://a.example/4", good), ("http://a.example/4", bad), ("http://a.example/4", good)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = sorted((r["url"], r["label"]) for r in url_filters.content_labels(pages).collect())
+    assert got == [("http://a.example/1", 0), ("http://a.example/2", 1), ("http://a.example/4", 0), ("http://a.example/4", 0), ("http://a.example/4", 1)]
+
+
+def labelled_hosts(n):
+    """URLs of invented hosts: (host, label, urls). Bad hosts use some words, deeper paths, more digits and parameters; either
+    kind of host may have a hyphen or none."""
+    r, out = random.Random(5), []
+    words = {1: ("casino", "lotto", "bets", "jackpot", "slots", "bonus"), 0: ("garden", "school", "museum", "river", "cooking", "history")}
+    for i in range(n):
+        bad = i % 2
+        a, b = r.sample(words[bad], 2)
+        host = f"{a}{r.choice(['-', '', '-the-', ''])}{b}{r.choice(['', str(r.randint(1, 99))]) if bad else ''}.{r.choice(['example', 'test', 'invalid'])}"
+        for _ in range(10):
+            deep = "/".join(r.choice(VOCABULARY) for _ in range(r.randint(1, 3) + bad * r.randint(0, 2)))
+            query = "?" + "&".join(f"p{j}={r.randint(1, 10**6)}" for j in range(r.randint(1, 4))) if r.random() < 0.2 + 0.4 * bad else ""
+            out.append((f"http://{host}/{deep}{query}", bad if r.random() > 0.05 else 1 - bad, bad, host))
+    return out
+
+
+def test_url_model_on_unseen_hosts(spark):
+    rows = labelled_hosts(240)
+    hosts = sorted({h for *_, h in rows})
+    seen = set(hosts[: len(hosts) // 2])
+    model = url_filters.fit(spark.createDataFrame([x[:2] for x in rows if x[3] in seen], "url string, label int"))
+    new = spark.createDataFrame([(x[0], x[2]) for x in rows if x[3] not in seen], "url string, bad int")
+    got = [(r["score"], r["row"]["bad"], "-" in r["host"]) for r in model.judge(url_filters.lexical(new)).select("row", "host", "score").collect()]
+    auc = lambda part: np.mean([(a > b) + 0.5 * (a == b) for a, y, _ in part if y for b, z, _ in part if not z])
+    assert auc(got) > 0.95
+    assert auc([x for x in got if x[2] != x[1]]) > 0.9  # bad hosts without a hyphen against good ones with one
+    assert sum(x > 0.02 for x in model.trees.featureImportances) >= 4
+    blocked = [y for x, y, _ in got if x >= model.cut]
+    assert sum(blocked) > 0.7 * sum(y for _, y, _ in got) and sum(blocked) > 0.8 * len(blocked)
+
+
+def test_urls_are_not_blocked_by_labels_without_meaning(spark):
+    r = random.Random(3)
+    rows = [(x[0], int(r.random() < 0.3)) for x in labelled_hosts(200)]
+    model = url_filters.fit(spark.createDataFrame(rows, "url string, label int"))
+    judged = url_filters.judge(spark.createDataFrame(rows, "url string, label int"), model).groupBy("verdict").count().collect()
+    assert {x["verdict"]: x["count"] for x in judged}.get("block", 0) < 0.02 * len(rows)
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
@@ -226,7 +276,9 @@ def test_simhash_links_in_dense_groups(spark, block, monkeypatch):
         prints.add(x)
     of = dict(enumerate(sorted(prints)))
     fps = spark.createDataFrame([(simhash._signed(x),) for x in of.values()], "fp long")
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(fps.select(F.lit(3).alias("table"), "fp")).select("a", "b")).collect()}
+    with Scratch(spark, "t") as space:
+        pairs = simhash.links(fps.select(F.lit(3).alias("table"), "fp"), space).select("a", "b")
+        found = {r["node"]: r["root"] for r in graph.components(pairs, space).collect()}
     expected = brute.components(of)
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
     assert groups({i: found.get(simhash._signed(x), simhash._signed(x)) for i, x in of.items()}) == groups(expected)
@@ -235,7 +287,8 @@ def test_simhash_links_in_dense_groups(spark, block, monkeypatch):
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (500, 502), (7, 7)]
     R.shuffle(chain)
-    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    with Scratch(spark, "t") as space:
+        got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(chain, "a long, b long"), space).collect()}
     assert got == {i: 0 for i in range(201)} | {i: 500 for i in (500, 501, 502)}
 
 
@@ -268,6 +321,32 @@ def test_pii_labels_spread_over_repeated_tokens(spark):
     assert [text[a:b] for _, a, b in more] == ["555-3436"] and more[0][0] == "phone_like"
 
 
+def test_pii_added_spans_on_unseen_texts(spark):
+    """Half of the base spans of texts that the field wasn't fitted on are written in forms that the patterns don't read."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    model = pii.fit(docs.where(half == 0))
+    texts = list({r["text"] or "" for r in docs.where(half == 1).collect()})
+    right = found = wanted = hit = 0
+    for text in texts:
+        new, truth = pii.rewritten(text, pii.base_spans(text))
+        base, spans = pii.find_spans([new], model)[0]
+        more = [s for s in spans if s not in base]
+        same = lambda s, t: s[0].removesuffix("_like") == t[0] and s[1] < t[2] and s[2] > t[1]
+        found, wanted = found + len(more), wanted + len(truth)
+        right += sum(any(same(s, t) for t in truth) for s in more)
+        hit += sum(any(same(s, t) for s in more) for t in truth)
+    assert wanted > 80 and right >= 0.95 * found and hit >= 0.9 * wanted
+
+
+def test_pii_labels_come_from_before_the_rewriting():
+    text = " ".join(f"call +1 (974) 555-{1000 + i}, ann{i}.lee@mail.example.com, 192.168.1.{i} or 4929348385146306." for i in range(40))
+    base = pii.base_spans(text)
+    new, truth = pii.rewritten(text, base)
+    assert {k for k, _, _ in truth} == set(pii.BASE_KINDS) and 0.3 * len(base) < len(truth) < 0.8 * len(base)
+    assert not any(b[1] < z and b[2] > a for b in pii.base_spans(new) for _, a, z in truth)
+
+
 def test_pii_takes_long_texts_in_linear_time():
     for t in ("a" * 300_000, "1" * 300_000, "+1 " + "(" * 300_000, "a." * 150_000 + "@", "1." * 150_000):
         pii.base_spans(t)
@@ -348,11 +427,12 @@ def edited(words, how, n):
 
 def copy_groups(texts):
     """Of each text the least text of its group, by op7's fingerprints and the similarity of all pairs."""
-    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    words = [[w.translate(brute.LOWER) for w in brute.WORD.findall(t)] for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     prints, root = [brute.fingerprint(t) for t in texts], list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     return root
@@ -375,9 +455,10 @@ def test_similar_texts_by_edited_passages(spark):
     assert check_copies(spark, texts) < 0.65 * len(texts)
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
-def test_similar_texts_among_texts_of_the_same_words(spark, crowd, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", crowd, raising=False)
+@pytest.mark.parametrize(("crowd", "block"), [(8, 512), (2, 512), (2, 4)])
+def test_similar_texts_among_texts_of_the_same_words(spark, crowd, block, monkeypatch):
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "BLOCK", block)
     bag, texts = prose(150).split(), []
     for _ in range(6):
         R.shuffle(bag)
@@ -386,7 +467,7 @@ def test_similar_texts_among_texts_of_the_same_words(spark, crowd, monkeypatch):
     for i in range(12):
         texts.append(" ".join(chain))
         chain = edited(chain, "replaced", 12)
-    assert check_copies(spark, texts) == 7
+    assert check_copies(spark, [*texts, *texts[:3], *texts[-3:], '', 'a', 'a b', 'A b']) == 7 + 3
 
 
 @pytest.mark.parametrize("repeats", [1, 13, 50])
