@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.expr import seeded_md5
-from rillmark.scratch import materialize
 
 KS = (1, 3, 5, 10)
 
@@ -114,10 +113,44 @@ def random_reference(catalogue: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return n.select("n_items", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).select("k", "n_items", (F.col("k") / F.col("n_items")).alias("expected_recall"))
 
 
+def _curves(scored: DataFrame, by: list[str]) -> DataFrame:
+    """AUC and average precision of one pass over the running sums: those from above are what the total leaves."""
+    ranked = _running(_score_classes(scored, by), by, False)
+    p, n = F.sum("p"), F.sum("n") - F.sum("p")
+    mean_rank = F.col("cn") - F.col("n") + (F.col("n") + 1) / 2
+    value = F.when((p > 0) & (n > 0), (F.sum(mean_rank * F.col("p")) - p * (p + 1) / 2) / (p * n)).otherwise(F.lit(float("nan")))
+    totals = ranked.groupBy(*by).agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    above = ranked.join(F.broadcast(totals), by)  # one row a model
+    step = F.col("p") * (F.col("__p") - F.col("cp") + F.col("p")) / (F.col("__n") - F.col("cn") + F.col("n"))
+    return above.groupBy(*by).agg(value.alias("auc"), (F.sum(step) / F.sum("p")).alias("pr_auc"))
+
+
+def _users(scored: DataFrame, ks: tuple[int, ...], seed: int = 42) -> DataFrame:
+    """The metrics that are means over users, and log loss: one shuffle by model and user carries their windows and sums."""
+    w = Window.partitionBy("model", "user_id")
+    q = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("score")))))
+    loss = -(F.col("label") * F.log(q + 1e-9) + (1 - F.col("label")) * F.log(1 - q + 1e-9))
+    ranked = scored.withColumns({
+        "r": F.row_number().over(w.orderBy(F.desc("score"), seeded_md5(seed, F.col("user_id"), F.col("item_id")))), "loss": loss,
+        "rank": F.rank().over(w.orderBy("score")) + (F.count(F.lit(1)).over(Window.partitionBy("model", "user_id", "score")) - 1) / 2,
+    })
+    hit, gain = F.col("label") == 1, 1 / F.log2(F.col("r") + 1)
+    user = ranked.groupBy("model", "user_id").agg(
+        F.count(F.lit(1)).alias("w"), F.sum("label").alias("p"), F.min(F.when(hit, F.col("r"))).alias("first"), F.sum("loss").alias("loss"), F.sum(F.when(hit, F.col("rank"))).alias("s"),
+        *[F.sum(F.when(hit & (F.col("r") <= k), gain).otherwise(0.0)).alias(f"dcg{k}") for k in ks],
+    )
+    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least("p", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    p, n = F.col("p"), F.col("w") - F.col("p")
+    good, both = p > 0, (p > 0) & (n > 0)
+    auc_of = F.when(both, F.round((F.col("s") - p * (p + 1) / 2) / (p * n), 5))
+    return user.groupBy("model").agg(
+        F.count_if(good).alias("n_users"), *[F.avg(F.when(good, (F.col("first") <= k).cast("double"))).alias(f"hr_{k}") for k in ks],
+        *[F.avg(F.when(good, F.col(f"dcg{k}") / ideal(k))).alias(f"ndcg_{k}") for k in ks], F.avg(F.when(good, 1 / F.col("first"))).alias("mrr"),
+        (F.sum("loss") / F.sum("w")).alias("logloss"), (F.sum(F.col("w") * auc_of) / F.sum(F.when(both, F.col("w")))).alias("gauc"), F.avg("w").alias("rows_per_user"),
+    )
+
+
 def evaluate_table(scored: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """All metrics of every model of a long score table, one row a model. The table is written once and read by each metric."""
-    by, scored = ["model"], materialize(scored, "scores")
-    out = per_user_ranking(scored, ks, by=by)
-    for other in (auc(scored, by), logloss(scored, by), pr_auc(scored, by), gauc(scored, by).drop("n_users"), candidate_set_size(scored, by).select("model", "rows_per_user")):
-        out = out.join(other, "model")
-    return out
+    """All metrics of every model of a long score table, one row a model. The table is read twice: by user and by score. Write it
+    first if it is costly."""
+    return _users(scored, ks).join(_curves(scored, ["model"]), "model")

@@ -136,14 +136,16 @@ def rows_per_user(rows: DataFrame) -> DataFrame:
     return n.agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("p50"), F.percentile("n", F.lit(0.9)).alias("p90"), F.max("n").alias("max"))
 
 
-def behaviour_profile(log: DataFrame) -> DataFrame:
+def behaviour_profile(log: DataFrame, meta: DataFrame) -> DataFrame:
+    """Size and span of a behaviour log, groups of rows that repeat exactly, and how unequal its items are."""
     days = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(86_400_000_000)
     base = log.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users"), F.count_distinct("item_id").alias("n_items"), F.count_distinct("event_type").alias("n_types"), days.alias("days"))
-    same = log.groupBy("user_id", "item_id", "event_type", F.to_date("ts").alias("day")).count().agg(F.count_if(F.col("count") > 1).alias("n_repeated_groups"))
+    cats = log.select("item_id").distinct().join(meta.select("item_id", "category"), "item_id").agg(F.count_distinct("category").alias("n_categories"))
+    same = log.groupBy("user_id", "item_id", "event_type", "ts").count().agg(F.count_if(F.col("count") > 1).alias("n_duplicate_groups"))
     items = popularity(log)
     single = items.agg(F.avg((F.col("n") == 1).cast("double")).alias("singleton_share"))
     top100 = top_share(items, (100,)).select(F.col("share").alias("top100_share"))
-    return base.crossJoin(same).crossJoin(single).crossJoin(gini(items)).crossJoin(top100)
+    return base.crossJoin(cats).crossJoin(same).crossJoin(single).crossJoin(gini(items)).crossJoin(top100)
 
 
 def behaviour_mix(log: DataFrame) -> DataFrame:
@@ -186,6 +188,19 @@ def schema_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.unpivot([], list(rules), "rule", "n_violations")
 
 
+def schema_contract(df: DataFrame, keys: list[str], onehot: str, label: str, vector: str, dim: int, required: list[str]) -> DataFrame:
+    """``rule, n_violations``: rows with a null key, a one-hot list that isn't of length 2, a label other than 0 and 1, or a vector of
+    another length (none counts as such), and one row for each required column that is missing."""
+    rules = {
+        "null_key": F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull(), "onehot_length": F.coalesce(F.size(onehot), F.lit(-1)) != 2,
+        "label_range": ~F.coalesce(F.col(label).isin(0, 1), F.lit(False)), "vector_length": F.coalesce(F.size(vector), F.lit(-1)) != dim,
+    }
+    found = schema_violations(df, rules)
+    for c in missing_columns(df, required):
+        found = found.unionByName(df.sparkSession.range(1).select(F.lit(f"missing:{c}").alias("rule"), F.lit(1).cast("bigint").alias("n_violations")))
+    return found
+
+
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
@@ -199,15 +214,25 @@ def timestamp_quality(log: DataFrame, first: str, last: str) -> DataFrame:
     )
 
 
-def report(sections: dict[str, DataFrame]) -> DataFrame:
-    """``section, metric, value`` of several one-row frames of numbers."""
+def report(sections: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
+    """``section, metric, value`` of several frames of numbers: one-row ones, or ones whose rows a column names."""
     out = None
-    for name, df in sections.items():
-        one = df.select(*[F.col(c).cast("double").alias(c) for c in df.columns]).unpivot([], df.columns, "metric", "value").select(F.lit(name).alias("section"), "metric", "value")
+    for name, (df, key) in sections.items():
+        cells = [c for c in df.columns if c != key]
+        keys = [F.col(key).cast("string").alias("__key")] if key else []
+        long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cells]).unpivot(["__key"] if key else [], cells, "metric", "value")
+        metric = F.concat_ws(".", "__key", "metric") if key else F.col("metric")
+        one = long.where("value is not null").select(F.lit(name).alias("section"), metric.alias("metric"), "value")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def write_report(df: DataFrame, path: str) -> DataFrame:
+    """Writes the report as JSON and gives what was written."""
+    df.write.json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
 def item_rank(counts: DataFrame) -> DataFrame:
     """Items with their competition rank by count; equal counts share it."""
     classes = _descending(counts).select("n", (F.col("rank_to") - F.col("items") + 1).alias("rank"))

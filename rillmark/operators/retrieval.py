@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.functions.expr import hash_unit, l2_normalise, seeded_md5
-from rillmark.operators.scorers import blocked_topk
+from rillmark.functions.expr import dot, hash_unit, l2_normalise, seeded_md5
+from rillmark.operators.scorers import DIGITS, blocked_topk
+from rillmark.scratch import materialize
 
-BLOCK = 1024
-#: Scores are compared after rounding, so that sums in another order don't change the order of ties.
-DIGITS = 9
+BLOCK = 256
+#: Vectors of up to so many bytes are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Most items on which a clustering is fitted.
+INDEXED = 100_000
 
 
-def _blocks(df: DataFrame, key: str, n_blocks: int, names: tuple[str, str]) -> DataFrame:
-    cut = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n_blocks)))
-    return cut.groupBy("__block").agg(F.collect_list(key).alias(names[0]), F.collect_list("vec").alias(names[1]))
+def _blocks(df: DataFrame, key: str, names: tuple[str, str], block: int) -> DataFrame:
+    """``cell, part, parts`` and blocks of about ``block`` rows inside each cell, as arrays of keys and vectors."""
+    sizes = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # one row a cell
+    cut = df.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    return cut.groupBy("cell", "part", "parts").agg(F.collect_list(key).alias(names[0]), F.collect_list("vec").alias(names[1]))
 
 
 def exact_topk(users: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """``user_id, item_id, score, rank``: the ``k`` items with the greatest inner products.
 
-    Blocks of users meet blocks of items and each pair hands on ``k`` items a user: users times items are never formed."""
-    nu, ni = (max(1, -(-df.count() // block)) for df in (users, items))
-    pairs = _blocks(users, "user_id", nu, ("users", "uvecs")).drop("__block").repartition(nu).crossJoin(_blocks(items, "item_id", ni, ("items", "ivecs")).drop("__block"))
-    local = pairs.mapInPandas(partial(blocked_topk, k=k), "user_id long, item_id long, score double")
-    return _rank(local, k)
+    Blocks of users meet blocks of items and each pair hands on ``k`` items a user: users times items are never formed. Both
+    sides are written first, since each is read twice."""
+    return cell_topk(*[materialize(df.select(key, "vec").withColumn("cell", F.lit(0)), "vectors") for df, key in ((users, "user_id"), (items, "item_id"))], k, block)
+
+
+def cell_topk(users: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The same inside cells: users and items of one ``cell`` meet, in blocks. A pair that meets in several cells counts once.
+
+    Items of up to ``BROADCAST_BYTES`` go to the user blocks, which stay where they are; more are joined by block, so that no
+    task holds a cell."""
+    left = _blocks(users, "user_id", ("users", "uvecs"), block).select("cell", "users", "uvecs")
+    right = _blocks(items, "item_id", ("items", "ivecs"), block)
+    size = items.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        pairs = left.join(F.broadcast(right.select("cell", "items", "ivecs")), "cell")
+    else:
+        parts = right.select("cell", "parts").distinct()  # one row a cell
+        pairs = left.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(right.drop("parts"), ["cell", "part"])
+    local = pairs.select("users", "uvecs", "items", "ivecs").mapInPandas(partial(blocked_topk, k=k), "user_id long, item_id long, score double")
+    return _rank(local.dropDuplicates(["user_id", "item_id"]), k)
 
 
 def _rank(scored: DataFrame, k: int) -> DataFrame:
@@ -42,45 +63,40 @@ def recall_full_matrix(users: DataFrame, items: DataFrame, targets: DataFrame, k
     return recall_from_topk(exact_topk(users, items, max(ks)), targets, ks, max(ks))
 
 
-def ivf_topk(users: DataFrame, items: DataFrame, k: int, cells: int = 16, nprobe: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate: items are clustered, and each user looks into the ``nprobe`` cells with the nearest centres."""
+def ivf_topk(users: DataFrame, items: DataFrame, k: int, cells: int = 16, nprobe: int = 12, seed: int = 42) -> DataFrame:
+    """Approximate: items are clustered, and each user looks into the ``nprobe`` cells with the nearest centres. The model is
+    fitted on at most ``INDEXED`` items, chosen by hash; every item is placed. Take about the root of the items as ``cells``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell").fit(items.select(array_to_vector("vec").alias("f")))
+    sample = items.orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id").limit(INDEXED)
+    model = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell").fit(sample.select(array_to_vector("vec").alias("f")))
     placed = model.transform(items.withColumn("f", array_to_vector("vec"))).select("item_id", "vec", "cell")
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centre = users.sparkSession.createDataFrame(centres, "cell int, centre array<double>")
-    from rillmark.functions.expr import dot
+    centres = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in c]).alias("centre"), F.lit(i).alias("cell")) for i, c in enumerate(model.clusterCenters())])
+    near = F.slice(F.sort_array(F.transform(centres, lambda c: F.struct((-dot(F.col("vec"), c["centre"])).alias("d"), c["cell"].alias("cell")))), 1, nprobe)
+    probes = users.select("user_id", "vec", F.explode(F.transform(near, lambda c: c["cell"])).alias("cell"))
+    return cell_topk(materialize(probes, "probes"), materialize(placed, "placed"), k)
 
-    w = Window.partitionBy("user_id").orderBy(F.desc(dot(F.col("vec"), F.col("centre"))), "cell")
-    probes = users.crossJoin(F.broadcast(centre)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= nprobe).select("user_id", F.col("vec").alias("uv"), "cell")
-    scored = probes.join(placed, "cell").select("user_id", "item_id", dot(F.col("uv"), F.col("vec")).alias("score"))
-    return _rank(scored, k)
 
-
-def lsh_topk(users: DataFrame, items: DataFrame, k: int, dim: int, bands: int = 8, bits: int = 6, seed: int = 42) -> DataFrame:
-    """Approximate: candidates share the signs of a band of random hyperplanes. Planes are drawn by hashes of their place."""
-    from rillmark.functions.expr import dot
+def lsh_topk(users: DataFrame, items: DataFrame, k: int, dim: int, bands: int = 6, bits: int = 4, flips: int = 1, seed: int = 42) -> DataFrame:
+    """Approximate: an item lies in one cell a band, the signs of its products with random planes; a user looks into the
+    cells of their own signs and of those with up to ``flips`` (0 or 1) of them turned. Planes are drawn by hashes of their place."""
 
     def planes(b: int, j: int) -> Column:
-        import hashlib
-
         draw = lambda i: int(hashlib.md5(f"{seed}|{b}|{j}|{i}".encode()).hexdigest()[:8], 16) / 2**32 - 0.5
         return F.array(*[F.lit(draw(i)) for i in range(dim)])
 
-    def keys(v: Column) -> Column:
+    def cells(v: Column, turned: tuple[int, ...]) -> Column:
         out = []
         for b in range(bands):
             code = sum((F.when(dot(v, planes(b, j)) > 0, F.lit(1 << j)).otherwise(F.lit(0)) for j in range(bits)), F.lit(0))
-            out.append(code + F.lit(b << bits))
-        return F.array(*out)
+            out.append(F.struct(code.alias("code"), F.lit(b << bits).alias("band")))
+        return F.flatten(F.transform(F.array(*out), lambda c: F.array(*[c["code"].bitwiseXOR(F.lit(t)) + c["band"] for t in turned])))
 
-    u = users.select("user_id", F.col("vec").alias("uv"), F.explode(keys(F.col("vec"))).alias("key"))
-    i = items.select("item_id", "vec", F.explode(keys(F.col("vec"))).alias("key"))
-    cand = u.select("user_id", "key").join(i.select("item_id", "key"), "key").select("user_id", "item_id").distinct()
-    scored = cand.join(users.withColumnRenamed("vec", "uv"), "user_id").join(items, "item_id").select("user_id", "item_id", dot(F.col("uv"), F.col("vec")).alias("score"))
-    return _rank(scored, k)
+    turned = (0, *(1 << j for j in range(bits))) if flips else (0,)
+    u = users.select("user_id", "vec", F.explode(cells(F.col("vec"), turned)).alias("cell"))
+    i = items.select("item_id", "vec", F.explode(cells(F.col("vec"), (0,))).alias("cell"))
+    return cell_topk(materialize(u, "probes"), materialize(i, "placed"), k)
 
 
 def ann_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
@@ -111,18 +127,38 @@ def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int) -> Da
     return _rank(fresh, k).withColumn("score", F.round("score", 5))
 
 
-def cold_start(users: DataFrame, popular: DataFrame, k: int, most: int = 50) -> DataFrame:
-    """The most popular items for users without a vector; ``popular`` has ``item_id, n`` and at most ``most`` are used."""
-    w = Window.orderBy(F.desc("n"), "item_id")
-    best = popular.orderBy(F.desc("n"), "item_id").limit(min(k, most)).withColumn("rank", F.row_number().over(w))
+def cold_start(users: DataFrame, popular: DataFrame, k: int, most: int = 50, catalogue: DataFrame | None = None) -> DataFrame:
+    """The most popular items for users without a vector; ``popular`` has ``item_id, n`` and at most ``most`` are used. Where it has
+    fewer than ``k``, a seeded sample of the ``catalogue`` fills the list."""
+    count = min(k, most)
+    ranked = popular.orderBy(F.desc("n"), "item_id").limit(count).select("item_id", F.lit(0).alias("source"), "n")
+    if catalogue is not None:
+        more = sample_catalogue(catalogue.select("item_id").distinct().join(ranked, "item_id", "left_anti"), count)
+        ranked = ranked.unionByName(more.select("item_id", F.lit(1).alias("source"), F.lit(0).cast("bigint").alias("n")))
+    w = Window.orderBy("source", F.desc("n"), seeded_md5(42, F.when(F.col("source") == 1, F.col("item_id"))), "item_id")  # of at most 2 x most rows
+    best = ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count)
     return users.select("user_id").crossJoin(F.broadcast(best)).select("user_id", "item_id", F.lit(0.0).alias("score"), "rank", F.lit(True).alias("cold"))
 
 
-def heldout_hits(lists: DataFrame, targets: DataFrame, catalogue_size: int, k: int) -> DataFrame:
-    """Hit rate at ``k`` of each list against its user's target, beside that of random lists."""
-    hit = targets.join(lists.select("user_id", F.col("item_id").alias("target"), "rank"), ["user_id", "target"], "left")
-    rate = F.avg((F.coalesce(F.col("rank") <= k, F.lit(False))).cast("double"))
-    return hit.agg(F.count(F.lit(1)).alias("n_targets"), rate.alias("hit_rate"), F.lit(k / catalogue_size).alias("random_rate"), (rate > 10 * k / catalogue_size).alias("beats_random"))
+def serve(users: DataFrame, vectors: DataFrame, items: DataFrame, seen: DataFrame, popular: DataFrame, k: int) -> DataFrame:
+    """``user_id, item_id, score, rank, cold``: recommendations for users with a vector, popular items for the others."""
+    warm = recommend(vectors, items, seen, k).withColumn("cold", F.lit(False))
+    cold = users.select("user_id").join(vectors.select("user_id"), "user_id", "left_anti")
+    return warm.unionByName(cold_start(cold, popular, k, catalogue=items))
+
+
+def heldout_hits(lists: DataFrame, baseline: DataFrame, targets: DataFrame, catalogue_size: int, k: int) -> DataFrame:
+    """Hit rate at ``k`` of the served lists against each user's target, beside a training-free baseline and random lists; whether it
+    is more than ten times random, and at least 0.8 times the baseline."""
+    hits = targets
+    for name, df in (("served", lists), ("free", baseline)):
+        one = df.where(F.col("rank") <= k).select("user_id", F.col("item_id").alias("target"), F.lit(1.0).alias(name)).distinct()
+        hits = hits.join(one, ["user_id", "target"], "left")
+    rate, free, random = F.avg(F.coalesce("served", F.lit(0.0))), F.avg(F.coalesce("free", F.lit(0.0))), k / catalogue_size
+    return hits.agg(
+        F.count(F.lit(1)).alias("n_targets"), rate.alias("hit_rate"), free.alias("baseline_rate"), F.lit(random).alias("random_rate"),
+        (rate > 10 * random).alias("beats_random"), (rate >= 0.8 * free).alias("holds_baseline"),
+    )
 
 
 def space_check(queries: DataFrame, index: DataFrame) -> DataFrame:

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillmark.functions.expr import cosine, dot, hash_unit, l2_normalise
+from rillmark.functions.expr import cosine, hash_unit, l2_normalise
 
 NO_HISTORY = float("-inf")
+#: A user's candidates are cut into parts of about so many rows; the place of candidates behind any history.
+MANY, CANDIDATE = 10_000, 1_000_000
+#: Scores are compared after rounding, so that sums in another order don't change the order of ties.
+DIGITS = 9
 
 
 def score_random(rows: DataFrame, seed: int = 42) -> DataFrame:
@@ -42,46 +48,65 @@ def pop_with_category(rows: DataFrame, train: DataFrame, meta: DataFrame, alpha:
     return score_category_pop(a, train, meta).withColumn("score", F.col("__a") + alpha * F.col("score")).drop("__a")
 
 
-def similarities(rows: DataFrame, histories: DataFrame, vectors: DataFrame, last: int = 200) -> DataFrame:
-    """``user_id, item_id, pos, history_item, sim``: cosine of each candidate with each of the user's last items. Unknown
-    items have the zero vector, so their similarity is 0. The rows are those of the candidates times ``last`` at most."""
+def _user_streams(rows: DataFrame, histories: DataFrame, vectors: DataFrame, last: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each user's last items and then their candidates, as one sorted stream: ``user_id, salt, place, item_id, vec`` and the
+    carried columns. ``place`` is the item's place in the history, and ``CANDIDATE`` for candidates. Vectors have unit length; unknown
+    items have none. Candidates of users with more than ``MANY`` of them are spread over salts, each with the history."""
     unit = vectors.select("item_id", l2_normalise(F.col("vec")).alias("vec"))
+    n = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > MANY)
+    many = n.select("user_id", F.ceil(F.col("__n") / MANY).cast("int").alias("salts"))  # at most one row in MANY
+    salts = F.coalesce("salts", F.lit(1))
     recent = F.slice("history", -F.least(F.size("history"), F.lit(last)), last)
-    seen = histories.where(F.size("history") > 0).select("user_id", F.posexplode(recent).alias("pos", "history_item"))
-    hist = seen.join(unit.select(F.col("item_id").alias("history_item"), F.col("vec").alias("hv")), "history_item", "left")
-    cand = rows.select("user_id", "item_id").join(unit.withColumnRenamed("vec", "cv"), "item_id", "left")
-    return cand.join(hist, "user_id").select("user_id", "item_id", "pos", "history_item", F.coalesce(dot(F.col("cv"), F.col("hv")), F.lit(0.0)).alias("sim"))
-
+    wanted = histories.where(F.size("history") > 0).join(rows.select("user_id").distinct(), "user_id", "left_semi").join(F.broadcast(many), "user_id", "left")
+    flat = wanted.select("user_id", salts.alias("salts"), F.posexplode(recent).alias("place", "item_id")).join(unit, "item_id", "left")
+    seen = flat.select("user_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "place", "item_id", "vec", *[F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in carry])
+    placed = rows.select("user_id", "item_id", *carry).join(F.broadcast(many), "user_id", "left")
+    salt = F.pmod(F.xxhash64("item_id"), salts).cast("int")
+    asked = placed.select("user_id", salt.alias("salt"), F.lit(CANDIDATE).alias("place"), "item_id", *carry).join(unit, "item_id", "left")
+    both = seen.unionByName(asked.select(*seen.columns))
+    return both.repartition("user_id", "salt").sortWithinPartitions("user_id", "salt", "place")
+
+
+def _scored_streams(batches: Iterator[pd.DataFrame], emit) -> Iterator[pd.DataFrame]:
+    """Reads ``_user_streams``, holding one history at a time, and hands each run of candidates to ``emit(candidates, vectors,
+    history)``, where the history has ``place, item_id, known`` and ``matrix``."""
+    now, held = None, []
+
+    def matrix(vecs, dim: int) -> np.ndarray:
+        return np.stack([np.zeros(dim) if v is None else np.asarray(v) for v in vecs]) if len(vecs) else np.zeros((0, dim))
 
-def score_content_knn(rows: DataFrame, histories: DataFrame, vectors: DataFrame, last: int = 200, how: str = "max") -> DataFrame:
-    """Greatest (or mean) cosine of the candidate with the user's last items; users without a history score minus infinity."""
-    agg = (F.max if how == "max" else F.avg)("sim").alias("__s")
-    best = similarities(rows, histories, vectors, last).groupBy("user_id", "item_id").agg(agg)
-    return rows.join(best, ["user_id", "item_id"], "left").withColumn("score", F.coalesce("__s", F.lit(NO_HISTORY))).drop("__s")
+    for b in batches:
+        out = []
+        key = list(zip(b["user_id"].tolist(), b["salt"].tolist(), strict=True))
+        cuts = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)] if key else [0]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            part = b.iloc[s:e]
+            if key[s] != now:
+                now, held = key[s], []
+            old, new = part[part["place"] < CANDIDATE], part[part["place"] == CANDIDATE]
+            held += zip(old["place"].tolist(), old["item_id"].tolist(), old["vec"], strict=True)
+            if len(new):
+                dim = next((len(v) for v in [*[h[2] for h in held], *new["vec"]] if v is not None), 1)
+                history = {
+                    "place": np.array([h[0] for h in held], dtype=np.int64), "item_id": np.array([h[1] for h in held], dtype=np.int64),
+                    "known": np.array([h[2] is not None for h in held], dtype=bool), "matrix": matrix([h[2] for h in held], dim),
+                }
+                out.append(emit(new, matrix(new["vec"].tolist(), dim), history))
+        yield from out
 
 
-def score_content_knn_blocked(rows: DataFrame, histories: DataFrame, vectors: DataFrame, last: int = 200) -> DataFrame:
-    """The same score by one matrix product a user: candidates and histories, grouped by user, meet in Arrow batches."""
-    unit = vectors.select("item_id", l2_normalise(F.col("vec")).alias("vec"))
-    recent = F.slice("history", -F.least(F.size("history"), F.lit(last)), last)
-    hist = histories.where(F.size("history") > 0).select("user_id", F.posexplode(recent).alias("pos", "item_id")).join(unit, "item_id", "left")
-    cand = rows.select("user_id", "item_id").join(unit.withColumnRenamed("vec", "cv"), "item_id", "left")
-    hist, cand = hist.select(F.col("user_id").alias("u"), F.col("vec").alias("hv")), cand.select("user_id", "item_id", "cv")
-
-    def matrix(vecs: pd.Series) -> np.ndarray:
-        dim = next((len(v) for v in vecs if v is not None), 1)
-        return np.stack([np.zeros(dim) if v is None else np.asarray(v) for v in vecs]) if len(vecs) else np.zeros((0, dim))
+def score_content_knn(rows: DataFrame, histories: DataFrame, vectors: DataFrame, last: int = 200, how: str = "max") -> DataFrame:
+    """Greatest (or mean) cosine of the candidate with the user's last items; unknown items count as zero vectors, and users
+    without a history score minus infinity. One matrix product a user and batch."""
 
-    def one(c: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        if not len(c):
-            return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
-        if not len(h):
-            return pd.DataFrame({"user_id": c["user_id"], "item_id": c["item_id"], "score": NO_HISTORY})
-        a, b = matrix(c["cv"]), matrix(h["hv"])
-        sims = a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(a), len(b)))
-        return pd.DataFrame({"user_id": c["user_id"], "item_id": c["item_id"], "score": sims.max(1)})
+    def emit(cand: pd.DataFrame, vecs: np.ndarray, history: dict) -> pd.DataFrame:
+        sims = vecs @ history["matrix"].T
+        score = np.full(len(cand), NO_HISTORY) if not sims.shape[1] else sims.max(1) if how == "max" else sims.mean(1)
+        return cand[["user_id", "item_id", *carry]].assign(score=score)
 
-    return cand.groupBy("user_id").cogroup(hist.groupBy("u")).applyInPandas(one, "user_id long, item_id long, score double")
+    carry = tuple(c for c in rows.columns if c not in ("user_id", "item_id"))
+    types = T.StructType([*rows.select("user_id", "item_id", *carry).schema.fields, T.StructField("score", T.DoubleType())])
+    return _user_streams(rows, histories, vectors, last, carry).mapInPandas(partial(_scored_streams, emit=emit), types).select(*rows.columns, "score")
 
 
 def score_pooled_cosine(rows: DataFrame, user_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -92,16 +117,65 @@ def score_pooled_cosine(rows: DataFrame, user_vectors: DataFrame, vectors: DataF
 
 
 def history_search(rows: DataFrame, histories: DataFrame, vectors: DataFrame, k: int, last: int = 200) -> DataFrame:
-    """The ``k`` history items most like each candidate, with their rank."""
-    w = Window.partitionBy("user_id", "item_id").orderBy(F.desc(F.round("sim", 9)), "pos")
-    return similarities(rows, histories, vectors, last).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def target_attention(found: DataFrame, dim: int) -> DataFrame:
-    """``user_id, item_id, score``: mean similarity under softmax weights of the scaled similarities."""
-    w = Window.partitionBy("user_id", "item_id")
-    weight = F.exp((F.col("sim") - F.max("sim").over(w)) * float(dim) ** 0.5)
-    return found.withColumn("__w", weight).groupBy("user_id", "item_id").agg((F.sum(F.col("__w") * F.col("sim")) / F.sum("__w")).alias("score"))
+    """``user_id, item_id, pos, history_item, sim, rank``: the ``k`` known history items most like each candidate."""
+
+    def emit(cand: pd.DataFrame, vecs: np.ndarray, history: dict) -> pd.DataFrame:
+        known = history["known"]
+        sims, place, item = vecs @ history["matrix"][known].T, history["place"][known], history["item_id"][known]
+        order = np.lexsort((np.broadcast_to(place, sims.shape), -sims.round(9)))[:, :k]
+        row, rank = np.repeat(np.arange(len(cand)), order.shape[1]), np.tile(np.arange(1, order.shape[1] + 1), len(cand))
+        at = order.ravel()
+        return pd.DataFrame({
+            "user_id": cand["user_id"].to_numpy()[row], "item_id": cand["item_id"].to_numpy()[row], "pos": place[at], "history_item": item[at], "sim": sims[row, at], "rank": rank,
+        })
+
+    schema = "user_id long, item_id long, pos int, history_item long, sim double, rank int"
+    return _user_streams(rows, histories, vectors, last).mapInPandas(partial(_scored_streams, emit=emit), schema)
+
+
+def _attention(vecs: np.ndarray, history: dict, allowed: np.ndarray, k: int | None = None) -> np.ndarray:
+    """Each candidate's mean of history vectors under softmax weights of the scaled products; zero where none is allowed."""
+    h = history["matrix"]
+    if not len(h):
+        return np.zeros(vecs.shape)
+    logits = np.where(allowed, (vecs @ h.T) * np.sqrt(h.shape[1]), -np.inf)
+    if k is not None and k < logits.shape[1]:
+        logits = np.where(np.argsort(np.argsort(-logits, axis=1, kind="stable"), axis=1) < k, logits, -np.inf)
+    top = logits.max(1, keepdims=True)
+    w = np.exp(logits - np.where(np.isfinite(top), top, 0.0))
+    return (w @ h) / np.maximum(w.sum(1, keepdims=True), 1e-300)
+
+
+def target_attention(rows: DataFrame, histories: DataFrame, vectors: DataFrame, last: int = 200, k: int | None = None) -> DataFrame:
+    """``user_id, item_id, vec``: the attention vector of each candidate over the known history items, or over the ``k`` most
+    like it; the zero vector for users without any."""
+
+    def emit(cand: pd.DataFrame, vecs: np.ndarray, history: dict) -> pd.DataFrame:
+        allowed = np.broadcast_to(history["known"], (len(vecs), len(history["known"])))
+        return cand[["user_id", "item_id"]].assign(vec=list(_attention(vecs, history, allowed, k)))
+
+    return _user_streams(rows, histories, vectors, last).mapInPandas(partial(_scored_streams, emit=emit), "user_id long, item_id long, vec array<double>")
+
+
+def history_features(rows: DataFrame, histories: DataFrame, vectors: DataFrame, last: int = 200, own: str = "own") -> DataFrame:
+    """``user_id, item_id, pooled_cosine, max_similarity, attention``: likeness of each candidate to the user's known history:
+    to its mean, its most similar item, and its attention vector. Where the column ``own`` is true the candidate's own item is
+    left out of the history: the row is one that the history was made of."""
+
+    def emit(cand: pd.DataFrame, vecs: np.ndarray, history: dict) -> pd.DataFrame:
+        h = history["matrix"]
+        allowed = np.broadcast_to(history["known"], (len(vecs), len(h))) & ~(cand[own].to_numpy(dtype=bool)[:, None] & (cand["item_id"].to_numpy()[:, None] == history["item_id"]))
+        sims = vecs @ h.T
+        most = np.where(allowed, sims, -np.inf).max(1, initial=-np.inf)
+        pooled = allowed.astype(float) @ h
+        length = np.linalg.norm(pooled, axis=1) * np.linalg.norm(vecs, axis=1)
+        cosine_ = np.where(length > 1e-12, (pooled * vecs).sum(1) / np.maximum(length, 1e-300), 0.0)
+        return cand[["user_id", "item_id"]].assign(
+            pooled_cosine=cosine_, max_similarity=np.where(np.isfinite(most), most, 0.0), attention=(_attention(vecs, history, allowed) * vecs).sum(1)
+        )
+
+    schema = "user_id long, item_id long, pooled_cosine double, max_similarity double, attention double"
+    return _user_streams(rows, histories, vectors, last, (own,)).mapInPandas(partial(_scored_streams, emit=emit), schema)
 
 
 def score_all(models: dict[str, DataFrame]) -> DataFrame:
@@ -139,16 +213,12 @@ def fit_retrieval_factors(clicked: DataFrame, rank: int = 16, seed: int = 42):
 
 
 def blocked_topk(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Rows of a user block and an item block: the block's best ``k`` items of each user, by one matrix product."""
+    """Rows of a user block and an item block: the block's best ``k`` items of each user, by one matrix product; ties go to
+    the smaller item."""
     for b in batches:
-        out = []
         for users, uvecs, items, ivecs in zip(b["users"], b["uvecs"], b["items"], b["ivecs"], strict=True):
-            scores = np.stack(list(uvecs)) @ np.stack(list(ivecs)).T
-            top = min(k, scores.shape[1])
-            keep = np.argpartition(-scores, top - 1, axis=1)[:, :top] if top < scores.shape[1] else np.tile(np.arange(top), (len(scores), 1))
-            # ties at the edge of the block's list are kept whole: the last place is shared
-            edge = np.take_along_axis(scores, keep, 1).min(1)
-            for i, u in enumerate(users):
-                j = np.nonzero(scores[i] >= edge[i] - 1e-12)[0]
-                out.append(pd.DataFrame({"user_id": u, "item_id": np.asarray(items)[j], "score": scores[i, j]}))
-        yield pd.concat(out) if out else pd.DataFrame({"user_id": [], "item_id": [], "score": []})
+            items = np.asarray(items)
+            order = np.argsort(items, kind="stable")
+            scores = np.stack(list(uvecs)) @ np.stack(list(ivecs))[order].T
+            best = np.argsort(-scores.round(DIGITS), axis=1, kind="stable")[:, :k]
+            yield pd.DataFrame({"user_id": np.repeat(np.asarray(users), best.shape[1]), "item_id": items[order][best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})

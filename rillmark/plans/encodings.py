@@ -8,15 +8,16 @@ from rillmark.functions import expr
 from rillmark.operators import joins, vectors, vocab
 from rillmark.plans.base import IX, META, UNIT, VEC, query, rounded
 from rillmark.plans.profiles import histories
+from rillmark.scratch import new_folder
 from rillmark.sources import io
 from rillmark.sources import tables as T
 
 DIM = 64
-_VOCAB = "voc AS (SELECT item_id AS id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT vec_id AS item_id FROM embeddings WHERE vec_id % 3 > 0))"
+_VOCAB = "voc AS (SELECT item_id AS id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT vec_id AS item_id FROM embeddings))"
 
 
 def _vocab(s, d):
-    return vocab.build_vocab(T.item_vectors(s, d).where("item_id % 3 > 0"), "item_id")
+    return vocab.build_vocab(T.item_vectors(s, d), "item_id")
 
 
 @query("build_vocab", f"WITH {_VOCAB} SELECT * FROM voc")
@@ -39,9 +40,9 @@ _RANKED_ALL = """ranked AS (SELECT o_custkey AS user_id, l_partkey AS item_id, r
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '2000-07-01')"""
 
 
-@query("encode_ragged", f"""WITH {_RANKED_ALL}, {_VOCAB} SELECT user_id, list(coalesce(idx, (SELECT count(*) FROM voc)) ORDER BY r DESC) AS codes FROM ranked LEFT JOIN voc ON id = item_id WHERE r <= 20 GROUP BY 1""")
+@query("encode_ragged", f"""WITH {_RANKED_ALL}, {_VOCAB} SELECT user_id, list(coalesce(idx, (SELECT count(*) FROM voc)) ORDER BY r DESC) AS codes FROM ranked LEFT JOIN voc ON id = item_id WHERE r <= 1000 GROUP BY 1""")
 def encode_ragged(s, d):
-    return vocab.encode_ragged(histories(s, d, 20), _vocab(s, d), "user_id", "history", "codes")
+    return vocab.encode_ragged(histories(s, d), _vocab(s, d), "user_id", "history", "codes")
 
 
 @query("vocab_coverage", f"WITH {IX}, {_VOCAB} SELECT count(*) AS n, count(id) AS n_found, round(avg((id IS NOT NULL)::INT), 6) AS coverage FROM ix LEFT JOIN voc ON id = item_id")
@@ -60,12 +61,12 @@ def category_vocab(s, d):
     return vocab.small_vocab(T.item_features(s, d), "category")
 
 
-@query("encode_categoricals", f"""WITH {META}, a AS (SELECT category, dense_rank() OVER (ORDER BY category) - 1 AS i FROM meta), b AS (SELECT city, dense_rank() OVER (ORDER BY city) - 1 AS i FROM meta WHERE city <> 'ECONOMY')
+@query("encode_categoricals", f"""WITH {META}, a AS (SELECT category, dense_rank() OVER (ORDER BY category) - 1 AS i FROM meta), b AS (SELECT city, dense_rank() OVER (ORDER BY city) - 1 AS i FROM meta)
   SELECT item_id, category, city, (SELECT any_value(i) FROM a WHERE a.category = meta.category) AS category_idx,
   coalesce((SELECT any_value(i) FROM b WHERE b.city = meta.city), (SELECT count(DISTINCT city) FROM b)) AS city_idx FROM meta""")
 def encode_categoricals(s, d):
     meta = T.item_features(s, d).select("item_id", "category", "city")
-    return vocab.encode_categoricals(meta, {"category": vocab.small_vocab(meta, "category"), "city": vocab.small_vocab(meta.where("city <> 'ECONOMY'"), "city")})
+    return vocab.encode_categoricals(meta, {"category": vocab.small_vocab(meta, "category"), "city": vocab.small_vocab(meta, "city")})
 
 
 @query("cardinalities", f"WITH {META} SELECT unnest(['category', 'city', 'province']) AS field, unnest([count(DISTINCT category) + 1, count(DISTINCT city) + 1, count(DISTINCT province) + 1]) AS cardinality FROM meta")
@@ -80,9 +81,9 @@ def key_order_check(s, d):
     return vocab.key_order_check(T.load(s, d, "events", "event_id", "user_id"), "user_id", "event_id")
 
 
-@query("key_to_row", "WITH k AS (SELECT user_id, min(event_id) AS row_index FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT c_custkey, coalesce(row_index, -1) AS row_index FROM customer LEFT JOIN k ON user_id = c_custkey")
+@query("key_to_row", "WITH k AS (SELECT user_id, min(event_id) AS row_index FROM events GROUP BY 1) SELECT c_custkey, coalesce(row_index, -1) AS row_index FROM customer LEFT JOIN k ON user_id = c_custkey")
 def key_to_row(s, d):
-    return vocab.key_to_row(T.load(s, d, "customer", "c_custkey"), T.load(s, d, "events", "event_id", "user_id").where("user_id % 2 = 0"), "c_custkey", "user_id", "event_id")
+    return vocab.key_to_row(T.load(s, d, "customer", "c_custkey"), T.load(s, d, "events", "event_id", "user_id"), "c_custkey", "user_id", "event_id")
 
 
 @query("unify_users", f"""WITH {IX}, u AS (SELECT user_id, split, count(*) AS n FROM ix GROUP BY 1, 2), b AS (SELECT user_id, arg_min(split, CASE split WHEN 'test' THEN 0 ELSE 1 END) AS split, arg_min(n, CASE split WHEN 'test' THEN 0 ELSE 1 END) AS n FROM u GROUP BY 1)
@@ -183,9 +184,12 @@ def join_item_meta(s, d):
   SELECT count(*) AS n_rows, round(avg(label), 6) AS positive_rate, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) FILTER (WHERE category IS NULL) AS n_without_meta, max(len(vec))::INT AS dim
   FROM x JOIN vec USING (item_id) LEFT JOIN meta USING (item_id)""")
 def training_join(s, d):
+    """The joined table is written as its sink has it, and the summary reads what was written."""
     rows = io.uniform_sample(T.interactions(s, d), 20_000, F.col("user_id"), F.col("item_id"))
     joined = joins.join_item_meta(joins.join_embeddings(rows, T.item_vectors(s, d)), T.item_features(s, d))
-    return rounded(joins.training_join_summary(joined))
+    path = new_folder(s, "training")
+    io.write_zstd(joined, path)
+    return rounded(joins.training_join_summary(s.read.schema(joined.schema).parquet(path)))
 
 
 @query("join_loss_audit", f"""WITH {IX} SELECT count(*) AS n_sampled, count(vec_id) AS n_matched, round(avg((vec_id IS NOT NULL)::INT), 6) AS retention, round(avg(ix.label), 6) AS rate_before, round(avg(ix.label) FILTER (WHERE vec_id IS NOT NULL), 6) AS rate_after,

@@ -11,11 +11,13 @@ from rillmark.operators import joins, metrics, retrieval, scorers, sequences, tr
 from rillmark.operators import profile as P
 from rillmark.plans.base import CLICKS, IX, META, RANKED, UNIT, VEC, query, rounded
 from rillmark.plans.profiles import histories, train_purchases
+from rillmark.scratch import materialize
 from rillmark.sources import io
 from rillmark.sources import tables as T
 
 DIM = 64
-HIST = RANKED + ", hist AS (SELECT user_id, list(item_id ORDER BY r DESC) AS h FROM ranked WHERE r <= 1000 GROUP BY 1)"
+_HIST = "hist AS (SELECT user_id, list(item_id ORDER BY r DESC) AS h FROM ranked WHERE r <= 1000 GROUP BY 1)"
+HIST = f"{RANKED}, {_HIST}"
 
 
 @query("user_history", f"WITH {HIST} SELECT user_id, h AS history FROM hist")
@@ -74,16 +76,31 @@ def session_ttl(s, d):
     return cut.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"))
 
 
+_COLUMNS = ("nation", "segment", "balance", "region", "wealth", "category", "city", "province")
+_CODES = ", ".join(f"(dense_rank() OVER (ORDER BY {c}) - 1)::BIGINT AS {c}_idx" for c in _COLUMNS[:5])
+_ITEM_CODES = ", ".join(f"(dense_rank() OVER (ORDER BY {c}) - 1)::BIGINT AS {c}_idx" for c in _COLUMNS[5:])
+
+
 @query("prepared_split", f"""WITH {IX}, {META}, voc AS (SELECT item_id AS id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT vec_id AS item_id FROM embeddings)), usr AS (SELECT user_id AS id, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT user_id FROM ix)),
-  cat AS (SELECT category AS id, row_number() OVER (ORDER BY category) - 1 AS idx FROM (SELECT DISTINCT category FROM meta)) SELECT split, usr.idx AS user_idx, coalesce(voc.idx, (SELECT count(*) FROM voc)) AS item_idx, label, cat.idx AS category_idx, province
-  FROM ix JOIN usr ON usr.id = user_id LEFT JOIN voc ON voc.id = item_id LEFT JOIN meta USING (item_id) LEFT JOIN cat ON cat.id = category""")
+  people AS (SELECT c_custkey, c_nationkey AS nation, c_mktsegment AS segment, sign(c_acctbal)::INT AS balance, n_regionkey AS region, floor(c_acctbal / 1000)::BIGINT AS wealth FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  pc AS (SELECT c_custkey, {_CODES} FROM people), mc AS (SELECT item_id, {_ITEM_CODES} FROM meta)
+  SELECT split, usr.idx AS user_idx, coalesce(voc.idx, (SELECT count(*) FROM voc)) AS item_idx, label, {', '.join(f'{c}_idx' for c in _COLUMNS)}
+  FROM ix JOIN usr ON usr.id = user_id LEFT JOIN voc ON voc.id = item_id LEFT JOIN mc USING (item_id) LEFT JOIN pc ON c_custkey = user_id""")
 def prepared_split(s, d):
+    """``split, user_idx, item_idx, label`` and eight encoded columns: five of the user, three of the item. The small tables are
+    encoded before they meet the rows."""
     ix, meta = T.interactions(s, d), T.item_features(s, d)
-    users, items, cats = vocab.build_vocab(ix, "user_id"), vocab.build_vocab(T.item_vectors(s, d), "item_id"), vocab.small_vocab(meta, "category")
-    rows = joins.join_item_meta(ix.select("user_id", "item_id", "label", "split"), meta)
-    for v, c, out in ((users, "user_id", "user_idx"), (items, "item_id", "item_idx"), (cats, "category", "category_idx")):
+    region = T.load(s, d, "nation", "n_nationkey", "n_regionkey").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    wealth = T.load(s, d, "customer", "c_custkey", "c_acctbal").select(F.col("c_custkey").alias("user_id"), F.floor(F.col("c_acctbal") / 1000).alias("wealth"))
+    people = T.demographics(s, d).join(region, "nation").join(wealth, "user_id")
+    for c in _COLUMNS[:5]:
+        people = vocab.encode_ids(people, vocab.small_vocab(people, c), c, f"{c}_idx").drop(c)
+    for c in _COLUMNS[5:]:
+        meta = vocab.encode_ids(meta, vocab.small_vocab(T.item_features(s, d), c), c, f"{c}_idx").drop(c)
+    rows = joins.join_item_meta(ix.select("user_id", "item_id", "label", "split"), meta).join(people, "user_id", "left")
+    for v, c, out in ((vocab.build_vocab(ix, "user_id"), "user_id", "user_idx"), (vocab.build_vocab(T.item_vectors(s, d), "item_id"), "item_id", "item_idx")):
         rows = vocab.encode_ids(rows, v, c, out)
-    return rows.select("split", "user_idx", "item_idx", "label", "category_idx", "province")
+    return rows.select("split", "user_idx", "item_idx", "label", *[f"{c}_idx" for c in _COLUMNS])
 
 
 @query("pos_weight", f"WITH {IX} SELECT round(avg(label), 6) AS positive_rate, round((1 - avg(label)) / greatest(avg(label), 1e-6), 6) AS pos_weight FROM ix WHERE split = 'train'")
@@ -141,11 +158,19 @@ def stratified_negatives(s, d):
 
 
 @query("split_leakage", f"""WITH {CLICKS}, a AS (SELECT 'random' AS scheme, *, CASE WHEN {_UNIT32.format('event_id')} < 0.1 THEN 'test' ELSE 'train' END AS split FROM clicks UNION ALL SELECT 'temporal', *, CASE WHEN ts < (SELECT date_trunc('day', max(ts)) FROM clicks) THEN 'train' ELSE 'test' END FROM clicks),
-  u AS (SELECT scheme, count(*) AS k FROM (SELECT scheme, user_id FROM a GROUP BY 1, 2 HAVING count(DISTINCT split) = 2) GROUP BY 1), i AS (SELECT scheme, count(*) AS k FROM (SELECT scheme, item_id FROM a GROUP BY 1, 2 HAVING count(DISTINCT split) = 2) GROUP BY 1)
-  SELECT scheme, count(*) FILTER (WHERE split = 'test') AS n_test, any_value(u.k) AS shared_users, any_value(i.k) AS shared_items FROM a JOIN u USING (scheme) JOIN i USING (scheme) GROUP BY 1""")
+  u AS (SELECT scheme, count(*) AS k FROM (SELECT scheme, user_id FROM a GROUP BY 1, 2 HAVING count(DISTINCT split) = 2) GROUP BY 1), i AS (SELECT scheme, count(*) AS k FROM (SELECT scheme, item_id FROM a GROUP BY 1, 2 HAVING count(DISTINCT split) = 2) GROUP BY 1),
+  n AS (SELECT scheme, user_id, item_id, count(*) AS n FROM a WHERE split = 'train' GROUP BY 1, 2, 3), sc AS (SELECT scheme, (event_type = 'purchase')::INT AS label, coalesce(n, 0) AS score FROM a LEFT JOIN n USING (scheme, user_id, item_id) WHERE split = 'test'),
+  r AS (SELECT scheme, label, rank() OVER (PARTITION BY scheme ORDER BY score) + (count(*) OVER (PARTITION BY scheme, score) - 1) / 2.0::DOUBLE AS r FROM sc),
+  m AS (SELECT scheme, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label)::DOUBLE * (count(*) - sum(label))) AS auc FROM r GROUP BY 1)
+  SELECT scheme, count(*) FILTER (WHERE split = 'test') AS n_test, any_value(u.k) AS shared_users, any_value(i.k) AS shared_items, round(any_value(auc), 6) AS auc FROM a JOIN u USING (scheme) JOIN i USING (scheme) JOIN m USING (scheme) GROUP BY 1""")
 def split_leakage(s, d):
+    """What each way to split shares between its sides, and one metric under both: purchases ranked by the user's earlier events of the item."""
     log = T.clicks(s, d)
-    return training.split_overlap({"random": training.random_split(log, 0.1, [F.col("event_id")]), "temporal": training.temporal_split(log)})
+    frames = {"random": training.random_split(log, 0.1, [F.col("event_id")]), "temporal": training.temporal_split(log)}
+    scored = reduce(lambda a, b: a.unionByName(b), [f.select(F.lit(n).alias("scheme"), "user_id", "item_id", "event_type", "split") for n, f in frames.items()])
+    seen = scored.where("split = 'train'").groupBy("scheme", "user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    test = scored.where("split = 'test'").join(seen, ["scheme", "user_id", "item_id"], "left").select("scheme", (F.col("event_type") == "purchase").cast("int").alias("label"), F.coalesce("n", F.lit(0)).cast("double").alias("score"))
+    return rounded(training.split_overlap(frames).join(metrics.auc(materialize(test, "scored"), ["scheme"]), "scheme"))
 
 
 # --- scorers: all over the rows of the test split
@@ -194,58 +219,74 @@ def pop_with_category(s, d):
     return _scored(scorers.pop_with_category(_test(s, d), _train(s, d), T.item_features(s, d)))
 
 
-#: Similarities of the test rows of one user in eight with the last 20 train items: pair rows, so the work is bounded by rows x 20.
-_SIMS = f"""{IX}, te AS (SELECT user_id, item_id, label FROM ix WHERE split = 'test'), {RANKED}, {UNIT}, rec AS (SELECT user_id, item_id AS history_item, 20 - r AS o, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) - 1 AS pos FROM ranked WHERE r <= 20),
-  sims AS (SELECT te.user_id, te.item_id, rec.pos, rec.history_item, coalesce(list_inner_product(a.vec, b.vec), 0) AS sim FROM te JOIN rec USING (user_id) LEFT JOIN unit a ON a.item_id = te.item_id LEFT JOIN unit b ON b.item_id = rec.history_item)"""
+#: Similarities of the test rows with the last 200 train items.
+_REC = """rec AS (SELECT user_id, item_id AS history_item, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) - 1 AS pos FROM ranked WHERE r <= 200),
+  sims AS (SELECT te.user_id, te.item_id, rec.pos, rec.history_item, b.vec AS hv, coalesce(list_inner_product(a.vec, b.vec), 0) AS sim FROM te JOIN rec USING (user_id) LEFT JOIN unit a ON a.item_id = te.item_id LEFT JOIN unit b ON b.item_id = rec.history_item)"""
+_SIMS = f"{IX}, te AS (SELECT user_id, item_id, label FROM ix WHERE split = 'test'), {RANKED}, {UNIT}, {_REC}"
 
 
 @query("score_content_knn", f"WITH {_SIMS}, m AS (SELECT user_id, item_id, max(sim) AS score FROM sims GROUP BY 1, 2) SELECT user_id, item_id, label, round(coalesce(score, -1e9), 6) AS score FROM te LEFT JOIN m USING (user_id, item_id)")
 def score_content_knn(s, d):
-    got = scorers.score_content_knn(_test(s, d), histories(s, d), T.item_vectors(s, d), 20)
+    got = scorers.score_content_knn(_test(s, d), histories(s, d), T.item_vectors(s, d))
     return _scored(got.withColumn("score", F.greatest("score", F.lit(-1e9))))
 
 
 @query("score_content_knn_blocked", f"WITH {_SIMS}, m AS (SELECT user_id, item_id, max(sim) AS score FROM sims GROUP BY 1, 2) SELECT user_id, item_id, round(coalesce(score, -1e9), 6) AS score FROM te LEFT JOIN m USING (user_id, item_id)")
 def score_content_knn_blocked(s, d):
-    got = scorers.score_content_knn_blocked(_test(s, d), histories(s, d), T.item_vectors(s, d), 20)
+    """The same of bare keys: candidates need no label to be scored."""
+    got = scorers.score_content_knn(_test(s, d).select("user_id", "item_id"), histories(s, d), T.item_vectors(s, d))
     return rounded(got.withColumn("score", F.greatest("score", F.lit(-1e9))))
 
 
 @query("score_content_knn_mean", f"WITH {_SIMS}, m AS (SELECT user_id, item_id, avg(sim) AS score FROM sims GROUP BY 1, 2) SELECT user_id, item_id, label, round(coalesce(score, -1e9), 6) AS score FROM te LEFT JOIN m USING (user_id, item_id)")
 def score_content_knn_mean(s, d):
-    got = scorers.score_content_knn(_test(s, d), histories(s, d), T.item_vectors(s, d), 20, "mean")
+    got = scorers.score_content_knn(_test(s, d), histories(s, d), T.item_vectors(s, d), how="mean")
     return _scored(got.withColumn("score", F.greatest("score", F.lit(-1e9))))
 
 
-_POOLED = f"{HIST}, {UNIT}, " + _POOL.format(name="pp", mean="avg(vec[i])", slice="h[-200:]", vec="vec") + ", pooled AS (SELECT user_id, list(x ORDER BY i) AS v FROM pp GROUP BY 1)"
+_POOLED_LAST = _POOL.format(name="pp", mean="avg(vec[i])", slice="h[-200:]", vec="vec") + ", pooled AS (SELECT user_id, list(x ORDER BY i) AS v FROM pp GROUP BY 1)"
+_POOLED_COSINE = "coalesce(list_inner_product(v, vec) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(vec, vec))), 0)"
 
 
-@query("score_pooled_cosine", f"""WITH {IX}, te AS (SELECT user_id, item_id, label FROM ix WHERE split = 'test'), {_POOLED}
-  SELECT user_id, item_id, label, round(coalesce(list_inner_product(v, vec) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(vec, vec))), 0), 6) AS score FROM te LEFT JOIN pooled USING (user_id) LEFT JOIN vec USING (item_id)""")
+@query("score_pooled_cosine", f"""WITH {IX}, te AS (SELECT user_id, item_id, label FROM ix WHERE split = 'test'), {HIST}, {UNIT}, {_POOLED_LAST}
+  SELECT user_id, item_id, label, round({_POOLED_COSINE}, 6) AS score FROM te LEFT JOIN pooled USING (user_id) LEFT JOIN vec USING (item_id)""")
 def score_pooled_cosine(s, d):
     v = T.item_vectors(s, d)
     return _scored(scorers.score_pooled_cosine(_test(s, d), sequences.pooled(histories(s, d), v), v))
 
 
-@query("history_search", f"WITH {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(sim, 9) DESC, pos) AS rank FROM sims) SELECT user_id, item_id, pos::INT AS pos, history_item, round(sim, 6) AS sim, rank::INT AS rank FROM r WHERE rank <= 3")
+@query("history_search", f"WITH {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(sim, 9) DESC, pos) AS rank FROM sims WHERE hv IS NOT NULL) SELECT user_id, item_id, pos::INT AS pos, history_item, round(sim, 6) AS sim, rank::INT AS rank FROM r WHERE rank <= 3")
 def history_search(s, d):
-    return rounded(scorers.history_search(_test(s, d), histories(s, d), T.item_vectors(s, d), 3, 20))
+    return rounded(scorers.history_search(_test(s, d), histories(s, d), T.item_vectors(s, d), 3))
+
 
+_ATTENTION = """w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY user_id, item_id)) * 8) AS w FROM sims WHERE hv IS NOT NULL),
+  att AS (SELECT user_id, item_id, i, sum(w * hv[i]) / sum(w) AS x FROM w, range(1, 65) t(i) GROUP BY 1, 2, 3), vecs AS (SELECT user_id, item_id, list(x ORDER BY i) AS v FROM att GROUP BY 1, 2)"""
 
-@query("target_attention", f"WITH {_SIMS}, w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY user_id, item_id)) * 8) AS w FROM sims) SELECT user_id, item_id, round(sum(w * sim) / sum(w), 6) AS score FROM w GROUP BY 1, 2")
+
+@query("target_attention", f"WITH {_SIMS}, {_ATTENTION} SELECT te.user_id, te.item_id, list_transform(coalesce(v, list_transform(range(64), lambda i: 0.0::DOUBLE)), lambda x: round(x, 6)) AS vec FROM te LEFT JOIN vecs USING (user_id, item_id)")
 def target_attention(s, d):
-    return rounded(scorers.target_attention(scorers.similarities(_test(s, d), histories(s, d), T.item_vectors(s, d), 20), DIM))
+    got = scorers.target_attention(_test(s, d), histories(s, d), T.item_vectors(s, d))
+    zero = F.array_repeat(F.lit(0.0), DIM)
+    return got.select("user_id", "item_id", F.transform(F.when(F.size("vec") == DIM, F.col("vec")).otherwise(zero), lambda x: F.round(x, 6)).alias("vec"))
 
 
 def _all_scores(s, d):
-    te, tr, meta = _test(s, d), _train(s, d), T.item_features(s, d)
-    return scorers.score_all({
+    """All scorers over the test rows, written once: the metrics read them several times."""
+    te, tr, meta, v, h = _test(s, d), _train(s, d), T.item_features(s, d), T.item_vectors(s, d), histories(s, d)
+    knn = scorers.score_content_knn(te, h, v)
+    return materialize(scorers.score_all({
         "random": scorers.score_random(te), "global_pop": scorers.score_global_pop(te, tr),
         "positive_pop": scorers.score_positive_pop(te, tr), "category_pop": scorers.score_category_pop(te, tr, meta),
-    })
+        "content_knn": knn.withColumn("score", F.greatest("score", F.lit(-1e9))), "pooled_cosine": scorers.score_pooled_cosine(te, sequences.pooled(h, v), v),
+    }).withColumn("score", F.round("score", 9)), "scores")
 
 
-_ALL = _POP + ", sc AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, user_id, item_id, label, score FROM s_{m}" for m in ("random", "global_pop", "positive_pop", "category_pop")) + ")"
+_MODELS = ("random", "global_pop", "positive_pop", "category_pop", "content_knn", "pooled_cosine")
+_ALL = f"""{_POP}, {RANKED}, {UNIT}, {_REC}, {_HIST}, {_POOLED_LAST}, mk AS (SELECT user_id, item_id, max(sim) AS score FROM sims GROUP BY 1, 2),
+  s_content_knn AS (SELECT te.*, coalesce(mk.score, -1e9) AS score FROM te LEFT JOIN mk USING (user_id, item_id)),
+  s_pooled_cosine AS (SELECT te.*, {_POOLED_COSINE} AS score FROM te LEFT JOIN pooled USING (user_id) LEFT JOIN vec USING (item_id)),
+  sc AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS model, user_id, item_id, label, round(score, 9) AS score FROM s_{m}" for m in _MODELS) + ")"
 
 
 @query("score_all", f"WITH {_ALL} SELECT model, user_id, item_id, label, round(score, 6) AS score FROM sc")
@@ -309,10 +350,24 @@ def evaluate_table(s, d):
     return rounded(metrics.evaluate_table(_all_scores(s, d)))
 
 
-@query("compare_guard", f"WITH {_ALL}, {_AUC} SELECT model, round(auc, 6) AS auc, (row_number() OVER (ORDER BY round(auc, 6) DESC, model))::INT AS place, true AS comparable FROM auc_m")
+_SIZED = "sz AS (SELECT model, round(avg(n), 6) AS size FROM (SELECT model, user_id, count(*) AS n FROM sc GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query("compare_guard", f"WITH {_ALL}, {_AUC}, {_SIZED} SELECT model, round(auc, 6) AS auc, (row_number() OVER (ORDER BY round(auc, 6) DESC, model))::INT AS place, (SELECT count(DISTINCT size) = 1 FROM sz) AS comparable FROM auc_m")
 def compare_guard(s, d):
-    scored = _all_scores(s, d)
-    table = rounded(metrics.auc(scored, ["model"])).join(metrics.candidate_set_size(scored, ["model"]).select("model", "rows_per_user"), "model")
+    return _guarded(_all_scores(s, d))
+
+
+@query("compare_guard_unequal", f"WITH {_ALL.replace('sc AS (', 'sc0 AS (')}, sc AS (SELECT * FROM sc0 WHERE model <> 'random' OR item_id IN (SELECT vec_id FROM embeddings)), {_AUC}, {_SIZED} SELECT model, round(auc, 6) AS auc, (row_number() OVER (ORDER BY round(auc, 6) DESC, model))::INT AS place, (SELECT count(DISTINCT size) = 1 FROM sz) AS comparable FROM auc_m")
+def compare_guard_unequal(s, d):
+    """One model scores only items with a vector: its candidate sets are smaller, and the comparison is refused."""
+    scored, known = _all_scores(s, d), T.item_vectors(s, d).select("item_id")
+    fewer = scored.where("model = 'random'").join(known, "item_id", "left_semi").select(*scored.columns)
+    return _guarded(scored.where("model <> 'random'").unionByName(fewer))
+
+
+def _guarded(scored):
+    table = rounded(metrics.auc(scored, ["model"])).join(rounded(metrics.candidate_set_size(scored, ["model"])).select("model", "rows_per_user"), "model")
     return metrics.compare_guard(table, "auc")
 
 
@@ -328,6 +383,11 @@ def _users(s, d):
     return sequences.unit_pooled(histories(s, d), T.item_vectors(s, d))
 
 
+def _recent(s, d):
+    """Users by their last ten items."""
+    return retrieval.normalise(sequences.pooled(histories(s, d), T.item_vectors(s, d), 10, True), "user_id")
+
+
 def _items(s, d):
     return retrieval.normalise(T.item_vectors(s, d), "item_id")
 
@@ -337,6 +397,11 @@ _SPACE = f"{HIST}, {UNIT}, " + _POOL.format(name="pz", mean="sum(vec[i]) / max(n
 _TOP = _SPACE + """, tk AS (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (SELECT user_id, item_id, list_inner_product(v, vec) AS score FROM us, unit))"""
 
 
+_RECENT = _POOL.format(name="py", mean="sum(vec[i]) / max(n)", slice="h[-10:]", vec="vec") + """, ql AS (SELECT user_id, list(x ORDER BY i) AS v FROM py GROUP BY 1),
+  ur AS (SELECT user_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM ql),
+  tr_ AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (SELECT user_id, item_id, list_inner_product(v, vec) AS score FROM ur, unit))"""
+
+
 @query("exact_topk", f"WITH {_TOP} SELECT user_id, item_id, round(score, 6) AS score, rank::INT AS rank FROM tk WHERE rank <= 10")
 def exact_topk(s, d):
     return rounded(retrieval.exact_topk(_users(s, d), _items(s, d), 10))
@@ -354,9 +419,12 @@ def lsh_topk(s, d):
 
 @query("ann_recall_sweep")
 def ann_recall_sweep(s, d):
-    users, items = _users(s, d), _items(s, d)
-    exact = retrieval.exact_topk(users, items, 10)
-    parts = [retrieval.ann_recall(exact, retrieval.ivf_topk(users, items, 10, 16, n)).withColumn("nprobe", F.lit(n)) for n in (1, 4, 16)]
+    """Recall at 10 of each index by its effort: the share of cells or the number of bands looked into."""
+    users, items = materialize(_users(s, d), "users"), materialize(_items(s, d), "items")
+    exact = materialize(retrieval.exact_topk(users, items, 10), "exact")
+    found = {("ivf", n): retrieval.ivf_topk(users, items, 10, 16, n) for n in (1, 4, 12, 16)}
+    found |= {("lsh", n): retrieval.lsh_topk(users, items, 10, DIM, bands=n) for n in (1, 6)}
+    parts = [retrieval.ann_recall(exact, got).withColumns({"index": F.lit(kind), "effort": F.lit(n)}) for (kind, n), got in found.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -365,9 +433,9 @@ def catalogue_topn(s, d):
     return retrieval.catalogue_topn(_train(s, d), 100)
 
 
-@query("catalogue_category", f"WITH {IX} SELECT DISTINCT item_id, coalesce(CASE WHEN p_size > 10 THEN p_brand END, 'unknown') AS category FROM ix LEFT JOIN part ON p_partkey = item_id")
+@query("catalogue_category", f"WITH {IX} SELECT DISTINCT item_id, coalesce(p_brand, 'unknown') AS category FROM ix LEFT JOIN part ON p_partkey = item_id")
 def catalogue_category(s, d):
-    meta = T.item_features(s, d).where("province > 10").withColumn("row", F.col("item_id"))
+    meta = T.item_features(s, d).withColumn("row", F.col("item_id"))
     return retrieval.catalogue_category(joins.catalogue_union(T.interactions(s, d)), meta)
 
 
@@ -403,11 +471,26 @@ def cold_start(s, d):
     return retrieval.cold_start(cold, P.popularity(_train(s, d)), 10)
 
 
-@query("heldout_hits", f"""WITH {IX}, {_TOP}, {_TARGETS} SELECT count(*) AS n_targets, round(avg(coalesce(rank <= 10, false)::INT), 6) AS hit_rate, round(10 / (SELECT count(*) FROM embeddings), 6) AS random_rate,
-  avg(coalesce(rank <= 10, false)::INT) > 100 / (SELECT count(*) FROM embeddings) AS beats_random FROM tg LEFT JOIN (SELECT user_id, item_id AS target, rank FROM tk WHERE rank <= 10) USING (user_id, target)""")
+_COLD = """b AS (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) AS rank FROM ix WHERE split = 'train' GROUP BY 1 ORDER BY 2 LIMIT 10)"""
+
+
+@query("serve", f"""WITH {IX}, {_TOP}, {_COLD}, f AS (SELECT * FROM tk WHERE rank <= 40 AND NOT EXISTS (SELECT 1 FROM buy b WHERE b.ts < TIMESTAMP '2000-07-01' AND b.user_id = tk.user_id AND b.item_id = tk.item_id)),
+  r AS (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM f)
+  SELECT user_id, item_id, round(score, 5) AS score, rank::INT AS rank, false AS cold FROM r WHERE rank <= 10
+  UNION ALL SELECT c_custkey, item_id, 0.0, rank::INT, true FROM customer, b WHERE c_custkey NOT IN (SELECT user_id FROM us)""")
+def serve(s, d):
+    people = T.load(s, d, "customer", "c_custkey").select(F.col("c_custkey").alias("user_id"))
+    users = materialize(_users(s, d), "users")
+    return retrieval.serve(people, users, _items(s, d), train_purchases(s, d), P.popularity(_train(s, d)), 10)
+
+
+@query("heldout_hits", f"""WITH {IX}, {_TOP}, {_RECENT}, {_TARGETS}, h AS (SELECT coalesce(a.rank <= 10, false)::INT AS a, coalesce(c.rank <= 10, false)::INT AS b FROM tg LEFT JOIN (SELECT user_id, item_id AS target, rank FROM tr_ WHERE rank <= 10) a USING (user_id, target) LEFT JOIN (SELECT user_id, item_id AS target, rank FROM tk WHERE rank <= 10) c USING (user_id, target))
+  SELECT count(*) AS n_targets, round(avg(a), 6) AS hit_rate, round(avg(b), 6) AS baseline_rate, round(10 / (SELECT count(*) FROM embeddings), 6) AS random_rate, avg(a) > 100 / (SELECT count(*) FROM embeddings) AS beats_random, avg(a) >= 0.8 * avg(b) AS holds_baseline FROM h""")
 def heldout_hits(s, d):
-    items = _items(s, d)
-    return rounded(retrieval.heldout_hits(retrieval.exact_topk(_users(s, d), items, 10), _targets(s, d), items.count(), 10))
+    """Lists by the last ten items, held against the training-free lists by the whole history."""
+    items = materialize(_items(s, d), "items")
+    served, free = retrieval.exact_topk(_recent(s, d), items, 10), retrieval.exact_topk(_users(s, d), items, 10)
+    return rounded(retrieval.heldout_hits(served, free, _targets(s, d), items.count(), 10))
 
 
 @query("recall_from_topk", f"""WITH {IX}, {_TOP}, {_TARGETS}, h AS (SELECT rank FROM tg LEFT JOIN (SELECT user_id, item_id AS target, rank FROM tk WHERE rank <= 100) USING (user_id, target)) SELECT count(*) AS n_targets,
@@ -423,20 +506,24 @@ def recall_full_matrix(s, d):
     return rounded(retrieval.recall_full_matrix(_users(s, d), _items(s, d), _targets(s, d), (20,)))
 
 
-@query("full_catalogue_recall", f"""WITH {IX}, {_TOP}, {_TARGETS}, h AS (SELECT rank FROM tg LEFT JOIN (SELECT user_id, item_id AS target, rank FROM tk WHERE rank <= 50) USING (user_id, target)),
-  r AS (SELECT (row_number() OVER (ORDER BY md5(concat_ws('|', vec_id, '42')), vec_id)) AS rank, vec_id FROM embeddings), g AS (SELECT rank FROM tg LEFT JOIN r ON vec_id = target AND rank <= 50)
-  SELECT 'pooled' AS space, count(*) AS n_targets, round(avg(coalesce(rank <= 10, false)::INT), 6) AS recall_10, round(avg(coalesce(rank <= 50, false)::INT), 6) AS recall_50 FROM h
-  UNION ALL SELECT 'random', count(*), round(avg(coalesce(rank <= 10, false)::INT), 6), round(avg(coalesce(rank <= 50, false)::INT), 6) FROM g""")
+def _recall_sql(space: str, lists: str, users: str) -> str:
+    return f"""SELECT '{space}' AS space, count(*) AS n_targets, round(avg(coalesce(rank <= 10, false)::INT), 6) AS recall_10, round(avg(coalesce(rank <= 50, false)::INT), 6) AS recall_50, round(avg((u.user_id IS NOT NULL AND e.vec_id IS NOT NULL)::INT), 6) AS coverage
+  FROM tg LEFT JOIN (SELECT user_id, item_id AS target, rank FROM {lists} WHERE rank <= 50) USING (user_id, target) LEFT JOIN (SELECT user_id FROM {users}) u USING (user_id) LEFT JOIN (SELECT vec_id FROM embeddings) e ON e.vec_id = target"""
+
+
+@query("full_catalogue_recall", f"WITH {IX}, {_TOP}, {_RECENT}, {_TARGETS} {_recall_sql('pooled', 'tk', 'us')} UNION ALL {_recall_sql('recent', 'tr_', 'ur')}")
 def full_catalogue_recall(s, d):
-    targets, items = _targets(s, d), _items(s, d)
-    pooled = retrieval.exact_topk(_users(s, d), items, 50)
-    one = retrieval.sample_catalogue(items, 50)
-    from pyspark.sql import Window
-
-    ranked = one.withColumn("rank", F.row_number().over(Window.orderBy(expr.seeded_md5(42, F.col("item_id")), "item_id")))  # fifty rows
-    rand = targets.select("user_id").distinct().crossJoin(F.broadcast(ranked))
-    parts = [metrics.recall_from_topk(x, targets, (10, 50), 50).select(F.lit(n).alias("space"), "n_targets", "recall_10", "recall_50") for n, x in (("pooled", pooled), ("random", rand))]
-    return rounded(parts[0].unionByName(parts[1]))
+    """Recall over the whole catalogue in two query spaces, and the share of targets that each can reach at all."""
+    targets, items = _targets(s, d), materialize(_items(s, d), "items")
+    return rounded(reduce(lambda a, b: a.unionByName(b), [_recall(n, u, items, targets) for n, u in (("pooled", _users(s, d)), ("recent", _recent(s, d)))]))
+
+
+def _recall(space, users, items, targets):
+    users = materialize(users, "queries")
+    known = targets.join(users.select("user_id", F.lit(1).alias("u")), "user_id", "left").join(items.select(F.col("item_id").alias("target"), F.lit(1).alias("i")).distinct(), "target", "left")
+    coverage = known.agg(F.avg((F.col("u").isNotNull() & F.col("i").isNotNull()).cast("double")).alias("coverage"))
+    got = metrics.recall_from_topk(retrieval.exact_topk(users, items, 50), targets, (10, 50), 50)
+    return got.select(F.lit(space).alias("space"), "n_targets", "recall_10", "recall_50").crossJoin(coverage)
 
 
 @query("retrieval_ablation")
@@ -450,11 +537,12 @@ def retrieval_ablation(s, d):
     return rounded(parts[0].unionByName(parts[1]))
 
 
-@query("space_check", """SELECT space, max(q) AS n_queries, max(i) AS n_index, max(q) > 0 AND max(i) > 0 AS usable FROM (SELECT 'v' || (vec_id % 3) AS space, count(*) AS i, 0 AS q FROM embeddings WHERE vec_id % 3 < 2 GROUP BY 1
-  UNION ALL SELECT 'v' || (user_id % 3), 0, count(*) FROM events WHERE user_id % 3 > 0 GROUP BY 1) GROUP BY 1""")
+@query("space_check", """SELECT space, max(q) AS n_queries, max(i) AS n_index, max(q) > 0 AND max(i) > 0 AS usable FROM (SELECT 'v' || n_regionkey AS space, count(*) AS i, 0 AS q FROM nation GROUP BY 1
+  UNION ALL SELECT 'v' || c_nationkey, 0, count(*) FROM customer GROUP BY 1) GROUP BY 1""")
 def space_check(s, d):
-    tag = lambda c: F.concat(F.lit("v"), (F.col(c) % 3).cast("string")).alias("space")
-    return retrieval.space_check(T.load(s, d, "events", "user_id").where("user_id % 3 > 0").select(tag("user_id")), T.item_vectors(s, d).where("item_id % 3 < 2").select(tag("item_id")))
+    """The five regions as versions of an index, the customers' nations as those of queries."""
+    tag = lambda df, c: df.select(F.concat(F.lit("v"), F.col(c).cast("string")).alias("space"))
+    return retrieval.space_check(tag(T.load(s, d, "customer", "c_nationkey"), "c_nationkey"), tag(T.load(s, d, "nation", "n_regionkey"), "n_regionkey"))
 
 
 @query("table_manifest", """SELECT 'part' AS "table", count(*) AS n_rows, 3 AS n_columns, sum(('0x' || substr(md5(concat_ws('|', p_partkey, p_brand, p_size)), 1, 8))::BIGINT)::VARCHAR AS checksum FROM part""")
@@ -466,28 +554,64 @@ def table_manifest(s, d):
 
 
 def _features(s, d):
-    te, tr, meta, v, h = T.interactions(s, d).select("user_id", "item_id", "label", "split"), _train(s, d), T.item_features(s, d), T.item_vectors(s, d), histories(s, d)
-    rows = scorers.score_global_pop(te, tr).withColumnRenamed("score", "global_pop")
-    rows = scorers.score_category_pop(rows, tr, meta).withColumnRenamed("score", "category_pop")
-    rows = scorers.score_pooled_cosine(rows, sequences.pooled(h, v), v).withColumnRenamed("score", "pooled_cosine")
-    knn = scorers.similarities(te, h, v, 20).groupBy("user_id", "item_id").agg(F.max("sim").alias("max_similarity"))
-    return rows.join(knn, ["user_id", "item_id"], "left").na.fill(0.0, ["max_similarity"]).join(T.demographics(s, d), "user_id", "left")
-
-
-@query("ranking_features")
+    """One row a candidate. A train row is left out of the counts and of the history that it is scored by, as it was part of them."""
+    ix, tr, meta = T.interactions(s, d).select("user_id", "item_id", "label", "split"), _train(s, d), T.item_features(s, d)
+    rows = materialize(ix.withColumn("own", F.col("split") == "train"), "candidates")
+    log_count = lambda n, own: F.log1p((F.coalesce(n, F.lit(0)) - own).cast("double"))
+    is_own = F.col("own").cast("int")
+    n = tr.groupBy("item_id").agg(F.count(F.lit(1)).alias("__n"))
+    cats = meta.select("item_id", "category")
+    k = tr.where("label = 1").join(cats, "item_id").groupBy("category").agg(F.count(F.lit(1)).alias("__k"))
+    counted = rows.join(n, "item_id", "left").join(cats, "item_id", "left").join(k, "category", "left").select(
+        "user_id", "item_id", "label", "split", log_count(F.col("__n"), is_own).alias("global_pop"), log_count(F.col("__k"), is_own * F.col("label")).alias("category_pop")
+    )
+    likeness = scorers.history_features(rows.select("user_id", "item_id", "own"), histories(s, d), T.item_vectors(s, d))
+    people = vocab.encode_categoricals(T.demographics(s, d), {"segment": vocab.small_vocab(T.demographics(s, d), "segment")})
+    return counted.join(likeness, ["user_id", "item_id"]).join(people.select("user_id", "nation", "segment_idx", "balance"), "user_id", "left")
+
+
+_FEATURES = f"""{IX}, te AS (SELECT *, split = 'train' AS own FROM ix), tr AS (SELECT * FROM ix WHERE split = 'train'), {META}, {RANKED}, {UNIT},
+  g AS (SELECT item_id, count(*) AS n FROM tr GROUP BY 1), k AS (SELECT category, count(*) AS n FROM tr JOIN meta USING (item_id) WHERE label = 1 GROUP BY 1),
+  rec AS (SELECT user_id, item_id AS history_item, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) - 1 AS pos FROM ranked WHERE r <= 200),
+  sims AS (SELECT te.user_id, te.item_id, a.vec AS cv, b.vec AS hv, coalesce(list_inner_product(a.vec, b.vec), 0) AS sim FROM te JOIN rec USING (user_id) LEFT JOIN unit a ON a.item_id = te.item_id JOIN unit b ON b.item_id = rec.history_item WHERE NOT (own AND history_item = te.item_id)),
+  w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY user_id, item_id)) * 8) AS w FROM sims), d AS (SELECT user_id, item_id, i, any_value(cv[i]) AS c, sum(hv[i]) AS p FROM w, range(1, 65) t(i) GROUP BY 1, 2, 3),
+  c AS (SELECT user_id, item_id, sum(c * p) / nullif(sqrt(sum(c * c)) * sqrt(sum(p * p)), 0) AS pooled_cosine FROM d GROUP BY 1, 2),
+  m AS (SELECT user_id, item_id, max(sim) AS max_similarity, sum(w * sim) / sum(w) AS attention FROM w GROUP BY 1, 2),
+  seg AS (SELECT c_mktsegment AS segment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS segment_idx FROM (SELECT DISTINCT c_mktsegment FROM customer))"""
+
+
+@query("ranking_features", f"""WITH {_FEATURES} SELECT te.user_id, te.item_id, label, split, round(ln(1 + coalesce(g.n, 0) - own::INT), 6) AS global_pop, round(ln(1 + coalesce(k.n, 0) - own::INT * label), 6) AS category_pop, round(coalesce(pooled_cosine, 0), 6) AS pooled_cosine,
+  round(coalesce(max_similarity, 0), 6) AS max_similarity, round(coalesce(attention, 0), 6) AS attention, c_nationkey AS nation, segment_idx, sign(c_acctbal)::INT AS balance
+  FROM te LEFT JOIN g USING (item_id) LEFT JOIN meta USING (item_id) LEFT JOIN k USING (category) LEFT JOIN c USING (user_id, item_id) LEFT JOIN m USING (user_id, item_id) LEFT JOIN customer ON c_custkey = te.user_id LEFT JOIN seg ON seg.segment = c_mktsegment""")
 def ranking_features(s, d):
     return rounded(_features(s, d))
 
 
+def _ranked(s, d):
+    rows = materialize(_features(s, d), "features")
+    columns = ["global_pop", "category_pop", "pooled_cosine", "max_similarity", "attention", "balance"]
+    model = scorers.fit_pointwise_ranker(rows.where("split = 'train'"), columns, 2.0)
+    return scorers.score_pointwise(model, rows.where("split = 'test'")).select("user_id", "item_id", "label", "score")
+
+
 @query("pointwise_ranker")
 def pointwise_ranker(s, d):
-    rows = _features(s, d)
-    columns = ["global_pop", "category_pop", "pooled_cosine", "max_similarity", "balance"]
-    model = scorers.fit_pointwise_ranker(rows.where("split = 'train'"), columns, 2.0)
-    return rounded(scorers.score_pointwise(model, rows.where("split = 'test'")).select("user_id", "item_id", "label", "score"))
+    return rounded(_ranked(s, d))
 
 
 @query("retrieval_factors")
 def retrieval_factors(s, d):
+    """Learned item vectors."""
+    model = scorers.fit_retrieval_factors(_train(s, d).where("label = 1"))
+    return model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.transform("features", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+
+
+@query("evaluate_learned")
+def evaluate_learned(s, d):
+    """The metrics of the learned scorers, beside the best counted one, over the same rows."""
+    te = _test(s, d)
     model = scorers.fit_retrieval_factors(_train(s, d).where("label = 1"))
-    return model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.size("features").alias("dim"))
+    users = model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.col("features").cast("array<double>").alias("vec"))
+    items = model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").cast("array<double>").alias("vec"))
+    scored = scorers.score_all({"pointwise": _ranked(s, d), "factors": scorers.score_pooled_cosine(te, users, items), "positive_pop": scorers.score_positive_pop(te, _train(s, d))})
+    return rounded(metrics.evaluate_table(materialize(scored, "scores")))

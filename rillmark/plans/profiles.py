@@ -8,7 +8,8 @@ from rillmark.functions import expr
 from rillmark.operators import events as ev
 from rillmark.operators import profile as P
 from rillmark.operators import sequences
-from rillmark.plans.base import CLICKS, COUNTS, IX, META, PURCHASES, query, rounded
+from rillmark.plans.base import CLICKS, COUNTS, IX, META, PURCHASES, QUERIES, SQL, query, rounded
+from rillmark.scratch import new_folder
 from rillmark.sources import io
 from rillmark.sources import tables as T
 
@@ -40,15 +41,15 @@ def onehot_label(s, d):
     return hot.select("user_id", "item_id", expr.onehot_label(F.col("label_0")).alias("label"), expr.argmax(F.col("label_0")).alias("argmax"))
 
 
-@query("schema_contract", """WITH r AS (SELECT count(*) FILTER (WHERE user_id IS NULL) AS null_user, count(*) FILTER (WHERE ts IS NULL) AS null_ts,
-  count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'purchase')) AS other_type, count(*) FILTER (WHERE value > 90 OR value IS NULL) AS high_value FROM events)
-  SELECT unnest(['null_user', 'null_ts', 'other_type', 'high_value']) AS rule, unnest([null_user, null_ts, other_type, high_value]) AS n_violations FROM r""")
+@query("schema_contract", f"""WITH {IX}, r AS (SELECT count(*) FILTER (WHERE ix.user_id IS NULL OR vec_id IS NULL) AS null_key, count(*) FILTER (WHERE len([1 - ix.label, ix.label]) <> 2) AS onehot_length, count(*) FILTER (WHERE ix.label NOT IN (0, 1)) AS label_range,
+  count(*) FILTER (WHERE coalesce(len(embedding), 0) <> 64) AS vector_length FROM ix LEFT JOIN embeddings ON vec_id = item_id)
+  SELECT unnest(['null_key', 'onehot_length', 'label_range', 'vector_length', 'missing:city_code']) AS rule, unnest([null_key, onehot_length, label_range, vector_length, 1]) AS n_violations FROM r""")
 def schema_contract(s, d):
-    log = T.load(s, d, "events")
-    return P.schema_violations(log, {
-        "null_user": F.col("user_id").isNull(), "null_ts": F.col("ts").isNull(), "other_type": ~F.col("event_type").isin("click", "view", "purchase"),
-        "high_value": (F.col("value") > 90) | F.col("value").isNull(),
-    })
+    """The samples beside the vectors of their items: rows without a vector have a null key there and no vector's length."""
+    v = T.load(s, d, "embeddings", "vec_id", "embedding")
+    joined = T.interactions(s, d).join(v, F.col("item_id") == F.col("vec_id"), "left")
+    hot = joined.select("user_id", "vec_id", "label", "embedding", F.array(1 - F.col("label"), F.col("label")).alias("label_0"))
+    return P.schema_contract(hot, ["user_id", "vec_id"], "label_0", "label", "embedding", 64, ["user_id", "label_0", "embedding", "city_code"])
 
 
 @query("rename_cast_project", "SELECT l_orderkey AS user_id, l_partkey AS item_id, (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::TINYINT AS label FROM lineitem")
@@ -134,11 +135,11 @@ def positive_popularity(s, d):
     return rounded(counts.agg(F.count(F.lit(1)).alias("n_items")).crossJoin(P.top_share(counts, (100,)).select(F.col("share").alias("top100_share"))))
 
 
-@query("sequence_length_stats", f"""WITH {PURCHASES}, h AS (SELECT least(count(*), 30) AS n FROM buy WHERE ts < TIMESTAMP '2000-07-01' GROUP BY user_id)
+@query("sequence_length_stats", f"""WITH {PURCHASES}, h AS (SELECT least(count(*), 1000) AS n FROM buy WHERE ts < TIMESTAMP '2000-07-01' GROUP BY user_id)
   SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.1), 6) AS p10, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.99), 6) AS p99,
-  max(n)::INT AS max, round(avg((n >= 30)::INT), 6) AS share_at_cap FROM h""")
+  max(n)::INT AS max, round(avg((n >= 1000)::INT), 6) AS share_at_cap FROM h""")
 def sequence_length_stats(s, d):
-    return rounded(P.sequence_length_stats(histories(s, d, 30), "history", 30))
+    return rounded(P.sequence_length_stats(histories(s, d), "history", 1000))
 
 
 def train_purchases(s, d):
@@ -202,11 +203,11 @@ def catalogue_funnel(s, d):
 
 
 @query("behaviour_profile", f"""WITH {CLICKS}, c AS (SELECT item_id, count(*) AS n FROM clicks GROUP BY 1), g AS ({_GINI.format('c')})
-  SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(DISTINCT event_type) AS n_types, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0, 6) AS days,
-  (SELECT count(*) FROM (SELECT 1 FROM clicks GROUP BY user_id, item_id, event_type, ts::DATE HAVING count(*) > 1)) AS n_repeated_groups,
+  SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(DISTINCT event_type) AS n_types, (SELECT count(DISTINCT p_brand) FROM clicks JOIN part ON p_partkey = item_id) AS n_categories,
+  round((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0, 6) AS days, (SELECT count(*) FROM (SELECT 1 FROM clicks GROUP BY user_id, item_id, event_type, ts HAVING count(*) > 1)) AS n_duplicate_groups,
   (SELECT round(avg((n = 1)::INT), 6) FROM c) AS singleton_share, (SELECT gini FROM g) AS gini, (SELECT round(sum(n) / (SELECT sum(n) FROM c), 6) FROM (SELECT n FROM c ORDER BY n DESC LIMIT 100)) AS top100_share FROM clicks""")
 def behaviour_profile(s, d):
-    return rounded(P.behaviour_profile(T.clicks(s, d)))
+    return rounded(P.behaviour_profile(T.clicks(s, d), T.item_features(s, d)))
 
 
 @query("rows_per_user", "SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, max(n) AS max FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
@@ -219,12 +220,11 @@ def behaviour_mix(s, d):
     return rounded(P.behaviour_mix(T.clicks(s, d)))
 
 
-@query("behaviour_funnel", """WITH u AS (SELECT user_id, max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END) AS d FROM events WHERE user_id % 2 = 0 OR event_type <> 'purchase' GROUP BY 1),
+@query("behaviour_funnel", """WITH u AS (SELECT user_id, max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END) AS d FROM events GROUP BY 1),
   r AS (SELECT i, count(*) FILTER (WHERE d >= i) AS n_users, count(*) FILTER (WHERE d = i) AS n_deepest FROM u, (VALUES (1), (2), (3)) t(i) GROUP BY 1)
   SELECT ['view', 'click', 'purchase'][i] AS stage, n_users, n_deepest, round(n_users / coalesce(lag(n_users) OVER (ORDER BY i), n_users), 6) AS conversion FROM r""")
 def behaviour_funnel(s, d):
-    log = T.clicks(s, d).where("user_id % 2 = 0 OR event_type <> 'purchase'")
-    return rounded(P.behaviour_funnel(log, ["view", "click", "purchase"]))
+    return rounded(P.behaviour_funnel(T.clicks(s, d), ["view", "click", "purchase"]))
 
 
 @query("latency_summary", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
@@ -239,8 +239,23 @@ def request_counts(s, d):
     return P.request_counts(T.load(s, d, "events", "user_id", "event_type"), F.col("user_id") % 7, "event_type", ["click", "error", "view"])
 
 
-@query("profile_report", f"""WITH {COUNTS}, g AS ({_GINI.format('c')}) SELECT 'popularity' AS section, 'gini' AS metric, gini AS value FROM g
-  UNION ALL SELECT 'metadata', 'items', (SELECT count(*) FROM part)::DOUBLE UNION ALL SELECT 'metadata', 'categories', (SELECT count(DISTINCT p_brand) FROM part)::DOUBLE
-  UNION ALL SELECT 'metadata', 'cities', (SELECT count(DISTINCT p_type) FROM part)::DOUBLE UNION ALL SELECT 'metadata', 'provinces', (SELECT count(DISTINCT p_size) FROM part)::DOUBLE""")
+#: The sections of the report: queries by name, and the column that names their rows where they have several.
+_SECTIONS = {
+    "label_cardinality": "split", "top_share": "k", "items_for_pct": "pct", "gini": None, "positive_popularity": None, "sequence_length_stats": None, "distinct_buckets": "field", "embedding_coverage": None,
+    "item_metadata_card": None, "top_categories": "category", "split_summary": "split", "history_summary": None, "log_histogram": "bin", "rows_per_user": None, "behaviour_mix": "event_type", "behaviour_profile": None,
+}
+
+
+def _report_sql() -> str:
+    parts = []
+    for name, key in _SECTIONS.items():
+        rest, label = (f"COLUMNS(* EXCLUDE ({key}))", f"{key}::VARCHAR || '.' || metric") if key else ("COLUMNS(*)", "metric")
+        named = f"{key}, " if key else ""
+        parts.append(f"SELECT '{name}' AS section, {label} AS metric, value FROM (UNPIVOT (SELECT {named}{rest}::DOUBLE FROM ({SQL[name]})) ON {rest} INTO NAME metric VALUE value)")
+    return " UNION ALL ".join(parts)
+
+
+@query("profile_report", _report_sql())
 def profile_report(s, d):
-    return P.report({"popularity": gini(s, d), "metadata": item_metadata_card(s, d)})
+    """Every profile as one long table, written as JSON and read back."""
+    return P.write_report(P.report({name: (QUERIES[name](s, d), key) for name, key in _SECTIONS.items()}), new_folder(s, "profile"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,135 @@ def test_recall_grows_with_probes(spark):
     assert recall[0] <= recall[1] == 1.0
 
 
+def unit_vectors(n, dim, seed, key):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dim))
+    return [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)], f"{key} long, vec array<double>"
+
+
+@pytest.mark.parametrize("index", ["ivf", "lsh"])
+def test_registered_indices_reach_nine_tenths(spark, index):
+    users, items = (spark.createDataFrame(*unit_vectors(n, 64, seed, key)).persist() for n, seed, key in ((150, 1, "user_id"), (600, 2, "item_id")))
+    got = retrieval.ivf_topk(users, items, 10) if index == "ivf" else retrieval.lsh_topk(users, items, 10, 64)
+    assert one(retrieval.ann_recall(retrieval.exact_topk(users, items, 10), got))["recall"] >= 0.9
+    assert got.groupBy("user_id").count().where("count < 10").count() == 0
+
+
+@pytest.mark.parametrize("bytes_", [64 << 20, 0])
+def test_cells_with_and_without_broadcast(spark, bytes_, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", bytes_)
+    users, items = (spark.createDataFrame(*unit_vectors(n, 8, seed, key)) for n, seed, key in ((40, 3, "user_id"), (90, 4, "item_id")))
+    got = retrieval.exact_topk(users, items, 4, 7)
+    u, i = (np.array([r["vec"] for r in df.orderBy(df.columns[0]).collect()]) for df in (users, items))
+    best = np.argsort(-(u @ i.T), axis=1)[:, :4]
+    assert sorted((r["user_id"], r["rank"], r["item_id"]) for r in got.collect()) == sorted((a, b + 1, int(best[a, b])) for a in range(40) for b in range(4))
+
+
+def test_equal_vectors_are_cut_by_item(spark):
+    items = spark.range(300).select(F.col("id").alias("item_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("vec"))
+    users = spark.range(3).select(F.col("id").alias("user_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vec"))
+    assert {(r["user_id"], r["item_id"]) for r in retrieval.exact_topk(users, items, 5, 50).collect()} == {(u, i) for u in range(3) for i in range(5)}
+
+
+def histories_of(spark, rows):
+    return spark.createDataFrame(rows, "user_id long, history array<long>")
+
+
+VECTORS = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [-1.0, 0.0]}
+
+
+def test_unknown_history_items(spark):
+    """They count as zero for the greatest similarity, and are masked for search and attention."""
+    v = spark.createDataFrame(list(VECTORS.items()), "item_id long, vec array<double>")
+    rows = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 99, 0), (4, 1, 0)], "user_id long, item_id long, label int")
+    h = histories_of(spark, [(1, [3, 99]), (2, [3, 2]), (3, [1, 2]), (4, [99])])
+    knn = {r["user_id"]: r["score"] for r in scorers.score_content_knn(rows, h, v).collect()}
+    assert knn == {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    found = {(r["user_id"], r["rank"]): (r["history_item"], r["sim"]) for r in scorers.history_search(rows, h, v, 2).collect()}
+    assert found == {(1, 1): (3, -1.0), (2, 1): (2, 0.0), (2, 2): (3, -1.0), (3, 1): (1, 0.0), (3, 2): (2, 0.0)}
+    att = {r["user_id"]: [round(x, 6) for x in r["vec"]] for r in scorers.target_attention(rows, h, v).collect()}
+    assert att[1] == [-1.0, 0.0] and att[3] == [0.5, 0.5] and att[4] == [0.0, 0.0]
+
+
+def test_own_item_is_left_out_of_the_history(spark):
+    v = spark.createDataFrame(list(VECTORS.items()), "item_id long, vec array<double>")
+    rows = spark.createDataFrame([(1, 1, True), (1, 1, False)], "user_id long, item_id long, own boolean")
+    got = [(round(r["max_similarity"], 6), round(r["attention"], 6), round(r["pooled_cosine"], 6)) for r in scorers.history_features(rows, histories_of(spark, [(1, [1, 2])]), v).collect()]
+    assert sorted(got)[0] == (0.0, 0.0, 0.0) and sorted(got)[1][0] == 1.0
+
+
+@pytest.mark.parametrize("many", [10_000, 3])
+def test_candidates_of_a_user_are_spread(spark, many, monkeypatch):
+    monkeypatch.setattr(scorers, "MANY", many)
+    rows, schema = unit_vectors(60, 4, 5, "item_id")
+    v = spark.createDataFrame(rows, schema)
+    cand = spark.createDataFrame([(u, i) for u in (1, 2) for i in range(40)] + [(3, 5)], "user_id long, item_id long")
+    h = histories_of(spark, [(1, list(range(50, 60))), (2, [7])])
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in scorers.score_content_knn(cand, h, v).collect()}
+    m = np.array([x for _, x in rows])
+    assert len(got) == 81 and got[3, 5] == float("-inf")
+    assert all(abs(got[1, i] - (m[50:] @ m[i]).max()) < 1e-9 and abs(got[2, i] - m[7] @ m[i]) < 1e-9 for i in range(40))
+
+
+def test_ranker_learns_from_likeness(spark):
+    """Users click what is like their history: the ranker finds it on users that it hasn't seen, popularity doesn't."""
+    rng = np.random.default_rng(9)
+    rows, schema = unit_vectors(200, 8, 6, "item_id")
+    m, cand, hist = np.array([x for _, x in rows]), [], []
+    for u in range(120):
+        taste = rng.normal(size=8)
+        order = np.argsort(-(m @ taste))
+        hist.append((u, [int(i) for i in order[:10]]))
+        picks = [int(i) for i in np.concatenate([order[10:15], rng.choice(order[40:], 15, replace=False)])]
+        cand += [(u, i, int(n < 5), False) for n, i in enumerate(picks)]
+    df = spark.createDataFrame(cand, "user_id long, item_id long, label int, own boolean")
+    features = df.join(scorers.history_features(df.select("user_id", "item_id", "own"), histories_of(spark, hist), spark.createDataFrame(rows, schema)), ["user_id", "item_id"]).persist()
+    model = scorers.fit_pointwise_ranker(features.where("user_id < 60"), ["pooled_cosine", "max_similarity", "attention"])
+    test = features.where("user_id >= 60")
+    pop = scorers.score_positive_pop(test.select("user_id", "item_id", "label"), df.where("user_id < 60"))
+    assert one(metrics.auc(scorers.score_pointwise(model, test)))["auc"] > max(0.9, one(metrics.auc(pop))["auc"])
+
+
+def test_cold_start_falls_back_to_a_sample(spark):
+    popular = spark.createDataFrame([(5, 9), (6, 9)], "item_id long, n long")
+    catalogue = spark.range(20).select(F.col("id").alias("item_id"))
+    got = retrieval.cold_start(spark.range(2).select(F.col("id").alias("user_id")), popular, 6, catalogue=catalogue).collect()
+    lists = {u: [r["item_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["user_id"] == u] for u in (0, 1)}
+    assert lists[0] == lists[1] and lists[0][:2] == [5, 6] and len(set(lists[0])) == 6 and {r["cold"] for r in got} == {True}
+
+
+def test_heldout_verdicts(spark):
+    lists = lambda rows: spark.createDataFrame(rows, "user_id long, item_id long, rank int")
+    targets = spark.createDataFrame([(u, 1) for u in range(10)], "user_id long, target long")
+    good, half = lists([(u, 1, 1) for u in range(10)]), lists([(u, 1, 1) for u in range(5)])
+    assert one(retrieval.heldout_hits(half, good, targets, 1000, 10)) == {"n_targets": 10, "hit_rate": 0.5, "baseline_rate": 1.0, "random_rate": 0.01, "beats_random": True, "holds_baseline": False}
+    assert one(retrieval.heldout_hits(good, half, targets, 50, 10))["beats_random"] is False
+
+
+def test_schema_contract_counts_every_rule(spark):
+    rows = [(1, [0, 1], 1, [0.0, 0.0]), (None, [1], 2, [0.0]), (2, None, None, None), (3, [1, 0], 0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "k long, label_0 array<int>, label int, vec array<double>")
+    got = {r["rule"]: r["n_violations"] for r in profile.schema_contract(df, ["k"], "label_0", "label", "vec", 2, ["k", "city"]).collect()}
+    assert got == {"null_key": 1, "onehot_length": 2, "label_range": 2, "vector_length": 2, "missing:city": 1}
+
+
+def test_skewed_join_is_split_at_run_time(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        a = spark.range(0, 60_000, 1, 8).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("k"), F.md5(F.col("id").cast("string")).alias("x"))
+        joined = a.join(spark.range(60_000).select(F.col("id").alias("k")), "k")
+        joined.collect()
+        assert "AQEShuffleRead skewed" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
 def test_salted_join_equals_join(spark):
     a = spark.range(100).select("id", (F.col("id") % 2).alias("k"))
     b = spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
@@ -215,7 +345,6 @@ def test_no_history_scores_minus_infinity(spark):
     rows = spark.createDataFrame([(9, 1, 0)], "user_id long, item_id long, label int")
     h = spark.createDataFrame([], "user_id long, history array<long>")
     assert scorers.score_content_knn(rows, h, v).first()["score"] == float("-inf")
-    assert scorers.score_content_knn_blocked(rows, h, v).first()["score"] == float("-inf")
 
 
 def test_every_stratum_with_an_unseen_item_gives_a_negative(spark):
