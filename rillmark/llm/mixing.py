@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.functions.prefix import prefix_sum
 from rillmark.llm.text import whole, words
 from rillmark.scratch import materialize
 
@@ -56,19 +57,15 @@ def targets(sized: DataFrame) -> DataFrame:
     weighted = local.join(F.broadcast(before), "part").select(
         "source", "source_size", ((F.col("rn") + F.col("offset") - 1) % 3 + 1).cast("long").alias("weight")
     )
-    level, capped = 0.0, None
-    while True:
-        above = (F.col("source_size") * MOST).cast("double") < F.lit(level) * F.col("weight")
-        total, held, free, n = weighted.agg(
-            F.sum("source_size"),
-            F.sum(F.when(above, F.col("source_size") * MOST).otherwise(0)),
-            F.sum(F.when(above, 0).otherwise(F.col("weight"))),
-            F.count_if(above),
-        ).first()
-        if n == capped or not free:
-            break
-        level, capped = ((total or 0) - held) / free, n
-    target = F.least((F.col("source_size") * MOST).cast("double"), F.lit(level) * F.col("weight"))
+    # sources in order of the level at which they stop: each one's level if it and those after it don't, in one pass of prefix sums
+    stop = (F.col("source_size") * MOST).cast("double")
+    ranked = weighted.withColumns({"stop": stop, "at": stop / F.col("weight")})
+    summed = prefix_sum(ranked, "at", {"stopped": F.col("stop"), "used": F.col("weight")})
+    total, weight = weighted.agg(F.sum("source_size"), F.sum("weight")).first()
+    free = F.lit(float(weight or 0)) - F.col("used") + F.col("weight")
+    levels = summed.select("at", ((F.lit(float(total or 0)) - F.col("stopped") + F.col("stop")) / free).alias("level"))
+    level = levels.where(F.col("at") >= F.col("level") * (1 - 1e-12)).agg(F.min_by("level", "at")).first()[0] or 0.0
+    target = F.least(stop, F.lit(level) * F.col("weight"))
     return weighted.select("source", "source_size", target.alias("target"))
 
 
@@ -141,3 +138,17 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), seed: int = 42, text: str
         out = out.unionByName(more)
     copies = F.col("d.whole") + F.col("copy")
     return out.select("d.row.*", *[F.col(f"d.{c}").alias(c) for c in ("source", "size", "text_key", "source_size", "target")], copies.alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """The documents that the mix takes, once each, with ``size, source_size, target, copies, taken``; these take the place of
+    columns of the same names. Repeated rows become one with the sum of their copies, its other columns those of one of them;
+    documents without words are never taken; an empty table gives an empty result."""
+    added = ("size", "source_size", "target", "copies", "taken")
+    kinds = {c: F.first(c) if c in ("size", "source_size", "target") else F.sum(c) for c in added}
+    key = [F.col(c).alias(f"k_{c}") for c in ("doc_id", "source", "text_key")]
+    mixed = mix(docs, seed=seed).groupBy(*key).agg(*[kinds[c].alias(c) for c in added]).where("copies > 0")
+    packed = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.xxhash64(whole(docs["text"])).alias("text_key"), F.struct(*[docs[c] for c in docs.columns if c not in added]).alias("doc"))
+    one = packed.groupBy("doc_id", "source", "text_key").agg(F.first("doc").alias("doc"))
+    same = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("text_key") == F.col("k_text_key"))
+    return one.join(mixed, same).select("doc.*", *added)
