@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,10 @@ def pooled(histories: DataFrame, vectors: DataFrame, last: int | None = 200, mis
     zeros. Users without any vector are absent: theirs is zero."""
     items = F.col("history") if last is None else F.slice("history", -F.least(F.size("history"), F.lit(last)), last)
     flat = histories.where(F.size("history") > 0).select("user_id", F.explode(items).alias("item_id"), F.size(items).alias("n"))
-    cells = flat.join(vectors, "item_id").select("user_id", "n", F.posexplode("vec").alias("dim", "x"))
-    mean = F.sum("x") / F.max("n") if missing_as_zero else F.avg("x")
-    per_dim = cells.groupBy("user_id", "dim").agg(mean.alias("x"))
-    listed = per_dim.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
-    return listed.select("user_id", F.transform("v", lambda c: c["x"]).alias("vec"))
+    found = flat.join(vectors, "item_id").select("user_id", "n", array_to_vector("vec").alias("v"))
+    mean = found.groupBy("user_id").agg(Summarizer.mean(F.col("v")).alias("mean"), (F.count(F.lit(1)) / F.max("n")).alias("share"))  # summed map-side
+    vec = vector_to_array("mean")
+    return mean.select("user_id", (F.transform(vec, lambda x: x * F.col("share")) if missing_as_zero else vec).alias("vec"))
 
 
 def unit_pooled(histories: DataFrame, vectors: DataFrame) -> DataFrame:
