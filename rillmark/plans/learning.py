@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from rillmark.functions import expr
 from rillmark.operators import joins, metrics, retrieval, scorers, sequences, training, vocab
 from rillmark.operators import profile as P
 from rillmark.plans.base import CLICKS, IX, META, RANKED, UNIT, VEC, query, rounded
