@@ -8,7 +8,8 @@ size. The number of copies of a source stays within one of its expectation, and
 its words, nearly.
 
 Defined cases: a null text has size 0 and nothing is taken of it; texts of any length count whole; a null source is a source of its
-own, last in order; repeated rows are drawn one by one; rows of equal size and hash meet in the order of their draws; an empty table
+own, last in order; repeated rows are drawn one by one; rows of equal size and hash meet in the order of their draws; sources
+that stop at one level, as sources of equal or proportional sizes do, stop together or not at all; an empty table
 gives an empty result. Draws are hashes of a row's key, text and seed, so reruns agree. Other columns are carried along if asked
 for, under their own names, but for those that the mix itself computes, which take their place.
 """
@@ -57,10 +58,11 @@ def targets(sized: DataFrame) -> DataFrame:
     weighted = local.join(F.broadcast(before), "part").select(
         "source", "source_size", ((F.col("rn") + F.col("offset") - 1) % 3 + 1).cast("long").alias("weight")
     )
-    # sources in order of the level at which they stop: each one's level if it and those after it don't, in one pass of prefix sums
+    # classes of sources in order of the level at which they stop, equal ones together: each class's level if it and those after
+    # it don't stop, in one pass of prefix sums; the first class that its own level leaves free fixes the level of all
     stop = (F.col("source_size") * MOST).cast("double")
-    ranked = weighted.withColumns({"stop": stop, "at": stop / F.col("weight")})
-    summed = prefix_sum(ranked, "at", {"stopped": F.col("stop"), "used": F.col("weight")})
+    classes = weighted.groupBy((stop / F.col("weight")).alias("at")).agg(F.sum(stop).alias("stop"), F.sum("weight").alias("weight"))
+    summed = prefix_sum(classes, "at", {"stopped": F.col("stop"), "used": F.col("weight")})
     total, weight = weighted.agg(F.sum("source_size"), F.sum("weight")).first()
     free = F.lit(float(weight or 0)) - F.col("used") + F.col("weight")
     levels = summed.select("at", ((F.lit(float(total or 0)) - F.col("stopped") + F.col("stop")) / free).alias("level"))

@@ -45,7 +45,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = url_filters.fit(url_filters.content_labels(_read(spark, sf_dir, "pages", "url", "html")))
+    pages = _read(spark, sf_dir, "pages", "url", "html")
+    model = url_filters.fit(url_filters.content_labels(pages).unionByName(url_filters.rule_labels(pages)))
     return url_filters.judge(_read(spark, sf_dir, "pages", "page_id", "url"), model).select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 

@@ -8,10 +8,12 @@ by heart; statistics are kept in ``BUCKETS`` hashed places, so scoring needs no
 has blocked the unwanted with a precision of ``PRECISION`` on hosts which the trees haven't seen: where no score does, as where
 labels have nothing to do with URLs, none is blocked.
 
-Labels are given, or come from the pages themselves: ``content_labels`` marks the URLs whose page fails the quality rules.
+Labels are given, or come from what is there: ``content_labels`` marks the undecided URLs whose page fails the quality rules, and
+``rule_labels`` those that the rule list blocks.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule fits, and the trees judge its empty
-features; with no labels, or labels of one class only, every undecided URL is allowed; a URL labelled both ways counts by its
+features; with no labels, labels of one class only, or only one class among the hosts that the trees may learn from (as where all
+URLs have one host), every undecided URL is allowed; a URL labelled both ways counts by its
 majority, a tie as wanted; repeated rows are judged alike; URLs of any length are read whole; an empty table gives an empty
 result. Columns other than the URL, the page and the key, whatever their names, are passed along in ``row``.
 """
@@ -152,6 +154,14 @@ def content_labels(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: st
     return led.select(F.col("doc_id").alias("url"), quality_rules.rejected(quality_rules.STRICT).cast("int").alias("label"))
 
 
+def rule_labels(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", most: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """``url, label`` of a sample of the URLs that a rule decides: 1 where it blocks them."""
+    host, path = split_url(F.col(url))
+    judged = pages.select(F.col(url).cast("string").alias("url"), host.alias("host"), path.alias("path")).select("url", longest_rule(F.col("host"), F.col("path"), rules).alias("best")).where("best is not null")
+    chosen = sample_urls(judged.select("url"), most, seed)
+    return judged.join(F.broadcast(chosen), "url", "left_semi").select("url", (F.col("best.verdict") == "block").cast("int").alias("label")).distinct()
+
+
 def _bucket(s: Column) -> Column:
     return F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int")
 
@@ -217,12 +227,12 @@ def fit(labelled: DataFrame, seed: int = 42) -> UrlModel:
     chosen = usable.join(F.broadcast(sample_urls(usable, SAMPLE, seed)), "url", "left_semi").groupBy("url").agg((F.avg("label") > 0.5).cast("int").alias("label"))
     fold = F.pmod(F.xxhash64("host", F.lit(seed)), F.lit(FOLDS)).cast("int")
     sample = materialize(lexical(chosen).select("row.label", fold.alias("fold"), *[c for c in lexical(chosen).columns if c != "row"]), "labelled-urls")
-    n, bad = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
+    n, bad = sample.where("fold > 0").agg(F.count(F.lit(1)), F.sum("label")).first()  # fold 0 is for choosing the cut
     if not n or bad in (0, n):
         return UrlModel(None, {})
     model = UrlModel(None, _tables(sample))
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.3, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed)
-    rows = materialize(model.features(sample, F.col("fold")).select("features", F.col("label").cast("double").alias("label"), "fold"), "url-features")
+    rows = materialize(model.features(sample, F.col("fold")).select("features", F.col("label").cast("double").alias("label"), "fold").coalesce(1), "url-features")  # of SAMPLE rows
     model.trees = trees.fit(rows.where("fold > 0"))
     held = model.trees.transform(rows.where("fold = 0")).select(F.get(vector_to_array("probability"), 1).alias("score"), "label").collect()  # of SAMPLE rows
     model.cut = _cut([(r["score"], r["label"]) for r in held])

@@ -374,6 +374,29 @@ def test_token_cache(spark, docs, empty):
     assert token_counts.count_tokens(rare, path) == len(library.encode(rare, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("hosts", [["one.example.com"], ["one.example.com", "two.example.net"]])
+def test_urls_of_few_hosts(spark, hosts):
+    """Whichever folds they fall into, trees that can't be fitted or tested allow what no rule decides."""
+    rows = [(f"https://{hosts[i % len(hosts)]}/fr/{i}?x={i * i}", int(i % 3 == 0)) for i in range(90)]
+    urls = spark.createDataFrame(rows, "url string, label int")
+    assert {r["verdict"] for r in url_filters.judge(urls, url_filters.fit(urls)).select("verdict").distinct().collect()} <= {"allow", "block"}
+
+
+def test_urls_with_one_class_outside_the_first_fold(spark):
+    fold = lambda host: spark.range(1).select((F.pmod(F.xxhash64(F.lit(host), F.lit(42)), F.lit(url_filters.FOLDS))).alias("f")).first()["f"]
+    hosts = [f"h{i}.example.com" for i in range(40)]
+    rows = [(f"http://{h}/fr/{i}", int(fold(h) == 0)) for i, h in enumerate(hosts)]
+    urls = spark.createDataFrame(rows, "url string, label int")
+    got = url_filters.judge(urls, url_filters.fit(urls)).select("verdict", "score").distinct().collect()
+    assert [(r["verdict"], r["score"]) for r in got] == [("allow", 0.0)]
+
+
+def test_rule_labels(spark):
+    urls = ["http://a.example.com/en/1", "http://example.com/en/7", "http://b.net/de/x", "http://c.org/es/", "http://d.org/fr/", None, "junk", "http://c.org/es/"]
+    got = url_filters.rule_labels(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert sorted((r["url"], r["label"]) for r in got) == [(urls[0], 1), (urls[2], 0), (urls[1], 0), (urls[3], 1)]
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs, ("lang",)).collect()
     assert len(got) == N and sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs, ("lang",)).collect()))
@@ -438,6 +461,33 @@ def test_a_node_replayed_row_by_row(spark):
         assert rest == [] if held is None else rest[0][0] == held[0] and abs(rest[0][1] - held[1]) < 1e-9
 
 
+def plain_targets(sizes):
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight, total, fixed = {s: 1 + i % 3 for i, s in enumerate(names)}, sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        share = {s: (total - sum(fixed.values())) * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s: 3.0 * sizes[s] for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            return fixed | share
+        fixed |= over
+
+
+@pytest.mark.parametrize("sizes", [[10] * 6, [10, 20, 30] * 2, [7], [0, 5], [0], [1, 2, 3, 1, 2, 300], [30, 20, 10] * 4, [1, 1, 1, 50, 50, 50], [10] * 200, [1 + i % 7 for i in range(200)]])
+def test_targets_of_sources_that_stop_together(spark, sizes):
+    """Equal and proportional sources, one source, sources without words."""
+    named = {f"s{i:03}": n for i, n in enumerate(sizes)}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(named.items()), "source string, size long")).collect()}
+    assert got == pytest.approx(plain_targets(named))
+    assert sum(got.values()) == pytest.approx(sum(sizes)) and min(got.values()) >= 0
+
+
+def test_mixing_stage_of_proportional_sources(spark, tmp_path):
+    rows = [(i, " ".join(["word"] * (10 * (1 + i % 3))), f"s{i % 6}") for i in range(60)]
+    out = corpus_pipeline.mixing_stage(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert out and all(r["target"] == r["source_size"] == 10 * r["size"] and r["taken"] == r["size"] for r in out)
+
+
 def test_targets_stop_and_are_shared_again(spark):
     sizes = {None: 7, **{f"s{i:02}": s for i, s in enumerate([1, 1, 2, 500, 3, 1000, 40, 5, 90, 2000])}}
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
