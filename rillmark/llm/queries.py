@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.llm import (
     chat_format,
+    curve_search,
     decontaminate,
     digest_store,
     mixing,
+    periodic,
+    phrases,
     pii,
     quality_classifier,
     quality_rules,
@@ -89,10 +94,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_search.nearest(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
+def planted_runs(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words that a document's places get from their own, so that one document in ten holds runs of known periods."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.r_[np.arange(a), a + np.arange(n - a) % p]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(_read(spark, sf_dir, "documents", "doc_id", "text"), plan=planted_runs, with_text=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents", "lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules, op2_chat_formatting, op3_url_filters, op4_benchmark_decontamination, op5_quality_classifier,
-        op6_secret_scans, op7_simhash_near_dedup, op8_pii, op9_token_counts, op10_mixing,
+        op6_secret_scans, op7_simhash_near_dedup, op8_pii, op9_token_counts, op10_mixing, op11_nearest_neighbours,
+        op12_periodic_runs, op13_phrase_collocations,
     )
     return {f.__name__: f for f in found}
 
@@ -150,6 +180,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)
 """
 
+_OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, CASE WHEN i > 1 THEN w[i - 1] END AS before, w[i + m] AS behind
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 6) r(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a, count(before) = count(*) AND count(DISTINCT before) = 1 OR count(behind) = count(*) AND count(DISTINCT behind) = 1 AS inside
+      FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+cut AS (SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS y
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1 AND (m = 5 OR NOT inside))),
+s AS (SELECT lang, cut.phrase, cut.a, k, fx.a AS l, fy.a AS r, n, ((1000::HUGEINT * cut.a * n) // (fx.a::HUGEINT * fy.a))::BIGINT AS score
+      FROM cut JOIN f fx USING (lang) JOIN f fy USING (lang) JOIN n USING (lang) WHERE fx.phrase = x AND fy.phrase = y),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS c FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE c = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1_SQL, "op2_chat_formatting": _OP2_SQL, "op4_benchmark_decontamination": _OP4_SQL}
+    return {"op1_quality_rules": _OP1_SQL, "op2_chat_formatting": _OP2_SQL, "op4_benchmark_decontamination": _OP4_SQL, "op13_phrase_collocations": _OP13_SQL}
