@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.functions.expr import dot, hash_unit, l2_normalise, seeded_md5
+from rillmark.functions.expr import hash_unit, l2_normalise, seeded_md5
 from rillmark.operators.scorers import DIGITS, blocked_topk
 from rillmark.scratch import materialize
 
 BLOCK = 256
 #: Vectors of up to so many bytes are broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Most items on which a clustering is fitted.
-INDEXED = 100_000
 
 
 def _blocks(df: DataFrame, key: str, names: tuple[str, str], block: int) -> DataFrame:
@@ -48,10 +45,11 @@ def cell_topk(users: DataFrame, items: DataFrame, k: int, block: int = BLOCK) ->
         parts = right.select("cell", "parts").distinct()  # one row a cell
         pairs = left.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(right.drop("parts"), ["cell", "part"])
     local = pairs.select("users", "uvecs", "items", "ivecs").mapInPandas(partial(blocked_topk, k=k), "user_id long, item_id long, score double")
-    return _rank(local.dropDuplicates(["user_id", "item_id"]), k)
+    return best(local.dropDuplicates(["user_id", "item_id"]), k)
 
 
-def _rank(scored: DataFrame, k: int) -> DataFrame:
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """Each user's ``k`` rows with the greatest scores, with ``rank``; ties go to the smaller item."""
     w = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", DIGITS)), "item_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -63,42 +61,6 @@ def recall_full_matrix(users: DataFrame, items: DataFrame, targets: DataFrame, k
     return recall_from_topk(exact_topk(users, items, max(ks)), targets, ks, max(ks))
 
 
-def ivf_topk(users: DataFrame, items: DataFrame, k: int, cells: int = 16, nprobe: int = 12, seed: int = 42) -> DataFrame:
-    """Approximate: items are clustered, and each user looks into the ``nprobe`` cells with the nearest centres. The model is
-    fitted on at most ``INDEXED`` items, chosen by hash; every item is placed. Take about the root of the items as ``cells``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    sample = items.orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id").limit(INDEXED)
-    model = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell").fit(sample.select(array_to_vector("vec").alias("f")))
-    placed = model.transform(items.withColumn("f", array_to_vector("vec"))).select("item_id", "vec", "cell")
-    centres = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in c]).alias("centre"), F.lit(i).alias("cell")) for i, c in enumerate(model.clusterCenters())])
-    near = F.slice(F.sort_array(F.transform(centres, lambda c: F.struct((-dot(F.col("vec"), c["centre"])).alias("d"), c["cell"].alias("cell")))), 1, nprobe)
-    probes = users.select("user_id", "vec", F.explode(F.transform(near, lambda c: c["cell"])).alias("cell"))
-    return cell_topk(materialize(probes, "probes"), materialize(placed, "placed"), k)
-
-
-def lsh_topk(users: DataFrame, items: DataFrame, k: int, dim: int, bands: int = 6, bits: int = 4, flips: int = 1, seed: int = 42) -> DataFrame:
-    """Approximate: an item lies in one cell a band, the signs of its products with random planes; a user looks into the
-    cells of their own signs and of those with up to ``flips`` (0 or 1) of them turned. Planes are drawn by hashes of their place."""
-
-    def planes(b: int, j: int) -> Column:
-        draw = lambda i: int(hashlib.md5(f"{seed}|{b}|{j}|{i}".encode()).hexdigest()[:8], 16) / 2**32 - 0.5
-        return F.array(*[F.lit(draw(i)) for i in range(dim)])
-
-    def cells(v: Column, turned: tuple[int, ...]) -> Column:
-        out = []
-        for b in range(bands):
-            code = sum((F.when(dot(v, planes(b, j)) > 0, F.lit(1 << j)).otherwise(F.lit(0)) for j in range(bits)), F.lit(0))
-            out.append(F.struct(code.alias("code"), F.lit(b << bits).alias("band")))
-        return F.flatten(F.transform(F.array(*out), lambda c: F.array(*[c["code"].bitwiseXOR(F.lit(t)) + c["band"] for t in turned])))
-
-    turned = (0, *(1 << j for j in range(bits))) if flips else (0,)
-    u = users.select("user_id", "vec", F.explode(cells(F.col("vec"), turned)).alias("cell"))
-    i = items.select("item_id", "vec", F.explode(cells(F.col("vec"), (0,))).alias("cell"))
-    return cell_topk(materialize(u, "probes"), materialize(i, "placed"), k)
-
-
 def ann_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact lists that the approximate lists hold."""
     hit = approximate.select("user_id", "item_id", F.lit(1).alias("hit"))
@@ -124,7 +86,7 @@ def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int) -> Da
     """``user_id, item_id, score, rank``: over-fetches, leaves out what the user has seen, keeps ``k``."""
     found = exact_topk(users, items, 3 * k + 10)
     fresh = found.drop("rank").join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    return _rank(fresh, k).withColumn("score", F.round("score", 5))
+    return best(fresh, k).withColumn("score", F.round("score", 5))
 
 
 def cold_start(users: DataFrame, popular: DataFrame, k: int, most: int = 50, catalogue: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from rillmark.operators import joins, metrics, retrieval, scorers, sequences, training, vocab
+from rillmark.operators import indices, joins, metrics, retrieval, scorers, sequences, training, vocab
 from rillmark.operators import profile as P
 from rillmark.plans.base import CLICKS, IX, META, RANKED, UNIT, VEC, query, rounded
 from rillmark.plans.profiles import histories, train_purchases
@@ -406,25 +406,42 @@ def exact_topk(s, d):
     return rounded(retrieval.exact_topk(_users(s, d), _items(s, d), 10))
 
 
+def _spaces(s, d):
+    """Users and items, written: an index reads them several times."""
+    return materialize(_users(s, d), "users"), materialize(_items(s, d), "items")
+
+
+#: Cells looked into of 16 and length of the short list; tables and probes of each.
+IVF, LSH = (12, 60), (28, 3)
+
+
 @query("ivf_topk")
 def ivf_topk(s, d):
-    return rounded(retrieval.ivf_topk(_users(s, d), _items(s, d), 10))
+    return rounded(indices.ivf_topk(*_spaces(s, d), 10, nprobe=IVF[0], short=IVF[1]))
 
 
 @query("lsh_topk")
 def lsh_topk(s, d):
-    return rounded(retrieval.lsh_topk(_users(s, d), _items(s, d), 10, DIM))
+    return rounded(indices.lsh_topk(*_spaces(s, d), 10, DIM, *LSH))
 
 
 @query("ann_recall_sweep")
 def ann_recall_sweep(s, d):
-    """Recall at 10 of each index by its effort: the share of cells or the number of bands looked into."""
-    users, items = materialize(_users(s, d), "users"), materialize(_items(s, d), "items")
+    """``index, effort, probes, recall, scored_share``: recall at 10 of each index, and the share of all pairs whose vectors it multiplied. Effort is
+    the length of the short list, or the number of tables."""
+    users, items = _spaces(s, d)
     exact = materialize(retrieval.exact_topk(users, items, 10), "exact")
-    found = {("ivf", n): retrieval.ivf_topk(users, items, 10, 16, n) for n in (1, 4, 12, 16)}
-    found |= {("lsh", n): retrieval.lsh_topk(users, items, 10, DIM, bands=n) for n in (1, 6)}
-    parts = [retrieval.ann_recall(exact, got).withColumns({"index": F.lit(kind), "effort": F.lit(n)}) for (kind, n), got in found.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    pairs = users.agg(F.count(F.lit(1)).alias("u")).crossJoin(items.agg(F.count(F.lit(1)).alias("i"))).select((F.col("u") * F.col("i")).alias("pairs"))
+    built, parts = indices.build_product_index(items), []
+    for nprobe, short in ((4, IVF[1]), (IVF[0], 20), IVF):
+        listed = materialize(indices.short_lists(users, built, 10, nprobe, short), "short")
+        got = indices.exact_scores(listed, users, items)
+        parts.append(("ivf", short, nprobe, retrieval.best(got, 10), listed.agg(F.count(F.lit(1)).alias("n"))))
+    for tables, probes in ((4, LSH[1]), LSH):
+        met = materialize(indices.lsh_meetings(users, items, 10, DIM, tables, probes), "met")
+        parts.append(("lsh", tables, probes, retrieval.best(met, 10), met.agg(F.sum("n_scored").alias("n"))))
+    rows = [retrieval.ann_recall(exact, got).crossJoin(n).crossJoin(pairs).select(F.lit(kind).alias("index"), F.lit(effort).alias("effort"), F.lit(probes).alias("probes"), "recall", (F.col("n") / F.col("pairs")).alias("scored_share")) for kind, effort, probes, got, n in parts]
+    return rounded(reduce(lambda a, b: a.unionByName(b), rows))
 
 
 @query("catalogue_topn", f"WITH {IX} SELECT item_id, count(*) AS n FROM ix WHERE split = 'train' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import expr
 from rillmark.functions.prefix import dense_rank_index, prefix_sum
-from rillmark.operators import events, joins, metrics, profile, retrieval, scorers, sequences, training, vectors, vocab
+from rillmark.operators import events, indices, joins, metrics, profile, retrieval, scorers, sequences, training, vectors, vocab
+from rillmark.plans import learning
 from rillmark.sources import io
 
 T0 = datetime(2024, 1, 1)
@@ -200,8 +201,68 @@ def test_recall_grows_with_probes(spark):
     items = spark.range(200).select(F.col("id").alias("item_id"), F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(8)]).alias("vec"))
     users = items.select(F.col("item_id").alias("user_id"), "vec").where("user_id < 40")
     exact = retrieval.exact_topk(users, items, 5)
-    recall = [one(retrieval.ann_recall(exact, retrieval.ivf_topk(users, items, 5, 8, n)))["recall"] for n in (1, 8)]
-    assert recall[0] <= recall[1] == 1.0
+    index = indices.build_product_index(items, cells=8)
+    recall = [one(retrieval.ann_recall(exact, indices.ivf_topk(users, items, 5, nprobe=n, index=index)))["recall"] for n in (1, 8)]
+    assert recall[0] <= recall[1] and recall[1] >= 0.95
+    everything = indices.ivf_topk(users, items, 5, nprobe=8, short=200, index=index)
+    assert one(retrieval.ann_recall(exact, everything))["recall"] == 1.0
+
+
+def test_codebooks_are_means_of_what_is_nearest(spark):
+    rows, ddl = unit_vectors(300, 8, 5, "item_id")
+    books = indices.learn_words(spark.createDataFrame(rows, ddl), 2, 6, rounds=3)
+    x = np.array([v for _, v in rows]).reshape(300, 2, 4)
+    again = indices.learn_words(spark.createDataFrame(rows, ddl), 2, 6, rounds=4)
+    for p in range(2):
+        at = ((x[:, p, None] - books[p][None]) ** 2).sum(2).argmin(1)
+        for w in set(at.tolist()):
+            assert np.allclose(again[p, w], x[at == w, p].mean(0))
+
+
+def test_table_scores_are_products_with_what_codes_stand_for(spark):
+    users, items = (spark.createDataFrame(*unit_vectors(n, 16, seed, key)) for n, seed, key in ((7, 1, "user_id"), (90, 2, "item_id")))
+    index = indices.build_product_index(items, cells=3, parts=4, words=16)
+    near = {r["item_id"]: index.cells[r["cell"]] + np.concatenate([index.books[p, c] for p, c in enumerate(r["code"])]) for r in index.codes.collect()}
+    for r in users.collect():
+        ranked = sorted(near, key=lambda i: (-round(float(near[i] @ np.array(r["vec"])), 9), i))
+        got = indices.short_lists(users, index, 5, nprobe=3, short=9).where(F.col("user_id") == r["user_id"]).collect()
+        assert {x["item_id"] for x in got} == set(ranked[:9])
+
+
+def test_hadamard_and_its_probes():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5, 16))
+    h = np.array([[(-1) ** (bin(i & j).count("1")) for j in range(16)] for i in range(16)]) / 4
+    assert np.allclose(indices.hadamard(x), x @ h)
+    lists = [np.sort(rng.random(6)) for _ in range(3)]
+    sums = sorted((lists[0][a] + lists[1][b] + lists[2][c], (a, b, c)) for a in range(6) for b in range(6) for c in range(6))
+    got = indices.least_sums(lists, 216)
+    assert len(set(got)) == 216 and [round(sum(x[i] for x, i in zip(lists, g, strict=True)), 12) for g in got] == [round(s, 12) for s, _ in sums]
+    for joined in (1, 2):
+        hashed = indices.fit_polytopes(12, 3, joined)
+        v = rng.normal(size=(40, 12))
+        assert (hashed.probes(v, 6)[:, :, 0] == hashed.hashes(v)).all()
+        assert all(len(set(p)) == 6 for row in hashed.probes(v, 6).tolist() for p in row)
+
+
+def test_pairs_are_scored_once(spark):
+    users, items = (spark.createDataFrame(*unit_vectors(n, 8, seed, key)).persist() for n, seed, key in ((40, 1, "user_id"), (120, 2, "item_id")))
+    hashed = indices.fit_polytopes(8, 4)
+    u, i = (np.array([r["vec"] for r in df.orderBy(key).collect()]) for df, key in ((users, "user_id"), (items, "item_id")))
+    meets = (hashed.probes(u, 3)[:, None, :, :] == hashed.hashes(i)[None, :, :, None]).any((2, 3))
+    met = indices.lsh_meetings(users, items, 120, 8, 4, 3).collect()
+    assert sorted((r["user_id"], r["item_id"]) for r in met) == [(int(a), int(b)) for a, b in zip(*np.nonzero(meets), strict=True)]
+    assert sum(r["n_scored"] for r in met) == len(met)
+    joined = indices.lsh_topk(users, items, 10, 8, 12, 30, joined=2)
+    assert one(retrieval.ann_recall(retrieval.exact_topk(users, items, 10), joined))["recall"] > 0.7
+
+
+def test_registered_indices_save_work(spark):
+    """Recall and the share of pairs whose vectors are multiplied, as the query gives them."""
+    got = {(r["index"], r["effort"], r["probes"]): r for r in learning.ann_recall_sweep(spark, "/root/testdata/sf0.01").collect()}
+    ivf, lsh = got["ivf", learning.IVF[1], learning.IVF[0]], got["lsh", *learning.LSH]
+    assert ivf["recall"] >= 0.9 and ivf["scored_share"] <= 0.25
+    assert lsh["recall"] >= 0.9 and lsh["scored_share"] < 0.5
 
 
 def unit_vectors(n, dim, seed, key):
@@ -213,7 +274,7 @@ def unit_vectors(n, dim, seed, key):
 @pytest.mark.parametrize("index", ["ivf", "lsh"])
 def test_registered_indices_reach_nine_tenths(spark, index):
     users, items = (spark.createDataFrame(*unit_vectors(n, 64, seed, key)).persist() for n, seed, key in ((150, 1, "user_id"), (600, 2, "item_id")))
-    got = retrieval.ivf_topk(users, items, 10) if index == "ivf" else retrieval.lsh_topk(users, items, 10, 64)
+    got = indices.ivf_topk(users, items, 10, *[16, *learning.IVF]) if index == "ivf" else indices.lsh_topk(users, items, 10, 64, *learning.LSH)
     assert one(retrieval.ann_recall(retrieval.exact_topk(users, items, 10), got))["recall"] >= 0.9
     assert got.groupBy("user_id").count().where("count < 10").count() == 0
 
