@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REQUIRED = ("user_id", "item_id", "event_type")
+#: Why a message becomes a dead letter.
+REASONS = ("decode", "schema", "store")
 # Names of fields whose values are masked.
 SECRET_FIELDS = ("api_key", "apikey", "authorization", "credential", "password", "secret", "token", "x-api-key")
 
@@ -79,10 +81,14 @@ def dedup(events: DataFrame, ttl_seconds: int, key: str = "event_id") -> DataFra
     return ordered.mapInPandas(partial(_first_in_ttl, ttl=ttl_seconds * 1_000_000), schema).unionByName(unnamed.withColumn("accepted", F.lit(True)))
 
 
+def ingest_result() -> Column:
+    """``rejected`` by the decoder or the schema, ``failed`` where the store refused it, else ``accepted`` or ``duplicate``."""
+    return F.when(F.col("reason").isin("decode", "schema"), "rejected").when(F.col("reason").isNotNull(), "failed").when(F.col("accepted"), "accepted").otherwise("duplicate")
+
+
 def ingest_counts(judged: DataFrame) -> DataFrame:
-    """Events by day and result."""
-    result = F.when(F.col("accepted"), "accepted").otherwise("duplicate")
-    return judged.groupBy(F.date_trunc("day", "ts").alias("day"), result.alias("result")).agg(F.count(F.lit(1)).alias("n"))
+    """Events by day, result and, for dead letters, reason."""
+    return judged.groupBy(F.date_trunc("day", "ts").alias("day"), ingest_result().alias("result"), "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def windows(events: DataFrame, *spec: str) -> DataFrame:

@@ -10,7 +10,7 @@ from rillmark.plans.base import query, rounded
 from rillmark.sources import tables as T
 
 
-def raw_events(s, d) -> DataFrame:
+def raw_events(s, d, *carry: str) -> DataFrame:
     """The log as raw JSON texts, with one row in two broken in one way or another."""
     id_, user, item, kind = (F.col(c).cast("string") for c in ("event_id", "user_id", "item_id", "event_type"))
 
@@ -26,7 +26,7 @@ def raw_events(s, d) -> DataFrame:
     raw = event(user, item, quoted)
     for i, c in enumerate(cases):
         raw = F.when(m == i, c).otherwise(raw)
-    return T.clicks(s, d).select(F.col("event_id").alias("seq"), raw.alias("raw"))
+    return T.clicks(s, d).select(F.col("event_id").alias("seq"), raw.alias("raw"), *carry)
 
 
 _RAW = """cl AS (SELECT event_id, user_id, event_type, json_extract_string(props, '$.k')::BIGINT AS item_id FROM events),
@@ -70,8 +70,9 @@ def default_event_id(s, d):
 
 TTL = 86_400 * 3
 _REPEATED = "e AS (SELECT event_id AS arrival, ts, CASE WHEN event_id % 7 > 0 THEN event_id % 500 END AS event_id, epoch_us(ts) AS t FROM events)"
-_DEDUP = f"""WITH RECURSIVE {_REPEATED}, a AS (SELECT event_id, min(t) AS t FROM e WHERE event_id IS NOT NULL GROUP BY 1 UNION ALL SELECT e.event_id, min(e.t) FROM a JOIN e ON e.event_id = a.event_id AND e.t >= a.t + {TTL}000000 GROUP BY e.event_id, a.t),
+_FOLD = f"""a AS (SELECT event_id, min(t) AS t FROM e WHERE event_id IS NOT NULL GROUP BY 1 UNION ALL SELECT e.event_id, min(e.t) FROM a JOIN e ON e.event_id = a.event_id AND e.t >= a.t + {TTL}000000 GROUP BY e.event_id, a.t),
   j AS (SELECT e.arrival, e.ts, e.event_id, e.event_id IS NULL OR (a.t IS NOT NULL AND row_number() OVER (PARTITION BY e.event_id, e.t ORDER BY e.arrival) = 1) AS accepted FROM e LEFT JOIN (SELECT DISTINCT * FROM a) a ON a.event_id = e.event_id AND a.t = e.t)"""
+_DEDUP = f"WITH RECURSIVE {_REPEATED}, {_FOLD}"
 
 
 def _deduped(s, d):
@@ -84,9 +85,17 @@ def dedup_events(s, d):
     return _deduped(s, d).select("arrival", "event_id", "accepted")
 
 
-@query("ingest_counts", _DEDUP + " SELECT date_trunc('day', ts)::TIMESTAMP AS day, CASE WHEN accepted THEN 'accepted' ELSE 'duplicate' END AS result, count(*) AS n FROM j GROUP BY 1, 2")
+@query("ingest_counts", f"""WITH RECURSIVE {_RAW}, m AS (SELECT event_id AS arrival, ts, coalesce(reason, CASE WHEN user_id % 50 = 3 THEN 'store' END) AS reason FROM events JOIN chk ON seq = event_id),
+  e AS (SELECT arrival, ts, CASE WHEN arrival % 7 > 0 THEN arrival % 500 END AS event_id, epoch_us(ts) AS t FROM m WHERE reason IS NULL), {_FOLD}
+  SELECT date_trunc('day', ts)::TIMESTAMP AS day, CASE WHEN reason IN ('decode', 'schema') THEN 'rejected' WHEN reason IS NOT NULL THEN 'failed' WHEN accepted THEN 'accepted' ELSE 'duplicate' END AS result, reason, count(*) AS n
+  FROM (SELECT ts, reason, false AS accepted FROM m WHERE reason IS NOT NULL UNION ALL SELECT ts, NULL, accepted FROM j) GROUP BY 1, 2, 3""")
 def ingest_counts(s, d):
-    return E.ingest_counts(_deduped(s, d))
+    """Every message: what the decoder and the schema refuse, what a store without one shard of users can't keep, and of the rest what
+    is new and what is a repeat."""
+    checked = E.validate(raw_events(s, d, "ts", F.col("user_id").alias("owner"))).select("seq", "ts", F.coalesce("reason", F.when(F.col("owner") % 50 == 3, "store")).alias("reason"))
+    kept = checked.where("reason is null").select(F.col("seq").alias("arrival"), "ts", "reason", F.when(F.col("seq") % 7 > 0, F.col("seq") % 500).alias("event_id"))
+    judged = E.dedup(kept, TTL).select("ts", "reason", "accepted")
+    return E.ingest_counts(judged.unionByName(checked.where("reason is not null").select("ts", "reason", F.lit(False).alias("accepted"))))
 
 
 @query("tumbling_windows", """SELECT date_trunc('day', ts)::TIMESTAMP AS "start", date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3""")

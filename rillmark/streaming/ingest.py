@@ -174,13 +174,24 @@ def dedup_stream(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str =
     return passed.unionByName(unnamed)
 
 
-def session_stream(events: DataFrame, keep: int = KEEP, ttl_seconds: int = TTL_SECONDS, delay: str = DELAY) -> DataFrame:
-    """``user_id, session, updated`` of each user touched in a batch."""
-    return events.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(
+def session_stream(events: DataFrame, keep: int = KEEP, ttl_seconds: int = TTL_SECONDS, delay: str | None = DELAY) -> DataFrame:
+    """``user_id, session, updated`` of each user touched in a batch. Without a ``delay`` the events carry a watermark already."""
+    return (events.withWatermark("ts", delay) if delay else events).groupBy("user_id").transformWithStateInPandas(
         Session(keep, ttl_seconds), outputStructType="user_id long, session array<bigint>, updated timestamp", outputMode="Update", timeMode="EventTime"
     )
 
 
+def first_sessions(events: DataFrame, keep: int = KEEP, ttl_seconds: int = TTL_SECONDS, delay: str = DELAY) -> DataFrame:
+    """De-duplicated events made into sessions by one query, whose checkpoint commits what it has seen and what it holds together. All
+    events pass the first state: those without an id by an id of their own, made of what they are, so that a replay drops them too."""
+    own = F.concat_ws(":", F.lit("none"), "user_id", "item_id", F.unix_micros("ts"))
+    named = events.withColumn("event_id", F.coalesce("event_id", own)).withWatermark("ts", delay).groupBy("event_id")
+    passed = named.transformWithStateInPandas(FirstSight(ttl_seconds), outputStructType=events.schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
+    return passed.groupBy("user_id").transformWithStateInPandas(
+        Session(keep, ttl_seconds), outputStructType="user_id long, session array<bigint>, updated timestamp", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def window_stream(events: DataFrame, *spec: str, delay: str = DELAY) -> DataFrame:
     """Counts and sums by tumbling or sliding window and type, each given out once, when the watermark has passed its end."""
     return E.windows(events.withWatermark("ts", delay), *spec)
@@ -208,8 +219,23 @@ def recommend_touched(recommend: Callable[[DataFrame], DataFrame], write: Callab
 
 
 def observed_counts(parsed: DataFrame, name: str = "ingest") -> DataFrame:
-    """The stream with each batch's accepted and refused rows in its progress."""
-    return parsed.observe(name, F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason") == "decode").alias("decode"), F.count_if(F.col("reason") == "schema").alias("schema"))
+    """The stream with each batch's received, valid and refused rows, and dead letters by reason, in its progress."""
+    refused = F.col("reason").isNotNull()
+    return parsed.observe(
+        name, F.count(F.lit(1)).alias("received"), F.count_if(~refused).alias("valid"), F.count_if(refused).alias("rejected"),
+        *[F.count_if(F.col("reason") == r).alias(r) for r in E.REASONS],
+    )
+
+
+def observed_accepted(passed: DataFrame, name: str = "accepted") -> DataFrame:
+    """The same for what de-duplication has let through: valid rows beyond these are duplicates."""
+    return passed.observe(name, F.count(F.lit(1)).alias("accepted"))
+
+
+def ingest_count_stream(judged: DataFrame, width: str = "1 day", delay: str = DELAY) -> DataFrame:
+    """``start, result, reason, n`` of a stream of judged rows by window, each given out once, when the watermark has passed its end."""
+    counted = judged.withWatermark("ts", delay).groupBy(F.window("ts", width), E.ingest_result().alias("result"), "reason").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("window.start").alias("start"), "result", "reason", "n")
 
 
 def replay(log: DataFrame, folder: str, slices: int) -> None:

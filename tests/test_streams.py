@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from rillmark.operators import events as E
-from rillmark.streaming import ingest
+from rillmark.operators import sequences
+from rillmark.streaming import ingest, ledger, limits
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "user_id long, item_id long, event_id string, ts timestamp"
@@ -142,3 +145,128 @@ def test_replay_keeps_order_of_time(spark, tmp_path):
     files = sorted((tmp_path / "r").glob("*.json"))
     spans = [spark.read.json(str(f)).agg(F.min("ts"), F.max("ts")).first() for f in files]
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_token_bucket_of_a_stream_out_of_order_and_restarted(spark, tmp_path):
+    """Requests come out of order in three runs; what comes out is what the batch fold decides for them in order."""
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "user_id long, event_id long, ts timestamp"
+    rng = random.Random(3)
+    rows = [(n % 5, n, T0 + timedelta(seconds=n * 3 + rng.random(), microseconds=rng.randrange(999))) for n in range(600)]
+    rows += [(n % 5, 1000 + n, T0 + timedelta(seconds=n * 30)) for n in range(60)]  # equal times
+    arrival = sorted(rows, key=lambda r: (r[2] + timedelta(seconds=rng.randrange(500)), r[1]))
+    states: list = []
+    for i in range(3):
+        part = arrival[i * 220 : i * 220 + 220]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{src}/{i}")
+        run(spark, src, lambda s: limits.token_bucket_stream(s, 4, 0.03, "10 minutes"), out, check, schema=schema, states=states)
+    spark.createDataFrame([(99, 1, T0 + timedelta(days=2))], schema).write.parquet(f"{src}/end")
+    got = run(spark, src, lambda s: limits.token_bucket_stream(s, 4, 0.03, "10 minutes"), out, check, schema=schema, states=states)
+    twin = {r["user_id"]: tuple(r)[1:] for r in E.token_bucket(spark.createDataFrame(rows, schema), 4, 0.03).collect()}
+    totals = {r["user_id"]: tuple(r)[1:] for r in limits.bucket_totals(got).collect()}
+    assert totals.keys() == twin.keys()
+    for u, (n, ok, wait) in twin.items():
+        assert totals[u][:2] == (n, ok) and abs(totals[u][2] - wait) < 1e-6
+    assert sum(ok < n for n, ok, _ in twin.values()) == 5  # every bucket ran dry
+    spark.createDataFrame([(99, 2, T0 + timedelta(days=3))], schema).write.parquet(f"{src}/end2")
+    run(spark, src, lambda s: limits.token_bucket_stream(s, 4, 0.03, "10 minutes"), out, check, schema=schema, states=states)
+    assert states[-1] < states[0]  # full buckets are forgotten
+
+
+def test_counts_of_every_batch_over_restarts(spark, tmp_path):
+    """A listener's table holds results and reasons of all batches once, also of a batch that failed and was repeated."""
+    src, out, check, table = (str(tmp_path / x) for x in ("in", "out", "check", "table"))
+    good = '{{"user_id":1,"item_id":2,"event_type":"click","event_id":"{}"}}'
+    broken: list = [True]
+
+    def build(raw):
+        parsed = ingest.observed_counts(ingest.parsed_stream(raw.select("raw")).withColumn("ts", F.lit(T0).cast("timestamp")))
+        kept = parsed.where("reason is null").select("user_id", "item_id", "event_id", "ts")
+        return ingest.observed_accepted(ingest.dedup_stream(kept))
+
+    def each(batch, batch_id):
+        if batch_id == 1 and broken.pop() if broken else False:
+            raise RuntimeError("killed")
+        batch.write.mode("append").parquet(out)
+
+    listener = ledger.ProgressTable(spark, table)
+    spark.streams.addListener(listener)
+    try:
+        for i, lines in enumerate(([good.format("a"), good.format("b"), "no json", "[1]"], [good.format("a"), good.format("c"), "{}", "{}", "\\"], [good.format("d")])):
+            spark.createDataFrame([(x.encode(),) for x in lines], "raw binary").coalesce(1).write.parquet(f"{src}/{i}")
+            stream = build(spark.readStream.schema("raw binary").option("recursiveFileLookup", "true").parquet(src))
+            for _ in range(2):
+                query = stream.writeStream.foreachBatch(each).option("checkpointLocation", check).trigger(availableNow=True).start()
+                try:
+                    query.awaitTermination()
+                    break
+                except Exception as e:  # noqa: BLE001 - the batch that is killed once
+                    assert "killed" in str(e)
+        deadline = time.time() + 30
+        want = {("ingest", "received"): 10, ("ingest", "valid"): 5, ("ingest", "rejected"): 5, ("ingest", "decode"): 2, ("ingest", "schema"): 3, ("ingest", "store"): 0, ("accepted", "accepted"): 4}
+        got: dict = {}
+        while got != want and time.time() < deadline:  # listeners are called later
+            time.sleep(0.5)
+            got = {(r["metric"], r["name"]): r["n"] for r in ledger.progress_totals(ledger.progress(spark, table)).collect()}
+        assert got == want
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_counts_by_window_equal_the_batch_twin(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "ts timestamp, reason string, accepted boolean"
+    rows = [(T0 + timedelta(hours=n), [None, "decode", "schema", "store", None][n % 5], n % 2 == 0) for n in range(90)]
+    spark.createDataFrame([*rows, (T0 + timedelta(days=30), None, True)], schema).coalesce(1).write.parquet(f"{src}/1")
+    got = run(spark, src, ingest.ingest_count_stream, out, check, schema=schema).collect()
+    twin = E.ingest_counts(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["start"], r["result"], str(r["reason"]), r["n"]) for r in got) == sorted((r["day"], r["result"], str(r["reason"]), r["n"]) for r in twin)
+    assert {r["result"] for r in twin} == {"accepted", "duplicate", "rejected", "failed"}
+
+
+def test_sessions_are_written_exactly_once(spark, tmp_path):
+    """Replayed rows, a sink killed between its rows and its ledger, a restart: the stored state equals the batch twin, row by row, and so
+    does the last session that the sink has of each user."""
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    rng = random.Random(5)
+    log = [(u, rng.randrange(100), f"e{n}", n * 7) for n, u in enumerate(rng.choices(range(12), k=400))]
+    kill = {1}
+
+    def done(batch_id):
+        if batch_id in kill:
+            kill.remove(batch_id)
+            raise RuntimeError("killed")
+
+    for i in range(4):
+        put(spark, src, log[i * 100 : i * 100 + 100] + (log[i * 100 - 30 : i * 100] if i else []), str(i))  # the last rows come again
+        events = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(src)
+        for _ in range(2):
+            query = ingest.first_sessions(events).writeStream.outputMode("append").foreachBatch(ledger.write_once(out, done)).option("checkpointLocation", check).trigger(availableNow=True).start()
+            try:
+                query.awaitTermination()
+                break
+            except Exception as e:  # noqa: BLE001
+                assert "killed" in str(e)
+    assert not kill
+    batch = spark.createDataFrame([(u, i, e, T0 + timedelta(seconds=t)) for u, i, e, t in log], SCHEMA)
+    twin = sorted((r["user_id"], r["session"]) for r in sequences.session_snapshot(batch).collect())
+    assert sorted((r["user_id"], r["session"]) for r in ledger.stored_sessions(spark, check).collect()) == twin
+    rows = ledger.written(spark, out)
+    last = rows.groupBy("user_id").agg(F.max_by("session", F.struct("updated", "batch")).alias("session"))
+    assert sorted((r["user_id"], r["session"]) for r in last.collect()) == twin
+    assert rows.groupBy("batch", "user_id").count().where("count > 1").count() == 0
+
+
+def test_a_broken_batch_does_not_count(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def fail(_):
+        raise RuntimeError("killed")
+
+    ledger.write_once(out)(spark.range(3), 0)
+    with pytest.raises(RuntimeError):
+        ledger.write_once(out, fail)(spark.range(5), 1)
+    assert ledger.written(spark, out).count() == 3
+    ledger.write_once(out)(spark.range(4), 1)
+    ledger.write_once(out)(spark.range(9), 1)  # it is there already
+    assert ledger.written(spark, out).count() == 7
