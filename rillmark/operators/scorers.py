@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.functions.expr import cosine, hash_unit, l2_normalise
+from rillmark.functions.expr import cosine, hash_unit, l2_normalise, norm
 
 NO_HISTORY = float("-inf")
 #: A user's candidates are cut into parts of about so many rows; the place of candidates behind any history.
@@ -49,18 +49,18 @@ def pop_with_category(rows: DataFrame, train: DataFrame, meta: DataFrame, alpha:
 
 
 def _user_streams(rows: DataFrame, histories: DataFrame, vectors: DataFrame, last: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each user's last items and then their candidates, as one sorted stream: ``user_id, salt, place, item_id, vec`` and the
-    carried columns. ``place`` is the item's place in the history, and ``CANDIDATE`` for candidates. Vectors have unit length; unknown
+    """Each user's last items and then their candidates, as one sorted stream: ``user_id, salt, place, item_id, vec, length`` and the
+    carried columns. ``place`` is the item's place in the history, and ``CANDIDATE`` for candidates. Vectors have unit length, and ``length`` was theirs; unknown
     items have none. Candidates of users with more than ``MANY`` of them are spread over salts, each with the history."""
-    unit = vectors.select("item_id", l2_normalise(F.col("vec")).alias("vec"))
+    unit = vectors.select("item_id", l2_normalise(F.col("vec")).alias("vec"), norm(F.col("vec")).alias("length"))
     n = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > MANY)
-    many = n.select("user_id", F.ceil(F.col("__n") / MANY).cast("int").alias("salts"))  # at most one row in MANY
+    many = n.select("user_id", F.ceil(F.col("__n") / MANY).cast("int").alias("salts"))  # at most one row in MANY: its size decides how it is joined
     salts = F.coalesce("salts", F.lit(1))
     recent = F.slice("history", -F.least(F.size("history"), F.lit(last)), last)
-    wanted = histories.where(F.size("history") > 0).join(rows.select("user_id").distinct(), "user_id", "left_semi").join(F.broadcast(many), "user_id", "left")
+    wanted = histories.where(F.size("history") > 0).join(rows.select("user_id").distinct(), "user_id", "left_semi").join(many, "user_id", "left")
     flat = wanted.select("user_id", salts.alias("salts"), F.posexplode(recent).alias("place", "item_id")).join(unit, "item_id", "left")
-    seen = flat.select("user_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "place", "item_id", "vec", *[F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in carry])
-    placed = rows.select("user_id", "item_id", *carry).join(F.broadcast(many), "user_id", "left")
+    seen = flat.select("user_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "place", "item_id", "vec", "length", *[F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in carry])
+    placed = rows.select("user_id", "item_id", *carry).join(many, "user_id", "left")
     salt = F.pmod(F.xxhash64("item_id"), salts).cast("int")
     asked = placed.select("user_id", salt.alias("salt"), F.lit(CANDIDATE).alias("place"), "item_id", *carry).join(unit, "item_id", "left")
     both = seen.unionByName(asked.select(*seen.columns))
@@ -84,12 +84,13 @@ def _scored_streams(batches: Iterator[pd.DataFrame], emit) -> Iterator[pd.DataFr
             if key[s] != now:
                 now, held = key[s], []
             old, new = part[part["place"] < CANDIDATE], part[part["place"] == CANDIDATE]
-            held += zip(old["place"].tolist(), old["item_id"].tolist(), old["vec"], strict=True)
+            held += zip(old["place"].tolist(), old["item_id"].tolist(), old["vec"], old["length"].tolist(), strict=True)
             if len(new):
                 dim = next((len(v) for v in [*[h[2] for h in held], *new["vec"]] if v is not None), 1)
                 history = {
                     "place": np.array([h[0] for h in held], dtype=np.int64), "item_id": np.array([h[1] for h in held], dtype=np.int64),
                     "known": np.array([h[2] is not None for h in held], dtype=bool), "matrix": matrix([h[2] for h in held], dim),
+                    "length": np.array([0.0 if h[2] is None else h[3] for h in held]),
                 }
                 out.append(emit(new, matrix(new["vec"].tolist(), dim), history))
         yield from out
@@ -178,6 +179,46 @@ def history_features(rows: DataFrame, histories: DataFrame, vectors: DataFrame,
     return _user_streams(rows, histories, vectors, last, (own,)).mapInPandas(partial(_scored_streams, emit=emit), schema)
 
 
+#: The scorers that ``score_wide`` computes together.
+TOGETHER = ("random", "global_pop", "positive_pop", "category_pop", "pop_with_category", "content_knn", "content_knn_mean", "pooled_cosine", "attention")
+#: What an empty history scores where a score is stored.
+LOWEST = -1e9
+
+
+def score_wide(rows: DataFrame, train: DataFrame, meta: DataFrame, histories: DataFrame, vectors: DataFrame, last: int = 200, alpha: float = 0.5) -> DataFrame:
+    """``rows`` with a column a scorer: what each of them gives on its own, by one join of the counts and one pass over the users' histories.
+    ``train`` is read twice."""
+    counts = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("label") == 1).alias("__p"))
+    cats = meta.select("item_id", "category")
+    by_category = counts.join(cats, "item_id").groupBy("category").agg(F.sum("__p").alias("__k"))  # from counts: a row an item
+    log_of = lambda c: F.log1p(F.coalesce(c, F.lit(0)))
+    item = cats.join(by_category, "category", "left").join(counts, "item_id", "full").select("item_id", log_of("__n").alias("global_pop"), log_of("__p").alias("positive_pop"), log_of("__k").alias("category_pop"))
+    named = rows.join(item, "item_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("global_pop", "positive_pop", "category_pop")})
+    counted = named.withColumns({"random": hash_unit(42, F.col("user_id"), F.col("item_id")), "pop_with_category": F.col("positive_pop") + alpha * F.col("category_pop")})
+    carry = tuple(c for c in counted.columns if c not in ("user_id", "item_id"))
+
+    def emit(cand: pd.DataFrame, vecs: np.ndarray, history: dict) -> pd.DataFrame:
+        h = history["matrix"]
+        sims = vecs @ h.T
+        pooled = (h * history["length"][:, None]).sum(0)
+        size = np.linalg.norm(pooled)
+        allowed = np.broadcast_to(history["known"], sims.shape)
+        return cand[["user_id", "item_id", *carry]].assign(
+            content_knn=sims.max(1) if len(h) else LOWEST, content_knn_mean=sims.mean(1) if len(h) else LOWEST,
+            pooled_cosine=vecs @ pooled / size if size > 0 else 0.0, attention=(_attention(vecs, history, allowed) * vecs).sum(1),
+        )
+
+    new = [T.StructField(c, T.DoubleType()) for c in TOGETHER if c not in carry]
+    types = T.StructType([*counted.select("user_id", "item_id", *carry).schema.fields, *new])
+    return _user_streams(counted, histories, vectors, last, carry).mapInPandas(partial(_scored_streams, emit=emit), types)
+
+
+def long_scores(wide: DataFrame, models: tuple[str, ...] = TOGETHER) -> DataFrame:
+    """``model, user_id, item_id, label, score`` of a row with a column a model."""
+    listed = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])
+    return wide.select("user_id", "item_id", "label", F.inline(listed)).select("model", "user_id", "item_id", "label", "score")
+
+
 def score_all(models: dict[str, DataFrame]) -> DataFrame:
     """``model, user_id, item_id, label, score`` of several scorers over the same rows."""
     out = None

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from rillmark.operators import indices, joins, metrics, retrieval, scorers, sequences, training, vocab
+from rillmark.functions.expr import dot, l2_normalise
+from rillmark.operators import indices, joins, metrics, retrieval, scorers, sequences, towers, training, vocab
 from rillmark.operators import profile as P
 from rillmark.plans.base import CLICKS, IX, META, RANKED, UNIT, VEC, query, rounded
 from rillmark.plans.profiles import histories, train_purchases
@@ -230,13 +231,6 @@ def score_content_knn(s, d):
     return _scored(got.withColumn("score", F.greatest("score", F.lit(-1e9))))
 
 
-@query("score_content_knn_blocked", f"WITH {_SIMS}, m AS (SELECT user_id, item_id, max(sim) AS score FROM sims GROUP BY 1, 2) SELECT user_id, item_id, round(coalesce(score, -1e9), 6) AS score FROM te LEFT JOIN m USING (user_id, item_id)")
-def score_content_knn_blocked(s, d):
-    """The same of bare keys: candidates need no label to be scored."""
-    got = scorers.score_content_knn(_test(s, d).select("user_id", "item_id"), histories(s, d), T.item_vectors(s, d))
-    return rounded(got.withColumn("score", F.greatest("score", F.lit(-1e9))))
-
-
 @query("score_content_knn_mean", f"WITH {_SIMS}, m AS (SELECT user_id, item_id, avg(sim) AS score FROM sims GROUP BY 1, 2) SELECT user_id, item_id, label, round(coalesce(score, -1e9), 6) AS score FROM te LEFT JOIN m USING (user_id, item_id)")
 def score_content_knn_mean(s, d):
     got = scorers.score_content_knn(_test(s, d), histories(s, d), T.item_vectors(s, d), how="mean")
@@ -270,27 +264,48 @@ def target_attention(s, d):
     return got.select("user_id", "item_id", F.transform(F.when(F.size("vec") == DIM, F.col("vec")).otherwise(zero), lambda x: F.round(x, 6)).alias("vec"))
 
 
+_SEARCHED = f"""{_SIMS}, top AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(sim, 9) DESC, pos) AS r FROM sims WHERE hv IS NOT NULL), w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY user_id, item_id)) * 8) AS w FROM top WHERE r <= 5),
+  ma AS (SELECT user_id, item_id, sum(w * sim) / sum(w) AS score FROM w GROUP BY 1, 2)"""
+
+
+@query("search_attention", f"WITH {_SEARCHED} SELECT user_id, item_id, label, round(coalesce(score, 0), 6) AS score FROM te LEFT JOIN ma USING (user_id, item_id)")
+def search_attention(s, d):
+    """Two stages: the five history items most like the candidate, then attention over these alone."""
+    ix, h = _written(s, d)
+    te, v = _side(ix, "test"), _items(s, d)
+    got = scorers.target_attention(te, h, v, k=5).withColumnRenamed("vec", "a").join(v, "item_id", "left")
+    score = F.when(F.size("a") == F.size("vec"), dot(F.col("a"), F.col("vec")))
+    return _scored(got.select("user_id", "item_id", F.coalesce(score, F.lit(0.0)).alias("score")).join(te, ["user_id", "item_id"]))
+
+
+def _written(s, d):
+    """Interactions and histories, written once: every scorer reads them."""
+    return materialize(T.interactions(s, d).select("user_id", "item_id", "label", "split"), "interactions"), materialize(histories(s, d), "histories")
+
+
+def _side(ix, split):
+    return ix.where(F.col("split") == split).select("user_id", "item_id", "label")
+
+
 def _all_scores(s, d):
     """All scorers over the test rows, written once: the metrics read them several times."""
-    te, tr, meta, v, h = _test(s, d), _train(s, d), T.item_features(s, d), T.item_vectors(s, d), histories(s, d)
-    knn = scorers.score_content_knn(te, h, v)
-    return materialize(scorers.score_all({
-        "random": scorers.score_random(te), "global_pop": scorers.score_global_pop(te, tr),
-        "positive_pop": scorers.score_positive_pop(te, tr), "category_pop": scorers.score_category_pop(te, tr, meta),
-        "content_knn": knn.withColumn("score", F.greatest("score", F.lit(-1e9))), "pooled_cosine": scorers.score_pooled_cosine(te, sequences.pooled(h, v), v),
-    }).withColumn("score", F.round("score", 9)), "scores")
-
-
-_MODELS = ("random", "global_pop", "positive_pop", "category_pop", "content_knn", "pooled_cosine")
-_ALL = f"""{_POP}, {RANKED}, {UNIT}, {_REC}, {_HIST}, {_POOLED_LAST}, mk AS (SELECT user_id, item_id, max(sim) AS score FROM sims GROUP BY 1, 2),
-  s_content_knn AS (SELECT te.*, coalesce(mk.score, -1e9) AS score FROM te LEFT JOIN mk USING (user_id, item_id)),
+    ix, h = _written(s, d)
+    wide = scorers.score_wide(_side(ix, "test"), _side(ix, "train"), T.item_features(s, d), h, T.item_vectors(s, d))
+    return materialize(scorers.long_scores(wide).withColumn("score", F.round("score", 9)), "scores")
+
+
+_MODELS = scorers.TOGETHER
+_ALL = f"""{_POP}, {RANKED}, {UNIT}, {_REC}, {_HIST}, {_POOLED_LAST}, mk AS (SELECT user_id, item_id, max(sim) AS score, avg(sim) AS mean FROM sims GROUP BY 1, 2),
+  wa AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY user_id, item_id)) * 8) AS w FROM sims WHERE hv IS NOT NULL), ma AS (SELECT user_id, item_id, sum(w * sim) / sum(w) AS score FROM wa GROUP BY 1, 2),
+  s_content_knn AS (SELECT te.*, coalesce(mk.score, -1e9) AS score FROM te LEFT JOIN mk USING (user_id, item_id)), s_content_knn_mean AS (SELECT te.*, coalesce(mk.mean, -1e9) AS score FROM te LEFT JOIN mk USING (user_id, item_id)),
+  s_attention AS (SELECT te.*, coalesce(ma.score, 0) AS score FROM te LEFT JOIN ma USING (user_id, item_id)), s_pop_with_category AS (SELECT user_id, item_id, label, a.score + 0.5 * b.score AS score FROM s_positive_pop a JOIN s_category_pop b USING (user_id, item_id, label)),
   s_pooled_cosine AS (SELECT te.*, {_POOLED_COSINE} AS score FROM te LEFT JOIN pooled USING (user_id) LEFT JOIN vec USING (item_id)),
   sc AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS model, user_id, item_id, label, round(score, 9) AS score FROM s_{m}" for m in _MODELS) + ")"
 
 
-@query("score_all", f"WITH {_ALL} SELECT model, user_id, item_id, label, round(score, 6) AS score FROM sc")
+@query("score_all", f"WITH {_ALL} SELECT model, user_id, item_id, label, round(score + 1e-10, 6) AS score FROM sc")
 def score_all(s, d):
-    return rounded(_all_scores(s, d))
+    return rounded(_all_scores(s, d).withColumn("score", F.col("score") + 1e-10))  # no ninth digit makes a tie of the sixth
 
 
 # --- metrics
@@ -542,15 +557,39 @@ def _recall(space, users, items, targets):
     return got.select(F.lit(space).alias("space"), "n_targets", "recall_10", "recall_50").crossJoin(coverage)
 
 
+def _clicked_pairs(s, d):
+    """``user_id, item_id, u, v, log_q`` of clicked train rows: the user's mean unit vector without the item itself, the item's, and the log
+    of its share of clicks."""
+    ix, h = _written(s, d)
+    clicked, v = ix.where("split = 'train' AND label = 1"), materialize(_items(s, d), "items")
+    flat = h.select("user_id", F.explode("history").alias("item_id")).join(v.select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    mean = sequences.pooled(h, v, None).join(flat, "user_id").select("user_id", F.col("vec").alias("m"), "n")
+    own = h.select("user_id", F.explode("history").alias("item_id")).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("times"))
+    rows = clicked.join(v.withColumnRenamed("vec", "v"), "item_id").join(mean, "user_id").join(own, ["user_id", "item_id"], "left")
+    rest = F.zip_with(F.col("m"), F.col("v"), lambda m, x: m * F.col("n") - x * F.coalesce("times", F.lit(0)))
+    return rows.select("user_id", "item_id", l2_normalise(rest).alias("u"), "v").join(training.log_q(clicked), "item_id")
+
+
+@query("retrieval_towers")
+def retrieval_towers(s, d):
+    """Item vectors of the towers learned from clicks by a sampled softmax over each batch."""
+    model = towers.fit_towers(_clicked_pairs(s, d))
+    return model.project(_items(s, d), "item_id", "item").select("item_id", F.transform("vec", lambda x: F.round(x, 4)).alias("vec"))
+
+
 @query("retrieval_ablation")
 def retrieval_ablation(s, d):
+    """Recall of the same targets in each vector space: content, factors of clicks, and towers."""
     ix = T.interactions(s, d).where("split = 'train' AND label = 1").select("user_id", "item_id", "label")
     model = scorers.fit_retrieval_factors(ix)
     users = model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.col("features").cast("array<double>").alias("vec"))
     items = model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").cast("array<double>").alias("vec"))
-    spaces = {"pooled": (_users(s, d), _items(s, d)), "factors": (users, items)}
-    parts = [metrics.recall_from_topk(retrieval.exact_topk(u, i, 50), _targets(s, d), (10, 50), 50).withColumn("space", F.lit(n)) for n, (u, i) in spaces.items()]
-    return rounded(parts[0].unionByName(parts[1]))
+    content = _spaces(s, d)
+    learned = towers.fit_towers(_clicked_pairs(s, d))
+    spaces = {"pooled": content, "factors": (users, items), "towers": (learned.project(content[0], "user_id", "user"), learned.project(content[1], "item_id", "item"))}
+    targets = materialize(_targets(s, d), "targets")
+    parts = [metrics.recall_from_topk(retrieval.exact_topk(u, i, 50), targets, (10, 50), 50).withColumn("space", F.lit(n)) for n, (u, i) in spaces.items()]
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 @query("space_check", """SELECT space, max(q) AS n_queries, max(i) AS n_index, max(q) > 0 AND max(i) > 0 AS usable FROM (SELECT 'v' || n_regionkey AS space, count(*) AS i, 0 AS q FROM nation GROUP BY 1
@@ -624,10 +663,9 @@ def retrieval_factors(s, d):
 
 @query("evaluate_learned")
 def evaluate_learned(s, d):
-    """The metrics of the learned scorers, beside the best counted one, over the same rows."""
-    te = _test(s, d)
+    """The metrics of all eleven scorers over the same rows, the two learned ones among them."""
     model = scorers.fit_retrieval_factors(_train(s, d).where("label = 1"))
     users = model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.col("features").cast("array<double>").alias("vec"))
     items = model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").cast("array<double>").alias("vec"))
-    scored = scorers.score_all({"pointwise": _ranked(s, d), "factors": scorers.score_pooled_cosine(te, users, items), "positive_pop": scorers.score_positive_pop(te, _train(s, d))})
-    return rounded(metrics.evaluate_table(materialize(scored, "scores")))
+    learned = scorers.score_all({"pointwise": _ranked(s, d), "factors": scorers.score_pooled_cosine(_test(s, d), users, items)})
+    return rounded(metrics.evaluate_table(materialize(_all_scores(s, d).unionByName(learned), "scores")))
