@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions.expr import hash_unit
+from rillmark.operators.sketches import hot_keys, salts_of
 
 #: Metadata tables up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -74,3 +75,14 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int, *row_k
     salt = F.floor(hash_unit(42, *[F.col(c) for c in row_key]) * salts).cast("int")
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return large.withColumn("__salt", salt).join(spread, [key, "__salt"], how).drop("__salt")
+
+
+def hot_key_join(large: DataFrame, small: DataFrame, key: str, *row_key: str, rows_a_task: int = 1_000_000, share: float = 0.001, how: str = "inner") -> DataFrame:
+    """An equi-join in which only hot keys are spread, each over as many tasks as its rows need: ``rows_a_task`` of them each. Keys with over
+    ``share`` of the rows are found by mergeable summaries; others have one salt, and the small side holds them once. ``large`` is
+    read three times: write it first if it is costly."""
+    salts = salts_of(hot_keys(large, key, share), rows_a_task).where("salts > 1").select(key, "salts")  # at most 1 / share rows
+    spread = lambda df: df.join(F.broadcast(salts), key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    dealt = spread(large).withColumn("__salt", F.floor(hash_unit(42, *[F.col(c) for c in row_key]) * F.col("salts")).cast("int")).drop("salts")
+    repeated = spread(small).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return dealt.join(repeated, [key, "__salt"], how).drop("__salt")

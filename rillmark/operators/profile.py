@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.functions.prefix import prefix_sum
+from rillmark.operators.sketches import exact_quantiles, merged_quantiles, quantile_sketches
 
 
 def label_cardinality(ix: DataFrame, approximate: bool = False) -> DataFrame:
@@ -29,9 +29,15 @@ def _count_classes(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n").agg(F.count(F.lit(1)).alias("items"))
 
 
+def _summed(classes: DataFrame, order: Column, values: dict[str, Column]) -> DataFrame:
+    """Running sums over all classes in one small window: different counts add up to the rows, so there are at most as many as the root of
+    twice the rows, a million and a half for a trillion."""
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return classes.withColumns({name: F.sum(v).over(w) for name, v in values.items()})
+
+
 def _descending(counts: DataFrame) -> DataFrame:
-    classes = _count_classes(counts).withColumn("neg", -F.col("n"))
-    return prefix_sum(classes, "neg", {"rank_to": F.col("items"), "sum_to": F.col("n") * F.col("items")})
+    return _summed(_count_classes(counts), F.desc("n"), {"rank_to": F.col("items"), "sum_to": F.col("n") * F.col("items")})
 
 
 def top_share(counts: DataFrame, ks: tuple[int, ...] = (10, 100, 1000, 10000)) -> DataFrame:
@@ -55,7 +61,7 @@ def items_for_pct(counts: DataFrame, pcts: tuple[int, ...] = (50, 90)) -> DataFr
 
 def gini(counts: DataFrame) -> DataFrame:
     """Inequality of the counts, 0 for equal ones."""
-    ranked = prefix_sum(_count_classes(counts), "n", {"rank_to": F.col("items")})
+    ranked = _summed(_count_classes(counts), F.asc("n"), {"rank_to": F.col("items")})
     first = F.col("rank_to") - F.col("items") + 1
     weighted = F.sum((first + F.col("rank_to")).cast("double") * F.col("items") / 2 * F.col("n"))
     n, total = F.sum("items"), F.sum(F.col("n") * F.col("items"))
@@ -73,9 +79,10 @@ def log_histogram(counts: DataFrame, bins: int = 10) -> DataFrame:
 
 def sequence_length_stats(lists: DataFrame, column: str, cap: int) -> DataFrame:
     n = F.size(column)
-    p = F.percentile(n, F.array(*[F.lit(q) for q in (0.1, 0.5, 0.9, 0.99)]))
-    one = lists.agg(F.avg(n).alias("mean"), p.alias("p"), F.max(n).alias("max"), F.avg((n >= cap).cast("double")).alias("share_at_cap"))
-    return one.select("mean", *[F.get("p", i).alias(c) for i, c in enumerate(("p10", "p50", "p90", "p99"))], "max", "share_at_cap")
+    sized = lists.select(n.alias("n"))
+    p = exact_quantiles(sized, [], "n", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
+    one = sized.agg(F.avg("n").alias("mean"), F.max("n").alias("max"), F.avg((F.col("n") >= cap).cast("double")).alias("share_at_cap"))
+    return one.crossJoin(F.broadcast(p)).select("mean", "p10", "p50", "p90", "p99", "max", "share_at_cap")
 
 
 def distinct_buckets(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,7 +140,8 @@ def catalogue_funnel(steps: dict[str, DataFrame]) -> DataFrame:
 
 def rows_per_user(rows: DataFrame) -> DataFrame:
     n = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("p50"), F.percentile("n", F.lit(0.9)).alias("p90"), F.max("n").alias("max"))
+    p = exact_quantiles(n, [], "n", {"p50": 0.5, "p90": 0.9})
+    return n.agg(F.avg("n").alias("mean"), F.max("n").alias("max")).crossJoin(F.broadcast(p)).select("mean", "p50", "p90", "max")
 
 
 def behaviour_profile(log: DataFrame, meta: DataFrame) -> DataFrame:
@@ -168,14 +176,15 @@ def behaviour_funnel(log: DataFrame, stages: list[str]) -> DataFrame:
     return per.select(F.inline(rows))
 
 
+LATENCY = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def latency_summary(requests: DataFrame, by: str, latency: str, approximate: bool = False) -> DataFrame:
-    """Count, mean, percentiles, greatest and rate a day by endpoint."""
-    pct = (lambda q: F.percentile_approx(latency, F.lit(q))) if approximate else (lambda q: F.percentile(latency, F.lit(q)))
+    """Count, mean, percentiles, greatest and rate a day by endpoint; percentiles are exact, or of sketches."""
     days = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(86_400_000_000)
-    return requests.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(latency).alias("mean"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99"),
-        F.max(latency).alias("max"), (F.count(F.lit(1)) / days).alias("per_day"),
-    )
+    rest = requests.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(latency).alias("mean"), F.max(latency).alias("max"), (F.count(F.lit(1)) / days).alias("per_day"))
+    p = merged_quantiles(quantile_sketches(requests, [by], latency), [by], LATENCY).drop("n") if approximate else exact_quantiles(requests, [by], latency, LATENCY)
+    return rest.join(p, by, "left").select(by, "n", "mean", *LATENCY, "max", "per_day")
 
 
 def request_counts(requests: DataFrame, endpoint: Column, status: str, values: list[str]) -> DataFrame:

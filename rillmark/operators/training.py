@@ -53,34 +53,49 @@ def random_split(log: DataFrame, share: float, keys: list[Column], seed: int = 4
     return log.withColumn("split", F.when(hash_unit(seed, *keys) < share, "test").otherwise("train"))
 
 
+def _unseen(placed: DataFrame, seen: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``user_id, stratum, first, last``: for each user the stretches of positions of a stratum which they haven't seen, empty ones
+    (``first > last``) among them; users who have seen nothing of a stratum don't occur."""
+    held = seen.select("user_id", "item_id").distinct().join(placed.select("item_id", "pos"), "item_id")
+    inside = held.join(F.broadcast(bounds), (F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))  # a row a stratum
+    next_ = F.coalesce(F.lead("pos").over(Window.partitionBy("user_id", "stratum").orderBy("pos")), F.col("high"))
+    after = inside.select("user_id", "stratum", (F.col("pos") + 1).alias("first"), (next_ - 1).alias("last"))
+    head = inside.groupBy("user_id", "stratum").agg(F.min("low").alias("first"), (F.min("pos") - 1).alias("last"))
+    return head.unionByName(after)
+
+
 def stratified_negatives(positives: DataFrame, counts: DataFrame, seen: DataFrame, strata: int = 5, per_stratum: int = 1, slots: int = 20, seed: int = 42) -> DataFrame:
-    """``user_id, item_id, stratum, negative``: for each positive and popularity stratum, the first of ``slots`` hash-drawn
-    items of the stratum that the user hasn't seen. Draws are index look-ups, so no user meets every item. Where all draws are
-    seen, it is the next unseen item after the first draw, from the stratum's start after its end."""
+    """``user_id, item_id, stratum, negative``: for each positive and popularity stratum, the first ``per_stratum`` of ``slots`` hash-drawn
+    items of the stratum that the user hasn't seen. Draws are index look-ups, so no user meets every item. Where fewer draws are new,
+    the stratum's unseen items from the first draw on, and from its start after its end, fill up what is missing: a stratum with
+    ``per_stratum`` unseen items or more gives that many, another all it has."""
     numbered = dense_rank_index(counts.withColumn("__o", -F.col("n")), "__o", [F.col("item_id")], "pos")
     size = numbered.agg(F.count(F.lit(1)).alias("total"))
-    placed = numbered.crossJoin(F.broadcast(size)).select("item_id", "pos", "total")
-    tries = positives.crossJoin(F.broadcast(size)).select(
-        "user_id", "item_id", "total", F.explode(F.sequence(F.lit(0), F.lit(strata - 1))).alias("stratum")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    placed = numbered.select("item_id", "pos")
     low, high = F.floor(F.col("total") * F.col("stratum") / strata), F.floor(F.col("total") * (F.col("stratum") + 1) / strata)
-    drawn = tries.withColumn("pos", (low + F.floor(hash_unit(seed, F.col("user_id"), F.col("item_id"), F.col("stratum"), F.col("slot")) * (high - low))).cast("bigint"))
-    named = drawn.join(placed.select("pos", F.col("item_id").alias("negative")), "pos")
+    bounds = size.select("total", F.explode(F.sequence(F.lit(0), F.lit(strata - 1))).alias("stratum")).select("stratum", low.cast("bigint").alias("low"), high.cast("bigint").alias("high"))
+    asked = positives.select("user_id", "item_id").distinct().crossJoin(F.broadcast(bounds))  # a row a stratum
+    place = lambda slot: (F.col("low") + F.floor(hash_unit(seed, F.col("user_id"), F.col("item_id"), F.col("stratum"), slot) * (F.col("high") - F.col("low")))).cast("bigint")
+    tries = asked.where("low < high").select("*", F.posexplode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), place))).alias("slot", "pos"))
+    named = tries.join(placed.select("pos", F.col("item_id").alias("negative")), "pos")
     fresh = named.join(seen.select("user_id", F.col("item_id").alias("negative")).distinct(), ["user_id", "negative"], "left_anti")
-    best = fresh.groupBy("user_id", "item_id", "stratum", "negative").agg(F.min("slot").alias("slot"))
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("user_id", "item_id", "stratum").orderBy("slot")))
-    chosen = ranked.where(F.col("r") <= per_stratum).select("user_id", "item_id", "stratum", "negative")
-    # runs of seen positions: all draws of what is left lie in such runs
-    left = drawn.where("slot = 0").distinct().join(chosen, ["user_id", "item_id", "stratum"], "left_anti").withColumns({"low": low.cast("bigint"), "high": high.cast("bigint")})
-    held = seen.select("user_id", "item_id").distinct().join(placed.select("item_id", "pos"), "item_id")
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("user_id").orderBy("pos"))
-    ends = held.select("user_id", "pos", run.alias("run")).withColumn("next", F.max("pos").over(Window.partitionBy("user_id", "run")) + 1)
-    after = left.join(ends.select("user_id", "pos", "next"), ["user_id", "pos"]).drop("pos")
-    start = ends.select("user_id", F.col("pos").alias("low"), F.col("next").alias("free"))
-    at = F.when(F.col("next") < F.col("high"), F.col("next")).otherwise(F.coalesce("free", "low"))
-    found = after.join(start, ["user_id", "low"], "left").withColumn("pos", at).where("pos < high")
-    rest = found.join(placed.select("pos", F.col("item_id").alias("negative")), "pos").select("user_id", "item_id", "stratum", "negative")
-    return chosen.unionByName(rest)
+    w = Window.partitionBy("user_id", "item_id", "stratum").orderBy("slot")
+    chosen = fresh.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_stratum)
+    got = chosen.groupBy("user_id", "item_id", "stratum").agg(F.collect_list("pos").alias("taken"))
+    short = asked.where("low < high").join(got, ["user_id", "item_id", "stratum"], "left").withColumn("missing", F.lit(per_stratum) - F.coalesce(F.size("taken"), F.lit(0))).where("missing > 0")
+    # the next unseen places, past those that are taken: each stretch hands on as many as can be wanted of it
+    gaps = short.withColumn("start", place(F.lit(0))).join(_unseen(placed, seen, bounds), ["user_id", "stratum"], "left")
+    begun = gaps.withColumns({"first": F.coalesce("first", "low"), "last": F.coalesce("last", F.col("high") - 1)})
+    wanted = F.lit(per_stratum) + F.coalesce(F.size("taken"), F.lit(0))
+    ahead = F.greatest("first", "start")
+    two = F.array(F.struct(F.lit(0).alias("lap"), ahead.alias("a"), F.col("last").alias("z")), F.struct(F.lit(1).alias("lap"), F.col("first").alias("a"), F.least("last", F.col("start") - 1).alias("z")))
+    stretches = begun.select("*", F.inline(two)).where("a <= z")
+    nth = Window.partitionBy("user_id", "item_id", "stratum").orderBy("lap", "a")
+    near = stretches.withColumn("before", F.coalesce(F.sum(F.col("z") - F.col("a") + 1).over(nth.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < wanted)
+    places = near.select("*", F.explode(F.sequence(F.col("a"), F.least("z", F.col("a") + wanted - 1))).alias("pos")).where(~F.coalesce(F.array_contains("taken", F.col("pos")), F.lit(False)))
+    filled = places.withColumn("r", F.row_number().over(nth.orderBy("lap", "pos"))).where(F.col("r") <= F.col("missing"))
+    rest = filled.join(placed.select("pos", F.col("item_id").alias("negative")), "pos")
+    return chosen.select("user_id", "item_id", "stratum", "negative").unionByName(rest.select("user_id", "item_id", "stratum", "negative"))
 
 
 def split_overlap(frames: dict[str, DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.prefix import dense_rank_index
+from rillmark.scratch import materialize
 
 
 def build_vocab(ids: DataFrame, column: str) -> DataFrame:
@@ -13,19 +14,49 @@ def build_vocab(ids: DataFrame, column: str) -> DataFrame:
     return dense_rank_index(ids.select(F.col(column).alias("id")).where("id is not null").distinct(), "id", [])
 
 
+#: Distinct values up to which a column's vocabulary goes through the driver.
+SMALL = 100_000
+
+
 def small_vocab(ids: DataFrame, column: str) -> DataFrame:
-    """The same for a category column of few values and any type, by one ordinary ranking."""
+    """The same for a category column of any type. Values are numbered inside ranges of their order, and the ranges' sizes, a row a
+    partition, give the offsets: no task holds them all, however many there are."""
     distinct = ids.select(F.col(column).alias("id")).where("id is not null").distinct()
-    return distinct.withColumn("idx", (F.row_number().over(Window.orderBy("id")) - 1).cast("bigint"))
+    parted = materialize(distinct.repartitionByRange("id").select("id", F.spark_partition_id().alias("part")), "vocabulary")
+    local = parted.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id")))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    return local.join(F.broadcast(before), "part").select("id", (F.col("r") - 1 + F.col("offset")).cast("bigint").alias("idx"))
+
+
+def small_vocabs(df: DataFrame, columns: list[str]) -> dict[str, tuple[DataFrame, int]]:
+    """A vocabulary and its size for each column: of columns of up to some ``SMALL`` values by one pass for their numbers and one for all of them
+    together, of others by ``small_vocab``."""
+    spark = df.sparkSession
+    near = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    few = [c for c in columns if near[c] <= SMALL]
+    held = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in few]).first() if few else {}
+    out = {}
+    for c in columns:
+        if c in few:
+            rows = [(v, i) for i, v in enumerate(held[c])]
+            out[c] = spark.createDataFrame(rows, f"id {dict(df.dtypes)[c]}, idx bigint"), len(rows)
+        else:
+            vocab = materialize(small_vocab(df, c), "vocabulary")
+            out[c] = vocab, vocab.count()
+    return out
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count(F.lit(1)).alias("size"))
 
 
-def encode_ids(df: DataFrame, vocab: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds the index; ids outside the vocabulary share the slot after the last."""
+def encode_ids(df: DataFrame, vocab: DataFrame, column: str, out: str, size: int | None = None) -> DataFrame:
+    """Adds the index; ids outside the vocabulary share the slot after the last. A known ``size`` of the vocabulary saves counting it."""
     v = vocab.select(F.col("id").alias("__id"), F.col("idx").alias("__idx"))
+    if size is not None:
+        v = F.broadcast(v) if size <= SMALL else v
+        return df.join(v, df[column] == F.col("__id"), "left").withColumn(out, F.coalesce("__idx", F.lit(size).cast("bigint"))).drop("__id", "__idx")
     return df.join(v, df[column] == F.col("__id"), "left").crossJoin(F.broadcast(vocab_size(vocab))).withColumn(out, F.coalesce("__idx", "size")).drop("__id", "__idx", "size")
 
 
@@ -57,10 +88,10 @@ def vocab_stats(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
     return has.agg(n.alias("size"), w.alias("n_with_vector"), (w / n).alias("vector_share"), n.alias("pad_index"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
 
 
-def encode_categoricals(df: DataFrame, vocabs: dict[str, DataFrame]) -> DataFrame:
-    """Adds ``<column>_idx`` for each small vocabulary."""
+def encode_categoricals(df: DataFrame, vocabs: dict[str, DataFrame | tuple[DataFrame, int]]) -> DataFrame:
+    """Adds ``<column>_idx`` for each small vocabulary, with or without its size."""
     for column, vocab in vocabs.items():
-        df = encode_ids(df, vocab, column, f"{column}_idx")
+        df = encode_ids(df, *([vocab] if isinstance(vocab, DataFrame) else [vocab[0]]), column, f"{column}_idx", None if isinstance(vocab, DataFrame) else vocab[1])
     return df
 
 
@@ -76,7 +107,7 @@ def cardinalities(vocabs: dict[str, DataFrame]) -> DataFrame:
 def key_order_check(df: DataFrame, key: str, order: str) -> DataFrame:
     """Inversions of ``key`` along ``order``, and keys that repeat. Neighbours are compared within ranges of ``order``, then
     the ends of the ranges with each other."""
-    part = df.repartitionByRange(order).select(F.col(key).alias("k"), F.col(order).alias("o"), F.spark_partition_id().alias("p"))
+    part = materialize(df.repartitionByRange(order).select(F.col(key).alias("k"), F.col(order).alias("o"), F.spark_partition_id().alias("p")), "ranges")  # two branches read one and the same ranges
     w = Window.partitionBy("p").orderBy("o")
     inside = part.withColumn("prev", F.lag("k").over(w))
     ends = part.groupBy("p").agg(F.min_by("k", "o").alias("first"), F.max_by("k", "o").alias("last"))

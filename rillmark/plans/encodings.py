@@ -66,7 +66,7 @@ def category_vocab(s, d):
   coalesce((SELECT any_value(i) FROM b WHERE b.city = meta.city), (SELECT count(DISTINCT city) FROM b)) AS city_idx FROM meta""")
 def encode_categoricals(s, d):
     meta = T.item_features(s, d).select("item_id", "category", "city")
-    return vocab.encode_categoricals(meta, {"category": vocab.small_vocab(meta, "category"), "city": vocab.small_vocab(meta, "city")})
+    return vocab.encode_categoricals(meta, vocab.small_vocabs(meta, ["category", "city"]))
 
 
 @query("cardinalities", f"WITH {META} SELECT unnest(['category', 'city', 'province']) AS field, unnest([count(DISTINCT category) + 1, count(DISTINCT city) + 1, count(DISTINCT province) + 1]) AS cardinality FROM meta")
@@ -234,3 +234,12 @@ def skew_join(s, d):
     log = T.load(s, d, "events", "event_id", "user_id", "value").withColumn("hot", F.col("user_id") % 3)
     small = T.load(s, d, "nation", "n_nationkey").select(F.col("n_nationkey").cast("bigint").alias("hot"), "n_nationkey")
     return rounded(joins.salted_join(log, small, "hot", 4, "event_id").groupBy("hot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * F.col("n_nationkey")).alias("total")), 4)
+
+
+@query("hot_key_join", "SELECT user_id % 3 AS hot, count(*) AS n, round(sum(value * n_nationkey), 4) AS total FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id % 25 END AS user_id, value FROM events) e JOIN nation ON n_nationkey = e.user_id GROUP BY 1")
+def hot_key_join(s, d):
+    """A third of all rows have one key, which alone is spread."""
+    log = T.load(s, d, "events", "event_id", "user_id", "value").withColumn("key", F.when(F.col("event_id") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("user_id") % 25))
+    small = T.load(s, d, "nation", "n_nationkey").select(F.col("n_nationkey").cast("bigint").alias("key"), "n_nationkey")
+    joined = joins.hot_key_join(log, small, "key", "event_id", rows_a_task=500, share=0.1)
+    return rounded(joined.groupBy((F.col("key") % 3).alias("hot")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * F.col("n_nationkey")).alias("total")), 4)

@@ -92,14 +92,13 @@ def prepared_split(s, d):
     ix, meta = T.interactions(s, d), T.item_features(s, d)
     region = T.load(s, d, "nation", "n_nationkey", "n_regionkey").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
     wealth = T.load(s, d, "customer", "c_custkey", "c_acctbal").select(F.col("c_custkey").alias("user_id"), F.floor(F.col("c_acctbal") / 1000).alias("wealth"))
-    people = T.demographics(s, d).join(region, "nation").join(wealth, "user_id")
-    for c in _COLUMNS[:5]:
-        people = vocab.encode_ids(people, vocab.small_vocab(people, c), c, f"{c}_idx").drop(c)
-    for c in _COLUMNS[5:]:
-        meta = vocab.encode_ids(meta, vocab.small_vocab(T.item_features(s, d), c), c, f"{c}_idx").drop(c)
+    people = T.demographics(s, d).join(F.broadcast(region), "nation").join(wealth, "user_id")  # a row a nation
+    ix = materialize(ix, "interactions")
+    people, meta = (vocab.encode_categoricals(df, vocab.small_vocabs(df, list(names))).drop(*names) for df, names in ((people, _COLUMNS[:5]), (meta, _COLUMNS[5:])))
     rows = joins.join_item_meta(ix.select("user_id", "item_id", "label", "split"), meta).join(people, "user_id", "left")
-    for v, c, out in ((vocab.build_vocab(ix, "user_id"), "user_id", "user_idx"), (vocab.build_vocab(T.item_vectors(s, d), "item_id"), "item_id", "item_idx")):
-        rows = vocab.encode_ids(rows, v, c, out)
+    for ids, c, out in ((ix, "user_id", "user_idx"), (T.item_vectors(s, d), "item_id", "item_idx")):
+        v = materialize(vocab.build_vocab(ids, c), "vocabulary")
+        rows = vocab.encode_ids(rows, v, c, out, v.count())
     return rows.select("split", "user_idx", "item_idx", "label", *[f"{c}_idx" for c in _COLUMNS])
 
 
@@ -621,7 +620,7 @@ def _features(s, d):
         "user_id", "item_id", "label", "split", log_count(F.col("__n"), is_own).alias("global_pop"), log_count(F.col("__k"), is_own * F.col("label")).alias("category_pop")
     )
     likeness = scorers.history_features(rows.select("user_id", "item_id", "own"), histories(s, d), T.item_vectors(s, d))
-    people = vocab.encode_categoricals(T.demographics(s, d), {"segment": vocab.small_vocab(T.demographics(s, d), "segment")})
+    people = vocab.encode_categoricals(T.demographics(s, d), vocab.small_vocabs(T.demographics(s, d), ["segment"]))
     return counted.join(likeness, ["user_id", "item_id"]).join(people.select("user_id", "nation", "segment_idx", "balance"), "user_id", "left")
 
 

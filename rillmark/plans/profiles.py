@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from rillmark.functions import expr
 from rillmark.operators import events as ev
 from rillmark.operators import profile as P
-from rillmark.operators import sequences
-from rillmark.plans.base import CLICKS, COUNTS, IX, META, PURCHASES, QUERIES, SQL, query, rounded
-from rillmark.scratch import new_folder
+from rillmark.operators import sequences, sketches
+from rillmark.plans.base import CLICKS, COUNTS, IX, META, PURCHASES, query, rounded
+from rillmark.scratch import materialize
 from rillmark.sources import io
 from rillmark.sources import tables as T
 
@@ -239,23 +239,21 @@ def request_counts(s, d):
     return P.request_counts(T.load(s, d, "events", "user_id", "event_type"), F.col("user_id") % 7, "event_type", ["click", "error", "view"])
 
 
-#: The sections of the report: queries by name, and the column that names their rows where they have several.
-_SECTIONS = {
-    "label_cardinality": "split", "top_share": "k", "items_for_pct": "pct", "gini": None, "positive_popularity": None, "sequence_length_stats": None, "distinct_buckets": "field", "embedding_coverage": None,
-    "item_metadata_card": None, "top_categories": "category", "split_summary": "split", "history_summary": None, "log_histogram": "bin", "rows_per_user": None, "behaviour_mix": "event_type", "behaviour_profile": None,
-}
-
-
-def _report_sql() -> str:
-    parts = []
-    for name, key in _SECTIONS.items():
-        rest, label = (f"COLUMNS(* EXCLUDE ({key}))", f"{key}::VARCHAR || '.' || metric") if key else ("COLUMNS(*)", "metric")
-        named = f"{key}, " if key else ""
-        parts.append(f"SELECT '{name}' AS section, {label} AS metric, value FROM (UNPIVOT (SELECT {named}{rest}::DOUBLE FROM ({SQL[name]})) ON {rest} INTO NAME metric VALUE value)")
-    return " UNION ALL ".join(parts)
-
-
-@query("profile_report", _report_sql())
-def profile_report(s, d):
-    """Every profile as one long table, written as JSON and read back."""
-    return P.write_report(P.report({name: (QUERIES[name](s, d), key) for name, key in _SECTIONS.items()}), new_folder(s, "profile"))
+@query("latency_sketch", """SELECT event_type, count(*) AS n, true AS p50_close, true AS p95_close, true AS p99_close FROM events GROUP BY 1""")
+def latency_sketch(s, d):
+    """Percentiles of sketches stored by day and merged: whether each lies between the exact ones 2 % of the ranks below and above."""
+    log = T.load(s, d, "events", "ts", "event_type", "value")
+    daily = materialize(sketches.quantile_sketches(log.withColumn("day", F.to_date("ts")), ["day", "event_type"], "value"), "latency-sketches")
+    got = sketches.merged_quantiles(daily, ["event_type"], P.LATENCY)
+    edges = sketches.exact_quantiles(log, ["event_type"], "value", {f"{n}_{side}": min(1.0, max(0.0, q + e)) for n, q in P.LATENCY.items() for side, e in (("low", -0.02), ("high", 0.02))})
+    return got.join(edges, "event_type").select("event_type", "n", *[F.col(n).between(F.col(f"{n}_low"), F.col(f"{n}_high")).alias(f"{n}_close") for n in P.LATENCY])
+
+
+@query("distinct_sketch", f"WITH {IX} SELECT split, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, true AS users_close, true AS items_close FROM ix GROUP BY 1")
+def distinct_sketch(s, d):
+    """Distinct users and items by sketches stored by month and merged, beside the exact numbers: whether they are within 2 %."""
+    ix = materialize(T.interactions(s, d), "interactions")
+    monthly = materialize(sketches.distinct_sketches(ix.withColumn("month", F.date_trunc("month", "last_ts")), ["split", "month"], ["user_id", "item_id"]), "distinct-sketches")
+    got = sketches.merged_distinct(monthly, ["split"], ["user_id", "item_id"])
+    exact = ix.groupBy("split").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("item_id").alias("items"))
+    return got.join(exact, "split").select("split", "users", "items", sketches.within(F.col("n_user_id"), F.col("users"), 0.02).alias("users_close"), sketches.within(F.col("n_item_id"), F.col("items"), 0.02).alias("items_close"))

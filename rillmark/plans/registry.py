@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillmark.plans import encodings, learning, profiles, streams  # noqa: F401 - importing a module registers its queries
+from rillmark.plans import encodings, learning, profiles, report, streams  # noqa: F401 - importing a module registers its queries
 from rillmark.plans.base import QUERIES, SQL, Query
 
 

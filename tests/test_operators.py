@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import expr
 from rillmark.functions.prefix import dense_rank_index, prefix_sum
-from rillmark.operators import events, indices, joins, metrics, profile, retrieval, scorers, sequences, towers, training, vectors, vocab
+from rillmark.operators import events, indices, joins, metrics, profile, retrieval, scorers, sequences, sketches, towers, training, vectors, vocab
 from rillmark.plans import learning
 from rillmark.sources import io
 
@@ -417,6 +417,80 @@ def test_every_stratum_with_an_unseen_item_gives_a_negative(spark):
     assert all(r["negative"] in unseen and r["negative"] // 100 == r["stratum"] for r in got)
 
 
+@pytest.mark.parametrize("slots", [1, 2, 3, 20])
+def test_negatives_fill_up_to_the_number_asked_for(spark, slots):
+    """Two unseen items in a stratum give both, whatever the draws; a stratum with one gives one, one that is seen whole none, an untouched one two."""
+    counts = spark.createDataFrame([(i, 400 - i) for i in range(400)], "item_id long, n long")
+    unseen = {7, 60, 150, *range(300, 400)}
+    seen = spark.createDataFrame([(1, i) for i in range(400) if i not in unseen] + [(2, 5)], "user_id long, item_id long")
+    pairs = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (3, 1)], "user_id long, item_id long")
+    got = training.stratified_negatives(pairs, counts, seen, strata=4, per_stratum=2, slots=slots).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault((r["user_id"], r["item_id"], r["stratum"]), []).append(r["negative"])
+    assert all(len(v) == len(set(v)) <= 2 and all(x // 100 == k[2] for x in v) for k, v in by.items())
+    for item in (5, 6):
+        assert set(by[1, item, 0]) == {7, 60} and by[1, item, 1] == [150] and (1, item, 2) not in by and len(by[1, item, 3]) == 2 and set(by[1, item, 3]) <= unseen
+    assert all(len(by[u, i, st]) == 2 for u, i in ((2, 5), (3, 1)) for st in range(4)) and all(5 not in v for k, v in by.items() if k[0] == 2)
+
+
+def test_quantiles_equal_sorted_lists(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", float(x)) for x in rng.normal(size=500)] + [("b", float(x)) for x in rng.integers(0, 4, 700)] + [("c", 3.0), ("d", 1.0), ("d", 2.0), ("e", None)] + [("f", float(x)) for x in [5] * 900 + [6]]
+    qs = {"lo": 0.0, "p10": 0.1, "mid": 0.5, "p99": 0.99, "hi": 1.0}
+    got = {r["g"]: r for r in sketches.exact_quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", qs).collect()}
+    lists = {g: [x for k, x in rows if k == g and x is not None] for g in "abcdf"}
+    assert got.keys() == lists.keys()
+    assert all(abs(got[g][n] - np.quantile(x, q)) < 1e-9 for g, x in lists.items() for n, q in qs.items())
+    whole = one(sketches.exact_quantiles(spark.createDataFrame(rows, "g string, x double"), [], "x", qs))
+    assert all(abs(whole[n] - np.quantile([x for _, x in rows if x is not None], q)) < 1e-9 for n, q in qs.items())
+
+
+def test_sketches_of_parts_merge(spark):
+    rng = np.random.default_rng(9)
+    x = rng.gamma(2.0, size=20_000)
+    df = spark.createDataFrame([(i % 7, int(i % 3), float(v), int(i * 7919 % 6000)) for i, v in enumerate(x)], "day int, g int, v double, u long")
+    got = sketches.merged_quantiles(sketches.quantile_sketches(df, ["day", "g"], "v"), ["g"], {"p50": 0.5, "p99": 0.99}).collect()
+    for r in got:
+        own = np.sort(x[np.arange(len(x)) % 3 == r["g"]])
+        assert r["n"] == len(own)
+        assert all(abs(np.searchsorted(own, r[n]) / len(own) - q) < 0.02 for n, q in (("p50", 0.5), ("p99", 0.99)))
+    n = sketches.merged_distinct(sketches.distinct_sketches(df, ["day", "g"], ["u"]), ["g"], ["u"]).collect()
+    exact = {r["g"]: r["n"] for r in df.groupBy("g").agg(F.count_distinct("u").alias("n")).collect()}
+    assert all(abs(r["n_u"] - exact[r["g"]]) <= 0.02 * exact[r["g"]] for r in n)
+
+
+def test_hot_keys_are_found_and_only_they_are_spread(spark):
+    rows = [(1, i) for i in range(6000)] + [(2, i) for i in range(2500)] + [(100 + i, i) for i in range(9000)] + [(None, 0)] * 500
+    large = spark.createDataFrame(rows, "key long, row long").repartition(5).persist()
+    hot = {r["key"]: r["n"] for r in sketches.hot_keys(large, "key", 0.1, size=64).collect()}
+    assert hot == {1: 6000, 2: 2500}
+    assert sketches.hot_keys(large, "key", 0.5, size=16).count() == 0
+    small = spark.createDataFrame([(k, f"v{k}") for k in [1, 2, *range(100, 4000)]], "key long, name string")
+    joined = joins.hot_key_join(large, small, "key", "row", rows_a_task=1000, share=0.1)
+    assert joined.count() == 8500 + 3900 and joined.where("name != concat('v', key)").count() == 0
+    assert sorted(r["n"] for r in sketches.salts_of(sketches.hot_keys(large, "key", 0.1), 1000).select(F.col("salts").alias("n")).collect()) == [3, 6]
+    salted = large.join(F.broadcast(sketches.salts_of(sketches.hot_keys(large, "key", 0.1), 1000)), "key").groupBy("key", F.floor(expr.hash_unit(42, F.col("row")) * F.col("salts")).alias("s")).count()
+    assert salted.agg(F.max("count")).first()[0] < 1300  # the hot key's largest share of a task
+    left = joins.hot_key_join(large, small, "key", "row", rows_a_task=1000, share=0.1, how="left")
+    assert left.count() == len(rows)
+    with pytest.raises(ValueError, match="summary"):
+        sketches.hot_keys(large, "key", 0.001, size=64)
+
+
+def test_vocabularies_of_any_size_and_type(spark, monkeypatch):
+    df = spark.createDataFrame([(i * 7919 % 1000, f"v{i % 300}", None if i % 2 else 1.5) for i in range(1500)], "a long, b string, c double").repartition(6)
+    for c in ("a", "b", "c"):
+        ids = sorted({r[0] for r in df.select(c).collect() if r[0] is not None})
+        assert [(r["id"], r["idx"]) for r in vocab.small_vocab(df, c).orderBy("idx").collect()] == [(v, i) for i, v in enumerate(ids)]
+    both = []
+    for most in (100_000, 10):
+        monkeypatch.setattr(vocab, "SMALL", most)
+        got = vocab.encode_categoricals(df, vocab.small_vocabs(df, ["a", "b", "c"]))
+        both.append(sorted(map(str, got.collect())))
+    assert both[0] == both[1] and one(df.join(got, ["a", "b"]).agg(F.max("c_idx").alias("m")))["m"] == 1
+
+
 def test_batch_loss_and_its_gradients():
     rng = np.random.default_rng(2)
     u, v, w = rng.normal(size=(7, 5)), rng.normal(size=(7, 5)), [rng.normal(size=(5, 3)) for _ in range(2)]
