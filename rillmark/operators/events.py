@@ -102,12 +102,23 @@ def session_windows(events: DataFrame, gap: str) -> DataFrame:
     return grouped.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def late_events(events: DataFrame, delay_seconds: int, arrival: str, by: str) -> DataFrame:
-    """Events out of order and behind the watermark, along the order of arrival inside each source."""
-    before = Window.partitionBy(by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(F.unix_micros("ts")).over(before)
-    behind = F.unix_micros("ts") - seen
-    marked = events.select(by, behind.alias("d"))
+#: Ranges of arrival into which a source's rows are cut.
+RANGES = 64
+
+
+def late_events(events: DataFrame, delay_seconds: int, arrival: str, by: str, tie: str | None = None) -> DataFrame:
+    """Events out of order and behind the watermark, along the order of ``arrival``, a number, inside each source; equal arrivals are ordered by
+    ``tie``. A source's rows are cut into ranges of arrival, and each range starts from the latest time of those before it, so that a
+    source with most of the rows isn't one task."""
+    ties = [tie] if tie else []
+    rows = events.select(by, F.col(arrival).alias("__a"), *ties, F.unix_micros("ts").alias("__t"))
+    edges = rows.groupBy(by).agg(F.percentile_approx("__a", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("__e"))
+    cut = rows.join(edges, by).withColumn("__r", F.size(F.filter("__e", lambda e: e < F.col("__a")))).drop("__e")
+    earlier = Window.partitionBy(by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(by, "__r").agg(F.max("__t").alias("__m")).select(by, "__r", F.max("__m").over(earlier).alias("__before"))
+    before = Window.partitionBy(by, "__r").orderBy("__a", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest(F.max("__t").over(before), F.col("__before"))
+    marked = cut.join(tops, [by, "__r"]).select(by, (F.col("__t") - seen).alias("d"))
     return marked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") < 0).alias("n_out_of_order"), F.count_if(F.col("d") < -delay_seconds * 1_000_000).alias("n_late"))
 
 

@@ -228,14 +228,18 @@ def score_all(models: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def fit_pointwise_ranker(features: DataFrame, columns: list[str], weight: float | None = None, seed: int = 42):
-    """A logistic model on candidate features; ``weight`` goes to the positive rows."""
+def fit_pointwise_ranker(features: DataFrame, columns: list[str], weight: float | None = None, seed: int = 42, trees: int = 0):
+    """A logistic model on candidate features, or so many boosted trees; ``weight`` goes to the positive rows."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     weighted = features.withColumn("__weight", F.when(F.col("label") == 1, F.lit(float(weight or 1.0))).otherwise(1.0))
-    stages = [VectorAssembler(inputCols=columns, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="label", weightCol="__weight", regParam=0.01)]
+    gather, common = VectorAssembler(inputCols=columns, outputCol="__raw"), {"labelCol": "label", "weightCol": "__weight"}
+    if trees:
+        stages = [gather, GBTClassifier(featuresCol="__raw", maxIter=trees, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=seed, **common)]
+    else:
+        stages = [gather, StandardScaler(inputCol="__raw", outputCol="__x"), LogisticRegression(featuresCol="__x", regParam=0.01, **common)]
     return Pipeline(stages=stages).fit(weighted)
 
 

@@ -35,6 +35,13 @@ def fraction_sample(s, d):
     return io.fraction_sample(rows, 0.1, *[F.col(c) for c in rows.columns])
 
 
+@query("fraction_sample_exact", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, '42')), l_orderkey, l_linenumber, l_partkey LIMIT 500")
+def fraction_sample_exact(s, d):
+    """500 rows: some more than that by the threshold, then the ones with the least hashes."""
+    rows = T.load(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    return io.fraction_sample(rows, 1.15 * 500 / max(rows.count(), 1) + 0.01, *[F.col(c) for c in rows.columns], n=500)
+
+
 @query("onehot_label", f"WITH {IX} SELECT user_id, item_id, label::TINYINT AS label, label::BIGINT AS argmax FROM ix")
 def onehot_label(s, d):
     hot = T.interactions(s, d).select("user_id", "item_id", F.array(1 - F.col("label"), F.col("label")).alias("label_0"))

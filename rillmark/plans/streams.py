@@ -119,8 +119,8 @@ def session_windows(s, d):
   SELECT source, count(*) AS n, count(*) FILTER (WHERE d < 0) AS n_out_of_order, count(*) FILTER (WHERE d < -21600000000) AS n_late FROM a GROUP BY 1""")
 def late_events(s, d):
     log = T.load(s, d, "events", "event_id", "user_id", "ts")
-    arrival = F.struct((F.col("event_id") + (F.col("event_id") * 7919) % 400).alias("a"), F.col("event_id").alias("b"))
-    return E.late_events(log.select((F.col("user_id") % 10).alias("source"), "ts", arrival.alias("arrival")), 21_600, "arrival", "source")
+    arrival = F.col("event_id") + (F.col("event_id") * 7919) % 400
+    return E.late_events(log.select((F.col("user_id") % 10).alias("source"), "ts", "event_id", arrival.alias("arrival")), 21_600, "arrival", "source", "event_id")
 
 
 @query("token_bucket", """WITH RECURSIVE q AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

@@ -73,6 +73,8 @@ def uniform_sample(df: DataFrame, n: int, *keys: Column, seed: int = 42) -> Data
     return dense_rank_index(near, "__u", [order, *keys], "__i").where(F.col("__i") < n).drop("__u", "__i")
 
 
-def fraction_sample(df: DataFrame, fraction: float, *keys: Column, seed: int = 42) -> DataFrame:
-    """Rows whose hash falls under the fraction: decided row by row, without a shuffle."""
-    return df.where(hash_unit(seed, *keys) < fraction)
+def fraction_sample(df: DataFrame, fraction: float, *keys: Column, seed: int = 42, n: int | None = None) -> DataFrame:
+    """Rows whose hash falls under the fraction: decided row by row, without a shuffle. With ``n``, exactly ``n`` of them, those with the least
+    hashes: take the fraction a little above what ``n`` needs."""
+    near = df.where(hash_unit(seed, *keys) < fraction)
+    return near if n is None else uniform_sample(near, n, *keys, seed=seed)

@@ -531,3 +531,26 @@ def test_towers_find_planted_tastes(spark):
     assert recall["towers"] > 0.6 and recall["towers"] > recall["factors"] + 0.1 and recall["towers"] > recall["content"] + 0.3
     again = towers.fit_towers(pairs, epochs=6, batch=64, rate=0.05, tasks=2)
     assert all(np.allclose(again.weights[s], model.weights[s]) for s in towers.SIDES)
+
+
+def test_boosted_ranker_finds_what_a_line_cannot(spark):
+    """Clicks where two features agree in sign: no line separates them, trees do."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i, float(a), float(b), int(a * b > 0)) for i, (a, b) in enumerate(rng.normal(size=(1200, 2)))]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, a double, b double, label int")
+    train, test = df.where("user_id < 900"), df.where("user_id >= 900")
+    got = {trees: one(metrics.auc(scorers.score_pointwise(scorers.fit_pointwise_ranker(train, ["a", "b"], 2.0, trees=trees), test).select("label", "score")))["auc"] for trees in (0, 12)}
+    assert got[0] < 0.65 and got[12] > 0.93
+
+
+def test_late_events_over_many_ranges(spark):
+    """A source with most of the rows, equal arrivals, and times that run far behind: as one pass over the sorted rows counts them."""
+    rng = np.random.default_rng(7)
+    rows = [(0 if i % 10 else 1, int(rng.integers(0, 400)), i, T0 + timedelta(seconds=int(rng.integers(0, 5000)))) for i in range(3000)] + [(2, 1, 1, T0)]
+    got = {r["s"]: tuple(r)[1:] for r in events.late_events(spark.createDataFrame(rows, "s int, arrival int, tie long, ts timestamp"), 600, "arrival", "s", "tie").collect()}
+    for source in (0, 1, 2):
+        high, n, out, late = None, 0, 0, 0
+        for _, _, t in sorted((a, k, t) for s, a, k, t in rows if s == source):
+            n, out, late = n + 1, out + (high is not None and t < high), late + (high is not None and t < high - timedelta(seconds=600))
+            high = t if high is None else max(high, t)
+        assert got[source] == (n, out, late)

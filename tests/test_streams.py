@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from datetime import datetime, timedelta
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rillmark.operators import events as E
 from rillmark.operators import sequences
-from rillmark.streaming import ingest, ledger, limits
+from rillmark.streaming import ingest, ledger, limits, replay
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "user_id long, item_id long, event_id string, ts timestamp"
@@ -270,3 +271,34 @@ def test_a_broken_batch_does_not_count(spark, tmp_path):
     ledger.write_once(out)(spark.range(4), 1)
     ledger.write_once(out)(spark.range(9), 1)  # it is there already
     assert ledger.written(spark, out).count() == 7
+
+
+def test_replay_at_two_speeds(spark, tmp_path):
+    """Both give all rows with their own times, the slower one over a restart; no row comes before its time, and the log takes its span over the
+    speed."""
+    log = str(tmp_path / "log")
+    rows = [(n, f"v{n}", T0 + timedelta(seconds=n * 2, microseconds=n)) for n in range(200)]
+    spark.createDataFrame([*rows, (999, "no time", None)], "n long, v string, ts timestamp").repartitionByRange(4, "ts").write.parquet(log)
+    for speed, restart in ((50.0, True), (200.0, False)):
+        out, check, anchor = (str(tmp_path / f"{x}{speed}") for x in ("out", "check", "anchor/a"))
+        seen: list = []
+
+        def each(batch, batch_id, out=out, seen=seen):
+            batch.write.mode("append").parquet(out)
+            seen.append((time.time(), batch.agg(F.max("ts").alias("t")).first()["t"], batch.count()))
+
+        start = lambda: replay.replay_stream(spark, log, "n long, v string, ts timestamp", speed, anchor).writeStream.foreachBatch(each).option("checkpointLocation", check).trigger(processingTime="200 milliseconds").start()  # noqa: B023, E731
+        began = time.time()
+        query = start()
+        deadline = began + 90
+        while sum(x[2] for x in seen) < 200 and time.time() < deadline:
+            time.sleep(0.2)
+            if restart and seen and sum(x[2] for x in seen) > 20:
+                query.stop()
+                query, restart = start(), False
+        query.stop()
+        assert sorted((r["n"], r["v"], r["ts"]) for r in spark.read.parquet(out).collect()) == rows
+        begun = json.loads(open(anchor).read())["begun"]
+        assert all(t is None or (t - T0).total_seconds() / speed <= at - begun + 0.05 for at, t, _ in seen)
+        assert seen[-1][0] - begun >= 398 / speed
+        assert len([x for x in seen if x[2]]) > 1
