@@ -39,7 +39,7 @@ KINDS = (*BASE_KINDS, *(f"{k}_like" for k in BASE_KINDS))
 LABELS = ("none", *BASE_KINDS)
 #: At most so many different texts are counted to fit the potentials.
 SAMPLE = 20_000
-DAMPING, SURE, HELD = 0.3, 0.9, 8.0
+DAMPING, SURE, HELD = 0.3, 0.6, 8.0
 #: Strength of the softmax's penalty, in counts, and its steps.
 PENALTY, STEPS = 0.5, 300
 #: Messages of a document are passed on until none changes by more than ``SETTLED``, or as often as it has tokens (``SWEEPS`` if it has fewer).
@@ -338,15 +338,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42, text: str = "text
     return Crf(unary, prior, ratio(tables["chain"]), ratio(tables["skip"] + tables["skip"].T))
 
 
-def _has_form(kind: str, text: str) -> bool:
-    """Whether a found span has at least what any of its kind has."""
+def _has_form(kind: str, text: str, repeated: bool = False) -> bool:
+    """Whether a found span has at least what any of its kind has. Seven or eight digits, which dates and large numbers have too, are a
+    phone number only where they repeat another mention."""
     digits, runs = len(_DIGIT.findall(text)), len(re.findall("[0-9]+", text))
-    return {"email": "@" in text or bool(_AT.search(text)), "ip": runs >= 4, "card": digits >= 7, "phone": 7 <= digits <= 15}[kind]
+    return {"email": "@" in text or bool(_AT.search(text)), "ip": runs >= 4, "card": digits >= 7, "phone": (7 if repeated else 9) <= digits <= 15}[kind]
 
 
 def added_spans(text: str, g: Graph, belief: np.ndarray, base: list[Span]) -> list[Span]:
     """Runs of neighbouring nodes with one sure label that no base span touches."""
-    runs, linked = [], {b for _, b in g.chain}
+    runs, linked, again = [], {b for _, b in g.chain}, {i for edge in g.skip for i in edge} | {i for i, _ in g.held}
     for i, ((a, z), p) in enumerate(zip(g.spans, belief, strict=True)):
         y = int(p.argmax())
         if not y or p[y] < SURE or g.given[i]:
@@ -356,12 +357,12 @@ def added_spans(text: str, g: Graph, belief: np.ndarray, base: list[Span]) -> li
         else:
             runs.append([y, a, z, i])
     out = []
-    for y, a, z, _ in runs:
+    for y, a, z, last in runs:
         lead = _TRIM.match(text[a:z])
         a += lead.end() if lead and lead.start() == 0 and lead.end() < z - a else 0
         tail = re.search(r"[^\w)]+$", text[a:z])
         z -= len(tail[0]) if tail else 0
-        if a < z and _has_form(LABELS[y], text[a:z]) and not any(b[1] < z and b[2] > a for b in base):
+        if a < z and _has_form(LABELS[y], text[a:z], last in again) and not any(b[1] < z and b[2] > a for b in base):
             out.append((f"{LABELS[y]}_like", a, z))
     return out
 
