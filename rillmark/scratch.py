@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_ROOT = "/tmp/checkpoints"
+#: Everything that this process writes lies in a folder of its own.
+RUN = uuid.uuid4().hex
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -20,7 +22,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/rillmark/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/rillmark/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has written, once its results have been read: lazy frames over written tables can't be read afterwards."""
+    _delete(spark, f"{scratch_root(spark)}/rillmark/{RUN}")
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
@@ -51,11 +63,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a kept table before the end of the block; nothing may read it afterwards."""
-        self._delete(self.paths[id(df)][1])
-
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.paths[id(df)][1])
 
     def __exit__(self, *_) -> None:
-        self._delete(self.folder)
+        _delete(self.spark, self.folder)

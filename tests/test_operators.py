@@ -554,3 +554,15 @@ def test_late_events_over_many_ranges(spark):
             n, out, late = n + 1, out + (high is not None and t < high), late + (high is not None and t < high - timedelta(seconds=600))
             high = t if high is None else max(high, t)
         assert got[source] == (n, out, late)
+
+
+def test_scratch_is_cleared(spark):
+    from rillmark import scratch
+
+    kept = scratch.materialize(spark.range(5), "five")
+    assert kept.count() == 5 and any(scratch.RUN in f for f in kept.inputFiles())
+    with scratch.Scratch(spark, "block") as space:
+        assert space.keep(spark.range(3), "three").count() == 3
+    scratch.clear(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.schema("id long").parquet(kept.inputFiles()[0]).collect()
