@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.llm.batches import small_batches
 from rillmark.llm.graph import components, join_lookup
 from rillmark.llm.similar import one_a_text, prefixed, similar_links, split_words
 from rillmark.llm.text import whole
@@ -176,7 +177,7 @@ def links(fps: DataFrame, space: Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", copies: bool = False) -> DataFrame:
     """``row, text_key, fingerprint`` (16 hex digits) and ``component_id``, the smallest id of all documents reachable by links.
     With ``copies``, similar texts link too."""
-    with Scratch(docs.sparkSession, "near-duplicates") as space:
+    with small_batches(docs.sparkSession), Scratch(docs.sparkSession, "near-duplicates") as space:
         if copies:
             marked = space.keep(prefixed(docs, text, _row(docs, text), lambda words: of_words(words, shingle)), "texts")
         else:
