@@ -6,15 +6,15 @@ counts. A candidate inside a longer one of the same count is dropped. The first
 
 Growth starts from single words. As a phrase is never more frequent than what is left of it when its first word is cut off, nothing
 that begins with the word w scores above floor(1000 n / f(w)): the prefix's count bounds its whole subtree. All two-word phrases are
-counted first; the score of their ``TOP``-th survivor is a floor that only rises. Of the frontier, ordered by bound, the
-prefixes that reach the floor are then expanded to all lengths, and those below it, which can't change the result or its
-ties, are never grown. A language with fewer survivors than ``TOP`` is expanded whole.
+counted first; the score of their ``TOP``-th survivor is a floor that can only rise. Of the frontier, the words whose bound reaches
+the floor are then grown, a word a level, and only through prefixes and pairs that are frequent; words below it can't change
+the result or its ties, and never are. A language with fewer survivors than ``TOP`` is grown whole.
 
-Each step is one pass over the texts. A pass holds two filters of a fixed size (``BITS`` bits, whatever the corpus): frequent
-words and frequent two-word phrases by their 64-bit hashes. Filters only leave out what can't be frequent; counts that decide are
-summed over the phrases' words themselves. Each task adds up what it has seen before anything is shuffled, so a phrase on a
-third of all documents is a row a task. Whether a phrase lies in a longer one of its count is read from its neighbours: all of its
-occurrences have the same word before them, or after them.
+Texts are read twice: to count words, and to write them as 64-bit codes of frequent words, which all further passes read. A pass holds
+filters of a fixed size (``BITS`` bits a level, whatever the corpus). Filters only leave out what can't be frequent; the counts that
+decide are summed over the phrases' codes, which stand for one word each. Each task adds up what it has seen before anything
+is shuffled, so a phrase on a third of all documents is a row a task. Whether a phrase lies in a longer one of its count is read from its
+neighbours: all of its occurrences have the same word before them, or after them.
 
 Defined cases: a null language is ``und``, a null or empty text has no words; texts of any length are read whole; repeated rows count as often
 as they are there; ties are ordered by phrase, in order of UTF-8 bytes; an empty table gives an empty result. Columns other than the
@@ -24,6 +24,7 @@ language and the text, whatever their names, are never read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,14 +43,14 @@ LEAST = 100
 TOP = 2000
 #: Bits of each filter.
 BITS = 1 << 23
-#: Tokens that a task gathers before it adds them up, and most words whose hashes it remembers.
-CHUNK, REMEMBERED = 1_000_000, 500_000
+#: Codes that a task gathers before it adds them up, codes in a row of the encoded texts, and most words that it remembers.
+CHUNK, ROW, REMEMBERED = 1_000_000, 50_000, 200_000
 
 TOKEN = re.compile(r"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+")
 BREAKS = frozenset(".,;:!?\n\x0b\x0c\r")
 LOWER = str.maketrans(UPPER, UPPER.lower())
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-COUNTED = "lang string, phrase string, words int, n long, lmin long, lmax long, rmin long, rmax long"
+COUNTED = "codes array<long>, n long, lmin long, lmax long, rmin long, rmax long"
 
 
 def code(lang: str, word: str) -> int:
@@ -94,102 +95,122 @@ class _Codes(dict):
         return c
 
 
-def _chunks(batches: Iterator[pd.DataFrame], frequent: np.ndarray) -> Iterator[tuple[str, list[str], np.ndarray]]:
-    """``lang, tokens, codes`` of some ``CHUNK`` tokens of a language, documents set apart by a break."""
-    held: dict[str, list[str]] = {}
-    codes: dict[str, _Codes] = {}
-    total = 0
-
-    def flush() -> Iterator[tuple[str, list[str], np.ndarray]]:
-        for lang, tokens in held.items():
-            known = codes.setdefault(lang, _Codes(lang, frequent))
-            yield lang, tokens, np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-        if len(codes) > 64:
-            codes.clear()
-        held.clear()
-
-    for b in batches:
-        for lang, text in zip(b["lang"], b["text"], strict=True):
-            tokens = TOKEN.findall(text)
-            tokens.append("\n")
-            held.setdefault(lang, []).extend(tokens)
-            total += len(tokens)
-            if total >= CHUNK:
-                yield from flush()
-                total = 0
-    yield from flush()
-
-
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[tuple[str, str], int] = {}
+    held: dict[str, Counter[str]] = {}
 
     def out() -> pd.DataFrame:
-        rows = pd.DataFrame([(g, w.translate(LOWER), n) for (g, w), n in held.items()], columns=["lang", "word", "n"])
+        rows = pd.DataFrame([(g, w.translate(LOWER), n) for g, c in held.items() for w, n in c.items() if w not in BREAKS], columns=["lang", "word", "n"])
         held.clear()
         return rows
 
     for b in batches:
         for lang, text in zip(b["lang"], b["text"], strict=True):
-            for t in TOKEN.findall(text):
-                key = (lang, t)
-                held[key] = held.get(key, 0) + 1
-            if len(held) > REMEMBERED:
-                yield out()
+            if lang not in held:
+                held[lang] = Counter()
+            held[lang].update(TOKEN.findall(text))
+        if sum(map(len, held.values())) > REMEMBERED:
+            rows = out()
+            if len(rows):
+                yield rows
+    rows = out()
+    if len(rows):
+        yield rows
+
+
+def _encode(batches: Iterator[pd.DataFrame], frequent: Broadcast) -> Iterator[pd.DataFrame]:
+    """Texts as codes, some ``ROW`` a row, rows and documents ending in 0; breaks and rare words in a row are one 0."""
+    keep, known, held, size = _unpacked(frequent), {}, [], 0
+    for b in batches:
+        for lang, text in zip(b["lang"], b["text"], strict=True):
+            if lang not in known:
+                if len(known) > 64:
+                    known.clear()
+                known[lang] = _Codes(lang, keep)
+            tokens = TOKEN.findall(text)
+            c = np.fromiter(map(known[lang].__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+            c = np.r_[c, np.uint64(0)]
+            c = c[(c != 0) | np.r_[True, c[:-1] != 0]]
+            held.append(c)
+            size += len(c)
+            if size >= ROW:
+                yield pd.DataFrame({"codes": [np.concatenate(held).view(np.int64)]})
+                held, size = [], 0
     if held:
-        yield out()
-
-
-def _count_pairs(batches: Iterator[pd.DataFrame], frequent: Broadcast) -> Iterator[pd.DataFrame]:
-    """``h, n``: hashes of neighbouring frequent words."""
-    for _, _, c in _chunks(batches, _unpacked(frequent)):
-        a, b = c[:-1], c[1:]
-        h, n = np.unique(grown(a, b)[(a != 0) & (b != 0)], return_counts=True)
-        if len(h):
-            yield pd.DataFrame({"h": h.view(np.int64), "n": n})
-
-
-def _rows(lang: str, tokens: list[str], c: np.ndarray, at: np.ndarray, h: np.ndarray, m: int) -> pd.DataFrame:
-    """One row a phrase of ``m`` words that starts at one of the places: its count and the least and greatest code before and after it."""
-    order = np.argsort(h, kind="stable")
-    at, h = at[order], h[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    around = np.r_[np.uint64(0), c, np.uint64(0)].view(np.int64)
-    left, right = around[at], around[at + m + 1]
-    return pd.DataFrame({
-        "lang": lang, "phrase": [" ".join(tokens[i : i + m]).translate(LOWER) for i in at[first].tolist()], "words": np.int32(m), "n": np.diff(np.r_[first, len(h)]),
-        "lmin": np.minimum.reduceat(left, first), "lmax": np.maximum.reduceat(left, first), "rmin": np.minimum.reduceat(right, first), "rmax": np.maximum.reduceat(right, first),
-    })
-
-
-def _count_phrases(batches: Iterator[pd.DataFrame], frequent: Broadcast, pairs: Broadcast, start: Broadcast | None, lengths: tuple[int, ...], wanted: Broadcast | None = None) -> Iterator[pd.DataFrame]:
-    """Phrases of the given lengths all of whose pairs are frequent: those whose first word is in ``start``, or those in ``wanted``."""
-    two = _unpacked(pairs)
-    first = None if start is None else _unpacked(start)
-    asked = None if wanted is None else _unpacked(wanted)
-    for lang, tokens, c in _chunks(batches, _unpacked(frequent)):
-        if len(c) < 2:
-            continue
-        h = grown(c[:-1], c[1:])
-        good = chain = (c[:-1] != 0) & (c[1:] != 0) & _has(two, h)
-        if first is not None:
-            good = good & _has(first, c[:-1])
-        for m in range(2, max(lengths) + 1):
-            if m > 2:
-                if len(c) < m:
-                    break
-                good = good[: len(c) - m + 1] & chain[m - 2 :]
-                h = grown(h[: len(c) - m + 1], c[m - 1 :])
-            if m in lengths:
-                at = np.flatnonzero(good)
-                if asked is not None:
-                    at = at[_has(asked, h[at])]
-                if len(at):
-                    yield _rows(lang, tokens, c, at, h[at], m)
-
-
-def _summed(rows: DataFrame) -> DataFrame:
+        yield pd.DataFrame({"codes": [np.concatenate(held).view(np.int64)]})
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """Codes of some ``CHUNK`` tokens, beginning and ending in 0."""
+    held, size = [np.zeros(1, dtype=np.int64)], 0
+    for b in batches:
+        for c in b["codes"]:
+            held.append(np.asarray(c, dtype=np.int64))
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield np.concatenate(held).view(np.uint64)
+                held, size = [np.zeros(1, dtype=np.int64)], 0
+    if size:
+        yield np.concatenate(held).view(np.uint64)
+
+
+def _places(c: np.ndarray, filters: list[np.ndarray], start: np.ndarray | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For 2 words and more, up to one more than there are filters: the places where a phrase may begin, and all places' hashes. All shorter
+    phrases that begin there are in their filters, as are all pairs; three words and more begin in ``start``."""
+    if len(c) < 2:
+        return
+    h = grown(c[:-1], c[1:])
+    good = (c[:-1] != 0) & (c[1:] != 0)
+    pairs = good & _has(filters[0], h) if filters else good
+    for m in range(2, longest + 1):
+        if m > 2:
+            if len(c) < m:
+                return
+            good = (good & _has(filters[m - 3], h))[: len(c) - m + 1] & pairs[m - 2 :]
+            if m == 3 and start is not None:
+                good &= _has(start, c[: len(good)])
+            h = grown(h[: len(c) - m + 1], c[m - 1 :])
+        yield m, np.flatnonzero(good), h
+
+
+def _count_level(batches: Iterator[pd.DataFrame], filters: list[Broadcast], start: Broadcast | None) -> Iterator[pd.DataFrame]:
+    """``h, n``: hashes of the phrases that are one word longer than those of the last filter."""
+    bits, first = [_unpacked(f) for f in filters], None if start is None else _unpacked(start)
+    for c in _chunks(batches):
+        for m, at, h in _places(c, bits, first, len(bits) + 2):
+            if m == len(bits) + 2 and len(at):
+                found, n = np.unique(h[at], return_counts=True)
+                yield pd.DataFrame({"h": found.view(np.int64), "n": n})
+
+
+def _count_phrases(batches: Iterator[pd.DataFrame], filters: list[Broadcast], start: Broadcast | None, lengths: tuple[int, ...], wanted: Broadcast | None = None) -> Iterator[pd.DataFrame]:
+    """The phrases of the given lengths that are in their filters, or in ``wanted``, as codes: their counts, and the least and greatest code before
+    and after them."""
+    bits = [_unpacked(f) for f in filters]
+    first, asked = (None if f is None else _unpacked(f) for f in (start, wanted))
+    for c in _chunks(batches):
+        around = np.r_[np.uint64(0), c, np.uint64(0)].view(np.int64)
+        for m, at, h in _places(c, bits, first, max(lengths)):
+            at = at[_has(bits[m - 2] if asked is None else asked, h[at])] if m in lengths else at[:0]
+            if not len(at):
+                continue
+            order = np.argsort(h[at], kind="stable")
+            at, key = at[order], h[at][order]
+            group = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            left, right = around[at], around[at + m + 1]
+            yield pd.DataFrame({
+                "codes": list(np.lib.stride_tricks.sliding_window_view(c.view(np.int64), m)[at[group]]), "n": np.diff(np.r_[group, len(key)]),
+                "lmin": np.minimum.reduceat(left, group), "lmax": np.maximum.reduceat(left, group), "rmin": np.minimum.reduceat(right, group), "rmax": np.maximum.reduceat(right, group),
+            })
+
+
+def _named(rows: DataFrame, single: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, words, n`` and the neighbours of the phrases with ``least`` occurrences: their codes are words again."""
     ends = [F.min("lmin").alias("lmin"), F.max("lmax").alias("lmax"), F.min("rmin").alias("rmin"), F.max("rmax").alias("rmax")]
-    return rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), *ends)
+    found = rows.groupBy("codes").agg(F.sum("n").alias("n"), *ends).where(F.col("n") >= least)
+    spelt = found.select("*", F.posexplode("codes").alias("at", "code")).join(single.select("code", "lang", F.col("phrase").alias("word")), "code")
+    joined = spelt.groupBy("codes", "n", "lmin", "lmax", "rmin", "rmax", "lang").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+    whole_ = joined.where(F.size("w") == F.size("codes"))  # a rare word that a filter has let in is no one's code
+    return whole_.select("lang", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("phrase"), F.size("codes").alias("words"), "n", "lmin", "lmax", "rmin", "rmax")
 
 
 def _filter(spark: SparkSession, hashes: DataFrame) -> Broadcast:
@@ -213,6 +234,17 @@ def _hashed(phrases: DataFrame) -> DataFrame:
     return phrases.select("lang", "phrase").mapInPandas(each, "h long")
 
 
+def _coded(words: DataFrame) -> DataFrame:
+    """``lang, phrase, n`` of single words with their ``code``."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(code=np.array([code(g, w) for g, w in zip(b["lang"], b["phrase"], strict=True)], dtype=np.uint64).view(np.int64))
+
+    return words.mapInPandas(each, "lang string, phrase string, n long, code long")
+
+
 def _score(a: str, n: str, left: str, right: str) -> Column:
     """The exact floor of 1000 a n / (l r)."""
     wide = lambda c: f"CAST({c} AS DECIMAL(38, 0))"
@@ -246,35 +278,44 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), whole(docs[text]).alias("text"))
     with Scratch(spark, "phrases") as space:
-        words = texts.mapInPandas(_count_words, "lang string, word string, n long").where(~F.col("word").isin(*BREAKS)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words = texts.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         words = space.keep(words, "words")
         totals = space.keep(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        single = words.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), "n")
-        frequent = _filter(spark, _hashed(single))
-        hashes = texts.mapInPandas(partial(_count_pairs, frequent=frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        pairs = _filter(spark, hashes)
-        two = texts.mapInPandas(partial(_count_phrases, frequent=frequent, pairs=pairs, start=None, lengths=(2,)), COUNTED)
-        two = space.keep(_summed(two).where(F.col("n") >= least), "two")
-        counts = single.unionByName(two.select("lang", "phrase", "n"))
+        single = space.keep(_coded(words.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), "n")), "single")
+        if single.groupBy("code").count().where("count > 1").head():
+            raise RuntimeError("two frequent words have one code")  # odds below one in a billion for a million words
+        texts = space.keep(texts.mapInPandas(partial(_encode, frequent=_filter(spark, single.select(F.col("code").alias("h")))), "codes array<long>"), "codes")
+        filters: list[Broadcast] = []
+
+        def level(start: Broadcast | None) -> Broadcast:
+            counted = texts.mapInPandas(partial(_count_level, filters=filters, start=start), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            return _filter(spark, counted.where(F.col("n") >= least))
+
+        def exact(start: Broadcast | None, lengths: tuple[int, ...], wanted: Broadcast | None = None) -> DataFrame:
+            return _named(texts.mapInPandas(partial(_count_phrases, filters=filters, start=start, lengths=lengths, wanted=wanted), COUNTED), single, least)
+
+        filters.append(level(None))
+        two = space.keep(exact(None, (2,)), "two")
+        counts = single.select("lang", "phrase", "n").unionByName(two.select("lang", "phrase", "n"))
         scored = space.keep(_scored(two.where(_survives(longest)), counts, totals), "scored-two")
         if longest > 2:
             # the frontier: first words whose bound reaches the score of their language's last place so far
             floor = _ranked(scored, top).where(F.col("rank") == top).select("lang", F.col("score").alias("floor"))
-            rooted = single.join(F.broadcast(totals.withColumnRenamed("n", "total").join(floor, "lang", "left")), "lang")
-            open_ = rooted.where(F.coalesce(F.expr("(CAST(1000 AS DECIMAL(38, 0)) * CAST(total AS DECIMAL(38, 0))) div CAST(n AS DECIMAL(38, 0))") >= F.col("floor"), F.lit(True)))
-            start = _filter(spark, _hashed(open_))
-            lengths = tuple(range(3, longest + 1))
-            more = texts.mapInPandas(partial(_count_phrases, frequent=frequent, pairs=pairs, start=start, lengths=lengths), COUNTED)
-            more = space.keep(_summed(more).where(F.col("n") >= least), "more")
-            # the filter also lets in other words' phrases, counted in full as well; what is still unknown are rests of a pruned start
+            rooted = single.join(F.broadcast(totals.withColumnRenamed("n", "total").join(floor, "lang", "left")), "lang")  # a row a language
+            bound = F.expr("(CAST(1000 AS DECIMAL(38, 0)) * CAST(total AS DECIMAL(38, 0))) div CAST(n AS DECIMAL(38, 0))")
+            start = _filter(spark, rooted.where(F.coalesce(bound >= F.col("floor"), F.lit(True))).select(F.col("code").alias("h")))
+            for _ in range(3, longest + 1):
+                filters.append(level(start))
+            more = space.keep(exact(start, tuple(range(3, longest + 1))), "more")
             counts = counts.unionByName(more.select("lang", "phrase", "n"))
-            w = F.split("phrase", " ")
-            rests = more.where("words > 3").select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.col("words") - 2), lambda i: F.array_join(F.slice(w, i, F.col("words") - i + 1), " "))).alias("phrase")).distinct()
+            # rests of these phrases may begin with a word that isn't grown: those are counted for themselves
+            w, kept = F.split("phrase", " "), more.where(_survives(longest))
+            rests = kept.where("words > 3").select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.col("words") - 2), lambda i: F.array_join(F.slice(w, i, F.col("words") - i + 1), " "))).alias("phrase")).distinct()
             missing = space.keep(rests.join(counts, ["lang", "phrase"], "left_anti"), "missing")
             if longest > 3 and not missing.isEmpty():
                 wanted = _filter(spark, _hashed(missing))
-                filled = texts.mapInPandas(partial(_count_phrases, frequent=frequent, pairs=pairs, start=None, lengths=lengths[:-1], wanted=wanted), COUNTED)
-                filled = space.keep(_summed(filled).join(missing, ["lang", "phrase"], "left_semi"), "filled")
+                filters[1:] = [_filter(spark, _hashed(missing.select("lang", F.array_join(F.slice(w, 1, m), " ").alias("phrase")).distinct())) for m in range(3, longest)]  # the ways to them
+                filled = space.keep(exact(None, tuple(range(3, longest)), wanted).join(missing, ["lang", "phrase"], "left_semi"), "filled")
                 counts = counts.unionByName(filled.select("lang", "phrase", "n"))
-            scored = scored.unionByName(_scored(more.where(_survives(longest)), counts, totals))
+            scored = scored.unionByName(_scored(kept, counts, totals))
         return materialize(_ranked(scored, top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
