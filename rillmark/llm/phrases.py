@@ -35,6 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillmark.llm.batches import small_batches
 from rillmark.llm.text import UPPER, whole
 from rillmark.scratch import Scratch, materialize
 
@@ -44,7 +45,9 @@ TOP = 2000
 #: Bits of each filter.
 BITS = 1 << 23
 #: Codes that a task gathers before it adds them up, codes in a row of the encoded texts, and most words that it remembers.
-CHUNK, ROW, REMEMBERED = 1_000_000, 50_000, 200_000
+CHUNK, ROW, REMEMBERED = 1_000_000, 5_000, 200_000
+#: Rows that are handed to Python at once: texts, or as many rows of codes, some 10 MB.
+BATCH = 250
 
 TOKEN = re.compile(r"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+")
 BREAKS = frozenset(".,;:!?\n\x0b\x0c\r")
@@ -277,7 +280,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), whole(docs[text]).alias("text"))
-    with Scratch(spark, "phrases") as space:
+    with small_batches(spark, BATCH), Scratch(spark, "phrases") as space:
         words = texts.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         words = space.keep(words, "words")
         totals = space.keep(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
