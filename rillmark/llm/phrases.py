@@ -12,8 +12,8 @@ the result or its ties, and never are. A language with fewer survivors than ``TO
 
 Texts are read twice: to count words, and to write them as 64-bit codes of frequent words, which all further passes read. A pass holds
 filters of a fixed size (``BITS`` bits a level, whatever the corpus). Filters only leave out what can't be frequent; the counts that
-decide are summed over the phrases' codes, which stand for one word each. Each task adds up what it has seen before anything
-is shuffled, so a phrase on a third of all documents is a row a task. Whether a phrase lies in a longer one of its count is read from its
+decide are summed over the phrases' codes, which stand for one word each. Each task adds up what it has seen in all of its texts before
+anything is shuffled, so a phrase on a third of all documents is a row a task. Whether a phrase lies in a longer one of its count is read from its
 neighbours: all of its occurrences have the same word before them, or after them.
 
 Defined cases: a null language is ``und``, a null or empty text has no words; texts of any length are read whole; repeated rows count as often
@@ -44,8 +44,10 @@ LEAST = 100
 TOP = 2000
 #: Bits of each filter.
 BITS = 1 << 23
-#: Codes that a task gathers before it adds them up, codes in a row of the encoded texts, and most words that it remembers.
-CHUNK, ROW, REMEMBERED = 1_000_000, 5_000, 200_000
+#: Codes that a task counts at once, codes in a row of the encoded texts, and most words that it remembers.
+CHUNK, ROW, REMEMBERED = 500_000, 5_000, 200_000
+#: Hashes, and phrases with their codes, that a task adds up over its chunks; rows that it hands on at once.
+HELD_HASHES, HELD_PHRASES, HANDED = 1_000_000, 300_000, 100_000
 #: Rows that are handed to Python at once: texts, or as many rows of codes, some 10 MB.
 BATCH = 250
 
@@ -175,14 +177,51 @@ def _places(c: np.ndarray, filters: list[np.ndarray], start: np.ndarray | None,
         yield m, np.flatnonzero(good), h
 
 
+class _Sums:
+    """A row a key of all chunks of a task, up to ``most`` rows: how columns of one key come together, ``None`` for columns that are the same."""
+
+    def __init__(self, most: int, *how: np.ufunc | None):
+        self.most, self.how, self.parts, self.size = most, how, [], 0
+
+    def add(self, key: np.ndarray, *columns: np.ndarray) -> bool:
+        """Whether it is full: half of what it may hold are different keys."""
+        self.parts.append((key, *columns))
+        self.size += len(key)
+        if self.size > self.most:
+            self._merge()
+        return self.size > self.most // 2
+
+    def _merge(self) -> None:
+        key, *columns = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        group = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        self.parts = [(key[group], *(c[order[group]] if how is None else how.reduceat(c[order], group) for c, how in zip(columns, self.how, strict=True)))]
+        self.size = len(group)
+
+    def rows(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """All rows, some at once; nothing is held any more."""
+        if self.size:
+            self._merge()
+            (held,), self.parts, self.size = self.parts, [], 0
+            for at in range(0, len(held[0]), HANDED):
+                yield tuple(c[at : at + HANDED] for c in held)
+
+
 def _count_level(batches: Iterator[pd.DataFrame], filters: list[Broadcast], start: Broadcast | None) -> Iterator[pd.DataFrame]:
     """``h, n``: hashes of the phrases that are one word longer than those of the last filter."""
     bits, first = [_unpacked(f) for f in filters], None if start is None else _unpacked(start)
+    sums = _Sums(HELD_HASHES, np.add)
+
+    def out() -> Iterator[pd.DataFrame]:
+        for h, n in sums.rows():
+            yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+
     for c in _chunks(batches):
         for m, at, h in _places(c, bits, first, len(bits) + 2):
-            if m == len(bits) + 2 and len(at):
-                found, n = np.unique(h[at], return_counts=True)
-                yield pd.DataFrame({"h": found.view(np.int64), "n": n})
+            if m == len(bits) + 2 and len(at) and sums.add(*np.unique(h[at], return_counts=True)):
+                yield from out()
+    yield from out()
 
 
 def _count_phrases(batches: Iterator[pd.DataFrame], filters: list[Broadcast], start: Broadcast | None, lengths: tuple[int, ...], wanted: Broadcast | None = None) -> Iterator[pd.DataFrame]:
@@ -190,6 +229,12 @@ def _count_phrases(batches: Iterator[pd.DataFrame], filters: list[Broadcast], st
     and after them."""
     bits = [_unpacked(f) for f in filters]
     first, asked = (None if f is None else _unpacked(f) for f in (start, wanted))
+    sums = {m: _Sums(HELD_PHRASES // len(lengths), None, np.add, np.minimum, np.maximum, np.minimum, np.maximum) for m in lengths}
+
+    def out(m: int) -> Iterator[pd.DataFrame]:
+        for _, codes, n, lmin, lmax, rmin, rmax in sums[m].rows():
+            yield pd.DataFrame({"codes": list(codes), "n": n, "lmin": lmin, "lmax": lmax, "rmin": rmin, "rmax": rmax})
+
     for c in _chunks(batches):
         around = np.r_[np.uint64(0), c, np.uint64(0)].view(np.int64)
         for m, at, h in _places(c, bits, first, max(lengths)):
@@ -200,10 +245,12 @@ def _count_phrases(batches: Iterator[pd.DataFrame], filters: list[Broadcast], st
             at, key = at[order], h[at][order]
             group = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             left, right = around[at], around[at + m + 1]
-            yield pd.DataFrame({
-                "codes": list(np.lib.stride_tricks.sliding_window_view(c.view(np.int64), m)[at[group]]), "n": np.diff(np.r_[group, len(key)]),
-                "lmin": np.minimum.reduceat(left, group), "lmax": np.maximum.reduceat(left, group), "rmin": np.minimum.reduceat(right, group), "rmax": np.maximum.reduceat(right, group),
-            })
+            codes = np.lib.stride_tricks.sliding_window_view(c.view(np.int64), m)[at[group]]
+            ends = np.minimum.reduceat(left, group), np.maximum.reduceat(left, group), np.minimum.reduceat(right, group), np.maximum.reduceat(right, group)
+            if sums[m].add(key[group], codes, np.diff(np.r_[group, len(key)]), *ends):
+                yield from out(m)
+    for m in lengths:
+        yield from out(m)
 
 
 def _named(rows: DataFrame, single: DataFrame, least: int) -> DataFrame:

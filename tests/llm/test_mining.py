@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,7 +221,7 @@ def got_phrases(df):
 
 @pytest.mark.parametrize("top", [3, 12, 5000])
 def test_phrases_against_brute_force(spark, monkeypatch, top):
-    """Few places, so that most of the frontier is never grown, and small chunks and rows."""
+    """Few places, so that most of the frontier is never grown, and small rows."""
     monkeypatch.setattr(phrases, "ROW", 50)
     words = ["A", "b", "cé", "É", "d", "e", "f,", "g", "h.", "New", "York", "City", "of"]
     docs = [(R.choice(["en", "fr", None, "en"]), " ".join(R.choice(words) if R.random() < 0.6 else "new york city hall, of a" for _ in range(R.randrange(60)))) for _ in range(400)]
@@ -238,6 +239,39 @@ def test_phrase_ties_at_the_last_place(spark):
     assert phrases.collocations(df.limit(0)).count() == 0
 
 
+class _Packed:
+    """A filter that lets everything in, as a broadcast holds it."""
+
+    value = np.packbits(np.ones(phrases.BITS, dtype=bool)).tobytes()
+
+
+@pytest.mark.parametrize("most", [4, 60, 10**6])
+def test_tasks_add_up_their_chunks(monkeypatch, most):
+    """Any number of rows held at once: the sums are the same, and a task that can hold all has a row a phrase."""
+    for name, value in (("CHUNK", 40), ("HELD_HASHES", most), ("HELD_PHRASES", most), ("HANDED", 7)):
+        monkeypatch.setattr(phrases, name, value)
+    g = np.random.default_rng(5)
+    rows = [np.r_[g.integers(1, 4, 30), 0] for _ in range(40)]
+    batches = [pd.DataFrame({"codes": rows[i : i + 7]}) for i in range(0, len(rows), 7)]
+    wanted, around = Counter(), {}
+    for r in rows:
+        w = [0, *r.tolist()]
+        for m in (2, 3):
+            for i in range(1, len(w) - m):
+                p = tuple(w[i : i + m])
+                wanted[p] += 1
+                around.setdefault(p, []).append((w[i - 1], w[i + m]))
+    got = pd.concat(phrases._count_phrases(iter(batches), [_Packed, _Packed], None, (2, 3)))
+    got["codes"] = [tuple(c.tolist()) for c in got["codes"]]
+    summed = got.groupby("codes").agg({"n": "sum", "lmin": "min", "lmax": "max", "rmin": "min", "rmax": "max"})
+    assert summed["n"].to_dict() == dict(wanted)
+    assert {p: tuple(r) for p, r in summed.drop(columns="n").iterrows()} == {p: (min(a), max(a), min(b), max(b)) for p, x in around.items() for a, b in [tuple(zip(*x, strict=True))]}
+    pairs = pd.concat(phrases._count_level(iter(batches), [], None)).groupby("h")["n"].agg(["sum", "size"])
+    assert sorted(pairs["sum"]) == sorted(n for p, n in wanted.items() if len(p) == 2)
+    if most == 10**6:
+        assert (pairs["size"] == 1).all() and len(got) == len(wanted)
+
+
 def test_scores_are_exact(spark):
     big = spark.createDataFrame([(10**13 + 7, 10**15 + 3, 10**13 + 9, 3 * 10**13 + 1)], "a long, n long, l long, r long")
     assert big.select(phrases._score("a", "n", "l", "r")).first()[0] == 1000 * (10**13 + 7) * (10**15 + 3) // ((10**13 + 9) * (3 * 10**13 + 1))
