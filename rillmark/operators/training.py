@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions.expr import hash_unit, seeded_md5
 from rillmark.functions.prefix import dense_rank_index
+from rillmark.scratch import materialize
 
 
 def pos_weight(rows: DataFrame) -> DataFrame:
@@ -66,23 +67,37 @@ def _unseen(placed: DataFrame, seen: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def stratified_negatives(positives: DataFrame, counts: DataFrame, seen: DataFrame, strata: int = 5, per_stratum: int = 1, slots: int = 20, seed: int = 42) -> DataFrame:
     """``user_id, item_id, stratum, negative``: for each positive and popularity stratum, the first ``per_stratum`` of ``slots`` hash-drawn
-    items of the stratum that the user hasn't seen. Draws are index look-ups, so no user meets every item. Where fewer draws are new,
+    items of the stratum that the user hasn't seen. Draws are index look-ups, so no user meets every item; ``per_stratum`` of them are made
+    first, and all only where one of these is seen. Where fewer draws are new,
     the stratum's unseen items from the first draw on, and from its start after its end, fill up what is missing: a stratum with
     ``per_stratum`` unseen items or more gives that many, another all it has."""
     numbered = dense_rank_index(counts.withColumn("__o", -F.col("n")), "__o", [F.col("item_id")], "pos")
     size = numbered.agg(F.count(F.lit(1)).alias("total"))
-    placed = numbered.select("item_id", "pos")
+    placed = materialize(numbered.select("item_id", "pos"), "placed")
     low, high = F.floor(F.col("total") * F.col("stratum") / strata), F.floor(F.col("total") * (F.col("stratum") + 1) / strata)
     bounds = size.select("total", F.explode(F.sequence(F.lit(0), F.lit(strata - 1))).alias("stratum")).select("stratum", low.cast("bigint").alias("low"), high.cast("bigint").alias("high"))
-    asked = positives.select("user_id", "item_id").distinct().crossJoin(F.broadcast(bounds))  # a row a stratum
+    every = positives.select("user_id", "item_id").distinct().crossJoin(F.broadcast(bounds)).where("low < high")  # a row a stratum
     place = lambda slot: (F.col("low") + F.floor(hash_unit(seed, F.col("user_id"), F.col("item_id"), F.col("stratum"), slot) * (F.col("high") - F.col("low")))).cast("bigint")
-    tries = asked.where("low < high").select("*", F.posexplode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), place))).alias("slot", "pos"))
-    named = tries.join(placed.select("pos", F.col("item_id").alias("negative")), "pos")
-    fresh = named.join(seen.select("user_id", F.col("item_id").alias("negative")).distinct(), ["user_id", "negative"], "left_anti")
+    known = seen.select("user_id", F.col("item_id").alias("negative")).distinct()
+    group, first = ["user_id", "item_id", "stratum"], min(per_stratum, slots)
+
+    def drawn(asked: DataFrame, n: int) -> DataFrame:
+        tries = asked.select("*", F.posexplode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), place))).alias("slot", "pos"))
+        return tries.join(placed.select("pos", F.col("item_id").alias("negative")), "pos")
+
+    flagged = drawn(every, first).join(known.withColumn("met", F.lit(True)), ["user_id", "negative"], "left").withColumn("met", F.coalesce("met", F.lit(False)))
+    n_fresh = F.when(~F.col("met"), 1).otherwise(0)
+    if first > 1:  # one draw is a row of its own
+        n_fresh = F.sum(n_fresh).over(Window.partitionBy(*group))
+    tried = materialize(flagged.select(*group, "low", "high", "negative", (n_fresh == per_stratum).alias("done")), "draws")
+    done = tried.where("done").select(*group, "negative")
+    asked = materialize(tried.where("NOT done").select(*group, "low", "high").distinct(), "asked")
+    seen = seen.join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    fresh = drawn(asked, slots).join(known, ["user_id", "negative"], "left_anti")
     w = Window.partitionBy("user_id", "item_id", "stratum").orderBy("slot")
     chosen = fresh.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_stratum)
     got = chosen.groupBy("user_id", "item_id", "stratum").agg(F.collect_list("pos").alias("taken"))
-    short = asked.where("low < high").join(got, ["user_id", "item_id", "stratum"], "left").withColumn("missing", F.lit(per_stratum) - F.coalesce(F.size("taken"), F.lit(0))).where("missing > 0")
+    short = asked.join(got, ["user_id", "item_id", "stratum"], "left").withColumn("missing", F.lit(per_stratum) - F.coalesce(F.size("taken"), F.lit(0))).where("missing > 0")
     # the next unseen places, past those that are taken: each stretch hands on as many as can be wanted of it
     gaps = short.withColumn("start", place(F.lit(0))).join(_unseen(placed, seen, bounds), ["user_id", "stratum"], "left")
     begun = gaps.withColumns({"first": F.coalesce("first", "low"), "last": F.coalesce("last", F.col("high") - 1)})
@@ -95,7 +110,7 @@ def stratified_negatives(positives: DataFrame, counts: DataFrame, seen: DataFram
     places = near.select("*", F.explode(F.sequence(F.col("a"), F.least("z", F.col("a") + wanted - 1))).alias("pos")).where(~F.coalesce(F.array_contains("taken", F.col("pos")), F.lit(False)))
     filled = places.withColumn("r", F.row_number().over(nth.orderBy("lap", "pos"))).where(F.col("r") <= F.col("missing"))
     rest = filled.join(placed.select("pos", F.col("item_id").alias("negative")), "pos")
-    return chosen.select("user_id", "item_id", "stratum", "negative").unionByName(rest.select("user_id", "item_id", "stratum", "negative"))
+    return done.unionByName(chosen.select("user_id", "item_id", "stratum", "negative")).unionByName(rest.select("user_id", "item_id", "stratum", "negative"))
 
 
 def split_overlap(frames: dict[str, DataFrame]) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from rillmark.operators import retrieval
+from rillmark.operators import retrieval, training
 from rillmark.plans import learning, registry
 from tests.test_operators import unit_vectors
 
@@ -35,3 +36,19 @@ def test_lists_are_made_for_users_with_a_target(spark, name, monkeypatch):
     rows = registry.queries()[name](spark, FOLDER).collect()
     wanted = {r["user_id"] for r in learning._targets(spark, FOLDER).collect()}
     assert met and all(m <= wanted for m in met) and all(r["n_targets"] == 3 for r in rows)
+
+
+def test_further_draws_only_where_the_first_is_seen(spark, monkeypatch):
+    """One draw a positive and stratum is looked up, not all of them."""
+    written, keep = {}, training.materialize
+
+    def counted(df, name):
+        kept = keep(df, name)
+        written[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(training, "materialize", counted)
+    counts = spark.range(500).select(F.col("id").alias("item_id"), (1000 - F.col("id")).alias("n"))
+    seen = spark.range(40).select((F.col("id") % 4).alias("user_id"), (F.col("id") * 12).alias("item_id"))
+    got = training.stratified_negatives(seen, counts, seen).collect()
+    assert len(got) == 40 * 5 == written["draws"] and written["asked"] < 20
