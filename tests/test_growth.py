@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.operators import retrieval, training
+from rillmark.operators import retrieval, scorers, training
 from rillmark.plans import learning, registry
 from tests.test_operators import unit_vectors
 
@@ -52,3 +53,13 @@ def test_further_draws_only_where_the_first_is_seen(spark, monkeypatch):
     seen = spark.range(40).select((F.col("id") % 4).alias("user_id"), (F.col("id") * 12).alias("item_id"))
     got = training.stratified_negatives(seen, counts, seen).collect()
     assert len(got) == 40 * 5 == written["draws"] and written["asked"] < 20
+
+
+def test_one_frame_a_batch_of_user_streams():
+    """However many users a batch holds, their candidates leave it in one frame; a history lasts over batches."""
+    rows = [(u, 0, p, 10 * u + p, [1.0, float(u)] if u else None, 1.0 if u else None) for u in range(50) for p in (0, scorers.CANDIDATE)]
+    frame = pd.DataFrame(rows, columns=["user_id", "salt", "place", "item_id", "vec", "length"])
+    emit = lambda cand, vecs, history: {"score": (vecs @ history["matrix"].T).sum(1)}
+    got = list(scorers._scored_streams(iter([frame[:51], frame[51:]]), emit))
+    assert len(got) == 2
+    assert pd.concat(got)["score"].tolist() == [0.0, *[1.0 + u * u for u in range(1, 50)]]
