@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillmark.operators import retrieval, scorers, training
 from rillmark.plans import learning, registry
+from tests.compare import connection
 from tests.test_operators import unit_vectors
 
 FOLDER = "/root/testdata/sf0.001"
@@ -63,3 +64,10 @@ def test_one_frame_a_batch_of_user_streams():
     got = list(scorers._scored_streams(iter([frame[:51], frame[51:]]), emit))
     assert len(got) == 2
     assert pd.concat(got)["score"].tolist() == [0.0, *[1.0 + u * u for u in range(1, 50)]]
+
+
+@pytest.mark.parametrize("name", ["masked_mean_pool", "padded_mean_pool", "target_attention"])
+def test_sql_rounds_to_plain_zeros(name):
+    """Spark's rounding has no negative zero; the SQL states the same."""
+    signed = f"SELECT count(*) FROM ({registry.oracle_sql()[name]}) WHERE list_contains(list_transform(vec, lambda x: x = 0 AND x::VARCHAR LIKE '-%'), true)"
+    assert connection("/root/testdata/sf0.1").sql(signed).fetchall() == [(0,)]
