@@ -85,6 +85,24 @@ def test_one_frame_a_batch_of_user_streams():
     assert pd.concat(got)["score"].tolist() == [0.0, *[1.0 + u * u for u in range(1, 50)]]
 
 
+def test_streams_shuffle_keys_and_not_vectors(spark, monkeypatch):
+    """Small catalogues meet the sorted stream, large ones go through the shuffle; the scores are the same."""
+    items = spark.createDataFrame(*unit_vectors(60, 8, 4, "item_id"))
+    rows = spark.range(400).select((F.col("id") % 20).alias("user_id"), (F.col("id") * 7 % 70).alias("item_id")).distinct()
+    past = spark.range(1, 20).select(F.col("id").alias("user_id"), F.array(F.col("id"), F.col("id") + 9, F.col("id") + 48).alias("history"))
+    found, key = [], lambda df: sorted((r["user_id"], r["item_id"], round(r["score"], 9)) for r in df.collect())
+    monkeypatch.setattr(scorers, "MANY", 6)
+    for bytes_ in (64 << 20, 0):
+        monkeypatch.setattr(scorers, "BROADCAST_BYTES", bytes_, raising=False)
+        got = scorers.score_content_knn(rows, past, items)
+        found.append((key(got), got._jdf.queryExecution().optimizedPlan().toString()))
+    assert found[0][0] == found[1][0] and len(found[0][0]) == rows.count()
+    plan = found[0][1]
+    assert plan.index("LeftOuter") < plan.index("Sort [") < plan.index("RepartitionByExpression") and "vec" not in plan[plan.index("Sort [") : plan.index("RepartitionByExpression")]
+    streams = plan[plan.index("RepartitionByExpression") :]
+    assert "AS vec" not in streams[: streams.index("Union")]
+
+
 @pytest.mark.parametrize("name", ["masked_mean_pool", "padded_mean_pool", "target_attention"])
 def test_sql_rounds_to_plain_zeros(name):
     """Spark's rounding has no negative zero; the SQL states the same."""
