@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,15 @@ def test_sql_rounds_to_plain_zeros(name):
     """Spark's rounding has no negative zero; the SQL states the same."""
     signed = f"SELECT count(*) FROM ({registry.oracle_sql()[name]}) WHERE list_contains(list_transform(vec, lambda x: x = 0 AND x::VARCHAR LIKE '-%'), true)"
     assert connection("/root/testdata/sf0.1").sql(signed).fetchall() == [(0,)]
+
+
+def test_products_with_known_items_only():
+    """Unknown history items are counted, never multiplied; scores are those of zero vectors in their places."""
+    rng = np.random.default_rng(3)
+    known, vecs, length = np.array([True, False, True, False]), rng.normal(size=(5, 8)), np.array([2.0, 0.0, 0.5, 0.0])
+    matrix = rng.normal(size=(4, 8)) * known[:, None]
+    got = scorers._likeness({}, vecs, {"known": known, "length": length, "matrix": np.where(known[:, None], matrix, np.nan)})
+    sims, pooled = vecs @ matrix.T, length @ matrix
+    w = np.exp(sims[:, known] * np.sqrt(8))
+    wanted = {"content_knn": sims.max(1), "content_knn_mean": sims.mean(1), "pooled_cosine": vecs @ pooled / np.linalg.norm(pooled), "attention": (w * sims[:, known]).sum(1) / w.sum(1)}
+    assert set(got) == set(wanted) and all(np.allclose(got[c], wanted[c]) for c in wanted)
