@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from rillmark.functions import expr
 from rillmark.operators import indices, retrieval, scorers, training
 from rillmark.plans import learning, registry
 from tests.compare import connection
@@ -121,3 +122,28 @@ def test_products_with_known_items_only():
     w = np.exp(sims[:, known] * np.sqrt(8))
     wanted = {"content_knn": sims.max(1), "content_knn_mean": sims.mean(1), "pooled_cosine": vecs @ pooled / np.linalg.norm(pooled), "attention": (w * sims[:, known]).sum(1) / w.sum(1)}
     assert set(got) == set(wanted) and all(np.allclose(got[c], wanted[c]) for c in wanted)
+
+
+def test_a_length_is_worked_out_once_a_vector(spark):
+    """Dividing by the length costs the dimension, not its square: no element's lambda goes through the whole vector again."""
+    vectors = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id long, vec array<double>")
+    found = vectors.select("id", expr.l2_normalise(F.col("vec")).alias("vec"))
+    assert {r["id"]: r["vec"] for r in found.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: []}
+    assert "/ sqrt(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("rows", [scorers.BROADCAST_ROWS, 0])
+def test_unknown_history_is_one_row(spark, rows, monkeypatch):
+    """Items without a vector are counted before the stream is shuffled; both scores stay those of zero vectors in their places."""
+    monkeypatch.setattr(scorers, "BROADCAST_ROWS", rows)
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "item_id long, vec array<double>")
+    past = spark.createDataFrame([(1, [0, 1, 0, *range(100, 150)]), (2, list(range(100, 120))), (3, [2, 1])], "user_id long, history array<long>")
+    asked = spark.createDataFrame([(u, i) for u in (1, 2, 3, 4) for i in (2, 500)], "user_id long, item_id long")
+    stream = scorers._user_streams(asked, past, items, 200).where(F.col("place") < scorers.CANDIDATE)
+    assert sorted((r["user_id"], r["times"]) for r in stream.collect()) == [(1, 1), (1, 1), (1, 1), (1, 50), (2, 20), (3, 1), (3, 1)]
+    c0, c1 = 1 / np.sqrt(5), 3 / np.sqrt(10)
+    wanted = {"max": {(1, 2): c1, (1, 500): 0, (2, 2): 0, (2, 500): 0, (3, 2): 1, (3, 500): 0}, "mean": {(1, 2): (2 * c0 + c1) / 53, (1, 500): 0, (2, 2): 0, (2, 500): 0, (3, 2): (1 + c1) / 2, (3, 500): 0}}
+    for how, scores in wanted.items():
+        got = {(r["user_id"], r["item_id"]): r["score"] for r in scorers.score_content_knn(asked, past, items, how=how).collect()}
+        assert got.pop((4, 2)) == got.pop((4, 500)) == scorers.NO_HISTORY
+        assert got.keys() == scores.keys() and all(abs(got[k] - v) < 1e-12 for k, v in scores.items())
