@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.functions.expr import bound
+
 REQUIRED = ("user_id", "item_id", "event_type")
 #: Why a message becomes a dead letter.
 REASONS = ("decode", "schema", "store")
@@ -32,23 +34,27 @@ def redact_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.lit("***")) for c in masked})
 
 
-def check_event(raw: Column) -> tuple[Column, Column]:
-    """The parsed event (a variant) and the reason for which it's rejected, or null."""
-    v = F.try_parse_json(raw)
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    good = is_object & (F.coalesce(kind("$.user_id"), F.lit("")) == "BIGINT") & (F.coalesce(kind("$.item_id"), F.lit("")) == "BIGINT") & (F.coalesce(kind("$.event_type"), F.lit("")) == "STRING")
-    return v, F.when(v.isNull(), F.lit("decode")).when(~good, F.lit("schema"))
+def check_event(raw: Column) -> Column:
+    """``reason, user_id, item_id, event_type, event_id`` of a text: why it's rejected, or null and the typed fields. The text is parsed once."""
+    kind = lambda v, path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
+
+    def fields(v: Column, good: Column) -> Column:
+        get = lambda path, type_: F.when(good, F.try_variant_get(v, path, type_))
+        return F.struct(
+            F.when(v.isNull(), F.lit("decode")).when(~good, F.lit("schema")).alias("reason"), get("$.user_id", "bigint").alias("user_id"), get("$.item_id", "bigint").alias("item_id"),
+            get("$.event_type", "string").alias("event_type"), get("$.event_id", "string").alias("event_id"),
+        )
+
+    def read(v: Column) -> Column:
+        is_object = F.schema_of_variant(v).startswith("OBJECT")
+        return bound(is_object & (kind(v, "$.user_id") == "BIGINT") & (kind(v, "$.item_id") == "BIGINT") & (kind(v, "$.event_type") == "STRING"), lambda good: fields(v, good))
+
+    return bound(F.try_parse_json(raw), read)
 
 
 def validate(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``reason`` (null if accepted) and the typed fields of accepted events."""
-    v, reason = check_event(F.col(raw))
-    get = lambda path, kind: F.when(reason.isNull(), F.try_variant_get(v, path, kind))
-    return df.select(
-        "*", reason.alias("reason"), get("$.user_id", "bigint").alias("user_id"), get("$.item_id", "bigint").alias("item_id"),
-        get("$.event_type", "string").alias("event_type"), get("$.event_id", "string").alias("event_id"),
-    )
+    return df.withColumn("__event", check_event(F.col(raw))).select("*", "__event.*").drop("__event")
 
 
 def default_event_id() -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillmark.operators import events as E
 from rillmark.plans.base import query, rounded
+from rillmark.scratch import materialize
 from rillmark.sources import tables as T
 
 
@@ -93,6 +94,7 @@ def ingest_counts(s, d):
     """Every message: what the decoder and the schema refuse, what a store without one shard of users can't keep, and of the rest what
     is new and what is a repeat."""
     checked = E.validate(raw_events(s, d, "ts", F.col("user_id").alias("owner"))).select("seq", "ts", F.coalesce("reason", F.when(F.col("owner") % 50 == 3, "store")).alias("reason"))
+    checked = materialize(checked, "checked")  # parsed once: what is refused, what has an id and what has none are read apart
     kept = checked.where("reason is null").select(F.col("seq").alias("arrival"), "ts", "reason", F.when(F.col("seq") % 7 > 0, F.col("seq") % 500).alias("event_id"))
     judged = E.dedup(kept, TTL).select("ts", "reason", "accepted")
     return E.ingest_counts(judged.unionByName(checked.where("reason is not null").select("ts", "reason", F.lit(False).alias("accepted"))))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import expr
-from rillmark.operators import indices, retrieval, scorers, training
+from rillmark.operators import events, indices, retrieval, scorers, training
 from rillmark.plans import learning, registry
 from tests.compare import connection
 from tests.test_operators import unit_vectors
@@ -147,3 +147,12 @@ def test_unknown_history_is_one_row(spark, rows, monkeypatch):
         got = {(r["user_id"], r["item_id"]): r["score"] for r in scorers.score_content_knn(asked, past, items, how=how).collect()}
         assert got.pop((4, 2)) == got.pop((4, 500)) == scorers.NO_HISTORY
         assert got.keys() == scores.keys() and all(abs(got[k] - v) < 1e-12 for k, v in scores.items())
+
+
+def test_messages_are_parsed_once(spark):
+    """One parse gives the reason and all fields; whoever reads the checked messages several times reads them written."""
+    raw = spark.createDataFrame([('{"user_id":1,"item_id":2,"event_type":"click","event_id":"e"}',), ("null",), ("}",)], "raw string")
+    plan = events.validate(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    counted = registry.queries()["ingest_counts"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "json" not in counted
