@@ -19,7 +19,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.operators.training import epoch_shuffle
 from rillmark.scratch import Scratch
 
 #: Matrices in the order in which they are laid end to end.
@@ -60,8 +59,8 @@ def batch_loss(u: np.ndarray, v: np.ndarray, users: np.ndarray, items: np.ndarra
     return loss, [u.T @ (g @ b), v.T @ (g.T @ a)]
 
 
-def _learn(batches: Iterator[pd.DataFrame], weights: list[np.ndarray], scale: float, rate: float, decay: float) -> Iterator[pd.DataFrame]:
-    """Rows sorted by batch: one step a batch, with gradients scaled by the roots of their running squares. Out come the task's matrices, the number
+def _learn(batches: Iterator[pd.DataFrame], weights: list[np.ndarray], batch: int, scale: float, rate: float, decay: float) -> Iterator[pd.DataFrame]:
+    """Rows in the epoch's order: one step for each ``batch`` of them, and one for the rest, with gradients scaled by the roots of their running squares. Out come the task's matrices, the number
     of its steps and the sum of its losses."""
     now = [w.copy() for w in weights]
     moved = [np.full(w.shape, 1e-8) for w in weights]
@@ -72,7 +71,8 @@ def _learn(batches: Iterator[pd.DataFrame], weights: list[np.ndarray], scale: fl
         nonlocal steps, losses
         if len(x["user_id"]) < 2:
             return
-        loss, grads = batch_loss(np.stack(list(x["u"])), np.stack(list(x["v"])), x["user_id"], x["item_id"], x["log_q"], now, scale)
+        u, v = (np.stack(list(x[c])).astype(float) for c in ("u", "v"))
+        loss, grads = batch_loss(u, v, x["user_id"], x["item_id"], x["log_q"], now, scale)
         for w, m, g, start in zip(now, moved, grads, weights, strict=True):
             g = g + decay * (w - start)
             m += g * g
@@ -81,12 +81,10 @@ def _learn(batches: Iterator[pd.DataFrame], weights: list[np.ndarray], scale: fl
 
     for b in batches:
         rows = {c: b[c].to_numpy() if held is None else np.concatenate([held[c], b[c].to_numpy()]) for c in b.columns}
-        if not len(rows["batch"]):
-            continue
-        cuts = [0, *(np.flatnonzero(np.diff(rows["batch"])) + 1).tolist()]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            step({c: x[s:e] for c, x in rows.items()})
-        held = {c: x[cuts[-1] :] for c, x in rows.items()}
+        whole = len(rows["user_id"]) // batch * batch
+        for start in range(0, whole, batch):
+            step({c: x[start : start + batch] for c, x in rows.items()})
+        held = {c: x[whole:] for c, x in rows.items()}
     if held is not None:
         step(held)
     if steps:
@@ -94,22 +92,22 @@ def _learn(batches: Iterator[pd.DataFrame], weights: list[np.ndarray], scale: fl
 
 
 def fit_towers(pairs: DataFrame, width: int | None = None, epochs: int = 4, batch: int = 128, rate: float = 0.02, scale: float = 8.0, decay: float = 1e-4, tasks: int = 8, seed: int = 42, losses: list[float] | None = None) -> Towers:
-    """``pairs``: ``user_id, item_id, u, v, log_q`` of clicked rows. Every epoch shuffles them anew, by a seeded order of their keys, into batches of
-    ``batch`` rows. ``tasks`` learn side by side: fewer learn more between averages, more are faster. The mean loss of each
-    epoch is added to ``losses``."""
+    """``pairs``: ``user_id, item_id, u, v, log_q`` of clicked rows. Every epoch shuffles them anew, by a seeded hash of their keys, over ``tasks`` that
+    learn side by side in steps of ``batch`` rows: fewer learn more between averages, more are faster. A row with its vectors goes through one shuffle an
+    epoch, in single precision. The mean loss of each epoch is added to ``losses``."""
     with Scratch(pairs.sparkSession, "towers") as space:
-        pairs = space.keep(pairs.select("user_id", "item_id", "u", "v", "log_q"), "pairs")
+        pairs = space.keep(pairs.select("user_id", "item_id", F.col("u").cast("array<float>").alias("u"), F.col("v").cast("array<float>").alias("v"), "log_q"), "pairs")
         first = pairs.select(F.size("u").alias("d")).first()
         if first is None:
             raise ValueError("no clicked rows to learn from")
-        dim = first["d"]
+        dim, tasks = first["d"], max(1, min(tasks, pairs.count() // batch))  # a task has a whole batch or more
         rng = np.random.default_rng(seed)
         width = width or dim
         weights = [np.eye(dim, width) + rng.normal(scale=1e-3, size=(dim, width)) for _ in SIDES]
         for epoch in range(epochs):
-            keys = epoch_shuffle(pairs.select("user_id", "item_id"), [F.col("user_id"), F.col("item_id")], batch, seed, epoch).drop("position")
-            rows = keys.join(pairs, ["user_id", "item_id"]).repartition(tasks, "batch").sortWithinPartitions("batch")
-            work = partial(_learn, weights=weights, scale=scale, rate=rate, decay=decay)
+            keyed = pairs.withColumn("__o", F.xxhash64(F.lit(seed + epoch), "user_id", "item_id"))
+            rows = keyed.repartition(tasks, "__o").sortWithinPartitions("__o", "user_id", "item_id").drop("__o")
+            work = partial(_learn, weights=weights, batch=batch, scale=scale, rate=rate, decay=decay)
             learned = rows.mapInPandas(work, "flat array<double>, steps double, losses double")
             mean = learned.agg(Summarizer.mean(array_to_vector("flat"), F.col("steps")).alias("m"), F.sum("steps").alias("steps"), F.sum("losses").alias("losses")).select(vector_to_array("m").alias("m"), "steps", "losses").first()
             flat = np.array(mean["m"])

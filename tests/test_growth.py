@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import expr
-from rillmark.operators import events, indices, retrieval, scorers, training
+from rillmark.operators import events, indices, retrieval, scorers, towers, training
 from rillmark.plans import learning, registry
 from tests.compare import connection
 from tests.test_operators import unit_vectors
@@ -156,3 +156,31 @@ def test_messages_are_parsed_once(spark):
     assert plan.count("parseJson") == 1
     counted = registry.queries()["ingest_counts"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "json" not in counted
+
+
+def test_pairs_of_towers_are_shuffled_once_an_epoch(spark, monkeypatch):
+    """Vectors go from the written pairs to the tasks that learn by one exchange, without a join, in single precision."""
+    kind = type(spark.range(1))
+    plans, step = [], kind.mapInPandas
+
+    def watched(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return step(df, *rest)
+
+    monkeypatch.setattr(kind, "mapInPandas", watched)
+    rows = [(i, i % 7, [1.0, float(i)], [float(i % 7), 1.0], -1.0) for i in range(40)]
+    towers.fit_towers(spark.createDataFrame(rows, "user_id long, item_id long, u array<double>, v array<double>, log_q double"), epochs=2, batch=8, tasks=3)
+    assert len(plans) == 2
+    for plan in plans:
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and "array<float>" in plan
+
+
+def test_pairs_of_towers_leave_their_own_item_out(spark):
+    """A user's direction is that of their other known items, zero if there are none; users without any have no pairs."""
+    items = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 4.0])], "item_id long, vec array<double>")
+    past = spark.createDataFrame([(1, [0, 1, 0, 9]), (2, [2, 2, 2]), (3, [9])], "user_id long, history array<long>")
+    asked = spark.createDataFrame([(1, 0, -1.0), (1, 1, -2.0), (1, 2, -3.0), (2, 2, -3.0), (3, 0, -1.0), (4, 0, -1.0)], "user_id long, item_id long, log_q double")
+    got = {(r["user_id"], r["item_id"]): (r["log_q"], *np.round(r["u"], 5).tolist(), *np.round(r["v"], 5).tolist()) for r in scorers.leave_one_out_means(asked, past, items).collect()}
+    c, s = 2 / np.sqrt(5), 1 / np.sqrt(5)
+    wanted = {(1, 0): (-1.0, 0, 1, 1, 0), (1, 1): (-2.0, 1, 0, 0, 1), (1, 2): (-3.0, c, s, 0.6, 0.8), (2, 2): (-3.0, 0, 0, 0.6, 0.8)}
+    assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k], atol=1e-4) for k in wanted)
