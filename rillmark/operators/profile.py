@@ -77,8 +77,9 @@ def log_histogram(counts: DataFrame, bins: int = 10) -> DataFrame:
     return frame.join(F.broadcast(found), "bin", "left").select("bin", F.pow(F.col("m"), F.col("bin") / bins).alias("low"), F.coalesce("c", F.lit(0)).alias("n_items"))
 
 
-def sequence_length_stats(lists: DataFrame, column: str, cap: int) -> DataFrame:
-    n = F.size(column)
+def sequence_length_stats(lists: DataFrame, column: str | Column, cap: int) -> DataFrame:
+    """``column``: the lists' name, or their length."""
+    n = F.size(column) if isinstance(column, str) else column
     sized = lists.select(n.alias("n"))
     p = exact_quantiles(sized, [], "n", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
     one = sized.agg(F.avg("n").alias("mean"), F.max("n").alias("max"), F.avg((F.col("n") >= cap).cast("double")).alias("share_at_cap"))
@@ -105,8 +106,9 @@ def split_summary(ix: DataFrame) -> DataFrame:
     ).join(items, "split")
 
 
-def history_summary(histories: DataFrame, column: str) -> DataFrame:
-    n = F.size(column)
+def history_summary(histories: DataFrame, column: str | Column) -> DataFrame:
+    """``column``: the histories' name, or their length."""
+    n = F.size(column) if isinstance(column, str) else column
     return histories.agg(
         F.count(F.lit(1)).alias("n_users"), F.sum(n).alias("n_items"), F.avg(n).alias("mean_length"), F.max(n).alias("max_length"),
         (F.sum(n) * 4).alias("bytes_int32"), (F.sum(n) * 8).alias("bytes_int64"),

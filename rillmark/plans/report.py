@@ -6,6 +6,7 @@ from rillmark.operators import profile as P
 from rillmark.plans import encodings, learning, profiles, streams  # noqa: F401 - their queries are the report's sections
 from rillmark.plans.base import QUERIES, SQL, query
 from rillmark.scratch import new_folder
+from rillmark.sources import tables as T
 
 #: The sections of the report: queries by name, and the column that names their rows where they have several.
 _SECTIONS = {
@@ -27,5 +28,7 @@ def _report_sql() -> str:
 
 @query("profile_report", _report_sql())
 def profile_report(s, d):
-    """Every profile as one long table, written as JSON and read back."""
-    return P.write_report(P.report({name: (QUERIES[name](s, d), key) for name, key in _SECTIONS.items()}), new_folder(s, "profile"))
+    """Every profile as one long table, written as JSON and read back. Interactions, clicks and the lengths of histories are written once for all sections."""
+    with T.written_once():
+        sections = {name: (QUERIES[name](s, d), key) for name, key in _SECTIONS.items()}
+    return P.write_report(P.report(sections), new_folder(s, "profile"))

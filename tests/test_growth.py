@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rillmark.functions import expr
 from rillmark.operators import events, indices, retrieval, scorers, towers, training
 from rillmark.plans import learning, registry
+from rillmark.sources import tables
 from tests.compare import connection
 from tests.test_operators import unit_vectors
 
@@ -184,3 +185,12 @@ def test_pairs_of_towers_leave_their_own_item_out(spark):
     c, s = 2 / np.sqrt(5), 1 / np.sqrt(5)
     wanted = {(1, 0): (-1.0, 0, 1, 1, 0), (1, 1): (-2.0, 1, 0, 0, 1), (1, 2): (-3.0, c, s, 0.6, 0.8), (2, 2): (-3.0, 0, 0, 0.6, 0.8)}
     assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k], atol=1e-4) for k in wanted)
+
+
+def test_report_reads_the_lines_twice(spark, monkeypatch):
+    """Sections share interactions, clicks and lengths of histories: tables aren't joined anew for each; outside the report nothing is shared."""
+    read, load = [], tables.load
+    monkeypatch.setattr(tables, "load", lambda s, d, name, *columns: read.append(name) or load(s, d, name, *columns))
+    registry.queries()["profile_report"](spark, FOLDER)
+    assert read.count("lineitem") == 2
+    assert tables._shared is None and tables.interactions(spark, FOLDER) is not tables.interactions(spark, FOLDER)
