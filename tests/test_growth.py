@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.functions import expr
+from rillmark.functions import expr, prefix
 from rillmark.operators import events, indices, retrieval, scorers, towers, training
 from rillmark.plans import learning, registry
 from rillmark.sources import tables
@@ -194,3 +194,12 @@ def test_report_reads_the_lines_twice(spark, monkeypatch):
     registry.queries()["profile_report"](spark, FOLDER)
     assert read.count("lineitem") == 2
     assert tables._shared is None and tables.interactions(spark, FOLDER) is not tables.interactions(spark, FOLDER)
+
+
+def test_buckets_of_prefix_sums_are_searched(spark):
+    """A row's bucket is found by a binary search, not by holding the row against all bounds; missing values come first, as they are sorted."""
+    rows = [(i, float(v) if v is not None else None) for i, v in enumerate([5, None, 3, 3, float("inf"), -2, 8, None, float("nan"), float("-inf"), *range(10, 60)])]
+    found = prefix.dense_rank_index(spark.createDataFrame(rows, "id long, x double"), "x", [F.col("id")])
+    assert "filter(" not in found._jdf.queryExecution().analyzed().toString().lower()
+    place = lambda v: (-1, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+    assert [r["id"] for r in sorted(found.collect(), key=lambda r: r["idx"])] == [i for i, _ in sorted(rows, key=lambda r: (*place(r[1]), r[0]))]
