@@ -62,6 +62,14 @@ def test_lists_are_made_for_users_with_a_target(spark, name, monkeypatch):
     assert met and all(m <= wanted for m in met) and all(r["n_targets"] == 3 for r in rows)
 
 
+@pytest.mark.parametrize("name", ["heldout_hits"])
+def test_every_clicked_test_row_is_a_target(spark, name):
+    """No sample stands for the clicks: sf0.01 has more than the 500 that other queries draw."""
+    folder = FOLDER.replace("0.001", "0.01")
+    clicked = tables.interactions(spark, folder).where("split = 'test' AND label = 1").count()
+    assert clicked > 500 and {r["n_targets"] for r in registry.queries()[name](spark, folder).collect()} == {clicked}
+
+
 def test_further_draws_only_where_the_first_is_seen(spark, monkeypatch):
     """One draw a positive and stratum is looked up, not all of them."""
     written, keep = {}, training.materialize
