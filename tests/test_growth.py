@@ -62,7 +62,7 @@ def test_lists_are_made_for_users_with_a_target(spark, name, monkeypatch):
     assert met and all(m <= wanted for m in met) and all(r["n_targets"] == 3 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["heldout_hits"])
+@pytest.mark.parametrize("name", ["heldout_hits", "retrieval_ablation"])
 def test_every_clicked_test_row_is_a_target(spark, name):
     """No sample stands for the clicks: sf0.01 has more than the 500 that other queries draw."""
     folder = FOLDER.replace("0.001", "0.01")
