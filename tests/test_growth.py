@@ -290,6 +290,16 @@ def test_pairs_of_towers_leave_their_own_item_out(spark):
     assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k], atol=1e-4) for k in wanted)
 
 
+def test_features_are_not_joined_to_their_rows(spark, monkeypatch):
+    """Interactions are joined from the tables once, histories once more; counts come along with the rows through the stream."""
+    read, load = [], tables.load
+    monkeypatch.setattr(tables, "load", lambda s, d, name, *columns: read.append(name) or load(s, d, name, *columns))
+    plan = registry.queries()["ranking_features"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert read.count("lineitem") == 2
+    above = plan[: plan.index("MapInPandas")]
+    assert above.count("Join") == 1  # what is known of the user
+
+
 def test_report_reads_the_lines_twice(spark, monkeypatch):
     """Sections share interactions, clicks and lengths of histories: tables aren't joined anew for each; outside the report nothing is shared."""
     read, load = [], tables.load
