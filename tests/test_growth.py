@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import expr, prefix
-from rillmark.operators import events, indices, retrieval, scorers, sequences, towers, training
+from rillmark.operators import events, indices, metrics, retrieval, scorers, sequences, towers, training
 from rillmark.plans import learning, registry
 from rillmark.sources import tables
 from tests.compare import connection
@@ -300,6 +300,25 @@ def test_features_are_not_joined_to_their_rows(spark, monkeypatch):
     assert above.count("Join") == 1  # what is known of the user
 
 
+def test_ranker_writes_no_keys_of_train_rows(spark, monkeypatch):
+    written, keep = {}, learning.materialize
+    monkeypatch.setattr(learning, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    registry.queries()["pointwise_ranker"](spark, FOLDER)
+    kept = written["features"]
+    assert "nation" not in kept.columns and kept.where("split = 'train' AND (user_id IS NOT NULL OR item_id IS NOT NULL)").count() == 0
+
+
+def test_scores_are_shuffled_by_user_as_one_row(spark):
+    """Metrics by user shuffle a row a candidate, not one a model; they are those of the long table."""
+    wide = spark.range(60).select((F.col("id") % 7).alias("user_id"), F.col("id").alias("item_id"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.sin("id").alias("a"), F.cos("id").alias("b"))
+    long = scorers.long_scores(wide, ("a", "b"))
+    by_user = scorers.long_scores(wide.repartition("user_id"), ("a", "b"))
+    plan = metrics._users(by_user, (1, 3))._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Generate")].count("Exchange") == 1  # the last, by model
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert key(metrics.evaluate_table(long, by_user=by_user)) == key(metrics.evaluate_table(long))
+
+
 def test_report_reads_the_lines_twice(spark, monkeypatch):
     """Sections share interactions, clicks and lengths of histories: tables aren't joined anew for each; outside the report nothing is shared."""
     read, load = [], tables.load
