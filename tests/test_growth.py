@@ -319,6 +319,16 @@ def test_scores_are_shuffled_by_user_as_one_row(spark):
     assert key(metrics.evaluate_table(long, by_user=by_user)) == key(metrics.evaluate_table(long))
 
 
+def test_seen_items_without_a_vector_are_left_out(spark):
+    """They can't be recommended, so they aren't shuffled to be held against what was found."""
+    users, items = (spark.createDataFrame(*unit_vectors(n, 8, seed, key)) for n, seed, key in ((5, 3, "user_id"), (90, 4, "item_id")))
+    seen = spark.createDataFrame([(u, i) for u in range(5) for i in (*range(40), 7, *range(500, 700))], "user_id long, item_id long")
+    found = retrieval.recommend(users, items, seen, 4)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == 20 and all(r["item_id"] >= 40 for r in rows)
+
+
 def test_report_reads_the_lines_twice(spark, monkeypatch):
     """Sections share interactions, clicks and lengths of histories: tables aren't joined anew for each; outside the report nothing is shared."""
     read, load = [], tables.load
